@@ -69,6 +69,12 @@ KEYWORD_LITERALS = (
 # White space as Python's str methods and regular expressions see it.
 SPACES = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
+# Everything but white space and quotes, common ranges first: what an assigned value is made of.
+VALUE_CHARS = (
+    r"[!#-&(-~\x7f-\x84\x86-\x9f\xa1-ᙿᚁ-῿​-‧‪-‮‰-⁞"
+    r"⁠-⿿、-\x{10ffff}\x00-\x08\x0e-\x1b]"
+)
+
 BEARER = r"(?i)\bBearer[" + SPACES + r"]+([A-Za-z0-9._\-+=/]{16,})"
 
 # Values nobody means as a secret.

@@ -21,7 +21,8 @@ def entropy(value: Column | str) -> Column:
         share = (n - F.length(F.replace(v, char, F.lit("")))) / n
         return total - share * F.log2(share)
 
-    return F.round(F.aggregate(F.array_distinct(F.split(v, "")), F.lit(0.0), add), 12)
+    chars = F.array_distinct(F.split(v, ""))
+    return F.when(n == 0, F.lit(0.0)).otherwise(F.round(F.aggregate(chars, F.lit(0.0), add), 12))
 
 
 def transition_rate(value: Column | str) -> Column:

@@ -14,16 +14,18 @@ from exposure.functions import names as nm
 
 TEXT_KEY = ("src", "id", "part")
 
-# A keyword takes in the ``word_`` segments to its left. The first alternative starts only where a
-# segment starts. A keyword is not sought inside a word that already ended an earlier keyword.
-_SEGMENTS = r"(?:(?<![A-Za-z0-9])(?:[A-Za-z0-9]++[_-]){1,128})?"
+# A match is a keyword with its tail (quote, separator, value). Only the keyword is consumed, so hits
+# may overlap. What stands left of it is looked at where a match was found: the run of name
+# characters, with the character before it. A keyword is not sought inside a word that already ended
+# an earlier keyword.
 _KEYWORD = fixed.KEYWORD.replace("token", "(?<!secre)token")
-_NAME = _SEGMENTS + _KEYWORD
 _GAP = f"[{fixed.SPACES}]*+"
-_TAIL = rf"['\"]?{_GAP}[:=]{_GAP}['\"]?[^{fixed.SPACES}'\"]{{8,}}+['\"]?"
-# The whole hit sits in a look-ahead and only the name is consumed, so hits may overlap.
-ASSIGNMENT = rf"(?i)(?=(['\"]?{_NAME}{_TAIL}))['\"]?{_NAME}"
-ASSIGNMENT_HEAD = rf"^(['\"]?)([A-Za-z0-9_-]+)(['\"]?){_GAP}[:=]{_GAP}(['\"]?)"
+_TAIL = rf"['\"]?{_GAP}[:=]{_GAP}['\"]?(?-i:{fixed.VALUE_CHARS}{{8,}}+)['\"]?"
+_LEFT = r"(?:^|[^A-Za-z0-9_-])[A-Za-z0-9_-]{0,300}|[A-Za-z0-9_-]{301}"
+ASSIGNMENT = rf"(?i)(?=({_KEYWORD}{_TAIL}))(?<=({_LEFT})){_KEYWORD}"
+ASSIGNMENT_HEAD = rf"(?i)^({fixed.KEYWORD})(['\"]?){_GAP}[:=]{_GAP}(['\"]?)"
+# A name takes in the ``word_`` segments left of its keyword.
+NAME_PREFIX = r"(?:^|[^A-Za-z0-9])((?:[A-Za-z0-9]++[_-])*)\z"
 
 # ``--api-key value``: the value must not look like a variable, a redirect or the next option.
 _FLAG_VALUE = rf"[^{fixed.SPACES}'\"`;|&<>()$=\\-][^{fixed.SPACES}'\"`;|&<>()$=\\]{{7,}}+"
@@ -57,30 +59,36 @@ def _hit(form: str, seq: Column | int, name: Column | None, value: Column | None
 def _assignments(text: Column) -> Column:
     """``NAME=value`` matches as hit structs. Quotes of the name and of the value must pair."""
 
-    def split(hit: Column, i: Column) -> Column:
-        return F.struct(i.alias("i"), hit.alias("hit"), F.regexp_extract(hit, ASSIGNMENT_HEAD, 0).alias("head"))
+    def split(m: Column, i: Column) -> Column:
+        run = F.regexp_extract(m.left, r"[A-Za-z0-9_-]*\z", 0)
+        return F.struct(
+            i.alias("i"), m.hit.alias("hit"), F.regexp_extract(m.hit, ASSIGNMENT_HEAD, 0).alias("head"),
+            F.regexp_extract(run, NAME_PREFIX, 1).alias("prefix"),
+            F.left(m.left, F.length(m.left) - F.length(run)).alias("before"), F.length(run).alias("run"),
+        )
 
     def parts(h: Column) -> Column:
         rest = F.substring(h.hit, F.length(h["head"]) + 1, F.length(h.hit))
-        groups = [F.regexp_extract(h["head"], ASSIGNMENT_HEAD, n).alias(f"p{n}") for n in range(1, 5)]
         last = F.right(rest, F.lit(1))
         closer = F.when(last.isin(*nm.QUOTES), last).otherwise(F.lit(""))
+        whole = (F.length(h.prefix) == h.run) & (h.run <= fixed.MAX_NAME_PREFIX)
+        reached = F.regexp_replace(F.right(h.prefix, F.lit(fixed.MAX_NAME_PREFIX)), "^[_-]", "")
+        keyword, name_end, opener = (F.regexp_extract(h["head"], ASSIGNMENT_HEAD, n) for n in (1, 2, 3))
         return F.struct(
-            h.i.alias("i"), *groups, closer.alias("p6"),
-            F.left(rest, F.length(rest) - F.length(closer)).alias("p5"),
+            h.i.alias("i"), F.concat(reached, keyword).alias("name"), name_end.alias("name_end"),
+            F.when(whole, h.before).otherwise(F.lit("")).alias("name_start"),
+            opener.alias("opener"), closer.alias("closer"),
+            F.left(rest, F.length(rest) - F.length(closer)).alias("value"),
         )
 
     def paired(h: Column) -> Column:
-        return ((h.p3 == "") | (h.p1 == h.p3)) & ((h.p4 == "") | (h.p4 == h.p6))
-
-    def named(h: Column) -> Column:
-        keyword = F.length(F.regexp_extract(h.p2, rf"(?i){fixed.KEYWORD}\z", 0))
-        reach = keyword + fixed.MAX_NAME_PREFIX
-        cut = F.regexp_replace(F.right(h.p2, reach), "^[_-]", "")
-        return _hit("assignment", h.i, F.when(F.length(h.p2) <= reach, h.p2).otherwise(cut), h.p5)
+        return ((h.name_end == "") | (h.name_end == h.name_start)) & ((h.opener == "") | (h.opener == h.closer))
 
-    split_hits = F.transform(_all(text, ASSIGNMENT, 1), split)
-    return F.transform(F.filter(F.transform(split_hits, parts), paired), named)
+    matches = F.arrays_zip(_all(text, ASSIGNMENT, 1).alias("hit"), _all(text, ASSIGNMENT, 2).alias("left"))
+    return F.transform(
+        F.filter(F.transform(F.transform(matches, split), parts), paired),
+        lambda h: _hit("assignment", h.i, h["name"], h["value"]),
+    )
 
 
 def _flags(text: Column) -> Column:
@@ -163,9 +171,14 @@ def _grade(found: Column, fire_tiers: tuple[str, ...]) -> Column:
     return F.filter(F.transform(F.transform(found, judge), rate), fires)
 
 
+def found_hits(text: Column, fire_tiers: tuple[str, ...] = (fixed.LIKELY, fixed.POSSIBLE)) -> Column:
+    """Graded hits of a text column as one array expression. Its ``value`` field must not be published."""
+    return _grade(found(text), fire_tiers)
+
+
 def valued_hits(texts: DataFrame, fire_tiers: tuple[str, ...] = (fixed.LIKELY, fixed.POSSIBLE)) -> DataFrame:
     """Graded hits with their values, for redaction and dictionaries only."""
-    return texts.select(*_key(texts), F.inline(_grade(found(F.col("text")), fire_tiers)))
+    return texts.select(*_key(texts), F.inline(found_hits(F.col("text"), fire_tiers)))
 
 
 def hits(texts: DataFrame, fire_tiers: tuple[str, ...] = (fixed.LIKELY, fixed.POSSIBLE)) -> DataFrame:
