@@ -71,8 +71,8 @@ SPACES = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u30
 
 # Everything but white space and quotes, common ranges first: what an assigned value is made of.
 VALUE_CHARS = (
-    r"[!#-&(-~\x7f-\x84\x86-\x9f\xa1-ᙿᚁ-῿​-‧‪-‮‰-⁞"
-    r"⁠-⿿、-\x{10ffff}\x00-\x08\x0e-\x1b]"
+    r"[!#-&(-~\x7f-\x84\x86-\x9f\xa1-\u167f\u1681-\u1fff\u200b-\u2027\u202a-\u202e\u2030-\u205e"
+    r"\u2060-\u2fff\u3001-\x{10ffff}\x00-\x08\x0e-\x1b]"
 )
 
 BEARER = r"(?i)\bBearer[" + SPACES + r"]+([A-Za-z0-9._\-+=/]{16,})"
@@ -87,7 +87,7 @@ PLACEHOLDERS = (
 # Character classes of the transition rate.
 UPPER = r"\p{IsUppercase}"
 LOWER = r"\p{IsLowercase}"
-DIGIT = r"\p{Nd}²³¹⁰⁴-⁹₀-₉"
+DIGIT = r"\p{Nd}\u00b2\u00b3\u00b9\u2070\u2074-\u2079\u2080-\u2089"
 
 # Directories that a tree scan leaves out, and file suffixes that it skips.
 EXCLUDED_DIRS = (

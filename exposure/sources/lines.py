@@ -9,7 +9,7 @@ from exposure.functions import fixed
 from exposure.operators.ordered import last_wins
 from exposure.sources.texts import decoded
 
-LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
+LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
 
 def lines(files: DataFrame, breaks: str = LINE_BREAK) -> DataFrame:
