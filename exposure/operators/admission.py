@@ -12,16 +12,21 @@ An ``unlock`` row may carry pre_admit_seconds, pre_admit_unscoped and pre_admit_
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from exposure.functions import fixed
+from exposure.functions.fixed import SESSION_MINUTES
 from exposure.operators.ordered import carry_last
 
+# Executors get the functions themselves and need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 INPUT = (
     "session", "seq", "ts", "verb", "secret_names", "pid", "start_time", "approve", "minutes", "chain",
     "pre_admit_seconds", "pre_admit_unscoped", "pre_admit_names",
@@ -53,7 +58,7 @@ class Run:
 
 
 def _minutes(value: object) -> int:
-    return fixed.SESSION_MINUTES if value is None or value != value or int(value) == 0 else int(value)
+    return SESSION_MINUTES if value is None or value != value or int(value) == 0 else int(value)
 
 
 def step(run: Run, r: dict) -> list[tuple[str, str | None, str | None, str | None]]:

@@ -27,6 +27,12 @@ def audit_log(spark: SparkSession, path: str, streaming: bool = False) -> DataFr
     return normalise(reader.schema(AUDIT).option("mode", "PERMISSIVE").json(path))
 
 
+def parse_records(lines: DataFrame, column: str = "value") -> DataFrame:
+    """Audit records of a table of JSON lines."""
+    parsed = F.from_json(column, AUDIT, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    return normalise(lines.select(parsed.alias("r")).select("r.*"))
+
+
 def corrupt_records(spark: SparkSession, path: str) -> DataFrame:
     """Count of lines of an audit folder that do not parse."""
     lines = spark.read.text(path)

@@ -8,9 +8,11 @@ Arrow batch; literal searches in the JVM drop the others before any row reaches
 from __future__ import annotations
 
 import json
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
@@ -18,6 +20,9 @@ from pyspark.sql.functions import pandas_udf
 from exposure.functions import fixed
 from exposure.functions import names as nm
 
+# Executors get the functions themselves and need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 WALKED = "array<struct<key:string,text:string>>"
 
 
@@ -41,10 +46,7 @@ def _parse(raw: str | None) -> object:
         return None
 
 
-@pandas_udf(WALKED)
-def walk(raw: pd.Series) -> pd.Series:
-    """Every string of a JSON document with its key; null for what is not JSON."""
-
+def _walk(raw: pd.Series) -> pd.Series:
     def strings(line: str | None) -> list[dict] | None:
         node = _parse(line)
         return None if node is None else [{"key": k, "text": t} for k, t in _strings(node)]
@@ -52,6 +54,11 @@ def walk(raw: pd.Series) -> pd.Series:
     return raw.map(strings)
 
 
+def walk(raw: Column) -> Column:
+    """Every string of a JSON document with its key; null for what is not JSON."""
+    return pandas_udf(_walk, WALKED)(raw)
+
+
 def json_strings(df: DataFrame, column: str) -> DataFrame:
     """One row per string value at any depth (not keys), with its position in the document."""
     return df.withColumn("__walked", walk(F.col(column))).select(

@@ -23,13 +23,16 @@ def carry_last(
     carried: Mapping[str, Column],
     inclusive: bool = False,
     bucket_seconds: int = BUCKET_SECONDS,
+    bucket: Column | None = None,
 ) -> DataFrame:
     """Add, per row, the latest non-null value of each ``carried`` expression among earlier rows.
 
-    This is an as-of join of a table with itself. ``order[0]`` must be a timestamp. ``inclusive``
-    lets a row see itself.
+    This is an as-of join of a table with itself. ``order[0]`` is a timestamp, or ``bucket`` gives
+    another monotone cut of the order. ``inclusive`` lets a row see itself.
     """
-    bucketed = df.withColumn("__bucket", F.floor(F.unix_seconds(order[0]) / bucket_seconds))
+    if bucket is None:
+        bucket = F.floor(F.unix_seconds(order[0]) / bucket_seconds)
+    bucketed = df.withColumn("__bucket", bucket)
     for name, expr in carried.items():
         bucketed = bucketed.withColumn(f"__in_{name}", expr)
     placed = bucketed.repartition(*keys, "__bucket")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from exposure.functions import fixed
-from exposure.operators.ordered import last_wins
+from exposure.operators.ordered import carry_last, last_wins
 from exposure.sources.texts import decoded
 
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
@@ -110,7 +110,6 @@ def manifest_rows(lines: DataFrame) -> DataFrame:
         .when(raw.rlike(_LEGACY), F.struct(F.lit("legacy"), F.lit(None).cast("string"), F.col("line_no")))
         .when(raw.rlike(_OTHER), F.struct(F.lit("other"), F.lit(None).cast("string"), F.col("line_no")))
     )
-    # One manifest is one window: a manifest is a short file that already was one row.
     section = carry_section(lines.withColumn("__header", header), "__header", "section")
     key = F.regexp_extract(raw, _PAIR, 1)
     text = F.when(raw.rlike(r"=\s*\""), F.regexp_extract(raw, _PAIR, 2)).when(raw.rlike(r"=\s*'"), F.regexp_extract(raw, _PAIR, 3))
@@ -158,10 +157,13 @@ def manifest_rows(lines: DataFrame) -> DataFrame:
 
 
 def carry_section(lines: DataFrame, header: str, name: str) -> DataFrame:
-    """Carry the latest non-null section header down to the lines below it, per file."""
+    """Carry the latest non-null section header down to the lines below it, per file.
 
-    above = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    return lines.withColumn(name, F.last(header, ignorenulls=True).over(above))
+    Long files are cut by line number, so no file is one task.
+    """
+    return carry_last(
+        lines, ("path",), ("line_no",), {name: F.col(header)}, inclusive=True, bucket=F.floor(F.col("line_no") / 10_000)
+    )
 
 
 def manifest_names(lines: DataFrame) -> DataFrame:

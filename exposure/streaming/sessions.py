@@ -6,26 +6,40 @@ one micro-batch are ordered by (ts, seq); across batches, arrival order counts.
 
 from __future__ import annotations
 
-import pickle
+import json
+import sys
 from collections.abc import Iterator
+from dataclasses import asdict
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from exposure.operators.admission import COLUMNS, OUTPUT, Run, output_rows, with_inputs
 
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 class AdmissionProcessor(StatefulProcessor):
     """One guard run per session in a value state; a timer reports the end of a run that expires."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        self._run = handle.getValueState("run", "data binary")
+        self._run = handle.getValueState("run", "data string")
 
     def _load(self) -> Run:
         stored = self._run.get()
-        return pickle.loads(stored[0]) if stored is not None else Run()
+        if stored is None:
+            return Run()
+        state = json.loads(stored[0])
+        admitted = tuple(state["admitted"]) if state["admitted"] else None
+        names = {k: set(state[k]) for k in ("granted", "offer_names")}
+        return Run(**{**state, "admitted": admitted, **names})
+
+    def _save(self, run: Run) -> None:
+        self._run.update((json.dumps(asdict(run), default=sorted),))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
         run = self._load()
@@ -35,7 +49,7 @@ class AdmissionProcessor(StatefulProcessor):
             for r in batch.sort_values(["ts", "seq"]).to_dict("records"):
                 out.extend(output_rows(run, r))
             yield pd.DataFrame(out, columns=COLUMNS)
-        self._run.update((pickle.dumps(run),))
+        self._save(run)
         if run.live and run.expires_at != before:
             for old in list(self._handle.listTimers()):
                 self._handle.deleteTimer(old)
@@ -45,7 +59,7 @@ class AdmissionProcessor(StatefulProcessor):
         run = self._load()
         if run.live and expired_timer.getExpiryTimeInMs() >= run.expires_at * 1000:
             run.live = False
-            self._run.update((pickle.dumps(run),))
+            self._save(run)
             at = pd.Timestamp(run.expires_at, unit="s")
             yield pd.DataFrame(
                 [(key[0], -1, at, "expire", "expired", None, None, "expired", run.count, sorted(run.granted), run.unscoped)],
