@@ -14,6 +14,11 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value evaluated once, however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def unquoted(value: Column | str) -> Column:
     return F.btrim(_col(value), F.lit(QUOTES))
 

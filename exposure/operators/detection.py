@@ -6,6 +6,9 @@ and everything about a single value is decided after the explode, where hits are
 
 from __future__ import annotations
 
+from functools import lru_cache
+
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -171,14 +174,23 @@ def _grade(found: Column, fire_tiers: tuple[str, ...]) -> Column:
     return F.filter(F.transform(F.transform(found, judge), rate), fires)
 
 
-def found_hits(text: Column, fire_tiers: tuple[str, ...] = (fixed.LIKELY, fixed.POSSIBLE)) -> Column:
-    """Graded hits of a text column as one array expression. Its ``value`` field must not be published."""
-    return _grade(found(text), fire_tiers)
+def found_hits(text: str, fire_tiers: tuple[str, ...] = (fixed.LIKELY, fixed.POSSIBLE)) -> Column:
+    """Graded hits of a text column as one array expression. Its ``value`` field must not be published.
+
+    The expression is large, so it is built once per Spark context and column name.
+    """
+    context = SparkContext.getOrCreate()
+    return _found_hits(context.applicationId, text, tuple(fire_tiers))
+
+
+@lru_cache(maxsize=64)
+def _found_hits(application: str, text: str, fire_tiers: tuple[str, ...]) -> Column:
+    return _grade(found(F.col(text)), fire_tiers)
 
 
 def valued_hits(texts: DataFrame, fire_tiers: tuple[str, ...] = (fixed.LIKELY, fixed.POSSIBLE)) -> DataFrame:
     """Graded hits with their values, for redaction and dictionaries only."""
-    return texts.select(*_key(texts), F.inline(found_hits(F.col("text"), fire_tiers)))
+    return texts.select(*_key(texts), F.inline(found_hits("text", fire_tiers)))
 
 
 def hits(texts: DataFrame, fire_tiers: tuple[str, ...] = (fixed.LIKELY, fixed.POSSIBLE)) -> DataFrame:

@@ -4,6 +4,8 @@ A small dictionary, checked by count and bytes, becomes one literal array that e
 larger one is matched by an equi-join on short character grams: each value is represented by its
 rarest gram, so that a prefix shared by all keys of a vendor costs nothing, and candidates are then
 verified exactly.
+
+The large way writes values to the checkpoint folder, which needs the same protection as the secrets.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ class Limits:
 
     values: int = 2_000
     bytes: int = 1 << 20
+    each: int = 1 << 16
 
 
 def _usable(secrets: DataFrame) -> DataFrame:
@@ -39,13 +42,15 @@ def _usable(secrets: DataFrame) -> DataFrame:
 def small_dictionary(secrets: DataFrame, limits: Limits = Limits()) -> list[tuple[str, str]] | None:
     """The dictionary in replacement order if it is within the limits, else None.
 
-    At most ``limits.values + 1`` rows reach the driver.
+    One job. At most ``limits.values + 1`` rows reach the driver, each cut off at ``limits.each``.
     """
-    usable = _usable(secrets)
-    size = usable.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("value")), F.lit(0)).alias("b")).first()
-    if size["n"] > limits.values or size["b"] > limits.bytes:
+    fits = F.octet_length("value") <= limits.each
+    rows = _usable(secrets).orderBy("rank").select("name", F.when(fits, F.col("value")).alias("value")).limit(limits.values + 1).collect()
+    if len(rows) > limits.values or any(r["value"] is None for r in rows):
+        return None
+    if sum(len(r["value"].encode()) for r in rows) > limits.bytes:
         return None
-    return [(r["name"], r["value"]) for r in usable.orderBy("rank").collect()]
+    return [(r["name"], r["value"]) for r in rows]
 
 
 def redaction_order(secrets: DataFrame) -> DataFrame:
@@ -121,11 +126,12 @@ def occurrences(text: Column, value: Column) -> Column:
 
 
 def exposed(
-    texts: DataFrame, secrets: DataFrame, keys: Sequence[str] = ("src", "id", "part"), limits: Limits = Limits()
+    texts: DataFrame, secrets: DataFrame, keys: Sequence[str] = ("src", "id", "part"), limits: Limits = Limits(),
+    small: list[tuple[str, str]] | None = None,
 ) -> DataFrame:
     """Which texts hold which known values, and how often: ``keys, name, n``. Values stay inside."""
     text = F.col("text")
-    dictionary = small_dictionary(secrets, limits)
+    dictionary = small if small is not None else small_dictionary(secrets, limits)
     if dictionary is not None:
         found = F.filter(_array(dictionary), lambda s: text.contains(s["value"]))
         counted = F.transform(found, lambda s: F.struct(s["name"].alias("name"), occurrences(text, s["value"]).alias("n")))
@@ -221,7 +227,7 @@ def redact_detected(texts: DataFrame) -> DataFrame:
     from exposure.operators.detection import found_hits
 
     valued = F.filter(
-        found_hits(F.col("text")), lambda h: h["value"].isNotNull() & (F.length(h["value"]) > 0)
+        found_hits("text"), lambda h: h["value"].isNotNull() & (F.length(h["value"]) > 0)
     )
     todo = F.array_sort(F.array_distinct(F.transform(
         valued,
@@ -237,7 +243,10 @@ def residual(
     texts: DataFrame, secrets: DataFrame, keys: Sequence[str] = ("src", "id", "part"), limits: Limits = Limits()
 ) -> DataFrame:
     """Known values that are still there after redaction; empty when all is well."""
-    return exposed(redact(texts, secrets, keys, limits), secrets, keys, limits)
+    small = small_dictionary(secrets, limits)
+    if small is None:
+        return exposed(_redact_large(texts, _usable(secrets), list(keys), limits), secrets, keys, limits)
+    return exposed(texts.withColumn("text", _fold(F.col("text"), _array(small))), secrets, keys, limits, small)
 
 
 def dictionary_of(texts: DataFrame) -> DataFrame:

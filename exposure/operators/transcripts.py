@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from exposure.functions import fixed, values
 from exposure.operators import json_walk
 from exposure.operators.detection import found_hits
-from exposure.operators.findings import _empty, _ordered
+from exposure.operators.findings import _counted, _empty, _ordered, finding_items
+from exposure.session import checkpoint
 
 LINE = ("path", "line_no")
 PAGE_LINES = 10_000
@@ -27,7 +28,7 @@ def string_hits(lines: DataFrame) -> DataFrame:
     strings = json_walk.unwrap(lines)
     phase = F.when(F.col("use") == "text", F.lit(0)).otherwise(F.lit(2)) + F.col("level")
     placed = strings.select(*LINE, F.struct(phase.alias("phase"), "pos", "ipos").alias("ord"), "use", "key", "text")
-    hits = F.when(F.col("use") == "text", found_hits(F.col("text"))).otherwise(keyed_hits(F.col("key"), F.col("text")))
+    hits = F.when(F.col("use") == "text", found_hits("text")).otherwise(keyed_hits(F.col("key"), F.col("text")))
     return placed.select(*LINE, "ord", F.inline(hits)).drop("value")
 
 
@@ -51,18 +52,16 @@ def line_tiers(string_hits: DataFrame) -> DataFrame:
     Within one string reasons gather; across strings the strongest tier wins and the first string's
     reasons stay. The first vendor kind of a line is kept.
     """
-    from exposure.operators.findings import name_tiers
-
-    per_string = name_tiers(string_hits, (*LINE, "ord"))
-    names = per_string.groupBy(*LINE, "name_key").agg(
-        F.min_by(F.struct("name", "tier", "tier_rank", "reasons", "ord", "first_seq"),
-                 F.struct("tier_rank", "ord", "first_seq")).alias("w"),
-    ).select(*LINE, F.lit("name").alias("form"), "name_key", "w.name", "w.tier_rank", "w.reasons", "w.ord", "w.first_seq")
-    marks = string_hits.where(F.col("form").isin("prefix", "bearer")).groupBy(*LINE, "form", "tier_rank").agg(
-        F.min_by("name", F.struct("ord", "seq")).alias("name"), F.min("ord").alias("ord")
-    ).select(*LINE, "form", F.upper("name").alias("name_key"), "name", "tier_rank", _empty("string").alias("reasons"),
-             "ord", F.lit(-1).cast("bigint").alias("first_seq"))
-    return names.unionByName(marks)
+    per_string = finding_items(string_hits, (*LINE, "ord"))
+    first = F.struct("tier_rank", "ord", "first_seq")
+    # A mark of either tier counts on its own; a name counts at its strongest.
+    mark_tier = F.when(F.col("form") != "name", F.col("tier_rank"))
+    is_prefix = F.col("form") == "prefix"
+    return per_string.groupBy(
+        *LINE, "form", F.when(~is_prefix, F.col("name_key")).alias("__key"), mark_tier.alias("__tier")
+    ).agg(
+        F.min_by(F.struct("name", "name_key", "tier_rank", "reasons", "ord", "first_seq"), first).alias("w")
+    ).select(*LINE, "form", "w.name_key", "w.name", "w.tier_rank", "w.reasons", "w.ord", "w.first_seq")
 
 
 def line_ranks(tiers: DataFrame) -> DataFrame:
@@ -122,6 +121,8 @@ def transcript_findings(tiers: DataFrame, scope: str = "deep") -> DataFrame:
     The arrays are bounded by the file, which is at most 100 MiB. For tables without such a bound
     use :func:`transcript_counts`, :func:`line_hits`, :func:`hit_line_pages` and :func:`transcript_names`.
     """
+    # Hits are few beside the lines they come from. They are written once and read three times.
+    tiers = checkpoint(tiers)
     key = ["path", "tier_rank"]
     lines = line_ranks(tiers).groupBy(*key).agg(F.array_sort(F.collect_list("line_no")).alias("hit_lines"))
     names = transcript_names(tiers).groupBy(*key).agg(
@@ -134,8 +135,6 @@ def transcript_findings(tiers: DataFrame, scope: str = "deep") -> DataFrame:
           for r, h in reasons.items()),
         *(F.count(F.when(h, 1)).alias(f"__n_{r}") for r, h in reasons.items()),
     )
-    from exposure.operators.findings import _counted
-
     n = F.size("hit_lines").cast("bigint")
     rank = F.col("tier_rank")
     shape = F.when(rank == 0, "vendor-prefix credential-shaped content").when(

@@ -1 +1,85 @@
-"""Queries."""
+"""Command-log policy, with command lines made from the events table."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from exposure.operators import commands as cmd
+from exposure.operators import rules
+from exposure.plans.registry import query, table
+
+TOOL = "vaultctl"
+VERBS = "set|list|member add|member list|scan --deep --yes|scan|reveal|config set x y|config show|frobnicate"
+VERB = f"split('{VERBS}', '[|]')[cast(event_id % 10 as int)]"
+VERB_SQL = f"string_split('{VERBS}', '|')[(event_id % 10 + 1)::INT]"
+DENIED_SQL = "CASE event_id % 10 WHEN 0 THEN 'set' WHEN 2 THEN 'member add' WHEN 4 THEN 'scan --yes' WHEN 6 THEN 'reveal' WHEN 7 THEN 'config set' END"
+
+
+def command_log(spark, sf):
+    """Seven ways of calling the tool, by user."""
+    verb, u = F.expr(VERB), F.col("user_id") % 7
+    text = (
+        F.when(u == 0, F.concat(F.lit("vaultctl "), verb))
+        .when(u == 1, F.concat(F.lit("env A=1 B=2 /usr/bin/vaultctl "), verb))
+        .when(u == 2, F.concat(F.lit("echo hi && bash -lc 'vaultctl "), verb, F.lit("'")))
+        .when(u == 3, F.concat(F.lit("python3 -m vaultctl "), verb))
+        .when(u == 4, F.concat(F.lit("vaultctl run --secret X -- vaultctl "), verb))
+        .when(u == 5, F.concat(F.lit(".venv\\Scripts\\vaultctl.exe "), verb))
+        .otherwise(F.concat(F.lit("echo vaultctl "), verb))
+    )
+    return table(spark, sf, "events").select(F.col("event_id").alias("cmd_id"), "ts", F.col("user_id").alias("actor"), text.alias("text"))
+
+
+@query("c1_tokens", f"""WITH c AS (SELECT event_id, user_id % 7 AS u, len(string_split({VERB_SQL}, ' ')) AS v FROM events)
+    SELECT event_id AS cmd_id, (CASE u WHEN 0 THEN 1 + v WHEN 1 THEN 4 + v WHEN 2 THEN 6 WHEN 3 THEN 3 + v WHEN 4 THEN 6 + v WHEN 5 THEN 1 + v ELSE 2 + v END)::INT AS tokens FROM c""")
+def c1_tokens(spark, sf):
+    return command_log(spark, sf).select("cmd_id", F.size(cmd.tokens(F.col("text"))).alias("tokens"))
+
+
+@query("c2_chunks", "SELECT event_id AS cmd_id, (CASE WHEN user_id % 7 = 2 THEN 2 ELSE 1 END)::INT AS chunks FROM events")
+def c2_chunks(spark, sf):
+    return command_log(spark, sf).select("cmd_id", F.size(cmd.chunks(cmd.tokens(F.col("text")))).alias("chunks"))
+
+
+@query("c3_shell_scripts", f"SELECT event_id AS cmd_id, 'vaultctl ' || {VERB_SQL} AS script FROM events WHERE user_id % 7 = 2")
+def c3_shell_scripts(spark, sf):
+    return command_log(spark, sf).select("cmd_id", F.explode(cmd.shell_scripts(cmd.tokens(F.col("text")))).alias("script"))
+
+
+@query("c4_c5_first_verbs", f"""WITH e AS (SELECT event_id, user_id % 7 AS u, string_split({VERB_SQL}, ' ')[1] AS v FROM events WHERE user_id % 7 <> 6)
+    SELECT event_id AS cmd_id, v AS verb, CASE WHEN u = 4 THEN 'vaultctl run wrapping ' ELSE '' END AS wrap FROM e UNION ALL SELECT event_id, 'run', '' FROM e WHERE u = 4""")
+def c4_c5_first_verbs(spark, sf):
+    parsed = cmd.parse(command_log(spark, sf), [TOOL]).where("kind = 'tool'")
+    return parsed.select("cmd_id", cmd.first_verb(F.col("argv")).verb.alias("verb"), "wrap")
+
+
+@query("c6_policy_decisions", f"""WITH e AS (SELECT event_id, user_id % 7 AS u, {DENIED_SQL} AS d FROM events)
+    SELECT event_id AS cmd_id, CASE WHEN d IS NOT NULL AND u <> 6 THEN 'deny' ELSE 'allow' END AS decision, CASE WHEN u = 4 THEN 'vaultctl run wrapping vaultctl ' || d WHEN u <> 6 THEN 'vaultctl ' || d END AS kind FROM e""")
+def c6_policy_decisions(spark, sf):
+    return cmd.policy_decisions(command_log(spark, sf), cmd.policy_rules(spark, TOOL), [TOOL])
+
+
+LEAK_SQL = "'Zk9pL2xQ' || event_id || 'vB8w'"
+
+
+@query("c7_command_secrets", f"""SELECT event_id::VARCHAR AS id, 'password' AS name, 'flag' AS form FROM events WHERE user_id % 3 < 2""")
+def c7_command_secrets(spark, sf):
+    # A secret as the tool's own option is its business; in what it runs, or in a sibling, it is a leak.
+    value = F.concat(F.lit("Zk9pL2xQ"), "event_id", F.lit("vB8w"))
+    u = F.col("user_id") % 3
+    text = (
+        F.when(u == 0, F.concat(F.lit("vaultctl run --secret NAME -- mysql --password "), value))
+        .when(u == 1, F.concat(F.lit("vaultctl list && mysql --password "), value))
+        .otherwise(F.concat(F.lit("vaultctl run --password "), value, F.lit(" -- ls")))
+    )
+    log = table(spark, sf, "events").select(F.col("event_id").alias("cmd_id"), text.alias("text"))
+    return cmd.scan_command_text(log, [TOOL]).select("id", "name", "form")
+
+
+@query("c8_rule_coverage", """WITH v AS (SELECT DISTINCT string_split(p_type, ' ')[1] AS label FROM part), r AS (SELECT DISTINCT string_split(p_type, ' ')[1] AS label, CASE WHEN p_size % 2 = 0 THEN 'deny' ELSE 'allow' END AS effect FROM part WHERE p_size > 44 OR p_type < 'L'),
+    n AS (SELECT label, count(DISTINCT effect) AS n FROM r GROUP BY label) SELECT v.label, CASE WHEN n IS NULL THEN 'no rule' ELSE 'both' END AS problem FROM v LEFT JOIN n USING (label) WHERE n IS NULL OR n > 1""")
+def c8_rule_coverage(spark, sf):
+    part = table(spark, sf, "part").select(F.split("p_type", " ")[0].alias("label"), "p_size", "p_type")
+    made = part.where("p_size > 44 or p_type < 'L'").select(
+        F.lit("t").alias("tool"), F.col("label").alias("verb"), F.lit(None).cast("string").alias("sub"), F.when(F.col("p_size") % 2 == 0, "deny").otherwise("allow").alias("effect")).distinct()
+    return rules.rule_coverage(made, part.select("label").distinct())

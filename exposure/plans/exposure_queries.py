@@ -224,8 +224,8 @@ def a7_transcript_lines(spark, sf):
     return tr.line_hits(tr.line_tiers(tr.string_hits(document_lines(spark, sf))))
 
 
-@query("a7_transcript_names", f"""WITH {o.named(o.DOCUMENTS)}, n AS (SELECT d.source AS path, d.doc_id AS line_no, nt.key, nt.name, nt.rank FROM nt JOIN documents d ON d.doc_id::VARCHAR = nt.id),
-    f AS (SELECT path, key, rank, min(line_no) AS line_no, arg_min(name, line_no) AS name FROM n GROUP BY ALL)
+@query("a7_transcript_names", f"""WITH {o.named(o.DOCUMENTS)}, ln AS (SELECT d.source AS path, d.doc_id AS line_no, nt.key, nt.name, nt.rank FROM nt JOIN documents d ON d.doc_id::VARCHAR = nt.id),
+    f AS (SELECT path, key, rank, min(line_no) AS line_no, arg_min(name, line_no) AS name FROM ln GROUP BY ALL)
     SELECT path, CASE rank WHEN 1 THEN 'likely' ELSE 'possible' END AS confidence, name, line_no::INT AS line_no FROM f
     WHERE rank = 1 OR NOT EXISTS (SELECT 1 FROM f s WHERE s.path = f.path AND s.key = f.key AND s.rank < f.rank AND s.line_no <= f.line_no)""")
 def a7_transcript_names(spark, sf):

@@ -105,10 +105,11 @@ def manifest_rows(lines: DataFrame) -> DataFrame:
 
     raw = F.col("raw")
     name = F.coalesce(*(F.nullif(F.regexp_extract(raw, _TABLE, g), F.lit("")) for g in (1, 2)))
+    no_name = F.lit(None).cast("string").alias("name")
     header = (
         F.when(raw.rlike(_TABLE), F.struct(F.lit("table").alias("kind"), name.alias("name"), F.col("line_no").alias("at")))
-        .when(raw.rlike(_LEGACY), F.struct(F.lit("legacy"), F.lit(None).cast("string"), F.col("line_no")))
-        .when(raw.rlike(_OTHER), F.struct(F.lit("other"), F.lit(None).cast("string"), F.col("line_no")))
+        .when(raw.rlike(_LEGACY), F.struct(F.lit("legacy").alias("kind"), no_name, F.col("line_no").alias("at")))
+        .when(raw.rlike(_OTHER), F.struct(F.lit("other").alias("kind"), no_name, F.col("line_no").alias("at")))
     )
     section = carry_section(lines.withColumn("__header", header), "__header", "section")
     key = F.regexp_extract(raw, _PAIR, 1)
