@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from exposure.functions import fixed
+from exposure.functions.names import let
 from exposure.operators.detection import hits
 
 _QUOTED = r"'[^']*+'|\"[^\"]*+\""
@@ -29,31 +30,43 @@ def policy_rules(spark: SparkSession, tool: str) -> DataFrame:
 
 def tokens(text: Column) -> Column:
     """Words of a command line. Escapes inside quotes are not interpreted."""
-    t = F.trim(text)
-    words = F.filter(F.split(t, r"\s+"), lambda w: w != "")
-    bare = F.regexp_replace(t, _QUOTED, "")
-    grouped = F.transform(
-        F.regexp_extract_all(t, F.lit(_GROUPING), F.lit(0)),
-        lambda w: F.regexp_replace(w, r"'([^']*+)'|\"([^\"]*+)\"", "$1$2"),
-    )
-    kept = F.regexp_extract_all(t, F.lit(_KEEPING), F.lit(0))
-    open_quote = F.exists(kept, lambda w: w.rlike(r"^['\"]") & ((F.length(w) == 1) | (F.left(w, F.lit(1)) != F.right(w, F.lit(1)))))
-    posix = ~t.contains("\\") & ~bare.rlike(r"['\"]")
-    return F.when(posix, grouped).when(~open_quote, kept).otherwise(words)
+
+    def split(t: Column) -> Column:
+        words = F.filter(F.split(t, r"\s+"), lambda w: w != "")
+        grouped = F.transform(
+            F.regexp_extract_all(t, F.lit(_GROUPING), F.lit(0)),
+            lambda w: F.regexp_replace(w, r"'([^']*+)'|\"([^\"]*+)\"", "$1$2"),
+        )
+
+        def kept_or_words(kept: Column) -> Column:
+            open_quote = F.exists(
+                kept, lambda w: w.rlike(r"^['\"]") & ((F.length(w) == 1) | (F.left(w, F.lit(1)) != F.right(w, F.lit(1))))
+            )
+            return F.when(open_quote, words).otherwise(kept)
+
+        unclosed = F.regexp_replace(t, _QUOTED, "").rlike(r"['\"]")
+        return F.when(~t.contains("\\") & ~unclosed, grouped).otherwise(
+            let(F.regexp_extract_all(t, F.lit(_KEEPING), F.lit(0)), kept_or_words)
+        )
+
+    return let(F.trim(text), split)
 
 
 def chunks(words: Column) -> Column:
     """Words split at chain operators that stand alone."""
+
+    def spans(cuts: Column) -> Column:
+        return F.transform(
+            F.sequence(F.lit(1), F.size(cuts) - 1),
+            lambda k: F.slice(words, F.element_at(cuts, k) + 1, F.element_at(cuts, k + 1) - F.element_at(cuts, k) - 1),
+        )
+
     cuts = F.concat(
         F.array(F.lit(0)),
         F.filter(F.transform(words, lambda w, i: F.when(w.isin(*fixed.CHAIN_OPERATORS), i + 1).otherwise(0)), lambda i: i > 0),
         F.array(F.size(words) + 1),
     )
-    spans = F.transform(
-        F.sequence(F.lit(1), F.size(cuts) - 1),
-        lambda k: F.slice(words, F.element_at(cuts, k) + 1, F.element_at(cuts, k + 1) - F.element_at(cuts, k) - 1),
-    )
-    return F.filter(spans, lambda c: F.size(c) > 0)
+    return F.filter(let(cuts, spans), lambda c: F.size(c) > 0)
 
 
 def _base(word: Column) -> Column:
@@ -103,23 +116,32 @@ def strip_launcher(words: Column, tool_names: Sequence[str], module: str | None
     def word(w: Column, i: int) -> Column:
         return F.coalesce(F.try_element_at(w, F.lit(i)), F.lit(""))
 
-    after_env = F.when(
-        _base(word(words, 1)) == "env", _rest(_rest(words, F.lit(1)), _index_of(_rest(words, F.lit(1)), lambda w: ~w.startswith("-")))
-    ).otherwise(words)
-    argv = _rest(after_env, _index_of(after_env, lambda w: ~w.rlike(r"(?s)^[A-Za-z_][A-Za-z0-9_]*+=.")))
-    first = _base(word(argv, 1))
-    options = _rest(argv, F.lit(1))
-    m = _index_of(options, lambda w: ~w.startswith("-") | (w == "-m"))
-    by_module = (F.coalesce(F.try_element_at(options, m + 1), F.lit("")) == "-m") & (
-        F.replace(F.coalesce(F.try_element_at(options, m + 2), F.lit("")), F.lit("-"), F.lit("_")) == module
-    )
-    return (
-        F.when(F.size(argv) == 0, F.lit(None))
-        .when((first == "uvx") & is_tool(word(argv, 2)), _rest(argv, F.lit(2)))
-        .when((first == "pipx") & (word(argv, 2) == "run") & is_tool(word(argv, 3)), _rest(argv, F.lit(3)))
-        .when((first.isin("py", "py.exe") | first.startswith("python")) & by_module, _rest(options, m + 2))
-        .when(is_tool(word(argv, 1)), _rest(argv, F.lit(1)))
-    )
+    def drop_while(w: Column, test) -> Column:
+        return _rest(w, _index_of(w, lambda x: ~test(x)))
+
+    def skip_env(w: Column) -> Column:
+        options_gone = drop_while(_rest(w, F.lit(1)), lambda x: x.startswith("-"))
+        after = F.when(_base(word(w, 1)) == "env", options_gone).otherwise(w)
+        return let(after, lambda a: drop_while(a, lambda x: x.rlike(r"(?s)^[A-Za-z_][A-Za-z0-9_]*+=.")))
+
+    def module_args(options: Column) -> Column:
+        """Arguments after ``-m module`` if the module is the tool, else null."""
+        is_module = lambda a: (word(a, 1) == "-m") & (F.replace(word(a, 2), F.lit("-"), F.lit("_")) == module)
+        after = drop_while(options, lambda x: x.startswith("-") & (x != "-m"))
+        return let(after, lambda a: F.when(is_module(a), _rest(a, F.lit(2))))
+
+    def launched(argv: Column) -> Column:
+        def by(first: Column) -> Column:
+            return (
+                F.when((first == "uvx") & is_tool(word(argv, 2)), _rest(argv, F.lit(2)))
+                .when((first == "pipx") & (word(argv, 2) == "run") & is_tool(word(argv, 3)), _rest(argv, F.lit(3)))
+                .when(first.isin(*names), _rest(argv, F.lit(1)))
+                .when(first.isin("py", "py.exe") | first.startswith("python"), module_args(_rest(argv, F.lit(1))))
+            )
+
+        return let(_base(word(argv, 1)), by)
+
+    return let(let(words, skip_env), launched)
 
 
 def first_verb(argv: Column) -> Column:
@@ -140,10 +162,10 @@ def first_verb(argv: Column) -> Column:
             F.when(done, s.read).otherwise(s.read + 1).alias("read"),
         )
 
-    return F.transform(
-        F.array(F.aggregate(argv, start, read)),
+    return let(
+        F.aggregate(argv, start, read),
         lambda s: F.struct(F.coalesce(s.verb, F.lit("")).alias("verb"), _rest(argv, s.read).alias("rest")),
-    )[0]
+    )
 
 
 _PIECE = "struct<ord:array<int>,wrap:string,kind:string,text:string,argv:array<string>>"
@@ -166,53 +188,64 @@ def parse(
     wrapping verb runs), ``other`` (another command) and, below ``depth`` levels of nesting,
     ``unread``. ``ord`` orders pieces as a reader meets them; ``wrap`` is what stands around.
     """
-    label = tool_names[0]
-    none = F.array().cast(f"array<{_PIECE}>")
     rows = commands.select(
         "cmd_id", F.array().cast("array<int>").alias("ord"), F.lit("").alias("wrap"), F.lit("pending").alias("kind"),
         "text", F.lit(None).cast("array<string>").alias("argv"),
     )
+    opened = let(tokens(F.col("text")), lambda words: _pieces(words, tool_names, wrap_verbs, module))
+    same = F.array(F.struct("ord", "wrap", "kind", "text", "argv").cast(_PIECE))
     for _ in range(depth):
-        words = tokens(F.col("text"))
-
-        def place(i: Column, *more: int) -> Column:
-            return F.concat(F.col("ord"), F.array(i.cast("int"), *map(F.lit, more)))
-
-        def expand(w: Column) -> Column:
-            scripts = shell_scripts(w)
-            inner = F.transform(scripts, lambda s, i: _piece(place(i), F.col("wrap"), "pending", s, None))
-
-            def chunk(c: Column, i: Column) -> Column:
-                argv = strip_launcher(c, tool_names, module)
-                joined = F.array_join(c, " ")
-
-                def run(a: Column) -> Column:
-                    verb = first_verb(a).verb
-                    dash = _index_of(a, lambda x: x == "--")
-                    tail = F.array_join(_rest(a, dash + 1), " ")
-                    at = i + F.lit(100_000)
-                    wrapped = F.concat(F.col("wrap"), F.lit(f"{label} "), verb, F.lit(" wrapping "))
-                    return F.when(a.isNull(), F.array(_piece(place(at), F.col("wrap"), "other", joined, None))).otherwise(
-                        F.concat(
-                            F.array(_piece(place(at), F.col("wrap"), "tool", None, a)),
-                            F.when(
-                                verb.isin(*wrap_verbs) & (dash + 1 < F.size(a)),
-                                F.array(_piece(place(at, 0), F.col("wrap"), "trailing", tail, None),
-                                        _piece(place(at, 1), wrapped, "pending", tail, None)),
-                            ).otherwise(none),
-                        )
-                    )
-
-                return F.flatten(F.transform(F.array(argv), run))
-
-            return F.concat(inner, F.flatten(F.transform(chunks(w), chunk)))
-
-        same = F.array(F.struct("ord", "wrap", "kind", "text", "argv").cast(_PIECE))
-        opened = F.flatten(F.transform(F.array(words), expand))
         rows = rows.select("cmd_id", F.inline(F.when(F.col("kind") == "pending", opened).otherwise(same)))
     return rows.withColumn("kind", F.when(F.col("kind") == "pending", "unread").otherwise(F.col("kind")))
 
 
+def _pieces(words: Column, tool_names: Sequence[str], wrap_verbs: Sequence[str], module: str | None) -> Column:
+    """What one pending text falls into; scripts and wrapped commands are pending in turn."""
+    wrap = F.col("wrap")
+    none = F.array().cast(f"array<{_PIECE}>")
+
+    def place(i: Column, *more: int) -> Column:
+        return F.concat(F.col("ord"), F.array(i.cast("int"), *map(F.lit, more)))
+
+    def wrapped(argv: Column, verb: Column, at: Column) -> Column:
+        around = F.concat(wrap, F.lit(f"{tool_names[0]} "), verb, F.lit(" wrapping "))
+
+        def tail_pieces(tail: Column) -> Column:
+            return F.array(
+                _piece(place(at, 0), wrap, "trailing", tail, None), _piece(place(at, 1), around, "pending", tail, None)
+            )
+
+        def after(dash: Column) -> Column:
+            return F.when(dash + 1 < F.size(argv), let(F.array_join(_rest(argv, dash + 1), " "), tail_pieces)).otherwise(none)
+
+        return F.when(verb.isin(*wrap_verbs), let(_index_of(argv, lambda x: x == "--"), after)).otherwise(none)
+
+    def chunk(words_: Column, i: Column) -> Column:
+        at = i + F.lit(100_000)
+
+        def sorted_out(argv: Column) -> Column:
+            other = F.array(_piece(place(at), wrap, "other", F.array_join(words_, " "), None))
+            tool = F.array(_piece(place(at), wrap, "tool", None, argv))
+            return F.when(argv.isNull(), other).otherwise(
+                F.concat(tool, let(first_verb(argv).verb, lambda verb: wrapped(argv, verb, at)))
+            )
+
+        return let(strip_launcher(words_, tool_names, module), sorted_out)
+
+    inner = F.transform(shell_scripts(words), lambda s, i: _piece(place(i), wrap, "pending", s, None))
+    return F.concat(inner, F.flatten(F.transform(chunks(words), chunk)))
+
+
+def naming(commands: DataFrame, tool_names: Sequence[str], module: str | None = None) -> DataFrame:
+    """Commands whose text, quotes taken out, names the tool anywhere: all that can run it."""
+    words = dict.fromkeys([*tool_names, module or tool_names[-1]])
+    plain = F.translate(F.regexp_replace(F.lower("text"), "['\"]", ""), "-", "_")
+    hit = F.lit(False)
+    for word in words:
+        hit = hit | plain.contains(word.lower().replace("-", "_"))
+    return commands.select("cmd_id", "text").where(hit)
+
+
 def policy_decisions(
     commands: DataFrame, rules: DataFrame, tool_names: Sequence[str], module: str | None = None, depth: int = 5
 ) -> DataFrame:
@@ -224,7 +257,7 @@ def policy_decisions(
     """
     label = tool_names[0]
     wraps = [r["verb"] for r in rules.where("effect = 'wrap'").select("verb").distinct().limit(100).collect()] or ["run"]
-    argvs = parse(commands.select("cmd_id", "text"), tool_names, wraps, module, depth).where("kind = 'tool'")
+    argvs = parse(naming(commands, tool_names, module), tool_names, wraps, module, depth).where("kind = 'tool'")
     verbs = argvs.withColumn("__v", first_verb(F.col("argv"))).select(
         "cmd_id", "ord", "wrap", F.col("__v.verb").alias("verb"), F.col("__v.rest").alias("rest")
     ).withColumn("nested", first_verb(F.col("rest")).verb)

@@ -69,7 +69,7 @@ def a15_secret_access(spark, sf):
 
 
 @query("w6_as_of_state", f"""WITH r AS (SELECT event_id, user_id, ts, {VERB} AS verb FROM events), c AS (SELECT * FROM r WHERE verb IN ('unlock', 'renew', 'lock')),
-    j AS (SELECT r.event_id, max(c.ts) AS at, arg_max(c.verb, c.ts) AS state FROM r LEFT JOIN c ON c.user_id = r.user_id AND c.ts < r.ts GROUP BY r.event_id) SELECT event_id, state, epoch_us(at) AS state_us FROM j""")
+    j AS (SELECT r.event_id, max(c.ts) AS last_at, arg_max(c.verb, c.ts) AS state FROM r LEFT JOIN c ON c.user_id = r.user_id AND c.ts < r.ts GROUP BY r.event_id) SELECT event_id, state, epoch_us(last_at) AS state_us FROM j""")
 def w6_as_of_state(spark, sf):
     control = F.col("verb").isin("unlock", "renew", "lock")
     out = ses.as_of_state(requests(spark, sf), {"control": F.when(control, F.struct("ts", "verb"))})
@@ -101,8 +101,7 @@ def t2_session_replay(spark, sf):
 def t7_dispatch(spark, sf):
     verb = F.expr("CASE event_type WHEN 'signup' THEN 'get' WHEN 'click' THEN 'renew' WHEN 'error' THEN 'reboot' WHEN 'purchase' THEN 'run' ELSE 'status' END")
     a = audit(spark, sf)
-    asked = a.select(F.col("event_id").alias("request_id"), verb.alias("verb"), "secret_names") if "event_type" in a.columns else a.select(
-        F.col("event_id").alias("request_id"), F.col("action").alias("event_type"), "secret_names").withColumn("verb", verb)
+    asked = a.select(F.col("event_id").alias("request_id"), F.col("action").alias("event_type"), "secret_names").withColumn("verb", verb)
     names = a.where("event_id % 11 <= 7 and user_id % 7 <= 4").select(F.explode("secret_names").alias("name")).distinct()
     return ses.dispatch(asked, names).groupBy("verb", "result", "reason").agg(F.count("*").alias("n"))
 
