@@ -127,12 +127,12 @@ APPDATA_CANDIDATES = (
     "Microsoft/Windows/PowerShell/PSReadLine/ConsoleHost_history.txt",
 )
 
-# Agent transcript globs under a home folder.
-TRANSCRIPT_GLOBS = (
-    ".claude/projects/**/*.jsonl",
-    ".codex/sessions/**/rollout-*.jsonl",
-    ".codex/archived_sessions/**/rollout-*.jsonl",
-    ".copilot/session-state/*/events.jsonl",
+# Agent transcripts: a folder under home, and the shape of the paths inside it.
+TRANSCRIPT_LAYOUTS = (
+    (".claude/projects", r"(?:.*/)?[^/]*\.jsonl"),
+    (".codex/sessions", r"(?:.*/)?rollout-[^/]*\.jsonl"),
+    (".codex/archived_sessions", r"(?:.*/)?rollout-[^/]*\.jsonl"),
+    (".copilot/session-state", r"[^/]+/events\.jsonl"),
 )
 MAX_TRANSCRIPT_BYTES = 100 * 1024 * 1024
 FILE_CONTENT_BYTES = 256_000

@@ -11,7 +11,7 @@ from exposure.operators import findings as fd
 from exposure.operators.detection import hits
 from exposure.operators.file_findings import file_findings
 from exposure.operators.transcripts import line_tiers, string_hits, transcript_findings
-from exposure.sources.files import plain_path, scan_candidates, scan_tree
+from exposure.sources.files import home_candidates, scan_tree
 from exposure.sources.lines import transcripts
 
 
@@ -28,9 +28,8 @@ def leak_scan(
     project = file_findings(scan_tree(spark, root, private_dirs, include_excluded))
     if not homes:
         return project
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(homes))
     home_rows = spark.createDataFrame([(h,) for h in homes], "home STRING")
-    deep_files = scan_candidates(listed.withColumn("path", plain_path("path")), home_rows)
+    deep_files = home_candidates(home_rows)
     spoken = transcript_findings(line_tiers(string_hits(transcripts(spark, list(homes)))))
     return fd.union_scopes(project, file_findings(deep_files, "deep").unionByName(spoken), dedupe)
 

@@ -9,11 +9,7 @@ from pyspark.sql import functions as F
 
 from exposure.functions import fixed
 from exposure.functions import names as nm
-
-
-def plain_path(path: Column | str) -> Column:
-    """A path without its URI scheme."""
-    return F.regexp_replace(nm._col(path), r"^file:/*(?=/)", "")
+from exposure.sources.tree import list_tree, read_files, stat_files
 
 
 def in_excluded_dir(path: Column, private_dirs: Sequence[str] = (), include_excluded: bool = False) -> Column:
@@ -41,9 +37,18 @@ def select_files(
 def scan_tree(
     spark: SparkSession, root: str, private_dirs: Sequence[str] = (), include_excluded: bool = False
 ) -> DataFrame:
-    """Files below ``root``: ``path, length, modificationTime, content``."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    return select_files(files.withColumn("path", plain_path("path")), root, private_dirs, include_excluded)
+    """Files below ``root`` that can matter: ``path, length, modificationTime, content``.
+
+    Excluded folders are not entered, and only files of interest are read.
+    """
+    out = tuple(private_dirs) if include_excluded else (*fixed.EXCLUDED_DIRS, *private_dirs)
+
+    def descend(name: Column) -> Column:
+        kept = ~name.isin(*out) if out else F.lit(True)
+        return kept if include_excluded else kept & ~name.endswith(fixed.EXCLUDED_DIR_SUFFIX)
+
+    listing = select_files(list_tree(spark, [root], descend), root, private_dirs, include_excluded)
+    return read_files(scannable(listing))
 
 
 def scannable(files: DataFrame) -> DataFrame:
@@ -55,6 +60,19 @@ def distinct_files(files: DataFrame) -> DataFrame:
     return files.dropDuplicates(["path"])
 
 
+def home_candidates(homes: DataFrame, appdata: DataFrame | None = None) -> DataFrame:
+    """Contents of the files at known places below each home (``homes(home)``); missing ones are absent."""
+
+    def places(roots: DataFrame, tails: Sequence[str]) -> DataFrame:
+        root = F.rtrim(F.col(roots.columns[0]), F.lit("/"))
+        return roots.select(F.concat_ws("/", root, F.explode(F.array(*map(F.lit, tails)))).alias("path"))
+
+    wanted = places(homes, fixed.HOME_CANDIDATES)
+    if appdata is not None:
+        wanted = wanted.unionByName(places(appdata, fixed.APPDATA_CANDIDATES))
+    return read_files(stat_files(wanted))
+
+
 def scan_candidates(files: DataFrame, homes: DataFrame, appdata: DataFrame | None = None) -> DataFrame:
     """Files at the known places below each home folder (``homes(home)``); missing ones are absent.
 

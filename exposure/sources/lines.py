@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from exposure.functions import fixed
 from exposure.operators.ordered import carry_last, last_wins
 from exposure.sources.texts import decoded
+from exposure.sources.tree import list_tree, read_files
 
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
@@ -55,28 +56,19 @@ def dotenv_entries(lines: DataFrame) -> DataFrame:
 def transcripts(spark: SparkSession, homes: list[str]) -> DataFrame:
     """Lines of known agent transcripts below the homes; files over 100 MiB are left to :func:`oversized`."""
     files = transcript_files(spark, homes).where(F.col("length") <= fixed.MAX_TRANSCRIPT_BYTES)
-    return lines(files, "\r\n|[\n\r]")
+    return lines(read_files(files), r"\r\n|[\n\r]")
 
 
 def transcript_files(spark: SparkSession, homes: list[str]) -> DataFrame:
-    """Transcript files by layout, each path once."""
-    from exposure.sources.files import plain_path
-
-    files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.jsonl").option("ignoreMissingFiles", "true").load(homes)
-    )
-    shapes = [
-        "^(?:" + glob.replace(".", r"\.").replace("**/", "(?:.*/)?").replace("*", "[^/]*") + r")\z"
-        for glob in fixed.TRANSCRIPT_GLOBS
-    ]
-    path = plain_path("path")
-    wanted = F.lit(False)
-    for home in homes:
-        tail = F.substring(path, len(home.rstrip("/")) + 2, 1 << 20)
-        for shape in shapes:
-            wanted = wanted | (path.startswith(home.rstrip("/") + "/") & tail.rlike(shape))
-    return files.withColumn("path", path).where(wanted).dropDuplicates(["path"])
+    """Transcript files by layout, each path once. Only the folders of known layouts are walked."""
+    roots, wanted = [], F.lit(False)
+    for home in (h.rstrip("/") for h in homes):
+        for folder, shape in fixed.TRANSCRIPT_LAYOUTS:
+            root = f"{home}/{folder}"
+            roots.append(root)
+            inner = F.substring("path", len(root) + 2, 1 << 20)
+            wanted = wanted | (F.col("path").startswith(f"{root}/") & inner.rlike(rf"^{shape}\z"))
+    return list_tree(spark, roots).where(wanted).dropDuplicates(["path"])
 
 
 def oversized(files: DataFrame) -> DataFrame:
