@@ -65,7 +65,7 @@ def home_candidates(homes: DataFrame, appdata: DataFrame | None = None) -> DataF
 
     def places(roots: DataFrame, tails: Sequence[str]) -> DataFrame:
         root = F.rtrim(F.col(roots.columns[0]), F.lit("/"))
-        return roots.select(F.concat_ws("/", root, F.explode(F.array(*map(F.lit, tails)))).alias("path"))
+        return roots.select(F.explode(F.transform(F.array(*map(F.lit, tails)), lambda t: F.concat_ws("/", root, t))).alias("path"))
 
     wanted = places(homes, fixed.HOME_CANDIDATES)
     if appdata is not None:

@@ -1,7 +1,7 @@
 """Live admission and session expiry with arbitrary state, keyed by session.
 
-The same state machine as the batch replay, held in the state store between micro-batches. Rows of
-one micro-batch are ordered by (ts, seq); across batches, arrival order counts.
+The same state machine as the batch replay, held in the state store between micro-batches. Rows are
+ordered by (ts, seq) within one Arrow batch of a micro-batch; beyond that, arrival order counts.
 """
 
 from __future__ import annotations
@@ -41,7 +41,7 @@ class AdmissionProcessor(StatefulProcessor):
     def _save(self, run: Run) -> None:
         self._run.update((json.dumps(asdict(run), default=sorted),))
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         run = self._load()
         before = run.expires_at
         for batch in rows:
@@ -55,9 +55,9 @@ class AdmissionProcessor(StatefulProcessor):
                 self._handle.deleteTimer(old)
             self._handle.registerTimer(int(run.expires_at * 1000) + 1)
 
-    def handleExpiredTimer(self, key, timer_values, expired_timer) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         run = self._load()
-        if run.live and expired_timer.getExpiryTimeInMs() >= run.expires_at * 1000:
+        if run.live and expiredTimerInfo.getExpiryTimeInMs() >= run.expires_at * 1000:
             run.live = False
             self._save(run)
             at = pd.Timestamp(run.expires_at, unit="s")
