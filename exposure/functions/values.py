@@ -6,23 +6,46 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from exposure.functions import fixed
-from exposure.functions.names import _col, is_placeholder, unquoted
+from exposure.functions.names import _col, is_placeholder, let, unquoted
 
 CLASS_RUNS = f"[{fixed.UPPER}]+|[{fixed.LOWER}]+|[{fixed.DIGIT}]+|[^{fixed.UPPER}{fixed.LOWER}{fixed.DIGIT}]+"
 WORDS = r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+"
 
 
 def entropy(value: Column | str) -> Column:
-    """Shannon entropy in bits, rounded to 12 digits so that exact thresholds compare exactly."""
-    v = _col(value)
+    """Shannon entropy in bits, rounded to 12 digits so that exact thresholds compare exactly.
+
+    Takes out one distinct character after the other, which shortens the string each time. Values of
+    more than 128 distinct characters go on with the list of those that are left.
+    """
+    return let(_col(value), _entropy)
+
+
+def _entropy(v: Column) -> Column:
     n = F.length(v)
+    start = F.struct(v.alias("rest"), F.length(v).alias("left"), F.lit(0.0).alias("bits"))
+
+    def take(s: Column, _: Column) -> Column:
+        after = F.replace(s.rest, F.left(s.rest, F.lit(1)), F.lit(""))
 
-    def add(total: Column, char: Column) -> Column:
-        share = (n - F.length(F.replace(v, char, F.lit("")))) / n
-        return total - share * F.log2(share)
+        def add(a: Column) -> Column:
+            kept = F.length(a)
+            share = (s.left - kept) / n
+            return F.struct(a.alias("rest"), kept.alias("left"), (s.bits - share * F.log2(share)).alias("bits"))
 
-    chars = F.array_distinct(F.split(v, ""))
-    return F.when(n == 0, F.lit(0.0)).otherwise(F.round(F.aggregate(chars, F.lit(0.0), add), 12))
+        return F.when(s.left == 0, s).otherwise(let(after, add))
+
+    def finish(s: Column) -> Column:
+        def share(char: Column) -> Column:
+            return (s.left - F.length(F.replace(s.rest, char, F.lit("")))) / n
+
+        more = F.aggregate(
+            F.array_distinct(F.split(s.rest, "")), s.bits, lambda bits, c: bits - share(c) * F.log2(share(c))
+        )
+        return F.round(F.when(s.left == 0, s.bits).otherwise(more), 12)
+
+    turns = F.sequence(F.lit(1), F.least(n, F.lit(128)))
+    return F.when(n == 0, F.lit(0.0)).otherwise(F.aggregate(turns, start, take, finish))
 
 
 def transition_rate(value: Column | str) -> Column:
@@ -89,8 +112,10 @@ def is_annotation(value: Column | str) -> Column:
 
 def classify(value: Column | str) -> Column:
     """``struct(tier, reason)`` of a value: an ordered decision list, evaluated lazily."""
-    v = unquoted(value)
+    return let(unquoted(value), _classify)
+
 
+def _classify(v: Column) -> Column:
     def verdict(tier: str, reason: str | None = None) -> Column:
         return F.struct(F.lit(tier).alias("tier"), F.lit(reason).cast("string").alias("reason"))
 

@@ -18,12 +18,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from exposure.functions import fixed
+from exposure.functions.fixed import KEYWORD_LITERALS, VENDOR_PREFIXES
 from exposure.functions import names as nm
 
 # Executors get the functions themselves and need not have this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-WALKED = "array<struct<key:string,text:string>>"
+WALKED = "array<struct<pos:int,key:string,text:string>>"
+PREFIX_LITERALS = tuple({lit for _, lits, _ in VENDOR_PREFIXES for lit in lits})
+TEXT_WORDS = (*KEYWORD_LITERALS, "bearer")
 
 
 def _strings(node: object) -> Iterator[tuple[str | None, str]]:
@@ -46,24 +49,43 @@ def _parse(raw: str | None) -> object:
         return None
 
 
-def _walk(raw: pd.Series) -> pd.Series:
+def _all_strings(raw: pd.Series) -> pd.Series:
     def strings(line: str | None) -> list[dict] | None:
         node = _parse(line)
-        return None if node is None else [{"key": k, "text": t} for k, t in _strings(node)]
+        return None if node is None else [{"pos": i, "key": k, "text": t} for i, (k, t) in enumerate(_strings(node))]
 
     return raw.map(strings)
 
 
-def walk(raw: Column) -> Column:
-    """Every string of a JSON document with its key; null for what is not JSON."""
-    return pandas_udf(_walk, WALKED)(raw)
+def _gated_strings(raw: pd.Series) -> pd.Series:
+    """As above without the strings that cannot matter, so that they never cross to the JVM."""
+
+    def matters(key: str | None, text: str) -> bool:
+        """Plain literal search: as a scanned text, as the key of a value, or hidden by escapes."""
+        if "\\u" in text or any(lit in text for lit in PREFIX_LITERALS):
+            return True
+        low = text.lower()
+        if any(word in low for word in TEXT_WORDS):
+            return True
+        return key is not None and any(word in key.lower() for word in KEYWORD_LITERALS)
+
+    def strings(line: str | None) -> list[dict] | None:
+        node = _parse(line)
+        if node is None:
+            return None
+        return [{"pos": i, "key": k, "text": t} for i, (k, t) in enumerate(_strings(node)) if matters(k, t)]
+
+    return raw.map(strings)
+
+
+def walk(raw: Column, gated: bool = False) -> Column:
+    """Every string of a JSON document with its key and position; null for what is not JSON."""
+    return pandas_udf(_gated_strings if gated else _all_strings, WALKED)(raw)
 
 
 def json_strings(df: DataFrame, column: str) -> DataFrame:
     """One row per string value at any depth (not keys), with its position in the document."""
-    return df.withColumn("__walked", walk(F.col(column))).select(
-        *df.columns, F.posexplode("__walked").alias("pos", "__s")
-    ).select(*df.columns, "pos", F.col("__s.key").alias("key"), F.col("__s.text").alias("text"))
+    return df.withColumn("__walked", walk(F.col(column))).select(*df.columns, F.inline("__walked"))
 
 
 def json_secret_keys(df: DataFrame, column: str) -> DataFrame:
@@ -89,14 +111,12 @@ def unwrap(lines: DataFrame) -> DataFrame:
     """
     raw = F.regexp_replace("raw", f"^[{fixed.SPACES}]+|[{fixed.SPACES}]+$", "")
     keys = [c for c in lines.columns if c != "raw"]
-    outer = lines.where(may_matter(F.col("raw"))).select(*keys, walk(raw).alias("outer"))
+    outer = lines.where(may_matter(F.col("raw"))).select(*keys, walk(raw, gated=True).alias("outer"))
 
     # Second walk, for the rare strings that are containers; null where a string is not one.
-    opened = outer.select(
-        *keys, F.posexplode("outer").alias("pos", "s")
-    ).select(
-        *keys, "pos", "s.key", "s.text",
-        walk(F.when(nm.is_json_container("s.text"), F.col("s.text"))).alias("inner"),
+    opened = outer.select(*keys, F.inline("outer")).select(
+        *keys, "pos", "key", "text",
+        walk(F.when(nm.is_json_container("text"), F.col("text")), gated=True).alias("inner"),
     )
     secret = nm.is_secret_name
     none = F.array().cast("array<struct<level:int,ipos:int,use:string,key:string,text:string>>")
@@ -110,12 +130,12 @@ def unwrap(lines: DataFrame) -> DataFrame:
     here = F.col("inner")
     scanned = F.when(here.isNull(), F.array(item(0, F.lit(0), "text", F.col("key"), F.col("text")))).otherwise(
         F.filter(
-            F.transform(here, lambda s, i: item(1, i, "text", s.key, s.text)),
+            F.transform(here, lambda s: item(1, s.pos, "text", s.key, s.text)),
             lambda s: ~nm.is_json_container(s.text),
         )
     )
     keyed_outer = F.when(secret("key"), F.array(item(0, F.lit(0), "key", F.col("key"), F.col("text")))).otherwise(none)
     keyed_inner = F.coalesce(
-        F.filter(F.transform(here, lambda s, i: item(1, i, "key", s.key, s.text)), lambda s: secret(s.key)), none
+        F.filter(F.transform(here, lambda s: item(1, s.pos, "key", s.key, s.text)), lambda s: secret(s.key)), none
     )
     return opened.select(*keys, "pos", F.inline(F.concat(scanned, keyed_outer, keyed_inner)))

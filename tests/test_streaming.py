@@ -83,7 +83,7 @@ def test_admission_stream_equals_replay(spark, tmp_path):
     want = [tuple(r) for r in AD.admission_replay(df).collect()]
     keep = lambda rows: sorted((r[1], r[4], str(r[5]), str(r[6]), tuple(r[9])) for r in rows if r[3] != "expire")
     assert keep(got) == keep(want)
-    assert [r[5] for r in got if r[3] == "expire"] == ["expired"]
+    assert [r[4] for r in got if r[3] == "expire"] == ["expired"]
 
 
 def test_snapshot_stream(spark, tmp_path):
