@@ -68,11 +68,30 @@ def _array(dictionary: Sequence[tuple[str, str]]) -> Column:
     return F.array(*(F.struct(F.lit(n).alias("name"), F.lit(v).alias("value")) for n, v in dictionary))
 
 
+def _any_start(values: Sequence[str], depth: int = 4) -> str:
+    """A pattern that matches wherever one of the values begins, as a tree of first characters."""
+    if depth == 0 or "" in values:
+        return ""
+    heads: dict[str, list[str]] = {}
+    for value in values:
+        heads.setdefault(value[0], []).append(value[1:])
+    return "(?:" + "|".join(rf"\x{{{ord(c):x}}}" + _any_start(rest, depth - 1) for c, rest in sorted(heads.items())) + ")"
+
+
+def _may_hold(text: Column, dictionary: Sequence[tuple[str, str]]) -> Column:
+    """Necessary condition for any value of the dictionary: one scan instead of one per value."""
+    return text.rlike(_any_start([v for _, v in dictionary])) if len(dictionary) > 8 else F.lit(True)
+
+
 def _fold(text: Column, ordered: Column) -> Column:
     """Literal replacement one secret after the other; a later value may match inside an earlier marker."""
     return F.aggregate(ordered, text, lambda t, s: F.replace(t, s["value"], _marker(s["name"])))
 
 
+def _redacted(text: Column, dictionary: Sequence[tuple[str, str]]) -> Column:
+    return F.when(_may_hold(text, dictionary), _fold(text, _array(dictionary))).otherwise(text)
+
+
 # Exposure ---------------------------------------------------------------------------------------
 
 
@@ -135,7 +154,8 @@ def exposed(
     if dictionary is not None:
         found = F.filter(_array(dictionary), lambda s: text.contains(s["value"]))
         counted = F.transform(found, lambda s: F.struct(s["name"].alias("name"), occurrences(text, s["value"]).alias("n")))
-        rows = texts.select(*keys, F.inline(counted))
+        nothing = F.array().cast("array<struct<name:string,n:bigint>>")
+        rows = texts.select(*keys, F.inline(F.when(_may_hold(text, dictionary), counted).otherwise(nothing)))
     else:
         rows = _candidates(texts, keys, _usable(secrets)).select(*keys, "name", occurrences(text, F.col("value")).alias("n"))
     return rows.groupBy(*keys, "name").agg(F.sum("n").cast("bigint").alias("n"))
@@ -153,7 +173,7 @@ def redact(
     """
     dictionary = small_dictionary(secrets, limits)
     if dictionary is not None:
-        return texts.withColumn("text", _fold(F.col("text"), _array(dictionary)))
+        return texts.withColumn("text", _redacted(F.col("text"), dictionary))
     return _redact_large(texts, _usable(secrets), list(keys), limits)
 
 
@@ -212,8 +232,7 @@ def redact_columns(df: DataFrame, columns: Sequence[str], secrets: DataFrame, li
     """Redact several columns, each on its own, with all secrets."""
     dictionary = small_dictionary(secrets, limits)
     if dictionary is not None:
-        ordered = _array(dictionary)
-        return df.withColumns({c: _fold(F.col(c), ordered) for c in columns})
+        return df.withColumns({c: _redacted(F.col(c), dictionary) for c in columns})
     rowed = checkpoint(df.withColumn("__row", F.monotonically_increasing_id()))
     out = rowed
     for c in columns:
@@ -246,7 +265,7 @@ def residual(
     small = small_dictionary(secrets, limits)
     if small is None:
         return exposed(_redact_large(texts, _usable(secrets), list(keys), limits), secrets, keys, limits)
-    return exposed(texts.withColumn("text", _fold(F.col("text"), _array(small))), secrets, keys, limits, small)
+    return exposed(texts.withColumn("text", _redacted(F.col("text"), small)), secrets, keys, limits, small)
 
 
 def dictionary_of(texts: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from exposure.operators import commands as cmd
 from exposure.operators import rules
 from exposure.plans.registry import query, table
+from exposure.session import spread
 
 TOOL = "vaultctl"
 VERBS = "set|list|member add|member list|scan --deep --yes|scan|reveal|config set x y|config show|frobnicate"
@@ -27,7 +28,8 @@ def command_log(spark, sf):
         .when(u == 5, F.concat(F.lit(".venv\\Scripts\\vaultctl.exe "), verb))
         .otherwise(F.concat(F.lit("echo vaultctl "), verb))
     )
-    return table(spark, sf, "events").select(F.col("event_id").alias("cmd_id"), "ts", F.col("user_id").alias("actor"), text.alias("text"))
+    events = spread(table(spark, sf, "events").select("event_id", "user_id", "ts"))
+    return events.select(F.col("event_id").alias("cmd_id"), "ts", F.col("user_id").alias("actor"), text.alias("text"))
 
 
 @query("c1_tokens", f"""WITH c AS (SELECT event_id, user_id % 7 AS u, len(string_split({VERB_SQL}, ' ')) AS v FROM events)
