@@ -66,14 +66,17 @@ def append_audit(audit: DataFrame, path: str) -> None:
 
 def audit_stats(audit: DataFrame, by: tuple[str, ...] = ("action", "route", "result")) -> DataFrame:
     """Counts with denial rate and number of distinct secrets."""
+    if not by:
+        return audit_stats(audit.withColumn("__all", F.lit(1)), ("__all",)).drop("__all")
     denied = F.count(F.when(F.col("result") == "denied", 1))
     counts = audit.groupBy(*by).agg(
         F.count("*").alias("n"), denied.alias("denied"), F.round(denied / F.count("*"), 6).alias("denial_rate")
     )
     secrets = audit.select(*by, F.explode("secret_names").alias("secret")).distinct().groupBy(*by).agg(F.count("*").alias("secrets"))
     match = [counts[c].eqNullSafe(secrets[c]) for c in by]
-    joined = counts.join(secrets, match, "left") if by else counts.crossJoin(secrets)
-    return joined.select(*(counts[c] for c in by), "n", "denied", "denial_rate", F.coalesce("secrets", F.lit(0)).cast("bigint").alias("secrets"))
+    return counts.join(secrets, match, "left").select(
+        *(counts[c] for c in by), "n", "denied", "denial_rate", F.coalesce("secrets", F.lit(0)).cast("bigint").alias("secrets")
+    )
 
 
 def secret_access(audit: DataFrame) -> DataFrame:
