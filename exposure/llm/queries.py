@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from exposure.llm import bpe, packing, urls
+from exposure.llm import bpe, line_quality, packing, urls
 from exposure.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,6 +49,12 @@ FROM b LEFT JOIN p USING (k) LEFT JOIN m USING (k)"""
 ORACLES["op2_url_rules"] = _url_sql()
 
 
+@query
+def op6_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return line_quality.judge(docs, line_quality.fit(docs, table(spark, sf_dir, "labels"))).drop("line_labels")
+
+
 @query
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), max_tokens=4096, end_id=1)
