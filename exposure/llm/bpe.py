@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from exposure.llm.common import Cache, id_and_text, kind_of
+from exposure.llm.common import Cache, id_and_text, kind_of, slices
 
 #: Below this code point the classes of letters and numbers are the same in every Unicode version in use.
 PLAIN_END = 0x250
@@ -57,23 +57,25 @@ def pre_tokens(text: str, pattern: str) -> list[str]:
     return plain_pattern(pattern).findall(text)
 
 
+@lru_cache
+def by_id(vocabulary: str) -> list[bytes | None]:
+    """The bytes of each id."""
+    with open(vocabulary, "rb") as lines:
+        ranks = {int(i): base64.b64decode(raw) for raw, i in map(bytes.split, lines)}
+    return [ranks.get(i) for i in range(max(ranks) + 1)]
+
+
 @lru_cache
 def coder(vocabulary: str, pattern: str):
-    """Once a worker: the ids of a pre-token as bytes (little-endian, 32 bits), cached, and the bytes of each id."""
+    """Once a worker: the ids of a pre-token as bytes (little-endian, 32 bits), cached."""
     import tiktoken
 
-    with open(vocabulary, "rb") as lines:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    pieces = Cache(lambda piece: np.array(encoding._encode_single_piece(piece), "<u4").tobytes(), 600_000)
-    by_id = [b""] * (max(ranks.values()) + 1)
-    for raw, i in ranks.items():
-        by_id[i] = raw
-    return pieces, by_id
+    encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks={raw: i for i, raw in enumerate(by_id(vocabulary)) if raw is not None}, special_tokens={})
+    return Cache(lambda piece: np.array(encoding._encode_single_piece(piece), "<u4").tobytes(), 200_000)
 
 
 def encode_text(text: str, vocabulary: str, pattern: str) -> bytes:
-    return b"".join(map(coder(vocabulary, pattern)[0].__getitem__, pre_tokens(text, pattern)))
+    return b"".join(map(coder(vocabulary, pattern).__getitem__, pre_tokens(text, pattern)))
 
 
 def boundaries(text: str, pattern: str, start: int, low: int, high: int, to_end: bool) -> list[int]:
@@ -96,7 +98,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id
     rows = id_and_text(docs, id_col, text_col)
 
     def whole(batches):
-        for b in batches:
+        for b in slices(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([encode_text(t, vocabulary, pattern) for t in b.column(1).to_pylist()], pa.binary())], ["id", "ids"])
 
     short = rows.where(F.char_length("text") <= chunk_chars).mapInArrow(whole, f"id {kind}, ids binary")
@@ -106,7 +108,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id
 
 def _encode_long(long: DataFrame, kind: str, vocabulary: str, pattern: str, size: int, overlap: int) -> DataFrame:
     def cut(batches):
-        for b in batches:
+        for b in slices(batches):
             for key, text, h in zip(b.column(0), b.column(1).to_pylist(), b.column(2)):
                 starts = range(0, len(text), size)
                 yield pa.RecordBatch.from_arrays(
@@ -115,7 +117,7 @@ def _encode_long(long: DataFrame, kind: str, vocabulary: str, pattern: str, size
                     ["id", "h", "seq", "at_end", "body"])
 
     def ends(batches):
-        for b in batches:
+        for b in slices(batches):
             head, tail = [], []
             for seq, at_end, body in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist()):
                 start = seq * size
@@ -124,11 +126,11 @@ def _encode_long(long: DataFrame, kind: str, vocabulary: str, pattern: str, size
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(head, pa.list_(pa.int64())), pa.array(tail, pa.list_(pa.int64()))], ["id", "h", "seq", "head", "tail"])
 
     def codes(batches):
-        for b in batches:
+        for b in slices(batches):
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([encode_text("".join(p), vocabulary, pattern) for p in b.column(3).to_pylist()], pa.binary())], ["id", "h", "segment", "ids"])
 
     def joined(batches):
-        for b in batches:
+        for b in slices(batches):
             yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array([b"".join(p) for p in b.column(2).to_pylist()], pa.binary())], ["id", "h", "ids"])
 
     key = ["id", "h"]
@@ -152,34 +154,34 @@ def _encode_long(long: DataFrame, kind: str, vocabulary: str, pattern: str, size
     return out.select("a.id", "a.ids", F.explode(F.array_repeat(F.lit(1), F.col("copies"))).alias("copy")).drop("copy")
 
 
-def decode_ids(ids: bytes, vocabulary: str, pattern: str) -> bytes:
+def decode_ids(ids: bytes, vocabulary: str) -> bytes:
     """The raw bytes of the ids, concatenated; they need not be valid UTF-8 in between."""
-    return b"".join(map(coder(vocabulary, pattern)[1].__getitem__, np.frombuffer(ids, "<u4").tolist()))
+    return b"".join(map(by_id(vocabulary).__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-def decode(encoded: DataFrame, vocabulary: str, pattern: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
+def decode(encoded: DataFrame, vocabulary: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """Adds ``out_col`` (binary) in place of the ids."""
     rest = [c for c in encoded.columns if c not in (ids_col, out_col)]
 
     def run(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array([decode_ids(i, vocabulary, pattern) for i in b.column(0).to_pylist()], pa.binary())], [*rest, out_col])
+        for b in slices(batches):
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array([decode_ids(i, vocabulary) for i in b.column(0).to_pylist()], pa.binary())], [*rest, out_col])
 
     schema = "".join(f"`{c}` {kind_of(encoded, c)}, " for c in rest)
     return encoded.select(ids_col, *rest).mapInArrow(run, f"{schema}`{out_col}` binary")
 
 
-def digests(encoded: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id") -> DataFrame:
+def digests(encoded: DataFrame, vocabulary: str, id_col: str = "doc_id") -> DataFrame:
     """Count and digests of the ids and of the bytes that they decode to."""
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             count, of_ids, of_bytes = [], [], []
             for ids in b.column(1).to_pylist():
                 numbers = np.frombuffer(ids, "<u4").tolist()
                 count.append(len(numbers))
                 of_ids.append(hashlib.sha256(",".join(map(str, numbers)).encode()).hexdigest())
-                of_bytes.append(hashlib.sha256(decode_ids(ids, vocabulary, pattern)).hexdigest())
+                of_bytes.append(hashlib.sha256(decode_ids(ids, vocabulary)).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(count, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return encoded.select(id_col, "ids").mapInArrow(run, f"`{id_col}` {kind_of(encoded, id_col)}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from exposure.llm.common import id_and_text, kind_of
+from exposure.llm.common import id_and_text, kind_of, slices
 
 SPACE, SYMBOLS, CAPITALS = b" \t\n\x0b\x0c\r", b"#*$%&|<>", bytes(range(65, 91))
 FEATURES = ("bias", "some symbols", "many symbols", "all capitals", "mostly capitals", "shouted", "earlier line", "repeated words", "short", "long", "no final mark", "long words")
@@ -169,7 +169,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chosen = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("good")).dropna().groupBy("id").agg(F.max("good").alias("good")).orderBy(F.xxhash64("id"), "id").limit(max_train_docs)
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             yield pa.RecordBatch.from_arrays([pa.array([text_counts(t)[5] for t in b.column(1).to_pylist()], pa.list_(pa.int32())), b.column(0)], ["codes", "good"])
 
     rows = id_and_text(docs, id_col, text_col).join(F.broadcast(chosen), "id").select("good", "text").mapInArrow(run, "codes array<int>, good int").collect()
@@ -181,7 +181,7 @@ def judge(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str =
     table, move = emissions(field), field.move.tolist()
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             out = []
             for text in b.column(1).to_pylist():
                 n_words, word_chars, n_symbols, n_dup, n_repeat, codes, sizes = text_counts(text)

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from exposure.llm.bpe import plain_pattern
-from exposure.llm.common import Cache, id_and_text, kind_of, save, shuffle_partitions
+from exposure.llm.common import Cache, id_and_text, kind_of, save, shuffle_partitions, slices
 
 #: Slots that one row of the plan becomes in one step.
 STEP = 10_000
@@ -51,7 +51,7 @@ class Tokens:
         self.whole.encode_special_tokens = True  # their strings in a text are ordinary text
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.pattern, self.words = self._split(spec), Cache(self._word, 500_000)
+        self.pattern, self.words = self._split(spec), Cache(self._word, 200_000)
 
     @staticmethod
     def _split(spec: dict) -> str | None:
@@ -84,7 +84,7 @@ def pieces(docs: DataFrame, tokenizer: str, max_tokens: int = 4096, end_id: int
 
     def run(batches: Iterable[pa.RecordBatch]):
         end, dealt = np.array([end_id], "<u4").tobytes(), 0
-        for b in batches:
+        for b in slices(batches):
             at, out = [], []
             for i, text in enumerate(b.column(1).to_pylist()):
                 ids = tokens(tokenizer).ids(text) + end

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from exposure.llm import bpe, line_quality, packing, urls
+from exposure.llm import bpe, fingerprints, line_quality, packing, urls
 from exposure.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,6 +49,12 @@ FROM b LEFT JOIN p USING (k) LEFT JOIN m USING (k)"""
 ORACLES["op2_url_rules"] = _url_sql()
 
 
+@query
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return fingerprints.edited_likeness(docs, fingerprints.rarity(docs))
+
+
 @query
 def op6_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -63,4 +69,4 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), vocabulary, pattern), vocabulary, pattern)
+    return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), vocabulary, pattern), vocabulary)

@@ -37,7 +37,7 @@ def test_plain_pattern_is_the_pattern():
 def test_chunks_give_the_ids_of_the_whole(spark, plain, size, overlap):
     texts = odd_texts(60, 200, 2) + ["a" * 300, "x" + " " * 200 + "y", "a" * 150 + " b" * 80, "", None, "same text " * 20, "same text " * 20]
     docs = spark.createDataFrame([(None if i == 3 else i // 2, t, "x", 1, 2) for i, t in enumerate(texts)], "doc_id long, text string, ids string, h int, seq int").repartition(3)
-    got = bpe.decode(bpe.encode(docs, VOCABULARY, PATTERN, chunk_chars=size, overlap=overlap).withColumnRenamed("ids", "n"), VOCABULARY, PATTERN, ids_col="n").collect()
+    got = bpe.decode(bpe.encode(docs, VOCABULARY, PATTERN, chunk_chars=size, overlap=overlap).withColumnRenamed("ids", "n"), VOCABULARY, ids_col="n").collect()
     want = sorted((str(None if i == 3 else i // 2), (t or "").encode()) for i, t in enumerate(texts))
     assert sorted((str(r.doc_id), bytes(r.decoded)) for r in got) == want
     got = bpe.encode(docs, VOCABULARY, PATTERN, chunk_chars=size, overlap=overlap).collect()
