@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from exposure.llm import bpe, fingerprints, line_quality, packing, urls
+from exposure.llm import bpe, fingerprints, licenses, line_quality, packing, urls
 from exposure.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -20,16 +20,47 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+def _sql_text(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+@query
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    joined = {c: F.array_join(c, ",") for c in ("base", "labels")}
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", joined["base"].alias("base_labels"), joined["labels"].alias("labels"), "score")
+
+
+def _license_sql() -> str:
+    word, fold = _sql_text(licenses.WORD), f"translate(%s, '{urls.UPPER}', '{urls.LOWER}')"
+    phrases = ", ".join(f"([{', '.join(map(_sql_text, p.split()))}], {_sql_text(label)})" for p, label in licenses.PHRASES)
+    templates = ", ".join(f"([{', '.join(map(_sql_text, licenses.template_words(t)))}], {_sql_text(t.label)})" for t in licenses.TEMPLATES)
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, {fold % "coalesce(text, '')"} AS text FROM documents),
+w AS (SELECT k, regexp_extract_all(text, {word}) AS words FROM d),
+phrases(words, label) AS (VALUES {phrases}), templates(words, label) AS (VALUES {templates}),
+placed AS (SELECT k, unnest(range(len(words))) AS i, words FROM w),
+b AS (SELECT k, i, label FROM placed a JOIN phrases p ON a.words[i + 1] = p.words[1] AND a.words[i + 1 : i + len(p.words)] = p.words),
+base AS (SELECT k, count(*) AS n, min(i) AS first_word, max(i) AS last_word FROM b GROUP BY k),
+lines AS (SELECT k, list_distinct(regexp_extract_all(line, {word})) AS words FROM (SELECT k, unnest(string_split(text, chr(10))) AS line FROM d)),
+m AS (SELECT k, label, len(list_intersect(l.words, t.words)) / len(t.words) AS containment FROM lines l, templates t WHERE len(list_intersect(l.words, t.words)) >= 0.8 * len(t.words)),
+best AS (SELECT k, max(containment) AS score FROM m GROUP BY k),
+base_labels AS (SELECT k, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM b GROUP BY k),
+labels AS (SELECT k, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT k, label FROM b UNION SELECT k, label FROM m) GROUP BY k)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+  CASE WHEN n > 0 THEN 1.0 ELSE coalesce(score, 0.0) END::DOUBLE AS score
+FROM d JOIN w USING (k) LEFT JOIN base USING (k) LEFT JOIN best USING (k) LEFT JOIN base_labels USING (k) LEFT JOIN labels USING (k)"""
+
+
+ORACLES["op1_license_scan"] = _license_sql()
+
+
 @query
 def op2_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = urls.judge(table(spark, sf_dir, "pages"), urls.default_rules())
     return judged.select("page_id", "host", "path", "rule", "verdict", F.array_join("patterns", ",").alias("patterns"))
 
 
-def _sql_text(text: str) -> str:
-    return "'" + text.replace("'", "''") + "'"
-
-
 def _url_sql() -> str:
     rules = urls.default_rules()
     values = lambda kind: ", ".join(f"({_sql_text(r.name)}, {_sql_text(r.verdict)}, {_sql_text(r.regex)})" for r in rules if r.kind == kind)
