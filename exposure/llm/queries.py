@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from exposure.llm import bpe, fingerprints, licenses, line_quality, packing, setsketch, urls
+from exposure.llm import bpe, fingerprints, licenses, line_quality, packing, setsketch, suffix_levels, urls
 from exposure.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,6 +97,11 @@ def op7_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setsketch.near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
 
 
+@query
+def op8_suffix_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_levels.digests(table(spark, sf_dir, "documents"), length=200)
+
+
 @query
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), max_tokens=4096, end_id=1)
