@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from exposure.llm import bpe, fingerprints, licenses, line_quality, packing, setsketch, suffix_levels, urls
+from exposure.llm import bpe, fingerprints, html_text, licenses, line_quality, packing, setsketch, suffix_levels, toxicity, urls
 from exposure.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,12 +80,23 @@ FROM b LEFT JOIN p USING (k) LEFT JOIN m USING (k)"""
 ORACLES["op2_url_rules"] = _url_sql()
 
 
+@query
+def op3_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.judge(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 @query
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return fingerprints.edited_likeness(docs, fingerprints.rarity(docs))
 
 
+@query
+def op5_html_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 @query
 def op6_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
