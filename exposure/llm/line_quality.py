@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from exposure.llm.common import id_and_text, kind_of, slices
+from exposure.llm.common import id_and_text, kind_of, slices, where_text
 
 SPACE, SYMBOLS, CAPITALS = b" \t\n\x0b\x0c\r", b"#*$%&|<>", bytes(range(65, 91))
 FEATURES = ("bias", "some symbols", "many symbols", "all capitals", "mostly capitals", "shouted", "earlier line", "repeated words", "short", "long", "no final mark", "long words")
@@ -176,19 +176,28 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return train([r.codes for r in rows], [r.good == 1 for r in rows])
 
 
+def verdict(text: str, table: list[tuple[float, float]], move: list[list[float]], min_content: float, min_words: int, max_repeat_percent: int) -> tuple:
+    """The columns NAMES of one text."""
+    n_words, word_chars, n_symbols, n_dup, n_repeat, codes, sizes = text_counts(text)
+    labels = viterbi(codes, table, move)
+    share = sum(n for n, y in zip(sizes, labels) if y == CONTENT) / n_words if n_words else 0.0
+    failed = n_words < min_words or 100 * n_repeat > max_repeat_percent * n_words
+    return n_words, word_chars, n_symbols, n_dup, n_repeat, failed, not failed and share >= min_content, share, "".join("bc"[y] for y in labels)
+
+
+def good(docs: DataFrame, field: Field, text_col: str = "text", min_content: float = 0.5, min_words: int = 50, max_repeat_percent: int = 50) -> DataFrame:
+    """The rows of docs that are kept, with all their columns."""
+    table, move = emissions(field), field.move.tolist()
+    return where_text(docs, text_col, lambda texts: [verdict(t, table, move, min_content, min_words, max_repeat_percent)[NAMES.index("kept")] for t in texts])
+
+
 def judge(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text", min_content: float = 0.5, min_words: int = 50, max_repeat_percent: int = 50) -> DataFrame:
     """Counts, ``base_failed``, ``content_share`` (of words), ``line_labels`` (one letter for each line with a word, c or b) and ``kept``."""
     table, move = emissions(field), field.move.tolist()
 
     def run(batches):
         for b in slices(batches):
-            out = []
-            for text in b.column(1).to_pylist():
-                n_words, word_chars, n_symbols, n_dup, n_repeat, codes, sizes = text_counts(text)
-                labels = viterbi(codes, table, move)
-                share = sum(n for n, y in zip(sizes, labels) if y == CONTENT) / n_words if n_words else 0.0
-                failed = n_words < min_words or 100 * n_repeat > max_repeat_percent * n_words
-                out.append((n_words, word_chars, n_symbols, n_dup, n_repeat, failed, not failed and share >= min_content, share, "".join("bc"[y] for y in labels)))
+            out = [verdict(t, table, move, min_content, min_words, max_repeat_percent) for t in b.column(1).to_pylist()]
             columns = [pa.array(c, t) for c, t in zip(zip(*out), TYPES)] if out else [pa.array([], t) for t in TYPES]
             yield pa.RecordBatch.from_arrays([b.column(0), *columns], [id_col, *NAMES])
 

@@ -268,3 +268,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     rows = sketched.select("id", "n", "digest").join(classes.select("digest", "rep"), "digest", "left").join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "rep", "id"))
     return rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs whose id is the smallest of its component, with all their columns; of rows with one id one stays. Rows with a null id all stay."""
+    kept = near_duplicates(docs, shingle, percent, id_col, text_col).where("kept").select(F.col(id_col).alias("id")).dropna().distinct()
+    named = docs.join(kept, docs[id_col] == kept["id"], "left_semi")
+    if not docs.groupBy(id_col).agg(F.count("*").alias("n")).where(F.col("n") > 1).dropna().isEmpty():
+        named = named.dropDuplicates([id_col])
+    return named.unionByName(docs.where(docs[id_col].isNull()))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from exposure.llm.common import Cache, id_and_text, kind_of, slices
+from exposure.llm.common import Cache, id_and_text, kind_of, slices, where_text
 
 CATEGORIES = ("abusive_terms", "repeated_abuse", "toxic")
 REPEATED, PURITY, LEAST_DOCS = 3, 0.9, 4
@@ -145,18 +145,42 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return Chain(features, weights, intercepts)
 
 
+class Scorer:
+    """Scores texts under a chain; words are looked up once."""
+
+    def __init__(self, chain: Chain):
+        self.chain = chain
+        self.known = Cache(lambda w: tuple(chain.features[f] for f in features_of(w) if f in chain.features), 200_000)
+
+    def __call__(self, texts: list[str]) -> np.ndarray:
+        x = np.zeros((len(texts), len(self.chain.features)))
+        for i, text in enumerate(texts):
+            for w, c in word_counts(text).items():
+                for f in self.known[w]:
+                    x[i, f] += c
+        return probabilities(self.chain, np.log1p(x))
+
+
+def without_toxic(docs: DataFrame, chain: Chain, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of docs that are not toxic, with all their columns."""
+    made: list[Scorer] = []
+
+    def keep(texts: list[str]) -> list[bool]:
+        if chain.weights is None:
+            return [True] * len(texts)
+        made[:] = made or [Scorer(chain)]
+        return (made[0](texts)[:, -1] < threshold).tolist()
+
+    return where_text(docs, text_col, keep)
+
+
 def judge(docs: DataFrame, chain: Chain, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, one probability for each category (``p_`` and its name), and ``is_toxic`` (the last one is at least ``threshold``)."""
 
     def run(batches: Iterable[pa.RecordBatch]):
-        known = Cache(lambda w: tuple(chain.features[f] for f in features_of(w) if f in chain.features), 200_000)
+        score = Scorer(chain)
         for b in slices(batches):
-            x = np.zeros((b.num_rows, len(chain.features)))
-            for i, text in enumerate(b.column(1).to_pylist()):
-                for w, c in word_counts(text).items():
-                    for f in known[w]:
-                        x[i, f] += c
-            p = probabilities(chain, np.log1p(x))
+            p = score(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(p[:, j]) for j in range(len(CATEGORIES))), pa.array((p[:, -1] >= threshold) & (chain.weights is not None))], [id_col, *(f"p_{c}" for c in CATEGORIES), "is_toxic"])
 
     schema = f"`{id_col}` {kind_of(docs, id_col)}, " + ", ".join(f"p_{c} double" for c in CATEGORIES) + ", is_toxic boolean"
