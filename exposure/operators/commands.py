@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from exposure.functions import fixed
 from exposure.functions.names import let
 from exposure.operators.detection import hits
+from exposure.session import checkpoint
 
 _QUOTED = r"'[^']*+'|\"[^\"]*+\""
 # Quotes group within a word and are then dropped.
@@ -180,23 +181,28 @@ def _piece(ord_: Column, wrap: Column, kind: str, text: Column | None, argv: Col
 
 
 def parse(
-    commands: DataFrame, tool_names: Sequence[str], wrap_verbs: Sequence[str] = ("run",), module: str | None = None, depth: int = 5
+    commands: DataFrame, tool_names: Sequence[str], wrap_verbs: Sequence[str] = ("run",), module: str | None = None
 ) -> DataFrame:
     """Commands taken apart: ``cmd_id, ord, wrap, kind, text, argv``.
 
     ``kind``: ``tool`` (a run of the tool, ``argv`` after the launcher), ``trailing`` (what a
-    wrapping verb runs), ``other`` (another command) and, below ``depth`` levels of nesting,
-    ``unread``. ``ord`` orders pieces as a reader meets them; ``wrap`` is what stands around.
+    wrapping verb runs) and ``other`` (another command). ``ord`` orders pieces as a reader meets
+    them; ``wrap`` is what stands around. Nesting has no limit: what is still to be read after a
+    level goes on alone, and as it is shorter than what it stood in, the rounds end.
     """
     rows = commands.select(
         "cmd_id", F.array().cast("array<int>").alias("ord"), F.lit("").alias("wrap"), F.lit("pending").alias("kind"),
         "text", F.lit(None).cast("array<string>").alias("argv"),
     )
     opened = let(tokens(F.col("text")), lambda words: _pieces(words, tool_names, wrap_verbs, module))
-    same = F.array(F.struct("ord", "wrap", "kind", "text", "argv").cast(_PIECE))
-    for _ in range(depth):
-        rows = rows.select("cmd_id", F.inline(F.when(F.col("kind") == "pending", opened).otherwise(same)))
-    return rows.withColumn("kind", F.when(F.col("kind") == "pending", "unread").otherwise(F.col("kind")))
+    read: DataFrame | None = None
+    while True:
+        rows = checkpoint(rows.select("cmd_id", F.inline(opened)))
+        done = rows.where("kind <> 'pending'")
+        read = done if read is None else read.unionByName(done)
+        rows = rows.where("kind = 'pending'")
+        if rows.isEmpty():
+            return read
 
 
 def _pieces(words: Column, tool_names: Sequence[str], wrap_verbs: Sequence[str], module: str | None) -> Column:
@@ -204,15 +210,16 @@ def _pieces(words: Column, tool_names: Sequence[str], wrap_verbs: Sequence[str],
     wrap = F.col("wrap")
     none = F.array().cast(f"array<{_PIECE}>")
 
-    def place(i: Column, *more: int) -> Column:
-        return F.concat(F.col("ord"), F.array(i.cast("int"), *map(F.lit, more)))
+    def place(kind: int, i: Column, *more: int) -> Column:
+        """Scripts (0) come before the chunks (1) of a line."""
+        return F.concat(F.col("ord"), F.array(F.lit(kind), i.cast("int"), *map(F.lit, more)))
 
     def wrapped(argv: Column, verb: Column, at: Column) -> Column:
         around = F.concat(wrap, F.lit(f"{tool_names[0]} "), verb, F.lit(" wrapping "))
 
         def tail_pieces(tail: Column) -> Column:
             return F.array(
-                _piece(place(at, 0), wrap, "trailing", tail, None), _piece(place(at, 1), around, "pending", tail, None)
+                _piece(place(1, at, 0), wrap, "trailing", tail, None), _piece(place(1, at, 1), around, "pending", tail, None)
             )
 
         def after(dash: Column) -> Column:
@@ -221,18 +228,18 @@ def _pieces(words: Column, tool_names: Sequence[str], wrap_verbs: Sequence[str],
         return F.when(verb.isin(*wrap_verbs), let(_index_of(argv, lambda x: x == "--"), after)).otherwise(none)
 
     def chunk(words_: Column, i: Column) -> Column:
-        at = i + F.lit(100_000)
-
         def sorted_out(argv: Column) -> Column:
-            other = F.array(_piece(place(at), wrap, "other", F.array_join(words_, " "), None))
-            tool = F.array(_piece(place(at), wrap, "tool", None, argv))
+            # A shell whose script is read in its own right is not read again as a text.
+            text = F.when(F.size(shell_scripts(words_)) == 0, F.array_join(words_, " ")).otherwise(F.lit(""))
+            other = F.array(_piece(place(1, i), wrap, "other", text, None))
+            tool = F.array(_piece(place(1, i), wrap, "tool", None, argv))
             return F.when(argv.isNull(), other).otherwise(
-                F.concat(tool, let(first_verb(argv).verb, lambda verb: wrapped(argv, verb, at)))
+                F.concat(tool, let(first_verb(argv).verb, lambda verb: wrapped(argv, verb, i)))
             )
 
         return let(strip_launcher(words_, tool_names, module), sorted_out)
 
-    inner = F.transform(shell_scripts(words), lambda s, i: _piece(place(i), wrap, "pending", s, None))
+    inner = F.transform(shell_scripts(words), lambda s, i: _piece(place(0, i), wrap, "pending", s, None))
     return F.concat(inner, F.flatten(F.transform(chunks(words), chunk)))
 
 
@@ -247,17 +254,18 @@ def naming(commands: DataFrame, tool_names: Sequence[str], module: str | None =
 
 
 def policy_decisions(
-    commands: DataFrame, rules: DataFrame, tool_names: Sequence[str], module: str | None = None, depth: int = 5
+    commands: DataFrame, rules: DataFrame, tool_names: Sequence[str], module: str | None = None
 ) -> DataFrame:
     """Per command ``cmd_id, decision, kind``: the first denied run of the tool in reading order.
 
-    A rule may name a verb, a verb with a nested verb, or a verb with an option (``--yes``). What no
+    Rules of other tools do not count. A rule may name a verb, a verb with a nested verb, or a verb with an option (``--yes``). What no
     rule denies is allowed, unknown verbs as well. ``kind`` spells the denied command, with what
     wraps it.
     """
     label = tool_names[0]
-    wraps = [r["verb"] for r in rules.where("effect = 'wrap'").select("verb").distinct().limit(100).collect()] or ["run"]
-    argvs = parse(naming(commands, tool_names, module), tool_names, wraps, module, depth).where("kind = 'tool'")
+    rules = rules.where(F.col("tool").isin(*tool_names))
+    wraps = [r["verb"] for r in rules.where("effect = 'wrap'").select("verb").distinct().collect()] or ["run"]
+    argvs = parse(naming(commands, tool_names, module), tool_names, wraps, module).where("kind = 'tool'")
     verbs = argvs.withColumn("__v", first_verb(F.col("argv"))).select(
         "cmd_id", "ord", "wrap", F.col("__v.verb").alias("verb"), F.col("__v.rest").alias("rest")
     ).withColumn("nested", first_verb(F.col("rest")).verb)

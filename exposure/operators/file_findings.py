@@ -29,9 +29,9 @@ def dotenv_findings(files: DataFrame, scope: str = "project") -> DataFrame:
     return files.select("path").join(grouped, "path", "left").select(
         F.lit("file").alias("src"), "path", F.lit(0).alias("part"), F.lit("dotenv").alias("kind"),
         F.when(n > 0, named).otherwise(every).alias("secret_names"), n.alias("secret_count"),
-        F.when(n > 0, F.format_string("dotenv file with %d secret name(s)", n))
-        .when(F.size(every) > 0, "dotenv file (empty values only)")
-        .otherwise("dotenv file (no KEY=VALUE entries)").alias("reason"),
+        F.when(n > 0, F.format_string("dotenv, %d filled name(s)", n))
+        .when(F.size(every) > 0, "dotenv, no value filled in")
+        .otherwise("dotenv without entries").alias("reason"),
         (n > 0).alias("importable"), F.lit(scope).alias("scope"), _empty("int").alias("hit_lines"),
         F.lit(fixed.CERTAIN).alias("confidence"), _empty("string").alias("reasons"), _no_counts().alias("reason_counts"),
     )
@@ -43,7 +43,7 @@ def named_file_findings(files: DataFrame, scope: str = "project") -> DataFrame:
     keys = F.when(kind.isin("credentials.json", "mcp_config"), F.coalesce(F.json_object_keys(text), _empty("string"))).otherwise(_empty("string"))
     typed = files.withColumn("kind", nm.file_kind("path")).where(kind.isNotNull() & ~kind.isin("dotenv", "shell_history"))
     typed = typed.withColumn("text", F.when(kind.isin("credentials.json", "mcp_config", "git_config"),
-                                            decoded(F.col("content"), fixed.FILE_CONTENT_BYTES)))
+                                            decoded(F.col("content"))))
     typed = typed.where((kind != "git_config") | nm.git_config_suspect(text)).withColumn("keys", keys)
     confirmed = F.exists("keys", lambda k: k.isin(*fixed.MCP_KEYS))
     doubtful = (kind == "mcp_config") & ~confirmed
@@ -51,12 +51,12 @@ def named_file_findings(files: DataFrame, scope: str = "project") -> DataFrame:
     return typed.select(
         F.lit("file").alias("src"), "path", F.lit(0).alias("part"), "kind", F.col("keys").alias("secret_names"),
         n.alias("secret_count"),
-        F.when(kind == "credentials.json", F.format_string("credentials.json (%d top-level key name(s))", n))
-        .when(doubtful, "unconfirmed MCP config shape (no top-level mcpServers/servers)")
-        .when(kind == "mcp_config", F.format_string("MCP config (%d top-level key name(s))", n))
-        .when(kind == "ssh_private_key", "SSH private key file")
-        .when(kind == "git_config", "git config may embed credentials")
-        .otherwise(F.format_string("%s (may contain registry auth tokens)", "kind")).alias("reason"),
+        F.when(kind == "credentials.json", F.format_string("credentials.json with %d top-level key(s)", n))
+        .when(doubtful, "looks like an MCP config, but no server list")
+        .when(kind == "mcp_config", F.format_string("MCP config with %d top-level key(s)", n))
+        .when(kind == "ssh_private_key", "private key for SSH")
+        .when(kind == "git_config", "git config with a password or token in a URL, or a helper")
+        .otherwise(F.format_string("%s: registry tokens are kept there", "kind")).alias("reason"),
         F.lit(False).alias("importable"), F.lit(scope).alias("scope"), _empty("int").alias("hit_lines"),
         F.when(doubtful, fixed.POSSIBLE).otherwise(fixed.CERTAIN).alias("confidence"),
         F.when(doubtful, F.array(F.lit(fixed.UNCONFIRMED_MCP))).otherwise(_empty("string")).alias("reasons"),
@@ -64,21 +64,21 @@ def named_file_findings(files: DataFrame, scope: str = "project") -> DataFrame:
     )
 
 
-def content_texts(files: DataFrame, max_bytes: int | None = fixed.FILE_CONTENT_BYTES) -> DataFrame:
-    """Texts of files for content scanning. A file scan reads the first 256,000 bytes; None reads all."""
+def content_texts(files: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """Texts of files for content scanning: all of them, or their first ``max_bytes`` bytes where asked for."""
     return files.select(
         F.lit("file").alias("src"), F.col("path").alias("id"), F.lit(0).alias("part"),
         decoded(F.col("content"), max_bytes).alias("text"),
     ).where("text is not null")
 
 
-def file_findings(files: DataFrame, scope: str = "project", max_bytes: int | None = fixed.FILE_CONTENT_BYTES) -> DataFrame:
+def file_findings(files: DataFrame, scope: str = "project", max_bytes: int | None = None) -> DataFrame:
     """All findings of a file listing: dotenv, sensitive by name, shell history, inline content."""
     kind = nm.file_kind("path")
     history = text_findings(
         hits(content_texts(files.where(kind == "shell_history"), max_bytes)), "shell_history", scope,
-        "shell history with credential-shaped content",
-        "shell history with possible identifier- or passphrase-shaped content",
+        "shell history: likely secrets",
+        "shell history: possible secrets",
     )
     inline = text_findings(
         hits(content_texts(files.where(kind.isNull() & nm.is_text_file("path")), max_bytes)), "inline", scope

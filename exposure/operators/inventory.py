@@ -47,21 +47,16 @@ def manifest_summary(
 
 
 def manifest_check(
-    projects: DataFrame, manifest: DataFrame, names: DataFrame, errors: DataFrame | None = None, max_names: int = 10_000
+    projects: DataFrame, manifest: DataFrame, names: DataFrame, errors: DataFrame | None = None
 ) -> DataFrame:
-    """Summary with sorted name arrays.
-
-    Arrays are filled for projects that declare at most ``max_names`` names. For a larger one they
-    are null and :func:`manifest_status` has every row.
-    """
+    """Summary with sorted name arrays, which the manifest of a project bounds: it is one file."""
     status = manifest_status(manifest, names)
     base = manifest_summary(projects, status, errors)
-    small = status.groupBy("project").agg(F.count("*").alias("__n")).where(F.col("__n") <= max_names)
 
     def listed(what: str) -> Column:
         return F.array_sort(F.collect_list(F.when(F.col("status") == what, F.col("name"))))
 
-    arrays = status.join(small, "project", "left_semi").groupBy("project").agg(
+    arrays = status.groupBy("project").agg(
         *(listed(s).alias(f"{s}_names") for s in ("present", "missing", "optional_absent"))
     )
     return base.join(arrays, "project", "left")

@@ -35,13 +35,18 @@ def _strings(node: object) -> Iterator[tuple[str | None, str]]:
     while stack:
         key, item = stack.pop()
         if isinstance(item, str):
-            yield key, item
+            yield key if key is None else _valid(key), _valid(item)
         elif isinstance(item, dict):
             stack.extend((k, v) for k, v in reversed(item.items()))
         elif isinstance(item, list):
             stack.extend((None, v) for v in reversed(item))
 
 
+def _valid(text: str) -> str:
+    """Half a surrogate pair, as where an emoji was cut, is no text that can be handed on: a replacement character stands for it."""
+    return text if text.isascii() else text.encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace")
+
+
 def _parse(raw: str | None) -> object:
     try:
         return json.loads(raw) if raw else None

@@ -19,10 +19,13 @@ def ancestors(
     """Chain of every process, itself first: ``keys, pid, chain ARRAY<STRUCT<pid, start_time, uid>>``.
 
     Chains double in each round: a chain of 2^k nodes takes on that of its next ancestor. Five
-    equi-joins build 32 levels. A chain stops at a missing process, at pid 0, at a process that is
-    its own parent and at a repeat.
+    equi-joins build 32 levels, fewer where no chain goes on. A chain stops at a missing process, at
+    pid 0, at a process that is its own parent and at a repeat. Of several rows with one pid (it was
+    used again) the youngest counts; put the snapshot among ``keys`` to keep snapshots apart.
     """
     on = list(keys)
+    every = F.struct("start_time", "ppid", F.col("uid").cast("int").alias("uid"))
+    procs = procs.groupBy(*on, "pid").agg(F.max(every).alias("p")).select(*on, "pid", "p.*")
     parent = F.when((F.col("ppid") != 0) & (F.col("ppid") != F.col("pid")), F.col("ppid"))
     node = F.struct("pid", "start_time", F.col("uid").cast("int").alias("uid"))
     chains = procs.where("pid <> 0").select(*on, "pid", F.array(node).alias("chain"), parent.alias("next"))
@@ -37,6 +40,8 @@ def ancestors(
             )
         )
         length *= 2
+        if length < max_depth and chains.where("next is not null").isEmpty():
+            break
     return chains.select(*on, "pid", F.slice(_until_repeat(F.col("chain")), 1, max_depth).alias("chain"))
 
 
@@ -81,15 +86,15 @@ def offerable_levels(
     chain = F.col("chain")
     base = F.transform(
         chain,
-        lambda n, i: F.when((i >= F.size(chain) - floor_levels) & (i > 0), "too close to session/init (depth floor)")
-        .when(n.pid <= min_pid, f"pid <= {min_pid} (platform minimum)")
-        .when(F.coalesce(n.uid != owner, F.lit(True)), "not owned by this user"),
+        lambda n, i: F.when((i >= F.size(chain) - floor_levels) & (i > 0), "depth_floor")
+        .when(n.pid <= min_pid, "system_pid")
+        .when(F.coalesce(n.uid != owner, F.lit(True)), "other_owner"),
     )
     capped = F.transform(
         F.col("__base"),
         lambda why, i: F.when(
             why.isNull() & (F.size(F.filter(F.slice(F.col("__base"), F.lit(1), i + 1), lambda w: w.isNull())) > max_offered),
-            "beyond max offered ancestors",
+            "over_limit",
         ).otherwise(why),
     )
     rest = [c for c in chains.columns if c != "chain"]

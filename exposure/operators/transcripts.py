@@ -137,21 +137,21 @@ def transcript_findings(tiers: DataFrame, scope: str = "deep") -> DataFrame:
     )
     n = F.size("hit_lines").cast("bigint")
     rank = F.col("tier_rank")
-    shape = F.when(rank == 0, "vendor-prefix credential-shaped content").when(
-        rank == 1, "likely assignment-shaped content"
-    ).otherwise("possible identifier- or passphrase-shaped content")
-    names_only = F.when(rank == 1, "likely assignment-shaped names on higher-confidence lines").otherwise(
-        "possible identifier- or passphrase-shaped names on higher-confidence lines"
+    shape = F.when(rank == 0, "vendor-prefixed tokens").when(
+        rank == 1, "likely secret assignments"
+    ).otherwise("possible secret assignments")
+    names_only = F.when(rank == 1, "likely names, all on lines that already count").otherwise(
+        "possible names, all on lines that already count"
     )
-    advisory = F.when(rank < 2, " (advisory; false positives/negatives expected)").otherwise("")
-    reason = F.when(n > 0, F.concat(F.format_string("%d line(s) with ", n), shape, advisory)).otherwise(names_only)
+    advisory = F.when(rank < 2, " (heuristic)").otherwise("")
+    reason = F.when(n > 0, F.concat(F.format_string("%d line(s): ", n), shape, advisory)).otherwise(names_only)
     joined = lines.join(names, key, "full").join(counted, key, "left").withColumn(
         "hit_lines", F.coalesce("hit_lines", _empty("int"))
     )
     return joined.where((F.size("hit_lines") > 0) | (F.size("secret_names") > 0)).select(
         F.lit("transcript").alias("src"), "path", F.lit(0).alias("part"), F.lit("agent_session_transcript").alias("kind"),
         F.coalesce("secret_names", _empty("string")).alias("secret_names"), n.alias("secret_count"),
-        F.concat(F.lit("agent session transcript: "), reason).alias("reason"), F.lit(False).alias("importable"),
+        F.concat(F.lit("transcript, "), reason).alias("reason"), F.lit(False).alias("importable"),
         F.lit(scope).alias("scope"), "hit_lines", values.tier_name("tier_rank").alias("confidence"),
         _ordered({r: F.col(f"__at_{r}") for r in reasons}).alias("reasons"),
         _counted({r: F.coalesce(F.col(f"__n_{r}"), F.lit(0)) for r in reasons}).alias("reason_counts"),

@@ -135,7 +135,7 @@ def a12_reason_buckets(spark, sf):
 @query("a13_summary", f"""WITH {REASON_BUCKETS}, c AS (SELECT {COUNTS} FROM f), s AS (SELECT sum(greatest(secret_count, 0)) FILTER (scope = 'project')::BIGINT AS here, sum(greatest(secret_count, 0)) FILTER (scope <> 'project')::BIGINT AS away FROM f WHERE rank <= 1),
     l AS (SELECT string_agg(n || ' ' || CASE reason WHEN 'word-shaped-passphrase' THEN 'passphrase' ELSE reason END, ' · ' ORDER BY CASE reason WHEN 'identifier' THEN 0 WHEN 'low-transition' THEN 2 WHEN 'uuid' THEN 3 ELSE 4 END) AS parts FROM b)
     SELECT strict_high AS leak_count, certain_count, likely_count, possible_count, transcript_line_hits, 1::INT AS exit_code,
-      strict_high || ' LEAKs found (--strict high) — your agent can read ' || strict_high || ' secrets on this machine — ' || here || ' in this project, ' || away || ' outside it (LEAK = Locally Exposed Agent Keys)' AS headline,
+      strict_high || ' exposed secrets at gate high, on this machine — ' || here || ' in this project, ' || away || ' outside it' AS headline,
       certain_count || ' certain · ' || likely_count || ' likely · ' || possible_count || ' possible (' || parts || ')' AS count_summary FROM c, s, l""")
 def a13_summary(spark, sf):
     return fd.summary(order_findings(spark, sf)).select(

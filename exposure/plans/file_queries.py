@@ -87,7 +87,7 @@ OWN_SQL = f"o AS (SELECT c_custkey AS k, c_custkey % 19 AS m, c_custkey % 2 = 0
 
 
 @query("a6_dotenv_findings", f"""WITH {FILES_SQL}, {OWN_SQL} SELECT path, CASE WHEN even THEN 'A,C' ELSE '' END AS secret_names, (CASE WHEN even THEN 2 ELSE 0 END)::BIGINT AS secret_count, even AS importable,
-    CASE WHEN even THEN 'dotenv file with 2 secret name(s)' ELSE 'dotenv file (no KEY=VALUE entries)' END AS reason FROM o WHERE m IN (0, 1)""")
+    CASE WHEN even THEN 'dotenv, 2 filled name(s)' ELSE 'dotenv without entries' END AS reason FROM o WHERE m IN (0, 1)""")
 def a6_dotenv_findings(spark, sf):
     dotenv = numbered(spark, sf).where(nm.file_kind("path") == "dotenv")
     return ff.dotenv_findings(dotenv).select("path", F.array_join("secret_names", ",").alias("secret_names"), "secret_count", "importable", "reason")

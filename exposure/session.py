@@ -31,13 +31,15 @@ def build_session(app: str = "exposure", cpus: int | None = None, **conf: str) -
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut lineage on shared storage, so that a lost executor costs no recomputation.
 
-    The cluster names the folder in ``spark.checkpoint.dir``. Only where that is unset (tests on
-    one machine) is a temporary folder made.
+    The cluster names the folder in ``spark.checkpoint.dir``. Only where that is unset and the master
+    is local (tests on one machine) is a temporary folder made.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return df.checkpoint(eager=True)
 

@@ -17,8 +17,7 @@ def write_summary(summary: DataFrame, path: str, mode: str = "overwrite") -> Non
     from pyspark.sql import functions as F
 
     note = F.concat(
-        F.lit("Advisory heuristics; leak_count matches the strict gate ("), "strict",
-        F.lit("). Values are never included."),
+        F.lit("Heuristic; leak_count is that of gate "), "strict", F.lit(". No values."),
     )
     assert_public(summary).withColumn("detection_note", note).coalesce(1).write.mode(mode).json(path)
 

@@ -22,7 +22,6 @@ from exposure.session import checkpoint
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 ENTRY = "path string, is_dir boolean, length long, modificationTime timestamp"
-MAX_LEVELS = 256
 BATCH_BYTES = 64 << 20
 
 
@@ -98,7 +97,7 @@ def list_tree(
     level = roots.select("path") if isinstance(roots, DataFrame) else spark.createDataFrame([(r.rstrip("/"),) for r in roots], "path string")
     tasks = spark.sparkContext.defaultParallelism
     found: DataFrame | None = None
-    for _ in range(MAX_LEVELS):
+    while True:  # links are not followed, so the levels end
         entries = checkpoint(level.repartition(tasks).mapInPandas(_list, ENTRY))
         files = entries.where("not is_dir").drop("is_dir")
         found = files if found is None else found.unionByName(files)

@@ -43,8 +43,8 @@ def test_in_tree_and_offer(spark):
 
     assert tree([("h", 10, 100)]) == [10, 12] and tree([("h", 10, 999)]) == [] and tree([("h", 12, 120)]) == [12]
     why = {(r.pid, r.node_pid): r.skipped for r in L.offerable_levels(chains, F.lit(1000)).collect()}
-    assert why[12, 12] is None and why[12, 11] is None and "depth floor" in why[12, 10] and "depth floor" in why[12, 1]
-    assert why[11, 11] is None and "depth floor" in why[11, 10] and why[1, 1] == "pid <= 1 (platform minimum)"
+    assert why[12, 12] is None and why[12, 11] is None and "depth_floor" in why[12, 10] and "depth_floor" in why[12, 1]
+    assert why[11, 11] is None and "depth_floor" in why[11, 10] and why[1, 1] == "system_pid"
     long = L.ancestors(procs(spark, [("h", i, i - 1, i, 1000) for i in range(5, 25)])).where("pid = 24")
     offered = [r.node_pid for r in L.offerable_levels(long, F.lit(1000)).where("skipped is null").orderBy("depth").collect()]
     assert offered == list(range(24, 16, -1))
@@ -137,8 +137,6 @@ def test_manifest_check_and_import(spark):
     got = {r.project: r for r in INV.manifest_check(projects, manifest, names, errors).collect()}
     assert (got["p"].ok, got["p"].present_names, got["p"].missing_names, got["p"].optional_absent_names) == (False, ["A"], ["B"], ["C"])
     assert got["q"].ok and not got["bad"].ok and got["bad"].error
-    wide = INV.manifest_check(projects, manifest, names, errors, max_names=2).where("project = 'p'").first()
-    assert wide.missing == 1 and wide.missing_names is None
     new = spark.createDataFrame([(1, "NAME", "n"), (1, "OTHER", "o1"), (2, "OTHER", "o2")], "file_order int, name string, value string")
     old = spark.createDataFrame([("NAME", "old")], "name string, value string")
     assert {(r.file_order, r["name"]): r.decision for r in INV.import_decisions(new, old).collect()} == {(1, "NAME"): "skipped", (1, "OTHER"): "imported", (2, "OTHER"): "skipped"}

@@ -5,40 +5,47 @@ from exposure.operators import commands as C
 from exposure.operators import rules as R
 from tests import values as X
 
-T = "vaultctl"
-DENY = {
-    "vaultctl set FOO bar": "set", "vault-ctl reveal FOO": "reveal", "vaultctl export FOO": "export", "vaultctl copy FOO": "copy",
-    "vaultctl init": "init", "vaultctl unlock": "unlock", "vaultctl setup": "setup", "vaultctl passwd": "passwd",
-    "vaultctl change-password": "change-password", "vaultctl import .env": "import", "vaultctl remove FOO": "remove",
-    "vaultctl grant FOO --to bob": "grant", "vaultctl revoke FOO --to bob": "revoke",
-    "vaultctl member add bob --pubkey x --role runner": "member add", "vaultctl member remove bob": "member remove",
-    "vaultctl config set session-mode cached": "config set", "vaultctl identity create": "identity create",
-    "vaultctl scan --yes": "scan --yes", "vaultctl scan --deep --yes": "scan --yes", "vaultctl scan --yes=1 --deep": "scan --yes",
-    "python -m vault_ctl set FOO bar": "set", "python3 -m vault-ctl set FOO": "set", "py -m vault_ctl set FOO": "set", "uvx vault-ctl set FOO": "set",
-    "pipx run vault-ctl set FOO": "set", ".venv\\Scripts\\vaultctl.exe set FOO": "set", "./venv/bin/vaultctl set FOO": "set",
-    "/usr/local/bin/vault-ctl set FOO": "set", "env FOO=1 vaultctl set BAR baz": "set", "FOO=1 vaultctl set BAR baz": "set",
-    "bash -lc 'vaultctl set FOO bar'": "set", "sh -c 'vaultctl reveal FOO'": "reveal", "echo hi && vaultctl set FOO bar": "set",
-    "sh -c \"bash -c 'vaultctl set A'\"": "set", "va'ult'ctl set A": "set",
-}
-WRAPPED = {
-    "vaultctl run --secret A -- vaultctl scan --yes": "vaultctl run wrapping vaultctl scan --yes",
-    "vaultctl run -- vaultctl run -- vaultctl set A": "vaultctl run wrapping vaultctl run wrapping vaultctl set",
-    "vaultctl run -- sh -c 'vaultctl reveal X'": "vaultctl reveal",
-    "vaultctl run -- a && vaultctl set B": "vaultctl set",
-}
-ALLOW = [
-    "vaultctl list", "vaultctl status", "vaultctl connect", "vaultctl check", "vaultctl scan", "vaultctl scan --deep", "vaultctl scan --no-import",
-    "vaultctl lock", "vaultctl docs", "vaultctl config show", "vaultctl identity show", "vaultctl member list", "vaultctl --version", "vaultctl --help",
-    "vaultctl run --secret NAME --as NAME=VAR -- python script.py", "vaultctl foobar", "vaultctl", "echo hello", "", "don't vaultctl-set", "echo 'vaultctl set A'",
-]
-
-
-def test_policy(spark):
-    cases = {**{k: f"vaultctl {v}" for k, v in DENY.items()}, **{k: v for k, v in WRAPPED.items()}, **{k: None for k in ALLOW}}
-    texts = list(cases)
+T = "keeper"
+#: An own small rule table: verb, nested verb or option, effect.
+RULES = [("wipe", None, "deny"), ("team", "drop", "deny"), ("sweep", "--force", "deny"), ("with", None, "wrap"), ("team", "show", "allow")]
+LAUNCHERS = ["{}", "/opt/bin/{}", "python3 -m {}", "uvx {}", "env MODE=1 {}", "MODE=1 LEVEL=2 {}", "tools\\{}.exe"]
+
+
+def rules_of(spark, tool=T):
+    return spark.createDataFrame([(tool, *r) for r in RULES], "tool string, verb string, sub string, effect string")
+
+
+def decisions(spark, texts, rules=None, tools=(T,)):
     log = spark.createDataFrame(list(enumerate(texts)), "cmd_id long, text string")
-    got = {texts[r.cmd_id]: r.kind for r in C.policy_decisions(log, C.policy_rules(spark, T), [T, "vault-ctl"]).collect()}
-    assert {t: got[t] for t in texts} == cases
+    rows = C.policy_decisions(log, rules_of(spark) if rules is None else rules, list(tools)).collect()
+    return {texts[r.cmd_id]: (r.decision, r.kind) for r in rows}
+
+
+def test_policy_rules_under_every_launcher(spark):
+    denied = {"wipe": "wipe", "team drop ann": "team drop", "sweep --force": "sweep --force", "sweep --force=2 here": "sweep --force", "-q=1 wipe all": "wipe"}
+    free = ["show", "team show", "sweep", "sweep force", "team", "--help wipe", "unheard-of", ""]
+    want = {}
+    for launcher in LAUNCHERS:
+        call = launcher.format(T)
+        want.update({f"{call} {tail}": ("deny", f"{T} {kind}") for tail, kind in denied.items()})
+        want.update({f"{call} {tail}": ("allow", None) for tail in free})
+    want.update({f"echo {T} wipe": ("allow", None), "ls": ("allow", None), f"make && {T} wipe": ("deny", f"{T} wipe"), f"sh -c '{T} wipe'": ("deny", f"{T} wipe")})
+    assert decisions(spark, list(want)) == want
+
+
+def test_policy_in_deep_nesting(spark):
+    """However deep a denied command stands, it is found."""
+    inner, want = f"{T} wipe", {}
+    for depth in range(1, 13):
+        around = f"{T} with wrapping " * depth
+        want[f"{T} with -- " * depth + inner] = ("deny", around + inner)
+    assert decisions(spark, list(want)) == want
+
+
+def test_rules_of_other_tools_do_not_count(spark):
+    assert decisions(spark, [f"{T} wipe"], rules_of(spark, "other")) == {f"{T} wipe": ("allow", None)}
+    both = rules_of(spark, "other").unionByName(rules_of(spark).where("verb = 'team'"))
+    assert decisions(spark, [f"{T} wipe", f"{T} team drop"], both) == {f"{T} wipe": ("allow", None), f"{T} team drop": ("deny", f"{T} team drop")}
 
 
 def test_tokens_chunks_and_depth(spark):
@@ -46,16 +53,17 @@ def test_tokens_chunks_and_depth(spark):
     rows = df.select(C.tokens(F.col("t")).alias("w"), C.chunks(C.tokens(F.col("t"))).alias("c")).collect()
     assert rows[0].w == ["a", "b c", "de", "&&", "f;g", "|", "h"] and rows[0].c == [["a", "b c", "de"], ["f;g"], ["h"]]
     assert rows[1].w == ["C:\\x", '"a b"', 'c"d', 'e"'] and rows[2].w == ["it's", "open"] and rows[3].w == []
-    deep = "vaultctl run -- " * 7 + "vaultctl set X"
-    kinds = C.parse(spark.createDataFrame([(1, deep)], "cmd_id long, text string"), [T], depth=4).groupBy("kind").count().collect()
-    assert {r.kind: r["count"] for r in kinds} == {"tool": 4, "trailing": 4, "unread": 1}
+    deep = "keeper run -- " * 7 + "keeper show X"
+    kinds = C.parse(spark.createDataFrame([(1, deep)], "cmd_id long, text string"), [T]).groupBy("kind").count().collect()
+    assert {r.kind: r["count"] for r in kinds} == {"tool": 8, "trailing": 7}
 
 
 def test_command_secrets(spark):
     log = spark.createDataFrame([
-        (1, f"vaultctl run --secret A -- mysql --password {X.MIXED16}"), (2, f"vaultctl list && curl --token {X.HEX32}"),
-        (3, f"vaultctl run --password {X.MIXED16} -- ls"), (4, f"mysql --password {X.MIXED16}")], "cmd_id long, text string")
-    assert sorted(r.id for r in C.scan_command_text(log, [T]).collect()) == ["1", "2", "4"]
+        (1, f"keeper run --secret A -- mysql --password {X.MIXED16}"), (2, f"keeper list && curl --token {X.HEX32}"),
+        (3, f"keeper run --password {X.MIXED16} -- ls"), (4, f"mysql --password {X.MIXED16}"),
+        (5, f"bash -c 'mysql --password {X.MIXED16}'")], "cmd_id long, text string")
+    assert sorted(r.id for r in C.scan_command_text(log, [T]).collect()) == ["1", "2", "4", "5"]
 
 
 def test_rule_lists(spark):
