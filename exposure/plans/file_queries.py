@@ -102,14 +102,14 @@ def a5_file_findings(spark, sf):
     return ff.file_findings(numbered(spark, sf)).select("path", "kind", "secret_count", "confidence")
 
 
-@query("u1_union_scopes", """WITH p AS (SELECT c_custkey AS k, '/f/' || (c_custkey % 700) AS path FROM customer WHERE c_custkey % 3 = 0), d AS (SELECT c_custkey AS k, '/f/' || (c_custkey % 700) AS path FROM customer WHERE c_custkey % 3 = 1)
+@query("u1_union_scopes", """WITH p AS (SELECT c_custkey AS k, '/f/' || (c_custkey % 700) AS path FROM customer WHERE c_custkey % 3 = 0), d AS (SELECT c_custkey AS k, '/f/' || (c_custkey % 700) AS path FROM customer WHERE c_custkey % 3 <> 0)
     SELECT 'project' AS scope, path, k FROM p UNION ALL SELECT 'deep', path, k FROM d WHERE path NOT IN (SELECT path FROM p)""")
 def u1_union_scopes(spark, sf):
     project, deep = scopes(spark, sf)
     return fd.union_scopes(project, deep).select("scope", "path", F.col("secret_count").alias("k"))
 
 
-@query("u1_first_per_path", """WITH p AS (SELECT c_custkey AS k, '/f/' || (c_custkey % 700) AS path FROM customer WHERE c_custkey % 3 = 0), d AS (SELECT c_custkey AS k, '/f/' || (c_custkey % 700) AS path FROM customer WHERE c_custkey % 3 = 1)
+@query("u1_first_per_path", """WITH p AS (SELECT c_custkey AS k, '/f/' || (c_custkey % 700) AS path FROM customer WHERE c_custkey % 3 = 0), d AS (SELECT c_custkey AS k, '/f/' || (c_custkey % 700) AS path FROM customer WHERE c_custkey % 3 <> 0)
     SELECT 'project' AS scope, count(*)::BIGINT AS n FROM p UNION ALL SELECT 'deep', count(DISTINCT path) FROM d WHERE path NOT IN (SELECT path FROM p)""")
 def u1_first_per_path(spark, sf):
     project, deep = scopes(spark, sf)
@@ -122,4 +122,4 @@ def scopes(spark, sf):
         F.concat(F.lit("/f/"), k % 700).alias("path"), k.cast("bigint").alias("secret_count"),
         F.when(k % 2 == 0, fixed.LIKELY).otherwise(fixed.POSSIBLE).alias("confidence"), F.lit("inline").alias("kind"),
         F.when(k % 3 == 0, "project").otherwise("deep").alias("scope"), (k % 3).alias("third"))
-    return rows.where("third = 0").drop("third"), rows.where("third = 1").drop("third")
+    return rows.where("third = 0").drop("third"), rows.where("third <> 0").drop("third")

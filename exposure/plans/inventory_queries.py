@@ -115,11 +115,11 @@ def k1_sorted_names(spark, sf):
     return inv.sorted_names(table(spark, sf, "lineitem").select(F.to_date("l_shipdate").alias("name")))
 
 
-PRESENT_SQL = "pr AS (SELECT DISTINCT '/proj/' || p_brand AS project, 'P' || l_partkey AS name FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_suppkey % 3 = 0 AND l_quantity > 45)"
+PRESENT_SQL = "pr AS (SELECT DISTINCT '/proj/' || p_brand AS project, 'P' || l_partkey AS name FROM part JOIN (SELECT l_partkey FROM lineitem GROUP BY l_partkey HAVING count(*) % 3 <> 0) ON p_partkey = l_partkey)"
 
 
 def present_names(spark, sf):
-    sold = table(spark, sf, "lineitem").where("l_suppkey % 3 = 0 and l_quantity > 45").select("l_partkey")
+    sold = table(spark, sf, "lineitem").groupBy("l_partkey").agg(F.count("*").alias("n")).where("n % 3 <> 0").select("l_partkey")
     part = table(spark, sf, "part").select("p_partkey", "p_brand")
     return sold.join(part, F.col("p_partkey") == F.col("l_partkey")).select(
         F.concat(F.lit("/proj/"), "p_brand").alias("project"), F.concat(F.lit("P"), "l_partkey").alias("name")).distinct()
@@ -239,12 +239,12 @@ def j15_scope(spark, sf):
     return sc.resolve_scope(requests, projects).select("k", "scope", "env_name", "vault_path", "merge_with_global", "error")
 
 
-@query("j17_rule_conflicts", """WITH d AS (SELECT DISTINCT left(p_name, 7) AS rule FROM part WHERE p_size > 45 AND p_partkey % 3 = 0),
+@query("j17_rule_conflicts", """WITH d AS (SELECT left(p_name, 7) AS rule FROM part GROUP BY 1 HAVING count(*) % 2 = 1),
     a AS (SELECT DISTINCT p_name || ' ' || p_type || ':* — note ' || (p_size % 3) AS entry FROM part)
     SELECT entry FROM a WHERE EXISTS (SELECT 1 FROM d WHERE starts_with(replace(trim(string_split(entry, ' — ')[1]), ':*', ' *'), trim(rule)))""")
 def j17_rule_conflicts(spark, sf):
     part = table(spark, sf, "part")
-    deny = part.where("p_size > 45 and p_partkey % 3 = 0").select(F.left("p_name", F.lit(7)).alias("entry")).distinct()
+    deny = part.groupBy(F.left("p_name", F.lit(7)).alias("entry")).agg(F.count("*").alias("n")).where("n % 2 = 1").select("entry")
     allow = part.select(F.concat("p_name", F.lit(" "), "p_type", F.lit(":* — note "), F.col("p_size") % 3).alias("entry")).distinct()
     return rules.rule_conflicts(allow, deny)
 
@@ -266,9 +266,9 @@ def u2_union_names(spark, sf):
     return inv.union_names(a, table(spark, sf, "orders").where("o_orderstatus = 'F'").select(F.concat(F.lit("C"), "o_custkey").alias("name")))
 
 
-@query("u3_missing_names", "SELECT c_custkey AS name FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P' AND o_totalprice > 100000")
+@query("u3_missing_names", "SELECT c_custkey AS name FROM customer EXCEPT SELECT o_custkey FROM orders GROUP BY o_custkey HAVING count(*) >= 10")
 def u3_missing_names(spark, sf):
-    return inv.missing(table(spark, sf, "customer").select(F.col("c_custkey").alias("name")), table(spark, sf, "orders").where("o_orderstatus = 'P' and o_totalprice > 100000").select(F.col("o_custkey").alias("name")))
+    return inv.missing(table(spark, sf, "customer").select(F.col("c_custkey").alias("name")), table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("name")).agg(F.count("*").alias("n")).where("n >= 10").select("name"))
 
 
 @query("u4_refreshed_rules", """WITH r AS (SELECT p_partkey, ['user ' || p_size, 'old ' || (p_size % 4), 'ours a'] AS existing, ['ours a', 'ours ' || (p_size % 3)] AS ours, ['old 1', 'old 2', 'ours a'] AS old FROM part),
