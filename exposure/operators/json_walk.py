@@ -88,6 +88,16 @@ def walk(raw: Column, gated: bool = False) -> Column:
     return pandas_udf(_gated_strings if gated else _all_strings, WALKED)(raw)
 
 
+def not_json(raw: Column) -> Column:
+    """Whether a text that is not blank is no JSON document."""
+
+    @pandas_udf("boolean")
+    def broken(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: bool(x and x.strip()) and x.strip() != "null" and _parse(x) is None)
+
+    return broken(raw)
+
+
 def json_strings(df: DataFrame, column: str) -> DataFrame:
     """One row per string value at any depth (not keys), with its position in the document."""
     return df.withColumn("__walked", walk(F.col(column))).select(*df.columns, F.inline("__walked"))

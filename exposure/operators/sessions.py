@@ -70,19 +70,24 @@ def session_replay(requests: DataFrame, minutes: int = fixed.SESSION_MINUTES, **
 
 
 def dispatch(requests: DataFrame, names: DataFrame, key: str = "request_id") -> DataFrame:
-    """Outcome per verb: value-returning verbs are always denied, runs with unknown names too, other verbs are unknown."""
+    """Outcome per verb: value-returning verbs are always denied, runs with unknown names too, other verbs are unknown.
+
+    Where requests have a ``command``, a run without one is denied.
+    """
     from exposure.operators.inventory import unknown_names
 
     lacking = unknown_names(requests.where("verb = 'run'"), names, key).select(key).distinct().withColumn("__lacking", F.lit(True))
     verb = F.col("verb")
+    bare = (verb == "run") & (F.trim(F.coalesce("command", F.lit(""))) == "") if "command" in requests.columns else F.lit(False)
     result = (
-        F.when((verb == "run") & F.col("__lacking").isNotNull(), "denied")
+        F.when(bare | ((verb == "run") & F.col("__lacking").isNotNull()), "denied")
         .when(verb.isin("run", "list", "status", "lock", "renew"), "allowed")
         .when(verb.isin(*fixed.VALUE_VERBS), "denied")
         .otherwise("unknown")
     )
     reason = (
-        F.when((verb == "run") & F.col("__lacking").isNotNull(), "unknown secrets")
+        F.when(bare, "no_command")
+        .when((verb == "run") & F.col("__lacking").isNotNull(), "unknown secrets")
         .when(verb.isin(*fixed.VALUE_VERBS), "guard has no value-return verbs")
         .when(result == "unknown", F.concat(F.lit("unknown verb: "), verb))
     )

@@ -118,7 +118,7 @@ def transcript_counts(tiers: DataFrame) -> DataFrame:
 def transcript_findings(tiers: DataFrame, scope: str = "deep") -> DataFrame:
     """Findings of transcript files, with line lists and names as arrays.
 
-    The arrays are bounded by the file, which is at most 100 MiB. For tables without such a bound
+    The arrays are bounded by the hits of one file. For tables without such a bound
     use :func:`transcript_counts`, :func:`line_hits`, :func:`hit_line_pages` and :func:`transcript_names`.
     """
     # Hits are few beside the lines they come from. They are written once and read three times.

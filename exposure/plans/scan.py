@@ -11,8 +11,10 @@ from exposure.operators import findings as fd
 from exposure.operators.detection import hits
 from exposure.operators.file_findings import file_findings
 from exposure.operators.transcripts import line_tiers, string_hits, transcript_findings
-from exposure.sources.files import home_candidates, scan_tree
-from exposure.sources.lines import transcripts
+from exposure.operators.json_walk import may_matter, not_json
+from exposure.sources.files import home_candidates, scan_tree, scannable_tree
+from exposure.sources.lines import transcript_files, transcripts
+from exposure.sources.tree import unreadable
 
 
 def scan_texts(texts: DataFrame) -> DataFrame:
@@ -34,6 +36,16 @@ def leak_scan(
     return fd.union_scopes(project, file_findings(deep_files, "deep").unionByName(spoken), dedupe)
 
 
+def skipped(spark: SparkSession, root: str, homes: Sequence[str] = (), private_dirs: Sequence[str] = (), include_excluded: bool = False) -> DataFrame:
+    """``reason, n``: what :func:`leak_scan` with the same arguments leaves out: files it cannot read, and transcript lines that are not JSON."""
+    out = unreadable(scannable_tree(spark, root, private_dirs, include_excluded))
+    if not homes:
+        return out
+    lines = transcripts(spark, list(homes))
+    broken = lines.where(may_matter(F.col("raw")) & not_json(F.col("raw"))).agg(F.lit("not JSON").alias("reason"), F.count("*").alias("n"))
+    return out.unionByName(unreadable(transcript_files(spark, list(homes)))).unionByName(broken).groupBy("reason").agg(F.sum("n").alias("n"))
+
+
 def source_exposure(texts: DataFrame, sources: DataFrame, key: str) -> DataFrame:
     """Tier counts and gate totals per source; sources without a leak stay, with zeros."""
     found = fd.leak_counts(scan_texts(texts), (key,))

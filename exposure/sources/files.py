@@ -41,14 +41,20 @@ def scan_tree(
 
     Excluded folders are not entered, and only files of interest are read.
     """
+    return read_files(scannable_tree(spark, root, private_dirs, include_excluded))
+
+
+def scannable_tree(
+    spark: SparkSession, root: str, private_dirs: Sequence[str] = (), include_excluded: bool = False
+) -> DataFrame:
+    """The listing that :func:`scan_tree` reads."""
     out = tuple(private_dirs) if include_excluded else (*fixed.EXCLUDED_DIRS, *private_dirs)
 
     def descend(name: Column) -> Column:
         kept = ~name.isin(*out) if out else F.lit(True)
         return kept if include_excluded else kept & ~name.endswith(fixed.EXCLUDED_DIR_SUFFIX)
 
-    listing = select_files(list_tree(spark, [root], descend), root, private_dirs, include_excluded)
-    return read_files(scannable(listing))
+    return scannable(select_files(list_tree(spark, [root], descend), root, private_dirs, include_excluded))
 
 
 def scannable(files: DataFrame) -> DataFrame:

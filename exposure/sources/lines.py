@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from exposure.functions import fixed
 from exposure.operators.ordered import carry_last, last_wins
 from exposure.sources.texts import decoded
-from exposure.sources.tree import list_tree, read_files
+from exposure.sources.tree import list_tree, read_lines
 
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
@@ -54,9 +54,8 @@ def dotenv_entries(lines: DataFrame) -> DataFrame:
 
 
 def transcripts(spark: SparkSession, homes: list[str]) -> DataFrame:
-    """Lines of known agent transcripts below the homes; files over 100 MiB are left to :func:`oversized`."""
-    files = transcript_files(spark, homes).where(F.col("length") <= fixed.MAX_TRANSCRIPT_BYTES)
-    return lines(read_files(files), r"\r\n|[\n\r]")
+    """Lines of known agent transcripts below the homes, of any size: lines leave a file as it is read."""
+    return read_lines(transcript_files(spark, homes))
 
 
 def transcript_files(spark: SparkSession, homes: list[str]) -> DataFrame:
@@ -72,7 +71,7 @@ def transcript_files(spark: SparkSession, homes: list[str]) -> DataFrame:
 
 
 def oversized(files: DataFrame) -> DataFrame:
-    """Transcripts that a scan skips for their size, counted instead of silently lost."""
+    """How many transcripts are over 100 MiB. They are scanned like the others; the count is for a report."""
     return files.where(F.col("length") > fixed.MAX_TRANSCRIPT_BYTES).agg(
         F.lit("oversized").alias("reason"), F.count("*").alias("n")
     )
@@ -110,13 +109,15 @@ def manifest_rows(lines: DataFrame) -> DataFrame:
     pair = raw.rlike(_PAIR)
     readable = raw.rlike(_BLANK) | raw.rlike(_TABLE) | raw.rlike(_LEGACY) | raw.rlike(_OTHER) | pair
     ours = F.col("section.kind").isin("table", "legacy")
+    # What another section holds (arrays over several lines, say) is its own business.
+    elsewhere = F.coalesce(F.col("section.kind") == "other", F.lit(False))
     bad_type = ours & pair & (
         ((key == "required") & flag.isNull()) | (key.isin("description", "env", "name") & text.isNull())
         | ((key == "env") & (text == ""))
     )
     rows = section.select(
         "path", "line_no", "section", key.alias("key"), text.alias("text"), flag.alias("flag"),
-        F.when(~readable, F.format_string("line %d cannot be read", "line_no"))
+        F.when(~readable & (~elsewhere | raw.rlike(r"^\s*\[+\s*secret")), F.format_string("line %d cannot be read", "line_no"))
         .when(bad_type, F.format_string("line %d: %s has the wrong type", F.col("line_no"), key)).alias("problem"),
         ours.alias("ours"),
     )

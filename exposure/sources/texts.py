@@ -23,8 +23,9 @@ def texts(
     part_col: str | None = None,
     max_bytes: int | None = None,
     unescape: bool = False,
+    drop_binary: bool = False,
 ) -> DataFrame:
-    """Normalise a table to ``texts``; rows with a NUL in the first 4,096 bytes are binary and go.
+    """Normalise a table to ``texts``. With ``drop_binary``, rows with a NUL in the first 4,096 bytes go, as for files.
 
     Whole texts are scanned. ``max_bytes`` (256,000 for files, as a command-line scan would read)
     cuts on bytes before decoding and is off unless asked for.
@@ -40,9 +41,10 @@ def texts(
     part = F.col(part_col).cast("int") if part_col else F.lit(0)
     head = F.encode(F.left(text, F.lit(fixed.BINARY_PROBE_BYTES)), "UTF-8")
     probe = F.substring(head, 1, fixed.BINARY_PROBE_BYTES).cast("string")
-    return df.select(
+    rows = df.select(
         F.lit(src).alias("src"), F.col(id_col).cast("string").alias("id"), part.alias("part"), text.alias("text")
-    ).where(F.col("text").isNotNull() & ~probe.contains("\x00"))
+    ).where(F.col("text").isNotNull() & (~probe.contains("\x00") if drop_binary else F.lit(True)))
+    return rows
 
 
 def decoded(content: Column, max_bytes: int | None = None) -> Column:

@@ -16,6 +16,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from exposure.functions import fixed
 from exposure.session import checkpoint
 
 # Executors get the functions themselves and need not have this package.
@@ -90,6 +91,43 @@ def _contents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(held, columns=[*batch.columns, "content"])
 
 
+def _lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Lines of text files, read on from the file; a file of any size is never in memory as a whole."""
+    import io
+
+    def opened(path: str):
+        if "://" in path:
+            from pyarrow import fs
+
+            system, inner = fs.FileSystem.from_uri(path)
+            return system.open_input_stream(inner)
+        return open(path, "rb")
+
+    def rows(path: str) -> Iterator[tuple[str, int, str]]:
+        try:
+            with opened(path) as probe:
+                if b"\0" in probe.read(fixed.BINARY_PROBE_BYTES):
+                    return
+            with opened(path) as raw:
+                for i, line in enumerate(io.TextIOWrapper(raw, encoding="utf-8", errors="replace", newline=None)):
+                    yield path, i + 1, line.removesuffix("\n")
+        except OSError:
+            return
+
+    columns = ["path", "line_no", "raw"]
+    for batch in batches:
+        held: list[tuple] = []
+        size = 0
+        for path in batch["path"]:
+            for row in rows(path):
+                held.append(row)
+                size += len(row[2])
+                if size >= BATCH_BYTES // 4:
+                    yield pd.DataFrame(held, columns=columns)
+                    held, size = [], 0
+        yield pd.DataFrame(held, columns=columns)
+
+
 def list_tree(
     spark: SparkSession, roots: Sequence[str] | DataFrame, descend: Callable[[Column], Column] | None = None
 ) -> DataFrame:
@@ -116,6 +154,17 @@ def stat_files(paths: DataFrame) -> DataFrame:
     return entries.join(paths.select("path").distinct(), "path", "left_semi").select("path", "length", "modificationTime")
 
 
+def read_lines(listing: DataFrame) -> DataFrame:
+    """``path, line_no, raw`` of text files of any size; binary files and those that cannot be read have no lines."""
+    return listing.select("path").mapInPandas(_lines, "path string, line_no int, raw string")
+
+
+def unreadable(listing: DataFrame) -> DataFrame:
+    """``reason, n``: how many files a scan leaves out because they cannot be read."""
+    left = listing.select("path").join(read_files(listing).select("path"), "path", "left_anti")
+    return left.agg(F.lit("unreadable").alias("reason"), F.count("*").alias("n"))
+
+
 def read_files(listing: DataFrame) -> DataFrame:
     """Add ``content``; files that cannot be read are left out."""
     schema = "path string, length long, modificationTime timestamp, content binary"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from exposure.operators.audit import audit_windows as windows
@@ -31,14 +31,25 @@ def dedup_audit(stream: DataFrame, keys: list[str], delay: str = LATENESS) -> Da
     return watermarked(stream, delay).dropDuplicatesWithinWatermark(keys)
 
 
-def late_report(newest: Column | None = None, delay_seconds: int = 600) -> Callable[[DataFrame, int], DataFrame]:
+def late_report(store: str | None = None, delay_seconds: int = 600) -> Callable[[DataFrame, int], DataFrame]:
     """For ``foreachBatch``: how many rows of a batch lie behind the newest time seen less the delay.
 
-    Such rows are counted, and no decision changes through them.
+    Such rows are counted, and no decision changes through them. With ``store``, a folder, the newest time of every
+    batch is kept there, so a report that is started again counts on; a batch that is run again sees earlier ones only.
     """
     seen: dict[str, float] = {"newest": float("-inf")}
 
+    def before(batch: DataFrame, batch_id: int) -> float:
+        spark = batch.sparkSession
+        at = spark._jvm.org.apache.hadoop.fs.Path(store)
+        if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+            return float("-inf")
+        row = spark.read.schema("batch_id long, newest double").parquet(store).where(F.col("batch_id") < batch_id).agg(F.max("newest").alias("newest")).first()
+        return float("-inf") if row["newest"] is None else row["newest"]
+
     def report(batch: DataFrame, batch_id: int) -> DataFrame:
+        if store is not None:
+            seen["newest"] = before(batch, batch_id)
         limit = seen["newest"] - delay_seconds
         at = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
         out = batch.agg(
@@ -48,6 +59,8 @@ def late_report(newest: Column | None = None, delay_seconds: int = 600) -> Calla
         row = out.first()
         if row["newest"] is not None:
             seen["newest"] = max(seen["newest"], row["newest"])
+            if store is not None:
+                batch.sparkSession.createDataFrame([(batch_id, row["newest"])], "batch_id long, newest double").coalesce(1).write.mode("append").parquet(store)
         return batch.sparkSession.createDataFrame([(batch_id, row["n"], row["late"])], "batch_id long, n long, late long")
 
     return report

@@ -138,8 +138,10 @@ def test_no_value_leaves(spark):
 
 def test_binary_and_long_texts(spark):
     long = "x " * 200_000 + f"token={X.MIXED}"
-    t = texts(spark.createDataFrame([("a", "a\x00token=" + X.MIXED), ("b", long)], "id string, text string"), "t", "id", "text")
+    t = texts(spark.createDataFrame([("a", "a\x00token=" + X.MIXED), ("b", long)], "id string, text string"), "t", "id", "text", drop_binary=True)
     assert [r.id for r in D.hits(t).collect()] == ["b"]
+    both = texts(spark.createDataFrame([("a", "a\x00token=" + X.MIXED), ("b", long)], "id string, text string"), "t", "id", "text")
+    assert sorted(r.id for r in D.hits(both).collect()) == ["a", "b"]
     cut = texts(spark.createDataFrame([("b", long), ("c", "é" * 10 + f" token={X.MIXED}")], "id string, text string"), "t", "id", "text", max_bytes=256_000)
     assert [r.id for r in D.hits(cut).collect()] == ["c"]
 

@@ -36,6 +36,9 @@ env = "A_ENV"
 required = false
 [other]
 env = 5
+list = [
+  "a",
+]
 [[secret]]
 name = "A"
 required = false
@@ -107,7 +110,7 @@ def test_sinks(spark, tmp_path):
     sinks.write_findings(f, str(tmp_path / "f"))
     sinks.write_summary(A.summary(f), str(tmp_path / "s"))
     record = json.loads(next((tmp_path / "s").glob("part-*.json")).read_text())
-    assert record["leak_count"] == 1 and "Values are never included" in record["detection_note"]
+    assert record["leak_count"] == 1 and "No values" in record["detection_note"]
 
 
 def test_ordered(spark):
@@ -125,3 +128,37 @@ def test_snapshot(spark):
     cur = spark.createDataFrame([("a", "1"), ("b", "9"), ("c", None), ("d", "4"), ("e", None)], "source string, content string")
     assert {r.source: (r.status, r.use_previous) for r in INV.snapshot_refresh(prev, cur).collect()} == {
         "a": ("unchanged", True), "b": ("changed", False), "c": ("kept", True), "d": ("new", False), "e": ("unreadable", False)}
+
+
+def test_deep_trees_long_files_and_what_is_skipped(spark, tmp_path):
+    """No limit on levels or sizes, lone surrogates are no trouble, and what is left out is counted."""
+    from exposure.plans.scan import leak_scan, skipped
+
+    deep = tmp_path / "p"
+    for i in range(60):
+        deep = deep / f"d{i}"
+    deep.mkdir(parents=True)
+    secret = "Qx7mZp2Lw9Rt4Vb6"
+    (deep / "far.txt").write_text("x " * 150_000 + f"token={secret}")
+    assert [r.secret_count for r in leak_scan(spark, str(tmp_path / "p")).collect()] == [1]
+    home = tmp_path / "home"
+    from exposure.functions import fixed
+
+    shape = fixed.TRANSCRIPT_LAYOUTS[0]
+    folder = home / shape[0] / "a"
+    folder.mkdir(parents=True)
+    name = next(n for n in ("s.jsonl", "a/s.jsonl", "rollout-1.jsonl") if __import__("re").fullmatch(shape[1], f"a/{n}"))
+    (folder / name).parent.mkdir(parents=True, exist_ok=True)
+    (folder / name).write_text(json.dumps({"a": f"token={secret} \ud83d"}) + "\n{token broken\n")
+    found = {r.kind: r.secret_count for r in leak_scan(spark, str(tmp_path / "p"), [str(home)]).collect()}
+    assert found.get("agent_session_transcript") == 1
+    assert {r.reason: r.n for r in skipped(spark, str(tmp_path / "p"), [str(home)]).collect()} == {"unreadable": 0, "not JSON": 1}
+
+
+def test_run_without_command(spark):
+    from exposure.operators.sessions import dispatch
+
+    rows = [(1, "run", ["A"], "ls"), (2, "run", ["A"], " "), (3, "run", ["B"], "ls"), (4, "list", None, None)]
+    requests = spark.createDataFrame(rows, "request_id long, verb string, secret_names array<string>, command string")
+    got = {r.request_id: (r.result, r.reason) for r in dispatch(requests, spark.createDataFrame([("A",)], "name string")).collect()}
+    assert got == {1: ("allowed", None), 2: ("denied", "no_command"), 3: ("denied", "unknown secrets"), 4: ("allowed", None)}

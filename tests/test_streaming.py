@@ -68,6 +68,9 @@ def test_late_report(spark, tmp_path):
     one = spark.createDataFrame([(T0,), (T0 + timedelta(hours=1),)], "ts timestamp")
     two = spark.createDataFrame([(T0,), (T0 + timedelta(hours=2),)], "ts timestamp")
     assert [tuple(report(b, i).first()) for i, b in enumerate((one, two))] == [(0, 2, 0), (1, 2, 1)]
+    store = str(tmp_path / "late")
+    # Each batch is reported by a process of its own, the second one twice.
+    assert [tuple(SA.late_report(store)(b, i).first()) for i, b in ((0, one), (1, two), (1, two))] == [(0, 2, 0), (1, 2, 1), (1, 2, 1)]
 
 
 def test_admission_stream_equals_replay(spark, tmp_path):
