@@ -29,13 +29,33 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def save(df: DataFrame, name: str) -> DataFrame:
-    """Write an intermediate table to the shared folder and read it again: this cuts the lineage, and a lost executor costs nothing before it."""
-    path = f"{shared_folder(df.sparkSession)}/llm-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
+#: Spark's own setting: shuffle files of a finished query go at once, not when the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def write(df: DataFrame, path: str) -> DataFrame:
+    """Write a table and read it again: this cuts the lineage, a lost executor costs nothing before it, and the shuffles behind it are no longer needed."""
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP, "false")
+    conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(CLEANUP, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def save(df: DataFrame, name: str) -> DataFrame:
+    """``write`` to a place of its own in the shared folder."""
+    return write(df, f"{shared_folder(df.sparkSession)}/llm-{uuid.uuid4().hex}/{name}")
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a table that is no longer read."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """Batches in parts of a few rows, so that what is made of one part is small."""
     for batch in batches:

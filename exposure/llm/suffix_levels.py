@@ -7,8 +7,8 @@ and a level, may begin a long match. Then the batch becomes a level, and as long
 suffix is rewritten once for each doubling of the corpus.
 
 What the scans find is then made exact on the texts. The strings of an anchor are the bytes around it (its context). Contexts that are found twice repeat as a whole. Where
-an anchor's leading bytes have several contexts, every string of one of each is hashed, and those found twice repeat; counts are aggregated before
-each shuffle, so a passage that a third of all documents share is no hot group. Hashes have 64 bits and are compared only for equality of strings of one length.
+an anchor's leading bytes have several contexts, every string of one of each is hashed, and those found twice repeat: within parts of CLASS contexts first, and where there
+are more parts over all of them. Counts are aggregated before each shuffle, so a passage that a third of all documents share is no hot group. Hashes have 64 bits and are compared only for equality of strings of one length.
 
 Defined cases: a null text is the empty one; a text shorter than ``length`` has no match; every row counts as a text of its own, so repeated rows match each
 other; null ids stay null; an empty table gives an empty one; other columns are not read. Removing may cut a UTF-8 sequence apart: ``kept`` is bytes.
@@ -26,12 +26,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from exposure.llm.common import kind_of, shared_folder, slices
+from exposure.llm.common import discard, kind_of, shared_folder, slices, write
 
 GRAM = 32
 #: Bytes looked at together; longer texts are taken in overlapping pieces, with the same anchors.
 PIECE = 1 << 19
 PLACE = np.uint64((1 << 20) - 1)
+#: Contexts of one anchor's class that are compared in one place.
+CLASS = 256
 #: Bits of the filter that keeps texts without any match out of a shuffle: its size is fixed, whatever the corpus.
 FILTER_BITS = 26
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -115,16 +117,12 @@ class Levels:
 
     def save(self, df: DataFrame, name: str) -> str:
         path = f"{self.folder}/{name}-{uuid.uuid4().hex}"
-        df.write.parquet(path)
+        write(df, path)
         return path
 
     def read(self, path: str) -> DataFrame:
         return self.spark.read.parquet(path)
 
-    def drop(self, path: str) -> None:
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
-
     def entries(self) -> DataFrame | None:
         out = None
         for _, path in self.levels:
@@ -143,8 +141,8 @@ class Levels:
             (n, a), (m, b) = self.levels[-2:]
             merged = self.save(self.read(a).union(self.read(b)).repartition("gram", "doc").sortWithinPartitions("gram"), "level")
             self.levels[-2:] = [(n + m, merged)]
-            self.drop(a)
-            self.drop(b)
+            discard(self.spark, a)
+            discard(self.spark, b)
 
     def repeated(self) -> DataFrame:
         out = self.read(self.hits[0])
@@ -193,24 +191,72 @@ def contexts(held: DataFrame, length: int) -> DataFrame:
     return held.select("doc", "raw", "places").mapInArrow(run, "gram bigint, context bigint, doc bigint, low bigint, high bigint")
 
 
-def strings(held: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """h, doc, start, alone: the hash of every string of the wanted anchors (doc, low, high, alone)."""
+def around(held: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
+    """gram, part, shared, doc, low, alone, bytes: the bytes of the wanted contexts."""
 
     def run(batches: Iterable[pa.RecordBatch]):
-        for b in slices(batches, 16):
-            hashes, docs, starts, alone = [], [], [], []
+        for b in slices(batches, 64):
+            at, rows = [], []
             for i, (raw, spans) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist())):
-                view = memoryview(raw)
-                for s in spans:
-                    at = range(s["low"], s["high"] + 1)
-                    hashes += [xxhash.xxh3_64_intdigest(view[p : p + length]) for p in at]
-                    starts += at
-                    docs += [i] * len(at)
-                    alone += [s["alone"]] * len(at)
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(hashes, np.uint64).view(np.int64)), b.column(0).take(pa.array(docs, pa.int64())), pa.array(starts, pa.int64()), pa.array(alone, pa.bool_())], ["h", "doc", "start", "alone"])
+                at += [i] * len(spans)
+                rows += [(s["gram"], s["part"], s["shared"], s["low"], s["alone"], raw[s["low"] : s["high"] + length]) for s in spans]
+            kinds = (pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.bool_(), pa.binary())
+            gram, part, shared, low, alone, raw = (pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds))
+            yield pa.RecordBatch.from_arrays([gram, part, shared, b.column(0).take(pa.array(at, pa.int64())), low, alone, raw], ["gram", "part", "shared", "doc", "low", "alone", "bytes"])
+
+    lists = wanted.groupBy("doc").agg(F.collect_set(F.struct("gram", "part", "shared", "low", "high", "alone")).alias("spans"))
+    one = held.select("doc", "raw").dropDuplicates(["doc"]) if held.select("doc", "id").groupBy("doc").count().where("count > 1").limit(1).count() else held.select("doc", "raw")
+    return one.join(lists, "doc").select("doc", "raw", "spans").mapInArrow(run, "gram bigint, part int, shared boolean, doc bigint, low bigint, alone boolean, bytes binary")
 
-    lists = wanted.groupBy("doc").agg(F.collect_set(F.struct("low", "high", "alone")).alias("spans"))
-    return held.dropDuplicates(["doc"]).select("doc", "raw").join(lists, "doc").mapInArrow(run, "h bigint, doc bigint, start bigint, alone boolean")
+
+def found_within(contexts: DataFrame, length: int) -> DataFrame:
+    """What the contexts of one part of an anchor's class show: doc, low, high of repeated strings (h is null), and where the class has more parts,
+    each string once for a count over all of them (h; ``alone``: not found twice here, so the answer concerns doc and low)."""
+
+    def run(batches: Iterable[pa.RecordBatch]):
+        key, group, out = None, [], []
+        for b in batches:
+            for row in zip(*(c.to_pylist() for c in b.columns)):
+                if row[:2] != key:
+                    _within(group, length, out)
+                    key, group = row[:2], []
+                group.append(row)
+            if len(out) > 10_000:
+                yield _batch(out)
+                out = []
+        _within(group, length, out)
+        yield _batch(out)
+
+    return contexts.repartition("gram", "part").sortWithinPartitions("gram", "part").mapInArrow(run, "h bigint, doc bigint, low bigint, high bigint, alone boolean")
+
+
+def _within(group: list[tuple], length: int, out: list[tuple]) -> None:
+    seen: dict[int, int] = {}
+    hashed = []
+    for row in group:
+        view = memoryview(row[6])
+        hashes = [xxhash.xxh3_64_intdigest(view[p : p + length]) for p in range(len(view) - length + 1)]
+        hashed.append(hashes)
+        for h in hashes:
+            seen[h] = seen.get(h, 0) + 1
+    told = set()
+    for (_, _, shared, doc, low, alone, _), hashes in zip(group, hashed):
+        first = None
+        for p, h in enumerate([*hashes, None]):
+            twice = h is not None and seen[h] > 1
+            if alone and twice and first is None:
+                first = p
+            if first is not None and not twice:
+                out.append((None, doc, low + first, low + p - 1 + length, None))
+                first = None
+            if shared and h is not None and h not in told:
+                told.add(h)
+                out.append((h - (1 << 64) if h >> 63 else h, doc, low + p, low + p + length, alone and not twice))
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["h", "doc", "low", "high", "alone"])
 
 
 def repeated_spans(index: Levels, held: DataFrame) -> DataFrame:
@@ -220,11 +266,13 @@ def repeated_spans(index: Levels, held: DataFrame) -> DataFrame:
     each = all_contexts.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min_by(F.struct("doc", "low", "high"), F.struct("doc", "low")).alias("one"))
     each = index.read(index.save(each, "each"))
     whole = all_contexts.join(each.where("n > 1").select("gram", "context"), ["gram", "context"]).select("doc", F.col("low"), (F.col("high") + length).alias("high"))
-    several = each.groupBy("gram").agg(F.count("*").alias("k")).where("k > 1").select("gram")
-    wanted = each.join(several, "gram").select("one.doc", "one.low", "one.high", (F.col("n") == 1).alias("alone"))
-    found = index.read(index.save(strings(held, wanted, length), "strings"))
-    twice = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    some = found.where("alone").join(twice, "h").select("doc", F.col("start").alias("low"), (F.col("start") + length).alias("high"))
+    several = each.groupBy("gram").agg(F.count("*").alias("k")).where("k > 1")
+    parts = F.ceil(F.col("k") / CLASS).cast("int")
+    wanted = each.join(several, "gram").select("gram", F.pmod(F.xxhash64("context"), parts).cast("int").alias("part"), (parts > 1).alias("shared"), "one.doc", "one.low", "one.high", (F.col("n") == 1).alias("alone"))
+    found = index.read(index.save(found_within(around(held, wanted, length), length), "found"))
+    across = found.where("h is not null")
+    twice = across.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    some = found.where("h is null").union(across.where("alone").join(twice, "h").select(*found.columns)).select("doc", "low", "high")
     return whole.union(some).groupBy("doc").agg(F.collect_set(F.struct("low", "high")).alias("spans"))
 
 
@@ -248,6 +296,8 @@ def cut(docs: DataFrame, length: int = 200, batches: int = 4, id_col: str = "doc
         batch = rows if low is None else rows.where(F.col("doc") > low)
         index.add(batch if high is None else batch.where(F.col("doc") <= high))
     matches = index.read(index.save(index.matches(), "matches"))
+    for _, path in index.levels:  # a standing index would keep them
+        discard(index.spark, path)
     held = index.read(index.save(holders(rows, matches), "held"))
     spans = repeated_spans(index, held)
 

@@ -44,9 +44,10 @@ def texts(seed, length):
     return list(enumerate(out))
 
 
-@pytest.mark.parametrize("length,batches,piece", [(64, 4, 1 << 19), (64, 3, 150), (100, 1, 1 << 19)])
-def test_against_every_string(spark, monkeypatch, length, batches, piece):
+@pytest.mark.parametrize("length,batches,piece,most", [(64, 4, 1 << 19, 256), (64, 3, 150, 2), (100, 1, 1 << 19, 3)])
+def test_against_every_string(spark, monkeypatch, length, batches, piece, most):
     monkeypatch.setattr(sl, "PIECE", piece)
+    monkeypatch.setattr(sl, "CLASS", most)
     rows = texts(length + batches, length)
     docs = spark.createDataFrame([(i, t, "g", 3, 4) for i, t in rows], "doc_id long, text string, gram string, low int, doc int").repartition(4)
     assert result(sl.digests(docs, length, batches)) == by_hand(rows, length)
