@@ -61,6 +61,27 @@ def c6_policy_decisions(spark, sf):
     return cmd.policy_decisions(command_log(spark, sf), cmd.policy_rules(spark, TOOL), [TOOL])
 
 
+@query("c6_nested_decisions", """SELECT event_id AS cmd_id, CASE WHEN event_id % 2 = 0 THEN 'deny' ELSE 'allow' END AS decision,
+    CASE WHEN event_id % 2 = 0 THEN repeat('vaultctl run wrapping ', (event_id % 11)::INT) || 'vaultctl set' END AS kind FROM events""")
+def c6_nested_decisions(spark, sf):
+    """Up to ten wrappings around a command, denied or not."""
+    n = (F.col("event_id") % 11).cast("int")
+    text = F.concat(F.repeat(F.lit("vaultctl run -- "), n), F.when(F.col("event_id") % 2 == 0, "vaultctl set A").otherwise("vaultctl list"))
+    log = table(spark, sf, "events").select(F.col("event_id").alias("cmd_id"), text.alias("text"))
+    return cmd.policy_decisions(log, cmd.policy_rules(spark, TOOL), [TOOL])
+
+
+@query("c6_two_tools", """SELECT event_id AS cmd_id, CASE WHEN event_type = 'click' THEN 'deny' ELSE 'allow' END AS decision, CASE WHEN event_type = 'click' THEN 'vaultctl click' END AS kind FROM events""")
+def c6_two_tools(spark, sf):
+    """Every type of event is a verb; one is denied here, all are denied under another tool."""
+    events = table(spark, sf, "events")
+    none = F.lit(None).cast("string").alias("sub")
+    elsewhere = events.select(F.lit("other").alias("tool"), F.col("event_type").alias("verb"), none, F.lit("deny").alias("effect")).distinct()
+    own = elsewhere.select(F.lit(TOOL).alias("tool"), "verb", "sub", F.when(F.col("verb") == "click", "deny").otherwise("allow").alias("effect"))
+    log = events.select(F.col("event_id").alias("cmd_id"), F.concat(F.lit("vaultctl "), "event_type").alias("text"))
+    return cmd.policy_decisions(log, elsewhere.unionByName(own), [TOOL])
+
+
 LEAK_SQL = "'Zk9pL2xQ' || event_id || 'vB8w'"
 
 
