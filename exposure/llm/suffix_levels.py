@@ -32,8 +32,8 @@ GRAM = 32
 #: Bytes looked at together; longer texts are taken in overlapping pieces, with the same anchors.
 PIECE = 1 << 19
 PLACE = np.uint64((1 << 20) - 1)
-#: Contexts of one anchor's class that are compared in one place.
-CLASS = 256
+#: Contexts of one anchor's class that are compared in one place (some 40 MB with the hashes of their strings).
+CLASS = 4096
 #: Bits of the filter that keeps texts without any match out of a shuffle: its size is fixed, whatever the corpus.
 FILTER_BITS = 26
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -152,7 +152,8 @@ class Levels:
 
     def matches(self) -> DataFrame:
         """doc and the places of its suffixes whose leading bytes are repeated."""
-        return self.entries().join(self.repeated(), "gram").groupBy("doc").agg(F.collect_set("place").alias("places"))
+        repeated = self.read(self.save(self.repeated(), "repeated"))  # a table of its own, so that a join can split a hot key
+        return self.entries().join(repeated, "gram").groupBy("doc").agg(F.collect_set("place").alias("places"))
 
 
 def holders(rows: DataFrame, matches: DataFrame) -> DataFrame:
@@ -267,6 +268,7 @@ def repeated_spans(index: Levels, held: DataFrame) -> DataFrame:
     each = index.read(index.save(each, "each"))
     whole = all_contexts.join(each.where("n > 1").select("gram", "context"), ["gram", "context"]).select("doc", F.col("low"), (F.col("high") + length).alias("high"))
     several = each.groupBy("gram").agg(F.count("*").alias("k")).where("k > 1")
+    several = index.read(index.save(several, "several"))
     parts = F.ceil(F.col("k") / CLASS).cast("int")
     wanted = each.join(several, "gram").select("gram", F.pmod(F.xxhash64("context"), parts).cast("int").alias("part"), (parts > 1).alias("shared"), "one.doc", "one.low", "one.high", (F.col("n") == 1).alias("alone"))
     found = index.read(index.save(found_within(around(held, wanted, length), length), "found"))

@@ -44,7 +44,7 @@ def texts(seed, length):
     return list(enumerate(out))
 
 
-@pytest.mark.parametrize("length,batches,piece,most", [(64, 4, 1 << 19, 256), (64, 3, 150, 2), (100, 1, 1 << 19, 3)])
+@pytest.mark.parametrize("length,batches,piece,most", [(64, 4, 1 << 19, 4096), (64, 3, 150, 2), (100, 1, 1 << 19, 3)])
 def test_against_every_string(spark, monkeypatch, length, batches, piece, most):
     monkeypatch.setattr(sl, "PIECE", piece)
     monkeypatch.setattr(sl, "CLASS", most)
