@@ -10,11 +10,12 @@ registers. Registers agree about as often as the Jaccard index says, so bands of
 a probability of 2e-9.
 
 1. Equal sets are one class from the start (a digest, aggregated before the shuffle), however many copies there are.
-2. In each bucket of a band every class meets one hub: the class with the most copies. Sizes and the joint likelihood of the registers discard pairs that cannot be
-   links, with six standard deviations to spare; of each class the likeliest pair is verified first. That joins nearly all there is to join.
-3. Classes of one bucket that are then still in different components are held against each other by registers, in blocks of bounded size, and only pairs that may
-   be links leave the task. These, and the pairs of step 2 that still join different components, are verified. So no link that lies within a bucket is lost, and no
-   bucket is gathered in one task or expanded into pairs.
+2. In each bucket of a band every class meets one hub: the class with the most copies. The joint likelihood of the registers estimates how alike they are. Classes unlike the
+   hub (with room for error) meet a second hub of their own; what is unlike both is compared within the bucket, in blocks of bounded size. Of each class the likeliest pair is
+   verified on full sets: that joins nearly all there is to join.
+3. What hubs hold together is a group. Where a group still has several components, classes outside its largest one are held against all of the group, in blocks of bounded size:
+   first by sizes and registers, with six standard deviations to spare, then on full sets in the same task, as long as the two are not joined. Only links leave the task. So no link that
+   lies within a bucket is lost, no pair is written out, and no group is gathered in one task.
 
 Defined cases: a null text is the empty one; rows of one id are one document in the graph (each row is returned with its own n_shingles); a row with a null id is linked
 with nothing, its component_id is null and it is kept; repeated rows are returned each; an empty table gives an empty one; other columns are not read.
@@ -36,8 +37,10 @@ from exposure.llm.common import Cache, id_and_text, kind_of, save, slices
 REGISTERS, ROWS = 256, 5
 BANDS = REGISTERS // ROWS
 BASE, RATE, MOST = 1.001, 20.0, 65_535
-#: Members of a bucket that are held against as many others in one task.
-BLOCK = 1_024
+#: Members of a group that are held against as many others in one task.
+BLOCK = 512
+#: Estimates from the first on hold a group together; below the second a class also looks for another hub. If two classes are linked, their likeness to a hub differs by 0.2 at most.
+GROUPED, APART = 0.25, 0.6
 _PRIME, _GOLD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -159,34 +162,99 @@ def buckets(classes: DataFrame) -> DataFrame:
     return rows.join(shared, "key")
 
 
-def with_estimates(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """a, b, estimate: pairs of classes that may be links, by size and by the likelihood of their registers."""
+def with_estimates(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """a, b, n_a, n_b, estimate: the likeliest Jaccard index of each pair of classes."""
     kind = kind_of(classes, "rep")
 
     def run(batches: Iterable[pa.RecordBatch]):
         for batch in slices(batches, 4096):
             n, other = batch.column(2).to_numpy(), batch.column(3).to_numpy()
             e = estimates(as_registers(batch.column(4)), as_registers(batch.column(5)), n, other) if len(n) else np.zeros(0)
-            keep = pa.array(e >= least_estimate(percent))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(e)], ["a", "b", "estimate"]).filter(keep)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(e)], ["a", "b", "n_a", "n_b", "estimate"])
 
     left = classes.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("registers").alias("r_a"))
     right = classes.select(F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("registers").alias("r_b"))
-    both = pairs.join(left, "a").join(right, "b").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-    return both.select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(run, f"a {kind}, b {kind}, estimate double")
-
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "r_a", "r_b")
+    return both.mapInArrow(run, f"a {kind}, b {kind}, n_a bigint, n_b bigint, estimate double")
+
+
+def hub_estimates(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """``with_estimates`` of every class with the hub of its bucket (b). Where a class is apart from the hub (``alone``), one of them is a second hub, which
+    classes that may be linked to it meet as well. Where a bucket still has classes apart from both, ``held_together`` compares them in place."""
+    every = None
+    members = members.withColumn("alone", F.lit(True))
+    for last in (False, True):
+        pairs = members.where("rep != hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
+        found = save(with_estimates(pairs, classes), "estimates")
+        every = found if every is None else every.union(found)
+        rest = members.join(found.where(F.col("estimate") < APART).select(F.col("a").alias("rep"), F.col("b").alias("hub"), "estimate"), ["rep", "hub"])
+        rest = rest.select("key", "rep", "n", "copies", (F.col("alone") & (F.col("estimate") < GROUPED)).alias("alone"))
+        next_hub = F.max_by("rep", F.when(F.col("alone"), F.struct("copies", -F.col("rep"))))
+        again = rest.groupBy("key").agg(F.count("*").alias("members"), F.bool_or("alone").alias("open"), next_hub.alias("hub")).where("open and members > 1").drop("open")
+        members = save(rest.join(again, "key"), "apart")
+        if not last and members.isEmpty():
+            return every
+    return every.union(held_together(members, classes, percent))
+
+
+def held_together(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """a, b, n_a, n_b, estimate of the pairs of one bucket that may be links, if one of the two is apart from its hubs.
+
+    Blocks of BLOCK by BLOCK members are compared by their registers where they lie; as these classes are unlike each other, few pairs are found.
+    """
+    kind = kind_of(classes, "rep")
+    names = ["a", "b", "n_a", "n_b", "estimate"]
+
+    def compare(group: list[tuple], out: list[tuple]) -> None:
+        first = [r for r in group if r[3] == r[1]]
+        other = first if group and group[0][1] == group[0][2] else [r for r in group if r[3] != r[1]]
+        if not first or not other:
+            return
+        registers = np.frombuffer(b"".join(r[7] for r in other), np.uint16).reshape(-1, REGISTERS)
+        n, alone, rep = (np.array([r[k] for r in other]) for k in (5, 6, 4))
+        for r in first:
+            ok = (rep > r[4]) if other is first else np.ones(len(rep), bool)
+            j = np.flatnonzero(ok & (alone | r[6]) & (100 * np.minimum(n, r[5]) >= percent * np.maximum(n, r[5])))
+            same = (registers[j] == np.frombuffer(r[7], np.uint16)).sum(1)
+            out += [(r[4], int(rep[k]), r[5], int(n[k]), float(c) / REGISTERS) for k, c in zip(j, same) if c >= least_estimate(percent) * REGISTERS]
 
-def verified(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (a, b) that are links by their full sets. Only texts of documents in some pair are made into sets."""
-    kind = kind_of(docs, id_col)
+    def run(batches: Iterable[pa.RecordBatch]):
+        key, group, out = None, [], []
+        for b in slices(batches, 2048):
+            for row in zip(*(c.to_pylist() for c in b.columns)):
+                if row[:3] != key:
+                    compare(group, out)
+                    key, group = row[:3], []
+                group.append(row)
+            yield made(out)
+            out = []
+        compare(group, out)
+        yield made(out)
+
+    def made(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((*[pa.int64()] * 4, pa.float64()))], names)
+
+    parts = F.ceil(F.col("members") / BLOCK).cast("int")
+    rows = members.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = rows.select("key", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "rep", "n", "alone").join(classes.select("rep", "registers"), "rep")
+    rows = rows.select("key", "lo", "hi", "part", F.col("rep").cast("bigint"), F.col("n").cast("bigint"), "alone", "registers").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+    found = rows.mapInArrow(run, "a bigint, b bigint, n_a bigint, n_b bigint, estimate double").dropDuplicates(["a", "b"])
+    return save(found.select(F.col("a").cast(kind), F.col("b").cast(kind), "n_a", "n_b", "estimate"), "held")
+
+
+def full_sets(wanted: DataFrame, docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
+    """id, hashes: the sorted sets of the documents with a wanted ``id``; only their texts are made into sets."""
 
     def run(batches: Iterable[pa.RecordBatch]):
         for b in slices(batches, 128):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t, shingle).view(np.int64) for t in b.column(1).to_pylist()], pa.list_(pa.int64()))], ["id", "hashes"])
 
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = id_and_text(docs, id_col, text_col).join(wanted, "id")
-    sets = save(texts.mapInArrow(run, f"id {kind}, hashes array<bigint>"), "sets")
+    return id_and_text(docs, id_col, text_col).join(wanted.distinct(), "id").mapInArrow(run, f"id {kind_of(docs, id_col)}, hashes array<bigint>")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """The pairs (a, b) that are links by their full sets."""
+    sets = save(full_sets(pairs.select(F.explode(F.array("a", "b")).alias("id")), docs, shingle, id_col, text_col), "sets")
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("h_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("h_b")), "b")
     common = F.size(F.array_intersect("h_a", "h_b"))
     both = both.select("a", "b", common.alias("common"), (F.size("h_a") + F.size("h_b") - common).alias("all"))
@@ -206,39 +274,56 @@ def components(edges: DataFrame) -> DataFrame:
         edges = save(small.where("u > v").distinct(), "stars")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            return edges.select("u", "v").union(edges.select("v", "v").distinct()).toDF("node", "component")
         before = now
 
 
-def unresolved(members: DataFrame, labels: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """a, b: pairs of one bucket in different components that may be links, found in blocks of BLOCK by BLOCK members."""
-    kind = kind_of(classes, "rep")
+def links_between(groups: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """a, b: links that join different components of one group (node, component)."""
+
+    def run(table: pa.Table) -> pa.Table:  # a block of classes outside the largest component, and one of all
+        side, rep, component, main, n = (table.column(i).to_numpy(zero_copy_only=False) for i in (3, 4, 5, 6, 7))
+        registers = as_registers(table.column(8).combine_chunks())
+        sets = [np.sort(x.values.to_numpy().view(np.uint64)) for x in table.column(9)]
+        left, right = np.flatnonzero(side), np.flatnonzero(~side)
+        joined: dict[int, int] = {}
+
+        def root(c: int) -> int:
+            while c in joined:
+                c = joined[c]
+            return c
 
-    def run(table: pa.Table) -> pa.Table:  # two blocks at most
-        side, rep, component, n = (table.column(i).to_numpy() for i in (3, 4, 5, 6))
-        registers = as_registers(table.column(7).combine_chunks())
-        own = len(np.unique(side)) < 2
-        left = np.flatnonzero(side == side.min())
-        right = left if own else np.flatnonzero(side != side.min())
-        out_a, out_b = [], []
+        out = []
         for i in left:
-            j = right[right > i] if own else right
-            j = j[(component[j] != component[i]) & (100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i]))]
-            if len(j):
-                e = estimates(np.broadcast_to(registers[i], (len(j), REGISTERS)), registers[j], np.full(len(j), n[i]), n[j])
-                j = j[e >= least_estimate(percent)]
-                out_a += np.minimum(rep[j], rep[i]).tolist()
-                out_b += np.maximum(rep[j], rep[i]).tolist()
-        return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
-
-    named = members.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    open_keys = named.groupBy("key").agg(F.count("*").alias("k"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi and k > 2").select("key", "k")
-    rows = named.select("key", "rep", "component").join(open_keys, "key").join(classes.select("rep", "n", "registers"), "rep")
-    parts = F.ceil(F.col("k") / BLOCK).cast("int")
-    rows = rows.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.select("key", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", F.col("rep").cast("bigint"), F.col("component").cast("bigint"), "n", "registers")
-    return rows.groupBy("key", "lo", "hi").applyInArrow(run, "a bigint, b bigint").select(F.col("a").cast(kind), F.col("b").cast(kind)).distinct()
+            j = right[(component[right] != component[i]) & (main[right] | (rep[right] > rep[i])) & (100 * np.minimum(n[right], n[i]) >= percent * np.maximum(n[right], n[i]))]
+            same = (registers[j] == registers[i]).sum(1)  # registers agree at least as often as the Jaccard index says
+            order = np.argsort(-same, kind="stable")
+            for k in j[order[: int((same >= least_estimate(percent) * REGISTERS).sum())]]:
+                a, b = root(int(component[i])), root(int(component[k]))
+                if a != b:
+                    x, y = sets[i], sets[k]
+                    common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+                    if 100 * common >= percent * (len(x) + len(y) - common):
+                        joined[a] = b
+                        out.append((int(rep[i]), int(rep[k])))
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+    kind = kind_of(classes, "rep")
+    named = groups.select(F.col("node").alias("rep"), F.col("component").alias("grp")).join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    named = save(named, "grouped")
+    each = named.groupBy("grp", "component").agg(F.count("*").alias("m"))
+    shape = each.groupBy("grp").agg(F.sum("m").alias("k"), F.max(F.struct("m", "component"))["component"].alias("largest"), F.max("m").alias("top")).where("k > top")
+    rows = named.join(shape, "grp").withColumn("main", F.col("component") == F.col("largest"))
+    rows = rows.withColumn("lefts", F.ceil((F.col("k") - F.col("top")) / BLOCK).cast("int")).withColumn("rights", F.ceil(F.col("k") / BLOCK).cast("int"))
+    deal = lambda parts: F.pmod(F.xxhash64("rep"), parts).cast("int")
+    as_right = F.transform(F.sequence(F.lit(0), F.col("lefts") - 1), lambda l: F.struct(l.alias("l"), deal(F.col("rights")).alias("r"), F.lit(False).alias("side")))  # noqa: E741
+    as_left = F.transform(F.sequence(F.lit(0), F.col("rights") - 1), lambda r: F.struct(deal(F.col("lefts")).alias("l"), r.alias("r"), F.lit(True).alias("side")))
+    rows = rows.select("grp", "rep", "component", "main", F.explode(F.when(F.col("main"), as_right).otherwise(F.concat(as_right, as_left))).alias("to"))
+    rows = save(rows.select("grp", "to.l", "to.r", "to.side", "rep", "component", "main"), "blocks")
+    sets = full_sets(rows.select(F.col("rep").alias("id")), docs, shingle, id_col, text_col)
+    full = rows.join(classes.select("rep", "n", "registers"), "rep").join(sets.select(F.col("id").alias("rep"), "hashes"), "rep")
+    full = full.select("grp", "l", "r", "side", F.col("rep").cast("bigint"), F.col("component").cast("bigint"), "main", "n", "registers", "hashes")
+    return full.groupBy("grp", "l", "r").applyInArrow(run, "a bigint, b bigint").select(F.col("a").cast(kind), F.col("b").cast(kind)).distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -251,19 +336,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     joined = belongs.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a < z").select("id", "a").join(belongs, "id").where("rep > a").select("a", F.col("rep").alias("b")).distinct()
 
     members = save(buckets(classes), "buckets")
-    pairs = members.where("rep != hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
-    likely = save(with_estimates(pairs, classes, percent), "likely")
-    first = likely.groupBy("b").agg(F.max_by("a", F.struct("estimate", -F.col("a"))).alias("a")).select("a", "b")
+    estimated = hub_estimates(members, classes, percent)
+    fits = (F.col("estimate") >= least_estimate(percent)) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+    first = estimated.where(fits).groupBy("a").agg(F.max_by("b", F.struct("estimate", -F.col("b"))).alias("b"))
     found = save(verified(first, docs, shingle, percent, id_col, text_col).union(joined), "links")
     labels = components(found)
-
-    of = lambda side: F.coalesce(F.col(f"of_{side}"), F.col(side))
-    apart = likely.select("a", "b").join(labels.select(F.col("node").alias("a"), F.col("component").alias("of_a")), "a", "left").join(labels.select(F.col("node").alias("b"), F.col("component").alias("of_b")), "b", "left")
-    rest = apart.where(of("a") != of("b")).select("a", "b").union(unresolved(members, labels, classes, percent)).distinct().join(first, ["a", "b"], "left_anti")
-    rest = save(rest, "rest")
-    if not rest.isEmpty():
-        found = found.union(verified(rest, docs, shingle, percent, id_col, text_col))
-        labels = components(found)
+    groups = components(estimated.where(F.col("estimate") >= GROUPED).select("a", "b"))
+    more = save(links_between(groups, labels, classes, docs, shingle, percent, id_col, text_col), "more")
+    if not more.isEmpty():
+        labels = components(found.union(more))
 
     rows = sketched.select("id", "n", "digest").join(classes.select("digest", "rep"), "digest", "left").join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "rep", "id"))

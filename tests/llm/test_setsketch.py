@@ -72,7 +72,7 @@ def groups(seed):
     return list(enumerate(out))
 
 
-@pytest.mark.parametrize("shingle,block,seed", [(2, 1024, 1), (5, 3, 2)])
+@pytest.mark.parametrize("shingle,block,seed", [(2, 512, 1), (2, 3, 3), (5, 2, 2)])
 def test_against_all_pairs(spark, monkeypatch, shingle, block, seed):
     monkeypatch.setattr(ss, "BLOCK", block)
     rows = groups(seed)
