@@ -1,12 +1,13 @@
 """HTML as text, laid out as it would be seen: blocks, lists and tables keep their form, invisible parts are left out.
 
 1. Tokens: tags, comments, raw text elements (script, style, ...) and text, by one pattern.
-2. Tree: end tags that HTML implies are added (a paragraph ends where a block begins, a list item or cell where the next begins), end tags without a start are ignored, and
-   what is open at the end is closed. The tree is built and walked without recursion, so depth is unbounded.
+2. Tree: tags that HTML implies are added (a paragraph ends where a block begins, a list item or cell where the next begins, a cell outside a row begins one), end tags
+   without a start are ignored, and what is open at the end is closed. The tree is built and walked without recursion, so depth is unbounded.
 3. Visibility: HIDDEN elements, ``hidden`` and ``aria-hidden="true"``, and inline styles ``display:none`` and ``visibility:hidden`` take their content out. Form
    controls show their value or label, images their alternative text.
 4. Layout: runs of white space are one space, but kept in ``pre`` and ``textarea``. A block stands on lines of its own; paragraphs, headings, lists, tables and the like have an
-   empty line around them. List items have a mark and are indented by depth; cells of a table are aligned in columns joined by `` | ``.
+   empty line around them. List items have a mark and are indented by depth; cells of a table are aligned in columns joined by `` | ``. What else stands in a table,
+   its sections or its rows is shown behind it.
 
 Defined cases: a null page is empty text; broken or unclosed tags are text or closed as above, and nothing raises; each row gives one row, repeated rows and null ids
 too; an empty table gives an empty one; other columns are not read.
@@ -30,18 +31,24 @@ from exposure.llm.common import kind_of, slices
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe object noembed noframes xmp".split())
 ESCAPABLE = frozenset("title textarea".split())
-HIDDEN = frozenset("head script style noscript template iframe object noembed noframes datalist title svg math audio video canvas".split())
-BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td textarea tfoot th thead tr ul caption".split())
+HIDDEN = frozenset("head script style noscript template iframe object noembed noframes datalist title audio video canvas".split())
+BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td text textarea tfoot th thead tr ul caption".split())
 SPACED = frozenset("blockquote dl fieldset figure h1 h2 h3 h4 h5 h6 hr ol p pre table ul menu".split())
 #: A start tag of the first kind ends an open element of the second, unless one of the third is nearer.
-ENDS_PARAGRAPH = BLOCKS - frozenset("body html li dd dt td th tr tbody thead tfoot caption option optgroup legend summary".split())
+ENDS_PARAGRAPH = BLOCKS - frozenset("body html li dd dt td th tr tbody thead tfoot caption option optgroup legend summary text".split())
 IMPLIED = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select", "datalist", "optgroup"}), "optgroup": ({"option", "optgroup"}, {"select"}),
-    "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tr": ({"tr", "td", "th", "caption"}, {"table"}), "tbody": ({"tbody", "thead", "tfoot", "tr", "td", "th", "caption"}, {"table"}),
+    "td": ({"td", "th", "caption"}, {"tr", "table"}), "th": ({"td", "th", "caption"}, {"tr", "table"}), "tr": ({"tr", "td", "th", "caption"}, {"table"}), "tbody": ({"tbody", "thead", "tfoot", "tr", "td", "th", "caption"}, {"table"}),
     "thead": ({"tbody", "thead", "tfoot", "tr", "td", "th", "caption"}, {"table"}), "tfoot": ({"tbody", "thead", "tfoot", "tr", "td", "th", "caption"}, {"table"}),
     "body": ({"head"}, set()), "rt": ({"rt", "rp"}, {"ruby"}), "rp": ({"rt", "rp"}, {"ruby"}),
 }
 HEAD_ONLY = frozenset("head meta title link base style script noscript template html".split())
+SECTIONS = frozenset("thead tbody tfoot".split())
+#: Where a form stays empty, and where a table ends the one that it stands in.
+TABLE_PARTS = SECTIONS | {"table", "tr"}
+#: In svg and math: not shown by a browser. There alone a tag may close itself.
+FOREIGN_HIDDEN = frozenset("annotation annotation-xml desc metadata".split())
+UNQUOTED_END = re.compile(r"""=\s*[^\s"'=]+\Z""")
 #: An end tag looks no further than these.
 SCOPES = frozenset("table td th caption html button".split())
 
@@ -79,7 +86,7 @@ def tree(page: str) -> Node:
 
     def text(s: str) -> None:
         if s:
-            if stack[-1].name == "head" and s.strip():
+            if stack[-1].name in ("head", "colgroup") and s.strip():
                 close(len(stack) - 1)
             stack[-1].children.append(s)
 
@@ -123,10 +130,26 @@ def tree(page: str) -> Node:
             close(len(stack) - 1)
         if name in ENDS_PARAGRAPH:
             end({"p"}, SCOPES)
+        if stack[-1].name == "colgroup" and name not in ("col", "template"):
+            close(len(stack) - 1)
         if name in IMPLIED:
             end(*IMPLIED[name])
+        if name == "table" and stack[-1].name in TABLE_PARTS:
+            end({"table"}, set())
+        if name in ("td", "th") and stack[-1].name in TABLE_PARTS - {"tr"}:
+            row = Node("tr")
+            stack[-1].children.append(row)
+            stack.append(row)
+            is_open["tr"] += 1
         node = Node(name, attributes_of(m["attributes"]) if m["attributes"].strip() else {})
         stack[-1].children.append(node)
+        foreign = (is_open["svg"] or is_open["math"]) and not is_open["foreignobject"]
+        if foreign and name in FOREIGN_HIDDEN:
+            node.attributes["hidden"] = ""
+        if name == "form" and stack[-1].name in TABLE_PARTS:
+            continue
+        if (foreign or name in ("svg", "math")) and m["attributes"].endswith("/") and not UNQUOTED_END.search(m["attributes"]):
+            continue
         if name in RAW or name in ESCAPABLE:
             stop = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>?", re.I).search(page, at)
             inside = page[at : stop.start() if stop else len(page)]
@@ -219,10 +242,33 @@ def rows_of(table: Node) -> list[list[Node]]:
         if node.name == "tr":
             rows.append([c for c in node.children if isinstance(c, Node) and c.name in ("td", "th") and visible(c)])
         else:
-            todo += [c for c in reversed(node.children) if isinstance(c, Node) and c.name in ("tr", "thead", "tbody", "tfoot") and visible(c)]
+            todo += [c for c in reversed(node.children) if isinstance(c, Node) and (c.name == "tr" or c.name in SECTIONS and node is table) and visible(c)]
     return rows
 
 
+def loose_of(table: Node) -> list[Node | str]:
+    """What stands in a table, its sections or its rows and is neither caption nor cell, in order; an empty block parts what has not the same parent."""
+    out: list[Node | str] = []
+    last = None
+    todo: list[tuple[Node | str, Node]] = [(c, table) for c in reversed(table.children)]
+    while todo:
+        c, parent = todo.pop()
+        if isinstance(c, str):
+            if not c.strip() and parent is not last:
+                continue
+        elif c.name == "tr" and parent.name != "tr" or c.name in SECTIONS and parent is table:
+            if visible(c):
+                todo += [(x, c) for x in reversed(c.children)]
+            continue
+        elif c.name in ("td", "th") and parent.name == "tr" or c.name in ("caption", "colgroup", "col") and parent is table:
+            continue
+        if out and parent is not last:
+            out.append(Node("div"))
+        out.append(c)
+        last = parent
+    return out
+
+
 def aligned(rows: list[list[list[str]]], spans: list[list[int]]) -> list[str]:
     """Rows of cells (each some lines) in columns; a cell that spans columns takes part in no column's width."""
     widths: dict[int, int] = {}
@@ -275,8 +321,7 @@ def inner_tables(top: Node) -> list[Node]:
         if visible(node):
             if node.name == "table":
                 out.append(node)
-            else:
-                todo += [c for c in node.children if isinstance(c, Node)]
+            todo += [c for c in (loose_of(node) if node.name == "table" else node.children) if isinstance(c, Node)]
     return out
 
 
@@ -339,10 +384,10 @@ def flow(top: Node, done: dict[int, str]) -> str:
                 out.start()
                 out.line += line
                 out.block(1)
-            # what stands in a table outside its rows is shown behind it
-            loose = [c for c in node.children if isinstance(c, str) and c.strip() or isinstance(c, Node) and c.name not in ("caption", "colgroup", "col", "tr", "thead", "tbody", "tfoot")]
+            loose = loose_of(node)
             out.block(2)
-            work += [(c, "enter") for c in reversed(loose)]
+            if loose:
+                work += [(node, "leave"), *((c, "enter") for c in reversed(loose))]
             continue
         if name in BLOCKS:
             if name in ("ul", "ol", "menu", "dir"):

@@ -58,6 +58,36 @@ def test_tables():
     assert page_text("<table><tr><td>a<table><tr><td>b<td>c</table><td>d</table>") == "a     | d\nb | c |"
 
 
+def test_tables_lose_no_word():
+    pages = {
+        "<table><tr>a <b>b</b><td>c</td></tr><tbody>d<tr><td>e</table>f": "c\ne\n\na b\nd\n\nf",
+        "<table><tr><form><td>a</td></form></tr></table>": "a",
+        "<table><tbody><td>a</td><th>b</tr><td>c<tr><td>d</table>": "a | b\nc\nd",
+        "<table><tr><table><tr><td>a</table><td>b</table>": "a\n\nb",
+        "<table><table><tr><td>x": "x",
+        "<table><form><tr><td><table><tr><td>x": "x",
+        "<table><b><table><tr><td>x<td>y</table></b><tr><td>z</table>": "z\n\nx | y",
+        "<table><tr><td>a</td><div><table><tr><td>b</table></div><caption>c</caption></table>": None,
+        "<table><colgroup><col><tr><td>a<td>b</table>": "a | b",
+        "<p>a<svg><title/><path d='x'/><text>b</text></svg>c<math><mi>x</mi><mo>=</mo><mn>1</mn></math>": "a\nb\ncx=1",
+    }
+    for page, want in pages.items():
+        plain = Plain()
+        plain.feed(page)
+        got = page_text(page)
+        assert sorted("".join(got.replace("|", "").split())) == sorted("".join(plain.words)), page
+        assert want is None or got == want, (page, got)
+    assert page_text("<svg><desc>a</desc><a href=x/>b</a></svg><math><annotation>c</annotation></math><desc>d</desc>") == "bd"
+
+
+def test_loose_content_anywhere():
+    r = random.Random(11)
+    parts = ["<table>", "<tr>", "<td>", "<th>", "<tbody>", "<tfoot>", "</td>", "</tr>", "</table>", "<form>", "</form>", "<div>", "</div>", "<b>", "</b>", "<caption>", "</caption>", "<colgroup>", "<col>", "<svg>", "<text>", "</svg>"]
+    for _ in range(3000):
+        page = "".join(r.choice(parts) + (f" w{k}w " if r.random() < 0.4 else "") for k in range(r.randint(1, 30)))
+        assert sorted(re.findall(r"w\d+w", page_text(page))) == sorted(re.findall(r"w\d+w", page)), page
+
+
 def test_hidden():
     assert page_text("<head><title>t</title></head><body>a<script>b</script><style>c</style><div hidden>d</div><p style='x:y; DISPLAY : none'>e</p><i aria-hidden=true>f</i><!-- g --><template>h</template>i") == "ai"
     assert page_text('<input type=hidden value=a><input value="b c"><img alt="d"><textarea>e\n f</textarea>') == "b cd\ne\n f"
