@@ -9,6 +9,11 @@ them. Words are ordered by how many blocks of the whole corpus have them, rare o
 - positional filter: behind the first common word, both sets have enough words left to reach ``need``.
 
 What passes is counted. One row of a probe, the first common word, is kept for each block and template, so nothing is shuffled to find pairs.
+With ``wrapped``, notices that run over several lines are found as well: a run of as many words as the template has and a quarter more, lines aside, that
+holds ``threshold`` of its distinct words (a template of SHORT words or fewer: all of them) and all that tell it from others (``must``). Every such run has one
+of the template's first size - need + 1 words in an order of its own, in which words of under four letters come last, so only texts that contain one are
+looked at, and there the surroundings of those words.
+
 All of it is DataFrame functions. The templates are a list that the driver holds, so their index is what bounds the broadcast.
 
 Defined cases: a null text is the empty one, which has no words, and so no license; repeated rows give a row each, and a null id stays null; an empty
@@ -27,6 +32,7 @@ from pyspark.sql import functions as F
 from exposure.llm.common import id_and_text
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+SHORT = 8
 KELVIN, KRA = "K", "ĸ"
 
 
@@ -34,21 +40,22 @@ KELVIN, KRA = "K", "ĸ"
 class Template:
     label: str
     text: str
+    must: tuple[str, ...] = ()
 
 
 #: Opening words of public license texts and the usual short notices: fixed values.
 TEMPLATES = (
     Template("apache-2.0", "Licensed under the Apache License, Version 2.0"),
-    Template("apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License."),
-    Template("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    Template("apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.", ("apache",)),
+    Template("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", ("redistribution",)),
     Template("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0"),
-    Template("cc-by-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    Template("gpl-3.0", "This work is licensed under the GNU General Public License, version 3"),
-    Template("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
-    Template("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
+    Template("cc-by-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License.", ("creative", "commons", "attribution", "4")),
+    Template("gpl-3.0", "This work is licensed under the GNU General Public License, version 3", ("gnu", "general", "3")),
+    Template("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation", ("gnu", "general")),
+    Template("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", ("fee",)),
     Template("mit", "Released under the MIT License"),
-    Template("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    Template("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    Template("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", ("charge", "associated")),
+    Template("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", ("mozilla", "2")),
 )
 
 #: Phrases of the base scan and their labels: fixed values.
@@ -75,8 +82,8 @@ def blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return lines.select("id", "h", "block_no", F.array_distinct(words_of(F.col("block"))).alias("words"))
 
 
-def matches(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, h (hash of the text), block_no, template, label, containment: every block and template that meet the threshold."""
+def matches(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", wrapped: bool = False) -> DataFrame:
+    """id, h (hash of the text), block_no, template, label, containment: every block and template that meet the threshold; block_no is null for runs of words."""
     spark, sets = docs.sparkSession, [template_words(t) for t in templates]
     vocabulary = sorted(set().union(*sets))
     found = blocks(docs, id_col, text_col)
@@ -96,7 +103,31 @@ def matches(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, thresh
     own, rank = common(F.array(*map(F.lit, vocabulary))), common("rarer")
     pairs = pairs.where((own >= F.col("need")) & (1 + F.least(F.size("of_template") - F.col("at") - 1, own - rank - 1) >= F.col("need")))
     held = pairs.withColumn("shared", common("of_template")).where("shared >= need")
-    return held.select("id", "h", "block_no", "template", "label", (F.col("shared") / F.size("of_template")).alias("containment"))
+    found = held.select("id", "h", "block_no", "template", "label", (F.col("shared") / F.size("of_template")).alias("containment"))
+    return found.unionByName(runs(docs, templates, threshold, counts, id_col, text_col)) if wrapped else found
+
+
+def runs(docs: DataFrame, templates: tuple[Template, ...], threshold: float, counts: dict[str, int], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The columns of ``matches`` for runs of words in texts of several lines, a row for each word that led to one. ``counts``: how frequent words are."""
+    rows = []
+    for no, t in enumerate(templates):
+        words, n = sorted(template_words(t), key=lambda w: (len(w) < 4, counts.get(w, 0), w)), len(re.findall(WORD, t.text.lower()))
+        need = len(words) if len(words) <= SHORT else math.ceil(threshold * len(words) - 1e-9)
+        rows += [(w, no, t.label, words, list(t.must), need, n + n // 4) for w in words[: len(words) - need + 1]]
+    leads, reach = sorted({r[0] for r in rows}), max((r[-1] for r in rows), default=1)
+    index = F.broadcast(docs.sparkSession.createDataFrame(rows, "word string, template int, label string, of_template array<string>, must array<string>, need int, length int"))
+    texts = id_and_text(docs, id_col, text_col).select("id", F.xxhash64("text").alias("h"), folded(F.col("text")).alias("text"))
+    some = F.lit(False)
+    for w in leads:
+        some = some | F.contains("text", F.lit(w))
+    texts = texts.where(F.contains("text", F.lit("\n")) & some).select("id", "h", words_of(F.col("text")).alias("words"))
+    led = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("word"), i.alias("i"))), lambda x: x["word"].isin(leads))
+    around = F.transform(led, lambda x: F.struct(x["word"].alias("word"), F.slice("words", F.greatest(x["i"] - reach + 2, F.lit(1)), 2 * reach - 1).alias("near")))
+    spots = texts.select("id", "h", F.explode(around).alias("spot")).select("id", "h", "spot.word", "spot.near")
+    both = lambda words: F.when(F.size(F.array_intersect(words, "must")) == F.size("must"), F.size(F.array_intersect(words, "of_template"))).otherwise(0)
+    held = spots.join(index, "word").where(both(F.col("near")) >= F.col("need"))
+    held = held.withColumn("shared", F.array_max(F.transform(F.sequence(F.lit(1), F.size("near")), lambda k: both(F.slice("near", k, F.col("length")))))).where("shared >= need")
+    return held.select("id", "h", F.lit(None).cast("int").alias("block_no"), "template", "label", (F.col("shared") / F.size("of_template")).alias("containment"))
 
 
 def phrase_places(words: F.Column, phrase: str) -> F.Column:
@@ -123,9 +154,9 @@ def phrases(docs: DataFrame, wanted: tuple[tuple[str, str], ...] = PHRASES, id_c
     return rows.select("id", "h", "n_words", F.flatten("by_phrase").alias("places"), F.array_sort(F.array_distinct(F.array_compact(labels))).alias("base"))
 
 
-def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, threshold: float = 0.8, wanted: tuple[tuple[str, str], ...] = PHRASES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, threshold: float = 0.8, wanted: tuple[tuple[str, str], ...] = PHRASES, id_col: str = "doc_id", text_col: str = "text", wrapped: bool = False) -> DataFrame:
     """One row for each document: n_words, n_base, first_word, last_word, base, labels (phrases' and templates'), score."""
-    held = matches(docs, templates, threshold, id_col, text_col).groupBy("id", "h").agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"))
+    held = matches(docs, templates, threshold, id_col, text_col, wrapped).groupBy("id", "h").agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"))
     out = phrases(docs, wanted, id_col, text_col).alias("p").join(held.alias("m"), F.col("p.id").eqNullSafe(F.col("m.id")) & (F.col("p.h") == F.col("m.h")), "left")
     more = F.coalesce("more", F.array().cast("array<string>"))
     return out.select(

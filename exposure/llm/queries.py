@@ -26,7 +26,7 @@ def _sql_text(text: str) -> str:
 
 @query
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = licenses.scan(table(spark, sf_dir, "documents"))
+    found = licenses.scan(table(spark, sf_dir, "documents"), wrapped=True)
     joined = {c: F.array_join(c, ",") for c in ("base", "labels")}
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", joined["base"].alias("base_labels"), joined["labels"].alias("labels"), "score")
 

@@ -80,3 +80,34 @@ def test_native_plan_and_empty_table(spark):
     assert out.collect() == []
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|Cartesian|NestedLoop", plan)
+
+
+def test_wrapped_notices(spark):
+    import textwrap
+
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction"
+    whole = [("mit", mit), *((t.label, t.text) for t in lc.TEMPLATES if t.label != "gpl-3.0")]
+    rows, want = [], {}
+    for label, text in whole:
+        for width in (12, 40, 76):
+            for mark in ("", " * "):
+                lines = textwrap.wrap("word " * 9 + text + " word" * 9, width, break_long_words=False)
+                want[len(rows)] = label
+                rows.append((len(rows), "\n".join(mark + x for x in ["Copyright", *lines, "end"])))
+    near = [
+        "Released under the\nGPL license", "cc by\nnc 4.0 licensed\nelsewhere under",
+        "Licensed under the Educational Community License,\nVersion 2.0 (the License); you may not use this file\nexcept in compliance with the License.",
+        "Permission is hereby granted, free of charge, to any person or organization\nobtaining a copy of the software and accompanying documentation covered by\nthis license", "Permission\n" + "is hereby granted and so on " * 30 + "\nassociated documentation files free of charge",
+    ]
+    rows += [(1000 + i, text) for i, text in enumerate(near)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in lc.scan(docs, wrapped=True).collect()}
+    assert len(got) == len(rows)
+    for i, label in want.items():
+        assert label in got[i].labels and got[i].score >= 0.8, rows[i]
+    found = {i: list(got[1000 + i].labels) for i in range(len(near))}
+    assert not any({"mit", "apache-2.0", "isc"} & set(labels) for labels in found.values()), found
+    plan = lc.scan(docs, wrapped=True)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow|Cartesian|NestedLoop", plan)
+    one = spark.createDataFrame([(1, mit), (2, textwrap.fill(mit, 76))], "doc_id long, text string")
+    assert [r.labels for r in lc.scan(one, wrapped=True).orderBy("doc_id").collect()] == [["mit"], ["mit"]]
