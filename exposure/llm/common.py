@@ -68,6 +68,16 @@ def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
 
 
+def one_row_each(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``chosen`` (``id`` and one other column, each id once) whose id is in docs, and ``text``: of several rows of an id the text of the smallest hash.
+
+    Rows of an id are brought down to one where they are read, so one that holds much of the table stays spread out.
+    """
+    (other,) = [c for c in chosen.columns if c != "id"]
+    rows = id_and_text(docs, id_col, text_col).join(F.broadcast(chosen), "id")
+    return rows.groupBy("id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first(other).alias(other))
+
+
 def where_text(docs: DataFrame, text_col: str, keep: Callable[[list[str]], list[bool]]) -> DataFrame:
     """The rows, with all their columns, whose text (a null one as the empty one) ``keep`` says yes to. No shuffle and no join, so repeated rows and ids are no matter."""
     at = docs.columns.index(text_col)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from exposure.llm.common import id_and_text, kind_of, slices, where_text
+from exposure.llm.common import id_and_text, kind_of, one_row_each, slices, where_text
 
 SPACE, SYMBOLS, CAPITALS = b" \t\n\x0b\x0c\r", b"#*$%&|<>", bytes(range(65, 91))
 FEATURES = ("bias", "some symbols", "many symbols", "all capitals", "mostly capitals", "shouted", "earlier line", "repeated words", "short", "long", "no final mark", "long words")
@@ -165,14 +165,14 @@ def _expected(scores: np.ndarray, move: np.ndarray, mask: np.ndarray) -> tuple[n
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_train_docs: int = 2_000) -> Field:
-    """Train on at most ``max_train_docs`` labelled documents; only their feature numbers reach the driver."""
+    """Train on at most ``max_train_docs`` labelled documents, with one text each; only their feature numbers reach the driver."""
     chosen = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("good")).dropna().groupBy("id").agg(F.max("good").alias("good")).orderBy(F.xxhash64("id"), "id").limit(max_train_docs)
 
     def run(batches):
         for b in slices(batches):
             yield pa.RecordBatch.from_arrays([pa.array([text_counts(t)[5] for t in b.column(1).to_pylist()], pa.list_(pa.int32())), b.column(0)], ["codes", "good"])
 
-    rows = id_and_text(docs, id_col, text_col).join(F.broadcast(chosen), "id").select("good", "text").mapInArrow(run, "codes array<int>, good int").collect()
+    rows = one_row_each(docs, chosen, id_col, text_col).select("good", "text").mapInArrow(run, "codes array<int>, good int").collect()
     return train([r.codes for r in rows], [r.good == 1 for r in rows])
 
 

@@ -5,7 +5,8 @@ word or word start that nearly only toxic texts of the sample have) and ``repeat
 that have not seen the row (out of fold), so later models learn to trust them only as far as they hold.
 
 Features are words (runs of letters, lower case) and word starts of 4 to 7 letters that toxic texts have significantly more often, at most ``most_features``; their
-value is log(1 + count). The chain is fitted on a bounded sample: at most ``max_train_docs`` labelled documents, those with the smallest hash of the id. Counts are
+value is log(1 + count). The chain is fitted on a bounded sample: at most ``max_train_docs`` labelled documents, those with the smallest hash of the id,
+with one text each, the one of the smallest hash. Counts are
 made where the texts are; what reaches the driver is bounded by the sample and the number of features.
 
 Defined cases: a null or empty text has no features and gets the intercepts' probabilities; each row gives one row, repeated rows and null ids too; without both labels in the
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from exposure.llm.common import Cache, id_and_text, kind_of, slices, where_text
+from exposure.llm.common import Cache, id_and_text, kind_of, one_row_each, slices, where_text
 
 CATEGORIES = ("abusive_terms", "repeated_abuse", "toxic")
 REPEATED, PURITY, LEAST_DOCS = 3, 0.9, 4
@@ -95,7 +96,7 @@ def probabilities(chain: Chain, x: np.ndarray) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_train_docs: int = 5_000, most_features: int = 400, n_folds: int = 3) -> Chain:
     chosen = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).dropna().groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(max_train_docs)
-    sample = id_and_text(docs, id_col, text_col).join(F.broadcast(chosen), "id").select(F.xxhash64("id", "text").alias("row"), "text", "y")
+    sample = one_row_each(docs, chosen, id_col, text_col).select(F.xxhash64("id", "text").alias("row"), "text", "y")
 
     def tally(batches: Iterable[pa.RecordBatch]):
         counts: dict[str, list[int]] = {}
@@ -113,8 +114,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     table = table.where(F.col("clean") + F.col("toxic") >= LEAST_DOCS)
     odds = F.log((F.col("toxic") + 0.5) / (n1 - F.col("toxic") + 0.5)) - F.log((F.col("clean") + 0.5) / (n0 - F.col("clean") + 0.5))
     spread = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (n1 - F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5) + 1 / (n0 - F.col("clean") + 0.5))
-    # documents may repeat, so a feature may be in more rows than there are labelled ids
-    kept = table.where(f"toxic <= {n1} and clean <= {n0}").withColumn("z", odds / spread).where("z >= 3").orderBy(F.desc("z"), "feature").limit(most_features).collect()
+    kept = table.withColumn("z", odds / spread).where("z >= 3").orderBy(F.desc("z"), "feature").limit(most_features).collect()
     features = {r["feature"]: i for i, r in enumerate(kept)}
     pure = {r["feature"] for r in kept if r["toxic"] >= PURITY * (r["toxic"] + r["clean"])}
 

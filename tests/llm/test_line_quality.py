@@ -80,3 +80,11 @@ def test_no_labels_and_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     field = lq.fit(docs, none)
     assert not field.emit.any() and lq.judge(docs, field).collect() == []
+
+
+def test_repeated_rows_of_a_labelled_id(spark):
+    rows = [(i, "\n".join(["Home | About | Login", "click here!!!"] * 3) if i % 2 else "A long sentence of some words about the sea, the weather and the land.\n" * 3) for i in range(40)]
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(40)], "doc_id long, quality int")
+    once = lq.fit(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    again = lq.fit(spark.createDataFrame(rows + [rows[1]] * 300, "doc_id long, text string").repartition(4), labels)
+    assert once.emit.any() and (once.emit == again.emit).all() and (once.move == again.move).all()

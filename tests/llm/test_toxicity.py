@@ -47,3 +47,19 @@ def test_odd_rows(spark):
     none = tx.judge(docs, tx.fit(docs, labels.where("false"))).collect()
     assert len(none) == 60 and not any(r.is_toxic for r in none)
     assert tx.judge(docs.where("false"), chain).collect() == []
+
+
+def test_repeated_rows_of_a_labelled_id(spark):
+    good, bad = "plain words about the weather and the sea", "what a grotsnik you are grotsnik person"
+    rows = [(i, (bad if i % 3 == 0 else good) + f" number{i}") for i in range(60)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(60)], "doc_id long, toxic int")
+    once = spark.createDataFrame(rows, "doc_id long, text string")
+    chain = tx.fit(once, labels)
+    for more in ([rows[0]] * 400, [(1, f"{good} number1")] * 400):
+        docs = spark.createDataFrame(rows + more, "doc_id long, text string").repartition(4)
+        again = tx.fit(docs, labels)
+        assert again.features == chain.features and "=grotsnik" in again.features
+        assert all(np.allclose(a, b) for a, b in zip(again.weights, chain.weights)) and np.allclose(again.intercepts, chain.intercepts)
+    other = spark.createDataFrame(rows + [(0, f"{bad} text {k}") for k in range(400)], "doc_id long, text string").repartition(4)
+    got = tx.judge(other, tx.fit(other, labels)).collect()
+    assert all(r.is_toxic == (r.doc_id % 3 == 0) for r in got) and len(got) == 460
