@@ -45,9 +45,14 @@ def write(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def own_path(spark: SparkSession, name: str) -> str:
+    """A place of its own in the shared folder."""
+    return f"{shared_folder(spark)}/llm-{uuid.uuid4().hex}/{name}"
+
+
 def save(df: DataFrame, name: str) -> DataFrame:
     """``write`` to a place of its own in the shared folder."""
-    return write(df, f"{shared_folder(df.sparkSession)}/llm-{uuid.uuid4().hex}/{name}")
+    return write(df, own_path(df.sparkSession, name))
 
 
 def discard(spark: SparkSession, path: str) -> None:

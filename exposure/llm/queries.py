@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from exposure.llm import bpe, fingerprints, html_text, licenses, line_quality, packing, setsketch, suffix_levels, toxicity, urls
+from exposure.llm import bpe, filter_audit, fingerprints, html_text, licenses, line_quality, packing, setsketch, suffix_levels, toxicity, urls, wavelet, whitening
 from exposure.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -122,3 +122,52 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), vocabulary, pattern), vocabulary)
+
+
+@query
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(filter_audit.postings(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
+#: Distinct steps of an order are a filter and the set of those before it, so each is counted once; orders then pick theirs.
+ORACLES["op11_filter_audit"] = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS k, doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+  FROM documents),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS bad FROM labels GROUP BY doc_id),
+f AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(bad, false) AS bad,
+    (len(words) < 100)::INT + 2 * (100 * len(list_distinct(words)) < 80 * len(words))::INT
+    + 4 * (100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text))::INT
+    + 8 * regexp_matches(text, '[#$%&*|]')::INT
+    + 16 * coalesce(d.doc_id > min(d.doc_id) OVER (PARTITION BY text), false)::INT AS mask
+  FROM d LEFT JOIN l USING (doc_id)),
+g AS (SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (bad) AS bad FROM f GROUP BY ALL),
+o(filter_order, before, step, bit, prior) AS (
+  SELECT '', 0, 0, 0, 0
+  UNION ALL
+  SELECT filter_order || chr(65 + b::INT), before + (1 << b::INT), step + 1, 1 << b::INT, before FROM o, range(5) r(b)
+  WHERE before & (1 << b::INT) = 0),
+whole AS (SELECT filter_order FROM o WHERE step = 5),
+steps AS (SELECT w.filter_order, o.step, o.bit, o.prior FROM whole w JOIN o ON o.step > 0 AND starts_with(w.filter_order, o.filter_order)),
+c AS (
+  SELECT part, filter_order, step, bit,
+    sum(n) FILTER (mask & (prior | bit) = 0) AS kept, sum(n) FILTER (mask & bit > 0 AND mask & prior = 0) AS removed,
+    sum(n) FILTER (mask & bit > 0 AND mask & prior > 0) AS redundant, sum(n) FILTER (mask = bit) AS unique_fails,
+    sum(good) FILTER (mask & bit > 0 AND mask & prior = 0) AS good_lost, sum(bad) FILTER (mask & bit > 0 AND mask & prior = 0) AS toxic_lost
+  FROM g, steps GROUP BY ALL)
+SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed,
+  coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost,
+  coalesce(toxic_lost, 0)::BIGINT AS toxic_lost, coalesce(sum(removed) OVER (PARTITION BY part, bit), 0)::BIGINT AS shapley
+FROM c"""
+
+
+@query
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").try_cast("bigint"))
+
+
+@query
+def op13_wavelet_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wavelet.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
