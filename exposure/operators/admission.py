@@ -57,8 +57,8 @@ class Run:
         self.granted_until, self.count = self.expires_at, 1
 
 
-def _minutes(value: object) -> int:
-    return SESSION_MINUTES if value is None or value != value or int(value) == 0 else int(value)
+def _minutes(value: int | None) -> int:
+    return value or SESSION_MINUTES
 
 
 def step(run: Run, r: dict) -> list[tuple[str, str | None, str | None, str | None]]:
@@ -104,7 +104,7 @@ def step(run: Run, r: dict) -> list[tuple[str, str | None, str | None, str | Non
     if now > run.expires_at and verb not in ("lock", "status"):
         return [*rows, ("decision", "deny", via, "session expired")]
     if verb == "renew":
-        if r["minutes"] is not None and r["minutes"] == r["minutes"] and int(r["minutes"]) < 0:
+        if r["minutes"] is not None and r["minutes"] < 0:
             return [*rows, ("decision", "deny", via, "invalid minutes")]
         run.expires_at = now + 60 * _minutes(r["minutes"])
     elif verb == "lock":
@@ -113,31 +113,37 @@ def step(run: Run, r: dict) -> list[tuple[str, str | None, str | None, str | Non
 
 
 def request_row(r: dict) -> dict:
-    """A request as :func:`step` takes it."""
+    """A request as :func:`step` takes it, of plain values that JSON can hold but for ``lineage``, a set. ``us`` is its time."""
     chain = r["chain"]
     known = chain is not None and r["pid"] is not None and r["pid"] == r["pid"]
     peer = (int(r["pid"]), int(r["start_time"])) if known else None
     lineage = {(int(n["pid"]), int(n["start_time"])) for n in list(chain)[1:]} | {peer} if known else set()
-    names = r["secret_names"]
-    offered = r["pre_admit_names"]
-    window = r["pre_admit_seconds"]
+    window, minutes = r["pre_admit_seconds"], r["minutes"]
+    listed = {c: list(r[c]) if r[c] is not None else [] for c in ("secret_names", "pre_admit_names")}
     return {
-        **r, "at": pd.Timestamp(r["ts"]).timestamp(), "peer": peer, "lineage": lineage,
-        "secret_names": list(names) if names is not None else [], "approve": r["approve"] is True or r["approve"] == 1,
-        "pre_admit_names": list(offered) if offered is not None else [],
+        **listed, "session": r["session"], "seq": int(r["seq"]), "us": int(r["us"]), "at": int(r["us"]) / 1e6, "verb": r["verb"],
+        "peer": peer, "lineage": lineage, "approve": r["approve"] is True or r["approve"] == 1,
+        "minutes": None if minutes is None or minutes != minutes else int(minutes),
         "pre_admit_seconds": float(window) if window is not None and window == window else 0.0,
         "pre_admit_unscoped": r["pre_admit_unscoped"] is True or r["pre_admit_unscoped"] == 1,
     }
 
 
 def output_rows(run: Run, r: dict) -> list[tuple]:
+    """The rows of a request that :func:`request_row` made."""
     return [
-        (r["session"], int(r["seq"]), r["ts"], r["verb"], kind, decision, via, reason, run.count, sorted(run.granted), run.unscoped)
-        for kind, decision, via, reason in step(run, request_row(r))
+        (r["session"], r["seq"], r["us"], r["verb"], kind, decision, via, reason, run.count, sorted(run.granted), run.unscoped)
+        for kind, decision, via, reason in step(run, r)
     ]
 
 
-COLUMNS = [c.split()[0] for c in OUTPUT.split(", ")]
+RAW_OUTPUT = OUTPUT.replace("ts timestamp", "us bigint")
+COLUMNS = [c.split()[0] for c in RAW_OUTPUT.split(", ")]
+
+
+def timed(raw: DataFrame) -> DataFrame:
+    """Microseconds become the timestamp that the output has; times cross to Python as whole numbers, whatever the session's zone."""
+    return raw.withColumn("us", F.timestamp_micros("us")).withColumnRenamed("us", "ts")
 
 
 def _replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -149,7 +155,7 @@ def _replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             key = (r["session"], r["__run"])
             if key != current:
                 current, run = key, Run()
-            out.extend(output_rows(run, r))
+            out.extend(output_rows(run, request_row(r)))
         yield pd.DataFrame(out, columns=COLUMNS)
 
 
@@ -172,5 +178,5 @@ def admission_replay(requests: DataFrame) -> DataFrame:
         {"__run": F.when(F.col("verb") == "unlock", F.struct("ts", "seq"))}, inclusive=True,
     )
     keyed = started.withColumn("__run", F.coalesce(F.concat_ws(":", F.unix_micros("__run.ts"), "__run.seq"), F.lit("")))
-    placed = keyed.repartition("session", "__run").sortWithinPartitions("session", "__run", "ts", "seq")
-    return placed.mapInPandas(_replay, OUTPUT)
+    placed = keyed.withColumn("us", F.unix_micros("ts")).drop("ts").repartition("session", "__run")
+    return timed(placed.sortWithinPartitions("session", "__run", "us", "seq").mapInPandas(_replay, RAW_OUTPUT))

@@ -126,7 +126,7 @@ def activity_sessions(events: DataFrame, keys: tuple[str, ...], gap_seconds: int
     """Gap sessions in batch: ``keys, session_start, session_end, n``.
 
     An event opens a session when the one before it is more than the gap away; its start is carried
-    to the events after it. Both carries are bucketed and the count is a partial aggregate.
+    to the events after it. Both carries are prefix scans over ranges and the count is a partial aggregate.
     """
     ts = F.col("ts")
     seen = carry_last(events.select(*keys, *ORDER), keys, ORDER, {"__previous": ts}, **kw)

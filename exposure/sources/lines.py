@@ -153,11 +153,9 @@ def manifest_rows(lines: DataFrame) -> DataFrame:
 def carry_section(lines: DataFrame, header: str, name: str) -> DataFrame:
     """Carry the latest non-null section header down to the lines below it, per file.
 
-    Long files are cut by line number, so no file is one task.
+    Rows are dealt by ranges, so a long file is several tasks.
     """
-    return carry_last(
-        lines, ("path",), ("line_no",), {name: F.col(header)}, inclusive=True, bucket=F.floor(F.col("line_no") / 10_000)
-    )
+    return carry_last(lines, ("path",), ("line_no",), {name: F.col(header)}, inclusive=True)
 
 
 def manifest_names(lines: DataFrame) -> DataFrame:

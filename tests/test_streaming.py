@@ -10,7 +10,7 @@ from exposure.operators.transcripts import string_hits
 from exposure.sources.texts import texts
 from exposure.streaming import audit as SA
 from exposure.streaming import scan as SS
-from exposure.streaming.sessions import admission_stream
+from exposure.streaming.sessions import admission_stream, session_stream
 from exposure.streaming.snapshot import upsert
 from tests import values as X
 from tests.test_access import T0, UNLOCK, procs, requests
@@ -89,6 +89,55 @@ def test_admission_stream_equals_replay(spark, tmp_path):
     assert [r[4] for r in got if r[3] == "expire"] == ["expired"]
 
 
+def shuffled_log(spark, tmp_path, df, files, days):
+    """A log whose rows lie in files at random, read a few files at a time, and a late row that moves the watermark past them all."""
+    path = str(tmp_path / "log")
+    df.repartition(files, F.rand(5)).write.parquet(path)
+    end = df.agg(F.max("ts")).first()[0] + timedelta(days=days)
+    last = {"session": "end", "seq": 0, "ts": end, "verb": "unlock"}
+    closing = spark.range(1).select(*(F.lit(last.get(f.name)).cast(f.dataType).alias(f.name) for f in df.schema.fields))
+    closing.coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 3).parquet(path)
+
+
+def small_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+
+
+def test_sessions_of_a_shuffled_log(spark, tmp_path):
+    from exposure.operators.sessions import session_replay
+    from exposure.plans.audit_queries import requests as events
+
+    small_batches(spark)
+    try:
+        df = events(spark, SF).where("session % 5 = 0").drop("event_id")
+        stream = session_stream(shuffled_log(spark, tmp_path, df, 11, 100), delay="60 days")
+        key = lambda r: (r.session, r.seq, r.ts, r.verb, r.state, r.outcome, r.expires_at)
+        got = sorted(map(key, drain(stream, tmp_path, "ses").where("session <> 'end'").collect()), key=str)
+        want = sorted(map(key, session_replay(df).collect()), key=str)
+        assert got == want and len({r[5] for r in want}) >= 4
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_admission_of_a_shuffled_log(spark, tmp_path):
+    """Over files shuffled at random, several micro-batches and Arrow batches of a few rows: the stream's rows are the replay's."""
+    from exposure.plans.audit_queries import admission_requests
+
+    small_batches(spark)
+    try:
+        df = AD.with_inputs(admission_requests(spark, SF).where("session % 5 = 0"))
+        stream = admission_stream(shuffled_log(spark, tmp_path, df, 11, 100), delay="60 days")
+        rows = drain(stream, tmp_path, "adms").where("session <> 'end'").collect()
+        key = lambda r: (r.session, r.seq, r.ts, r.verb, r.event_kind, r.decision, r.via, r.reason, r.request_count, tuple(r.granted), r.unscoped)
+        got = sorted((key(r) for r in rows if r.verb != "expire"), key=str)
+        want = sorted(map(key, AD.admission_replay(df).collect()), key=str)
+        assert got == want and {"pre-admit", "interactive", "granted", "scope expanded"} <= {r[6] for r in want}
+        assert any(r.verb == "expire" for r in rows)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_snapshot_stream(spark, tmp_path):
     apply = upsert(str(tmp_path / "store"))
     schema = "source string, content binary, modified timestamp"
