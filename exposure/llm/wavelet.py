@@ -12,7 +12,7 @@ through its commit protocol to any file system it knows (a retried task leaves n
 does not count. Spark's binary reader reads them back, one file a row.
 
 Defined cases: a null or empty text is the end id alone; rows are in ascending order of id, nulls first, rows of one id in the order of their
-ids' hash; each row is a document, repeated rows too. A document never spans two shards, so one longer than a shard makes a longer one.
+text's hash; each row is a document, repeated rows too. A document never spans two shards, so one longer than a shard makes a longer one.
 Texts of any length are encoded whole. An empty table gives no files, and a reader of no files no rows. Other columns are not read.
 """
 
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from exposure.llm.bpe import pre_tokens
-from exposure.llm.common import Cache, discard, id_and_text, kind_of, own_path, slices, write
+from exposure.llm.common import Cache, discard, id_and_text, kind_of, own_path, shuffles_freed, slices, write
 
 MAGIC = b"WAVM\x01"
 #: Bits of a plane that are compressed together.
@@ -105,19 +105,6 @@ def ids_of(path: str, pattern: str) -> Ids:
     return Ids(path, pattern)
 
 
-def encoded(docs: DataFrame, tokenizer: str, pattern: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, ids``: unsigned little-endian ids of 32 bits, the end id last."""
-    kind = kind_of(docs, id_col)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            code = ids_of(tokenizer, pattern)
-            ids = [np.array([*code(t), end_id], "<u4").tobytes() for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], ["id", "ids"])
-
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, f"id {kind}, ids binary")
-
-
 # --- one file ---------------------------------------------------------------------------------------------------------------------------
 
 
@@ -258,42 +245,44 @@ class Matrix:
 # --- files of a table -------------------------------------------------------------------------------------------------------------------
 
 
-def write_files(ids: DataFrame, folder: str, shard_tokens: int = SHARD) -> None:
-    """``id, ids`` into files under ``folder``: ranges of ids, each sorted, each cut into shards of ``shard_tokens``.
+def write_files(
+    docs: DataFrame, folder: str, tokenizer: str, pattern: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", shard_tokens: int = SHARD
+) -> None:
+    """A table of documents into files under ``folder``: texts are dealt by ranges of ids and sorted, and each range is encoded and cut into shards.
 
-    ``ids`` should be a table: finding the bounds of the ranges reads it once more.
+    Finding the bounds of the ranges reads the table once more; texts are encoded once, behind the shuffle, so ids never lie anywhere but in the files.
     """
-    sized = ids.withColumn("hash", F.xxhash64("ids"))
-    placed = sized.repartitionByRange("id", "hash").sortWithinPartitions("id", "hash")
-    numbered = placed.select("id", "ids", F.spark_partition_id().alias("part"))
-
-    def shard(batch: list[pa.Array], raw: list[bytes], part: int, seq: int) -> pa.RecordBatch:
-        lengths = pa.array([len(r) // 4 for r in raw], pa.int64())
-        documents = pa.RecordBatch.from_arrays([pa.concat_arrays(batch), lengths], ["id", "n_tokens"])
-        content = pack(np.frombuffer(b"".join(raw), "<u4"), documents, part=part, seq=seq)
+    rows = id_and_text(docs, id_col, text_col).withColumn("hash", F.xxhash64("text"))
+    placed = rows.repartitionByRange("id", "hash").sortWithinPartitions("id", "hash").select("id", "text", F.spark_partition_id().alias("part"))
+
+    def shard(ids: list[pa.Array], tokens: list[np.ndarray], part: int, seq: int) -> pa.RecordBatch:
+        lengths = pa.array([len(t) for t in tokens], pa.int64())
+        documents = pa.RecordBatch.from_arrays([pa.concat_arrays(ids), lengths], ["id", "n_tokens"])
+        content = pack(np.concatenate(tokens), documents, part=part, seq=seq)
         return pa.RecordBatch.from_arrays([pa.array([content], pa.binary())], ["content"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, raw, size, seq, part = [], [], 0, 0, 0
+        held, tokens, size, seq, part = [], [], 0, 0, 0
         for b in slices(batches):
-            low = 0
-            for i, r in enumerate(b.column(1).to_pylist()):
-                n = len(r) // 4
-                if size and size + n > shard_tokens:
+            code, low = ids_of(tokenizer, pattern), 0
+            for i, text in enumerate(b.column(1).to_pylist()):
+                ids = np.array([*code(text), end_id], "<u4")
+                if size and size + len(ids) > shard_tokens:
                     if i > low:
                         held.append(b.column(0).slice(low, i - low))
-                    yield shard(held, raw, part, seq)
-                    held, raw, size, seq, low = [], [], 0, seq + 1, i
-                raw.append(r)
-                size += n
+                    yield shard(held, tokens, part, seq)
+                    held, tokens, size, seq, low = [], [], 0, seq + 1, i
+                tokens.append(ids)
+                size += len(ids)
                 part = b.column(2)[0].as_py()
             if b.num_rows > low:
                 held.append(b.column(0).slice(low))
-        if raw:
-            yield shard(held, raw, part, seq)
+        if tokens:
+            yield shard(held, tokens, part, seq)
 
-    files = numbered.mapInArrow(run, "content binary")
-    files.select(F.col("content").cast("string")).write.option("maxRecordsPerFile", 1).option("compression", "none").text(folder)
+    files = placed.mapInArrow(run, "content binary")
+    with shuffles_freed(docs.sparkSession):
+        files.select(F.col("content").cast("string")).write.option("maxRecordsPerFile", 1).option("compression", "none").text(folder)
 
 
 def read_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -339,7 +328,8 @@ def round_trip(
 ) -> DataFrame:
     """Encode a table, write its files, and return what they hold: id_col, start, n_tokens, ids_crc32."""
     spark = docs.sparkSession
-    at_ids, folder, at_read = own_path(spark, "ids"), own_path(spark, "shards"), own_path(spark, "read")
-    write_files(write(encoded(docs, tokenizer, pattern, end_id, id_col, text_col), at_ids), folder, shard_tokens)
-    discard(spark, at_ids)
-    return with_starts(write(read_documents(read_files(spark, folder), kind_of(docs, id_col), id_col), at_read), id_col)
+    folder, at_read = own_path(spark, "shards"), own_path(spark, "read")
+    write_files(docs, folder, tokenizer, pattern, end_id, id_col, text_col, shard_tokens)
+    read = write(read_documents(read_files(spark, folder), kind_of(docs, id_col), id_col), at_read)
+    discard(spark, folder)
+    return with_starts(read, id_col)

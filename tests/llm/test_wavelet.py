@@ -88,7 +88,7 @@ def test_files(spark, library, tmp_path, kind, key):
     table = spark.createDataFrame([(i, t, 1, "a", b"b") for i, t in docs], f"doc_id {kind}, text string, part int, content string, ids binary").repartition(4)
     check(wavelet.round_trip(table, PATH, P.PATTERN, shard_tokens=300).collect(), docs, library)
     folder = str(tmp_path / "shards")
-    wavelet.write_files(wavelet.encoded(table, PATH, P.PATTERN), folder, 300)
+    wavelet.write_files(table, folder, PATH, P.PATTERN, shard_tokens=300)
     files = [wavelet.Matrix(r.content) for r in wavelet.read_files(spark, folder).collect()]
     assert len(files) > 20 and all(m.n <= 300 or len(m.documents()) == 1 for m in files)
     word = library.encode(" word").ids[0]
