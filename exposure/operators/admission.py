@@ -3,7 +3,10 @@
 The state of one guard run is an admitted process, the secrets granted to its tree, an optional
 single-use pre-admit window and a count. Each decision depends on the one before, so requests of a
 run are folded in order. A new ``unlock`` starts afresh, which splits a busy session into runs that
-are folded apart.
+are folded apart. A run that is longer than a range of the sorted log is folded range by range at
+once: each range first from a fresh state, then again wherever the range before it turns out to end
+in another state than was taken, until no range changes. Admissions and renewals forget what was
+before them, so a few rounds do, and any number of rounds ends in the states of one long fold.
 
 Requests need: session, seq, ts, verb, secret_names, pid, start_time, approve, minutes and ``chain``
 (the peer's ancestors from :mod:`exposure.operators.lineage`; null when the peer has no identity).
@@ -12,17 +15,19 @@ An ``unlock`` row may carry pre_admit_seconds, pre_admit_unscoped and pre_admit_
 
 from __future__ import annotations
 
+import json
 import sys
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from exposure.functions.fixed import SESSION_MINUTES
-from exposure.operators.ordered import carry_last
+from exposure.operators.ordered import carry_last, sorted_ranges
+from exposure.session import store
 
 # Executors get the functions themselves and need not have this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -52,6 +57,17 @@ class Run:
     offer_unscoped: bool = False
     offer_names: set[str] = field(default_factory=set)
 
+    def dump(self) -> str:
+        return json.dumps(asdict(self), default=sorted)
+
+    @classmethod
+    def load(cls, kept: str | None) -> Run:
+        if kept is None:
+            return cls()
+        state = json.loads(kept)
+        sets = {k: set(state[k]) for k in ("granted", "offer_names")}
+        return cls(**{**state, **sets, "admitted": tuple(state["admitted"]) if state["admitted"] else None})
+
     def admit(self, peer: tuple[int, int], names: set[str], unscoped: bool) -> None:
         self.admitted, self.granted, self.unscoped = peer, set() if unscoped else set(names), unscoped
         self.granted_until, self.count = self.expires_at, 1
@@ -146,19 +162,39 @@ def timed(raw: DataFrame) -> DataFrame:
     return raw.withColumn("us", F.timestamp_micros("us")).withColumnRenamed("us", "ts")
 
 
-def _replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Fold sorted rows as they stream by; only the current run is held."""
+def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[dict, Run, list[tuple]]]:
+    """Fold sorted rows as they stream by: each row, the state after it and its decisions. Only the current run is held."""
     current, run = None, Run()
     for batch in batches:
-        out: list[tuple] = []
         for r in batch.to_dict("records"):
-            key = (r["session"], r["__run"])
+            key = (r["__range"], r["session"], r["__run"])
             if key != current:
-                current, run = key, Run()
-            out.extend(output_rows(run, request_row(r)))
+                current, run = key, Run.load(r["__state"])
+            yield r, run, output_rows(run, request_row(r))
+
+
+def _replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    out: list[tuple] = []
+    for _, _, rows in _runs(batches):
+        out += rows
+        if len(out) >= 10_000:
+            yield pd.DataFrame(out, columns=COLUMNS)
+            out = []
+    if out:
         yield pd.DataFrame(out, columns=COLUMNS)
 
 
+def _ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The state in which each range leaves the one run of it that is given."""
+    at, kept = None, None
+    for r, run, _ in _runs(batches):
+        if at is not None and at != r["__range"]:
+            yield pd.DataFrame({"__range": [at], "__state": [kept.dump()]})
+        at, kept = r["__range"], run
+    if at is not None:
+        yield pd.DataFrame({"__range": [at], "__state": [kept.dump()]})
+
+
 def with_inputs(requests: DataFrame) -> DataFrame:
     """Fill in the optional columns."""
     types = {"pre_admit_seconds": "double", "pre_admit_unscoped": "boolean", "pre_admit_names": "array<string>", "minutes": "int"}
@@ -168,15 +204,56 @@ def with_inputs(requests: DataFrame) -> DataFrame:
     return requests.select(*INPUT)
 
 
-def admission_replay(requests: DataFrame) -> DataFrame:
-    """Decisions and warnings per request, one sorted fold per guard run.
+def admission_replay(requests: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Decisions and warnings per request.
 
-    Rows are spread by (session, run) and sorted on disk; tasks stream over them and hold one state.
+    Rows are sorted by (session, run, time) in ranges, so neither a session nor a run is one task. Whole runs within
+    a range are folded as they stream by; :func:`_entry_states` finds the states in which ranges take over a run.
     """
     started = carry_last(
         with_inputs(requests), ("session",), ("ts", "seq"),
-        {"__run": F.when(F.col("verb") == "unlock", F.struct("ts", "seq"))}, inclusive=True,
+        {"__run": F.when(F.col("verb") == "unlock", F.struct("ts", "seq"))}, inclusive=True, partitions=partitions,
     )
     keyed = started.withColumn("__run", F.coalesce(F.concat_ws(":", F.unix_micros("__run.ts"), "__run.seq"), F.lit("")))
-    placed = keyed.withColumn("us", F.unix_micros("ts")).drop("ts").repartition("session", "__run")
-    return timed(placed.sortWithinPartitions("session", "__run", "us", "seq").mapInPandas(_replay, RAW_OUTPUT))
+    by = ["session", "__run", "us", "seq"]
+    ranged = store(sorted_ranges(keyed.withColumn("us", F.unix_micros("ts")).drop("ts"), by, partitions))
+    entry = _entry_states(ranged, by).alias("e")
+    same = [ranged[c].eqNullSafe(F.col(f"e.{c}")) for c in ("__range", "session", "__run")]
+    given = ranged.join(F.broadcast(entry), same[0] & same[1] & same[2], "left").select(*(ranged[c] for c in ranged.columns), "e.__state")
+    placed = given.repartition("__range", "session", "__run").sortWithinPartitions("__range", *by)
+    return timed(placed.mapInPandas(_replay, RAW_OUTPUT))
+
+
+def _entry_states(ranged: DataFrame, by: list[str]) -> DataFrame:
+    """``__range, session, __run, __state``: the state of each run that goes on from the range before.
+
+    At most one run crosses from a range to the next, so there is a row per range at most, and only rows of such runs are folded.
+    """
+    run = F.struct("session", "__run")
+    edges = ranged.groupBy("__range").agg(F.min(run).alias("first"), F.max(run).alias("last"))
+    order = Window.orderBy("__range")  # one row per range
+    last, first = F.col("last"), F.col("first")
+    through = first.eqNullSafe(last) & first.eqNullSafe(F.lag("last").over(order))
+    edges = edges.select("__range", last.alias("run"), through.alias("through"), F.lead("__range").over(order).alias("after"), F.lead("first").over(order).alias("next"))
+    leaving = store(edges.where("after IS NOT NULL AND run <=> next").drop("next"))
+    rows = store(ranged.join(F.broadcast(leaving.select("__range", "run")), "__range").where(run.eqNullSafe(F.col("run"))).drop("run"))
+
+    def ends(given: DataFrame) -> DataFrame:
+        placed = given.repartition("__range").sortWithinPartitions("__range", *by)
+        return placed.mapInPandas(_ends, "__range int, __state string")
+
+    def taken_over(left: DataFrame) -> DataFrame:
+        return leaving.join(left, "__range").select(F.col("after").alias("__range"), "run", "__state")
+
+    left = store(ends(rows.withColumn("__state", F.lit(None).cast("string"))))
+    started = leaving.where("through").select("__range", F.lit(None).cast("string").alias("__was"))
+    while True:
+        # ranges in the middle of a run, with what they should have started from and what they did start from
+        wanted = started.join(taken_over(left).drop("run"), "__range")
+        wrong = store(wanted.where(~F.col("__state").eqNullSafe(F.col("__was"))).drop("__was"))
+        if wrong.isEmpty():
+            return store(taken_over(left).select("__range", "run.session", "run.__run", "__state"))
+        again = ends(rows.join(F.broadcast(wrong), "__range")).withColumnRenamed("__state", "__new")
+        now = F.coalesce("__new", "__state").alias("__state")
+        started = store(wanted.select("__range", F.col("__state").alias("__was")))
+        left = store(left.join(again, "__range", "left").select("__range", now))

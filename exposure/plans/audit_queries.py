@@ -160,7 +160,97 @@ def admission_requests(spark, sf):
     return asked.join(chains, ["host", "pid"], "left").drop("host")
 
 
-@query("t3_t6_admission_replay")
+# Each session's requests one after the other: the state machine of a guard run as a recursion. Peers are user * 10 + 2 (a shell), 3 and 4
+# (its children), and 9 (a stranger); ``kin`` says which admitted process a request's lineage holds.
+GUARD_VERB = "CASE event_type WHEN 'signup' THEN 'unlock' WHEN 'click' THEN 'renew' WHEN 'purchase' THEN 'run' WHEN 'error' THEN CASE WHEN event_id % 3 = 0 THEN 'lock' ELSE 'list' END ELSE 'status' END"
+
+
+def guard_sql(verb: str, minutes: str, known: str, unscoped: str) -> str:
+    """CTEs up to ``g``: a row for each request with its decision and the state behind it."""
+    return f"""o AS (SELECT user_id, event_id, epoch_us(ts) AS t, {verb} AS verb, {minutes} AS m, event_id % 3 <> 0 AS approve,
+        CASE WHEN {known} THEN user_id * 10 + CASE WHEN event_id % 5 = 0 THEN 9 ELSE 2 + event_id % 3 END END AS pid,
+        CASE WHEN {verb} = 'run' THEN ['S' || (event_id % 4)] ELSE [] END AS wanted, CASE WHEN event_id % 4 = 0 THEN 90000000000 END AS opens, {unscoped} AS opens_all,
+        row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+    g(user_id, i, event_id, t, verb, pid, kind, verdict, live, adm, granted, unscoped, until, expires, n, offer, offer_all) AS (
+      SELECT user_id, 0::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL::VARCHAR, NULL::BIGINT, NULL::VARCHAR, NULL::VARCHAR, false, NULL::BIGINT, []::VARCHAR[], false, 0::BIGINT, 0::BIGINT, 0::BIGINT, NULL::BIGINT, false
+      FROM (SELECT DISTINCT user_id FROM o) UNION ALL
+      SELECT user_id, i, event_id, t, verb, pid, kind,
+        CASE WHEN kind IN ('dead', 'nameless', 'refused', 'turned away') THEN kind WHEN kind = 'unlock' THEN 'ok' WHEN t > held AND verb NOT IN ('lock', 'status') THEN 'late'
+          WHEN verb = 'renew' AND m < 0 THEN 'bad minutes' ELSE 'ok' END AS verdict,
+        CASE WHEN kind = 'unlock' THEN true WHEN entered AND verb = 'lock' THEN false ELSE live END,
+        CASE WHEN kind = 'unlock' THEN NULL WHEN kind IN ('offered', 'asked') THEN pid ELSE adm END,
+        CASE WHEN kind = 'unlock' THEN [] WHEN kind = 'offered' THEN CASE WHEN offer_all THEN [] ELSE ['S1'] END WHEN kind = 'asked' THEN wanted
+          WHEN kind = 'widened' AND NOT unscoped THEN list_sort(list_distinct(list_concat(granted, wanted))) ELSE granted END,
+        CASE WHEN kind IN ('unlock', 'asked') THEN false WHEN kind = 'offered' THEN offer_all ELSE unscoped END,
+        CASE WHEN kind = 'unlock' THEN 0 WHEN kind IN ('offered', 'asked', 'widened') THEN held ELSE until END,
+        CASE WHEN kind = 'unlock' OR (entered AND verb = 'renew' AND m >= 0 AND t <= held) THEN t + m::BIGINT * 60000000 ELSE held END,
+        CASE WHEN kind = 'unlock' THEN 0 WHEN kind IN ('offered', 'asked') THEN 1 WHEN entered THEN n + 1 ELSE n END,
+        CASE WHEN kind = 'unlock' THEN t + opens WHEN kind = 'offered' THEN NULL ELSE offer END, CASE WHEN kind = 'unlock' THEN opens_all ELSE offer_all END
+      FROM (SELECT *, kind IN ('offered', 'covered', 'widened', 'asked') AS entered FROM (
+        SELECT o.user_id, o.i, o.event_id, o.t, o.verb, o.m, o.pid, o.wanted, o.opens, o.opens_all, g.live, g.adm, g.granted, g.unscoped, g.until, g.expires AS held, g.n, g.offer, g.offer_all,
+          CASE WHEN o.verb = 'unlock' THEN 'unlock' WHEN NOT g.live THEN 'dead' WHEN o.pid IS NULL THEN 'nameless' WHEN g.adm IS NULL AND o.t <= g.offer THEN 'offered'
+            WHEN g.adm = o.pid OR (o.pid % 10 IN (3, 4) AND g.adm = o.user_id * 10 + 2) THEN
+              CASE WHEN (g.unscoped OR list_has_all(g.granted, o.wanted)) AND o.t <= g.until THEN 'covered' WHEN o.approve THEN 'widened' ELSE 'refused' END
+            WHEN o.approve THEN 'asked' ELSE 'turned away' END AS kind
+        FROM g JOIN o ON o.user_id = g.user_id AND o.i = g.i + 1))),
+    d AS (SELECT *, CASE WHEN verdict = 'ok' THEN 'allow' ELSE 'deny' END AS decision,
+        CASE kind WHEN 'unlock' THEN 'unlock' WHEN 'offered' THEN 'pre-admit' WHEN 'covered' THEN 'granted' WHEN 'widened' THEN 'scope expanded' WHEN 'asked' THEN 'interactive' END AS via,
+        CASE verdict WHEN 'dead' THEN 'no session' WHEN 'nameless' THEN 'no peer identity' WHEN 'refused' THEN 'admission denied' WHEN 'turned away' THEN 'admission denied'
+          WHEN 'late' THEN 'session expired' WHEN 'bad minutes' THEN 'invalid minutes' END AS reason,
+        CASE WHEN kind = 'nameless' THEN 'peer identity unavailable' WHEN kind IN ('asked', 'turned away') THEN 'unrecognized peer pid=' || pid END AS warning
+      FROM g WHERE i > 0)"""
+
+
+GUARD = guard_sql(GUARD_VERB, "CASE WHEN event_type = 'click' AND event_id % 7 = 0 THEN -5 ELSE 2000 END", "event_id % 23 <> 0", "event_id % 8 = 0")
+PLAIN_GUARD = guard_sql(GUARD_VERB.replace("CASE WHEN event_id % 3 = 0 THEN 'lock' ELSE 'list' END", "'status'"), "2000", "true", "false")
+
+
+def guard_requests(spark, sf):
+    """Admission requests with locks, unknown peers, windows for all secrets and renewals by negative minutes."""
+    e = F.col("seq")
+    types = table(spark, sf, "events").select(F.col("event_id").alias("seq"), F.expr(GUARD_VERB).alias("verb"), F.expr("event_type = 'click' AND event_id % 7 = 0").alias("odd"))
+    asked = admission_requests(spark, sf).drop("verb").join(types, "seq")
+    return asked.withColumns({
+        "pid": F.when(e % 23 != 0, F.col("pid")), "minutes": F.when(F.col("odd"), -5).otherwise(F.col("minutes")), "pre_admit_unscoped": e % 8 == 0}).drop("odd")
+
+
+def guard_rows(spark, sf):
+    return admission.admission_replay(guard_requests(spark, sf)).select(
+        F.col("session").cast("bigint").alias("user_id"), F.col("seq").alias("event_id"), "verb", "event_kind", "decision", "via", "reason",
+        F.col("request_count").alias("n"), F.array_join("granted", ",").alias("granted"), "unscoped")
+
+
+@query("t3_scoped_grants", f"""WITH RECURSIVE {GUARD} SELECT user_id, event_id, verb, decision, via, reason, array_to_string(granted, ',') AS granted FROM d""")
+def t3_scoped_grants(spark, sf):
+    """Every decision, and the secrets that the admitted tree holds after it."""
+    return guard_rows(spark, sf).where("event_kind = 'decision'").select("user_id", "event_id", "verb", "decision", "via", "reason", "granted")
+
+
+@query("t4_pre_admissions", f"""WITH RECURSIVE {GUARD} SELECT user_id, event_id, verb, decision, unscoped, array_to_string(granted, ',') AS granted FROM d WHERE via = 'pre-admit'""")
+def t4_pre_admissions(spark, sf):
+    """Who took a single-use window, and what for."""
+    return guard_rows(spark, sf).where("via = 'pre-admit'").select("user_id", "event_id", "verb", "decision", "unscoped", "granted")
+
+
+@query("t5_peer_warnings", f"""WITH RECURSIVE {GUARD} SELECT user_id, event_id, 'warn' AS event_kind, warning AS reason FROM d WHERE warning IS NOT NULL
+    UNION ALL SELECT user_id, event_id, 'decision', reason FROM d WHERE warning IS NOT NULL""")
+def t5_peer_warnings(spark, sf):
+    """Warnings on peers that are unknown or have no identity, each beside the decision that follows it."""
+    rows = guard_rows(spark, sf)
+    warned = rows.where("event_kind = 'warn'").select("event_id")
+    return rows.join(warned, "event_id", "left_semi").select("user_id", "event_id", "event_kind", "reason")
+
+
+@query("t6_replaced_trees", f"""WITH RECURSIVE {GUARD} SELECT user_id, event_id, via, n, array_to_string(granted, ',') AS granted FROM d WHERE kind IN ('offered', 'asked', 'covered', 'widened')""")
+def t6_replaced_trees(spark, sf):
+    """Requests of the admitted tree, counted from one for each new tree."""
+    inside = F.col("via").isin("pre-admit", "interactive", "granted", "scope expanded")
+    return guard_rows(spark, sf).where(inside).select("user_id", "event_id", "via", "n", "granted")
+
+
+@query("t3_t6_admission_replay", f"""WITH RECURSIVE {PLAIN_GUARD}, rows AS (SELECT verb, 'decision' AS event_kind, decision, via, n FROM d
+      UNION ALL SELECT verb, 'warn', NULL, NULL, n FROM d WHERE warning IS NOT NULL)
+    SELECT verb, event_kind, decision, via, count(*)::BIGINT AS n, sum(n)::BIGINT AS requests FROM rows GROUP BY ALL""")
 def t3_t6_admission_replay(spark, sf):
     """Scoped grants, single-use pre-admission, warnings and replacement, decided in order per guard run."""
     out = admission.admission_replay(admission_requests(spark, sf))

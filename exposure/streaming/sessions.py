@@ -108,13 +108,10 @@ class AdmissionProcessor(Ordered):
         if kept is None:
             return Run(), [None]
         state = json.loads(kept[0])
-        told = state.pop("told")
-        admitted = tuple(state["admitted"]) if state["admitted"] else None
-        names = {k: set(state[k]) for k in ("granted", "offer_names")}
-        return Run(**{**state, "admitted": admitted, **names}), [told]
+        return Run.load(json.dumps(state["run"])), [state["told"]]
 
     def dump(self, state: tuple[Run, list]) -> str:
-        return json.dumps({**asdict(state[0]), "told": state[1][0]}, default=sorted)
+        return json.dumps({"run": json.loads(state[0].dump()), "told": state[1][0]})
 
     def decided(self, state: tuple[Run, list], request: dict) -> list[tuple]:
         peer = tuple(request["peer"]) if request["peer"] else None
