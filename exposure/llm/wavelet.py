@@ -28,6 +28,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -120,12 +121,12 @@ def pack(tokens: np.ndarray, documents: pa.RecordBatch, **notes: int) -> bytes:
     n = len(tokens)
     depth = max(1, int(tokens.max()).bit_length() if n else 1)
     now = tokens.astype(np.uint16 if depth <= 16 else np.uint32)
-    parts, planes, at = [zlib.compress(_stream(documents), 6)], [], 0
+    parts, planes, fast = [zlib.compress(_stream(documents), 6)], [], zstandard.ZstdCompressor(1)
     for bit in range(depth - 1, -1, -1):
         ones = (now >> bit & 1).astype(bool)
         bits = np.packbits(ones, bitorder="little")
         low = range(0, len(bits), BLOCK // 8)
-        blocks = [zlib.compress(bits[i : i + BLOCK // 8].tobytes(), 1) for i in low]
+        blocks = [fast.compress(bits[i : i + BLOCK // 8].tobytes()) for i in low]
         counts = np.bitwise_count(bits).astype(np.int64)
         before = np.r_[0, np.cumsum(np.add.reduceat(counts, list(low)))] if n else np.zeros(1, np.int64)
         sizes = np.r_[0, np.cumsum([len(b) for b in blocks])]
@@ -147,10 +148,11 @@ class Plane:
         self.raw, self.n, self.before, self.at = raw, n, both[: blocks + 1], both[blocks + 1 :]
         self.ones = int(self.before[-1])
         self.zeros = n - self.ones
+        self.unpack = zstandard.ZstdDecompressor()
         self.blocks = Cache(self._block, 64)
 
     def _block(self, k: int) -> np.ndarray:
-        packed = np.frombuffer(zlib.decompress(self.raw[self.at[k] : self.at[k + 1]]), np.uint8)
+        packed = np.frombuffer(self.unpack.decompress(self.raw[self.at[k] : self.at[k + 1]]), np.uint8)
         return np.unpackbits(packed, count=min(BLOCK, self.n - k * BLOCK), bitorder="little")
 
     def bits(self) -> np.ndarray:
