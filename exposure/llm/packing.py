@@ -42,15 +42,20 @@ def byte_characters() -> dict[int, str]:
 
 
 class Tokens:
-    """Ids of a text. Where the file says that words are split by a pattern after lower-casing, ids of a word are cached; other files and texts go through whole."""
+    """Ids of a text, without special tokens added; those that stand in a text are the ids that the library gives them.
+
+    Where the file says that words are split by a pattern after lower-casing, ids of a word are cached; other files, and texts with an added token in
+    them, go through whole.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True  # their strings in a text are ordinary text
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        added = [re.escape(t["content"]) for t in spec.get("added_tokens") or []]
+        self.added = re.compile("|".join(added) or "(?!)", re.IGNORECASE)
         self.pattern, self.words = self._split(spec), Cache(self._word, 200_000)
 
     @staticmethod
@@ -68,7 +73,7 @@ class Tokens:
         return np.array([t.id for t in self.whole.model.tokenize(spelt)], "<u4").tobytes()
 
     def ids(self, text: str) -> bytes:
-        if self.pattern is None or BEYOND_LATIN.search(text):
+        if self.pattern is None or BEYOND_LATIN.search(text) or self.added.search(text):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         return b"".join(map(self.words.__getitem__, plain_pattern(self.pattern).findall(text.lower())))
 

@@ -12,15 +12,13 @@ PATH = P.path("word_bpe_49k.json")
 
 
 def whole():
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(PATH)
 
 
 def test_cached_words_are_the_tokenizer():
     r = random.Random(3)
     alphabet = "abEÉ éñß12²½ª'.,\t\n\x0b\x0c\x1c\x85\xa0'stİŸſ日ΑΣς é<|>"
-    texts = ["".join(r.choice(alphabet) for _ in range(r.randint(0, 30))) for _ in range(4000)] + ["a<|endoftext|>b", "It's we'll 'sx", "Ñandú ÉTÉ"]
+    texts = ["".join(r.choice(alphabet) for _ in range(r.randint(0, 30))) for _ in range(4000)] + ["a<|endoftext|>b", "hello <|endoftext|> world", "<|STARTOFTEXT|>x <|startoftext|>", "<|endoftext|><|endoftext|>", "It's we'll 'sx", "Ñandú ÉTÉ"]
     t, own = whole(), packing.Tokens(PATH)
     assert own.pattern
     for x in texts:
