@@ -54,8 +54,10 @@ class Tokens:
         self.whole = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        added = [re.escape(t["content"]) for t in spec.get("added_tokens") or []]
-        self.added = re.compile("|".join(added) or "(?!)", re.IGNORECASE)
+        added = spec.get("added_tokens") or []
+        # those that are looked for behind the normalizer may be spelt otherwise before it
+        fold = re.IGNORECASE if any(t["normalized"] for t in added) else 0
+        self.added = re.compile("|".join(re.escape(t["content"]) for t in added) or "(?!)", fold)
         self.pattern, self.words = self._split(spec), Cache(self._word, 200_000)
 
     @staticmethod
