@@ -1,34 +1,54 @@
 """Known secret values in texts: where they occur, and redaction.
 
-A small dictionary, checked by count and bytes, becomes one literal array that every task holds. A
-larger one is matched by an equi-join on short character grams: each value is represented by its
-rarest gram, so that a prefix shared by all keys of a vendor costs nothing, and candidates are then
-verified exactly.
-
-The large way writes values to the checkpoint folder, which needs the same protection as the secrets.
+One way for a dictionary of any size. Values are turned into salted digests where they are read; only digests, lengths
+and names leave those tasks. Each task scans its texts once against the digests of up to ``Limits.values`` values (a
+bounded broadcast); a larger dictionary is as many passes, which keep the order of replacement. Texts never move: there
+is no join and no shuffle of them, and no value lies on disk or in a plan.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import bisect
+import os
+import sys
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from exposure.operators import value_index
 from exposure.operators.detection import valued_hits
-from exposure.session import checkpoint
+from exposure.operators.ordered import number_rows
+from exposure.operators.value_index import Fingerprints, Index, digest
+
+for _module in (value_index, sys.modules[__name__]):
+    cloudpickle.register_pickle_by_value(_module)
 
-GRAM_SIZES = (1, 2, 4, 8)
+#: Bytes of texts that are matched at once.
+SLICE = 1 << 22
 
 
 @dataclass(frozen=True)
 class Limits:
-    """Largest dictionary that is held as a literal in each task."""
+    """How much of a dictionary a task holds at once: values, and bytes of their names."""
+
+    values: int = 250_000
+    bytes: int = 1 << 25
+
 
-    values: int = 2_000
-    bytes: int = 1 << 20
-    each: int = 1 << 16
+class Held:
+    """A pass of the dictionary as it is broadcast. Its index is built once in each worker."""
+
+    def __init__(self, salt: bytes, entries: list[tuple[int, int, bytes, str]]):
+        self.salt, self.entries, self.built = salt, entries, None
+
+    def index(self) -> Index:
+        if self.built is None:
+            self.built = Index(self.salt, self.entries)
+        return self.built
 
 
 def _usable(secrets: DataFrame) -> DataFrame:
@@ -39,104 +59,75 @@ def _usable(secrets: DataFrame) -> DataFrame:
     )
 
 
-def small_dictionary(secrets: DataFrame, limits: Limits = Limits()) -> list[tuple[str, str]] | None:
-    """The dictionary in replacement order if it is within the limits, else None.
-
-    One job. At most ``limits.values + 1`` rows reach the driver, each cut off at ``limits.each``.
-    """
-    fits = F.octet_length("value") <= limits.each
-    rows = _usable(secrets).orderBy("rank").select("name", F.when(fits, F.col("value")).alias("value")).limit(limits.values + 1).collect()
-    if len(rows) > limits.values or any(r["value"] is None for r in rows):
-        return None
-    if sum(len(r["value"].encode()) for r in rows) > limits.bytes:
-        return None
-    return [(r["name"], r["value"]) for r in rows]
-
-
 def redaction_order(secrets: DataFrame) -> DataFrame:
     """Secrets longest first; ties keep their order."""
     return _usable(secrets).orderBy("rank").select("name", "value")
 
 
-def _marker(name: Column) -> Column:
-    return F.concat(F.lit("***REDACTED("), name, F.lit(")***"))
-
-
-def _array(dictionary: Sequence[tuple[str, str]]) -> Column:
-    if not dictionary:
-        return F.array().cast("array<struct<name:string,value:string>>")
-    return F.array(*(F.struct(F.lit(n).alias("name"), F.lit(v).alias("value")) for n, v in dictionary))
-
-
-def _any_start(values: Sequence[str], depth: int = 4) -> str:
-    """A pattern that matches wherever one of the values begins, as a tree of first characters."""
-    if depth == 0 or "" in values:
-        return ""
-    heads: dict[str, list[str]] = {}
-    for value in values:
-        heads.setdefault(value[0], []).append(value[1:])
-    return "(?:" + "|".join(rf"\x{{{ord(c):x}}}" + _any_start(rest, depth - 1) for c, rest in sorted(heads.items())) + ")"
-
-
-def _may_hold(text: Column, dictionary: Sequence[tuple[str, str]]) -> Column:
-    """Necessary condition for any value of the dictionary: one scan instead of one per value."""
-    return text.rlike(_any_start([v for _, v in dictionary])) if len(dictionary) > 8 else F.lit(True)
-
-
-def _fold(text: Column, ordered: Column) -> Column:
-    """Literal replacement one secret after the other; a later value may match inside an earlier marker."""
-    return F.aggregate(ordered, text, lambda t, s: F.replace(t, s["value"], _marker(s["name"])))
-
-
-def _redacted(text: Column, dictionary: Sequence[tuple[str, str]]) -> Column:
-    return F.when(_may_hold(text, dictionary), _fold(text, _array(dictionary))).otherwise(text)
-
-
-# Exposure ---------------------------------------------------------------------------------------
-
-
-def _grams(text: Column, size: int) -> Column:
-    """Every run of ``size`` characters, in one linear pass."""
-    return F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{size}}}))."), F.lit(1))
-
-
-def _gram_size(value: Column) -> Column:
-    n = F.length(value)
-    size = F.lit(GRAM_SIZES[0])
-    for g in GRAM_SIZES[1:]:
-        size = F.when(n >= g, F.lit(g)).otherwise(size)
-    return size
-
-
-def _of_size(value: Column, sizes: Sequence[int] = GRAM_SIZES) -> Column:
-    grams = F.array().cast("array<string>")
-    for g in sizes:
-        grams = F.when(_gram_size(value) == g, _grams(value, g)).otherwise(grams)
-    return grams
-
-
-def anchors(secrets: DataFrame) -> DataFrame:
-    """Each value with the one of its grams that the fewest values share: ``name, value, rank, anchor``."""
-    grams = secrets.select("name", "value", "rank", F.explode(F.array_distinct(_of_size(F.col("value")))).alias("gram"))
-    shared = grams.groupBy("gram").agg(F.count("*").alias("n"))
-    rated = grams.join(shared, "gram")
-    return rated.groupBy("name", "value", "rank").agg(F.min_by("gram", F.struct("n", "gram")).alias("anchor"))
-
-
-def _candidates(texts: DataFrame, keys: Sequence[str], secrets: DataFrame) -> DataFrame:
-    """(text key, secret) pairs that match, by equi-join on grams: any dictionary size, exact."""
-    anchored = checkpoint(anchors(secrets))
-    sizes = [r[0] for r in anchored.select(F.length("anchor")).distinct().collect()]
-    if not sizes:
-        return texts.limit(0).select(*keys, F.lit("").alias("name"), F.lit("").alias("value"), "text").join(
-            secrets.select("name", "value", "rank"), ["name", "value"]
-        )
-    text = F.col("text")
-    grams = F.flatten(F.array(*(_grams(text, g) for g in sizes)))
-    pieces = texts.select(*keys, F.explode(F.array_distinct(grams)).alias("anchor"))
-    pairs = pieces.join(anchored, "anchor").drop("anchor")
-    # The texts join again by key to verify; only those with a candidate gram survive the shuffle.
-    return pairs.join(texts, list(keys)).where(text.contains(F.col("value")))
+ORDER = ["neg_length", "seq", "name", "digest"]
+
+
+def keyed(secrets: DataFrame, salt: bytes) -> DataFrame:
+    """The dictionary without its values: ``neg_length, seq, name, digest, size, fingerprint``, each entry once."""
+    rows = _usable(secrets).select(F.col("rank.neg_length").alias("neg_length"), F.col("rank.seq").cast("bigint").alias("seq"), F.coalesce("name", F.lit("")).alias("name"), "value")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        prints = Fingerprints(salt)
+        for b in batches:
+            values = [v.encode() for v in b.column(3).to_pylist()]
+            made = [
+                pa.array([digest(v, salt) for v in values], pa.binary()), pa.array(map(len, values), pa.int32()),
+                pa.array([f"{prints.one(v):016x}" for v in values], pa.string()),
+            ]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], *made], [*ORDER, "size", "fingerprint"])
+
+    return rows.mapInArrow(run, "neg_length int, seq bigint, name string, digest binary, size int, fingerprint string").distinct()
+
+
+def prepare(secrets: DataFrame, limits: Limits = Limits()) -> list:
+    """The passes of a dictionary, as broadcasts, in order of replacement. The salt is new each time."""
+    spark, salt = secrets.sparkSession, os.urandom(16)
+    most = max(1, limits.values)
+    digests = keyed(secrets, salt)
+
+    def held(rows: list) -> Held:
+        rows = sorted(rows, key=lambda r: (r["neg_length"], r["seq"] is not None, r["seq"] or 0, r["name"], bytes(r["digest"])))
+        return Held(salt, [(int(r["fingerprint"], 16), r["size"], bytes(r["digest"]), r["name"]) for r in rows])
+
+    def fits(rows: list) -> bool:
+        return len(rows) <= most and sum(len(r["name"].encode()) for r in rows) <= max(limits.bytes, 1)
+
+    # a name beyond the limit of bytes is not brought here whole by this first look
+    first = digests.withColumn("name", F.substring("name", 1, max(limits.bytes, 1) + 1)).limit(most + 1).collect()
+    if fits(first):
+        return [spark.sparkContext.broadcast(held(first))] if first else []
+    numbered = number_rows(digests, ORDER)
+    longest = numbered.agg(F.max(F.octet_length("name"))).first()[0]
+    each = max(1, min(most, limits.bytes // max(1, longest)))
+    passes = -(-numbered.count() // each)
+    return [spark.sparkContext.broadcast(held(numbered.where(F.col("n").between(i * each + 1, (i + 1) * each)).collect())) for i in range(passes)]
+
+
+def _slices(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
+    """Texts of a batch as bytes, a few megabytes at a time, with the row they begin at; a null text is empty."""
+    low, size, out = 0, 0, []
+    for i, text in enumerate(column):
+        raw = text.as_buffer().to_pybytes() if text.is_valid else b""
+        out.append(raw)
+        size += len(raw)
+        if size >= SLICE:
+            yield low, out
+            low, size, out = i + 1, 0, []
+    if out:
+        yield low, out
+
+
+def _ends(texts: Sequence[bytes]) -> list[int]:
+    at, out = 0, []
+    for t in texts:
+        at += len(t)
+        out.append(at)
+    return out
 
 
 def occurrences(text: Column, value: Column) -> Column:
@@ -145,100 +136,91 @@ def occurrences(text: Column, value: Column) -> Column:
 
 
 def exposed(
-    texts: DataFrame, secrets: DataFrame, keys: Sequence[str] = ("src", "id", "part"), limits: Limits = Limits(),
-    small: list[tuple[str, str]] | None = None,
+    texts: DataFrame, secrets: DataFrame, keys: Sequence[str] = ("src", "id", "part"), limits: Limits = Limits(), passes: list | None = None
 ) -> DataFrame:
     """Which texts hold which known values, and how often: ``keys, name, n``. Values stay inside."""
-    text = F.col("text")
-    dictionary = small if small is not None else small_dictionary(secrets, limits)
-    if dictionary is not None:
-        found = F.filter(_array(dictionary), lambda s: text.contains(s["value"]))
-        counted = F.transform(found, lambda s: F.struct(s["name"].alias("name"), occurrences(text, s["value"]).alias("n")))
-        nothing = F.array().cast("array<struct<name:string,n:bigint>>")
-        rows = texts.select(*keys, F.inline(F.when(_may_hold(text, dictionary), counted).otherwise(nothing)))
-    else:
-        rows = _candidates(texts, keys, _usable(secrets)).select(*keys, "name", occurrences(text, F.col("value")).alias("n"))
-    return rows.groupBy(*keys, "name").agg(F.sum("n").cast("bigint").alias("n"))
+    kinds = ", ".join(f"`{k}` {texts.schema[k].dataType.simpleString()}" for k in keys)
+    schema, n = f"{kinds}, name string, n bigint", len(keys)
+
+    def finder(held) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index = held.value.index()
+            for b in batches:
+                rows, names, counts = [], [], []
+                for low, part in _slices(b.column(n)):
+                    for i, found in enumerate(index.counts(b"".join(part), _ends(part))):
+                        for name, count in found.items():
+                            rows.append(low + i)
+                            names.append(name)
+                            counts.append(count)
+                if rows:
+                    at = pa.array(rows, pa.int64())
+                    columns = [*(c.take(at) for c in b.columns[:n]), pa.array(names, pa.string()), pa.array(counts, pa.int64())]
+                    yield pa.RecordBatch.from_arrays(columns, [*keys, "name", "n"])
+
+        return run
+
+    given = prepare(secrets, limits) if passes is None else passes
+    found = texts.sparkSession.createDataFrame([], schema)
+    for held in given:
+        found = found.unionByName(texts.select(*keys, "text").mapInArrow(finder(held), schema))
+    return found.groupBy(*keys, "name").agg(F.sum("n").cast("bigint").alias("n"))
 
 
 # Redaction --------------------------------------------------------------------------------------
 
 
 def redact(
-    texts: DataFrame, secrets: DataFrame, keys: Sequence[str] = ("src", "id", "part"), limits: Limits = Limits()
+    texts: DataFrame, secrets: DataFrame, keys: Sequence[str] = ("src", "id", "part"), limits: Limits = Limits(), passes: list | None = None
 ) -> DataFrame:
     """Replace every known value by ``***REDACTED(name)***``, longest first, never as a pattern.
 
-    ``keys`` must be unique per text: only the large-dictionary way joins on them.
+    The result is that of one replacement after the other over the whole text, so a later value may match inside an
+    earlier marker. Other columns stay; ``keys`` is not needed and may be left out.
     """
-    dictionary = small_dictionary(secrets, limits)
-    if dictionary is not None:
-        return texts.withColumn("text", _redacted(F.col("text"), dictionary))
-    return _redact_large(texts, _usable(secrets), list(keys), limits)
-
+    return redact_columns(texts, ["text"], secrets, limits, passes)
 
-def _redact_large(texts: DataFrame, secrets: DataFrame, keys: list[str], limits: Limits) -> DataFrame:
-    """Fold each text's own matches, plus the values that could match what a marker brings in.
 
-    A value can touch a marker only if it holds ``*`` or lies inside ``REDACTED(name)`` of some
-    name. Those are few; they are applied to every text that has a match. The replacement order is
-    cut into rank ranges that each hold at most ``limits.values`` of them, one pass per range, so
-    the result is that of the plain fold whatever their number.
-    """
-    secrets = checkpoint(secrets)
-    names = secrets.select(F.sha2("name", 256).alias("id"), F.concat(F.lit("REDACTED("), "name", F.lit(")")).alias("text")).distinct()
-    inside = _candidates(names, ["id"], secrets).select("name", "value", "rank")
-    starred = secrets.where(F.col("value").contains("*")).select("name", "value", "rank")
-    touching = checkpoint(inside.unionByName(starred).distinct())
-    matches = checkpoint(_candidates(texts, keys, secrets).select(*keys, "name", "value", "rank").distinct())
-
-    from exposure.operators.ordered import number_rows
-
-    numbered = number_rows(touching, ["rank"])
-    total = numbered.count()
-    # First touching value of each pass; the last pass is open-ended.
-    starts = [r["rank"] for r in numbered.where(((F.col("n") - 1) % limits.values == 0)).orderBy("n").select("rank").collect()]
-    passes = max(1, -(-total // limits.values))
-    out = texts
-    for i in range(passes):
-        low = starts[i] if i else None
-        high = starts[i + 1] if i + 1 < passes else None
-        span = F.lit(True)
-        if low is not None:
-            span = span & (F.col("rank") >= _rank_literal(low))
-        if high is not None:
-            span = span & (F.col("rank") < _rank_literal(high))
-        extra = [r.asDict() for r in touching.where(span).select("name", "value", "rank").collect()]
-        own = matches.where(span).groupBy(*keys).agg(F.collect_set(F.struct("rank", "name", "value")).alias("own"))
-        hit = matches.select(*keys).distinct().join(own, keys, "left")
-        literal = (
-            F.array(*(F.struct(_rank_literal(e["rank"]).alias("rank"), F.lit(e["name"]).alias("name"), F.lit(e["value"]).alias("value")) for e in extra))
-            if extra else F.expr("cast(array() as array<struct<rank:struct<neg_length:int,seq:bigint,name:string,value:string>,name:string,value:string>>)")
-        )
-        todo = hit.select(*keys, F.array_sort(F.array_distinct(F.concat(F.coalesce("own", F.filter(literal, lambda e: F.lit(False))), literal))).alias("todo"))
-        folded = F.when(F.col("todo").isNull(), F.col("text")).otherwise(_fold(F.col("text"), F.col("todo")))
-        out = out.join(todo, keys, "left").select(*[c if c != "text" else folded.alias("text") for c in texts.columns])
+def redact_columns(df: DataFrame, columns: Sequence[str], secrets: DataFrame, limits: Limits = Limits(), passes: list | None = None) -> DataFrame:
+    """Redact several columns, each on its own, with all secrets."""
+    places = [df.columns.index(c) for c in columns]
+
+    def writer(held) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index = held.value.index()
+            for b in batches:
+                arrays = list(b.columns)
+                for at in places:
+                    arrays[at] = redacted_column(index, arrays[at])
+                yield pa.RecordBatch.from_arrays(arrays, b.schema.names)
+
+        return run
+
+    out = df
+    for held in prepare(secrets, limits) if passes is None else passes:
+        out = out.mapInArrow(writer(held), df.schema)
     return out
 
 
-def _rank_literal(rank: dict) -> Column:
-    return F.struct(
-        F.lit(rank["neg_length"]).cast("int").alias("neg_length"), F.lit(rank["seq"]).cast("bigint").alias("seq"),
-        F.lit(rank["name"]).alias("name"), F.lit(rank["value"]).alias("value"),
-    )
+def redacted_column(index: Index, column: pa.Array) -> pa.Array:
+    """A column with its values replaced; one without any is handed on as it is."""
+    new: dict[int, str] = {}
+    for low, part in _slices(column):
+        ends = _ends(part)
+        hit = {bisect.bisect_right(ends, place) for place, _, _ in index.matches(b"".join(part), ends)}
+        new.update((low + i, index.redacted(part[i]).decode()) for i in sorted(hit))
+    if not new:
+        return column
+    return pa.array([new.get(i, t) for i, t in enumerate(column.to_pylist())], column.type)
 
 
-def redact_columns(df: DataFrame, columns: Sequence[str], secrets: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """Redact several columns, each on its own, with all secrets."""
-    dictionary = small_dictionary(secrets, limits)
-    if dictionary is not None:
-        return df.withColumns({c: _redacted(F.col(c), dictionary) for c in columns})
-    rowed = checkpoint(df.withColumn("__row", F.monotonically_increasing_id()))
-    out = rowed
-    for c in columns:
-        one = redact(rowed.select("__row", F.col(c).alias("text")), secrets, ["__row"], limits)
-        out = out.drop(c).join(one.withColumnRenamed("text", c), "__row")
-    return out.select(*df.columns)
+def _marker(name: Column) -> Column:
+    return F.concat(F.lit("***REDACTED("), name, F.lit(")***"))
+
+
+def _fold(text: Column, ordered: Column) -> Column:
+    """Literal replacement one secret after the other; a later value may match inside an earlier marker."""
+    return F.aggregate(ordered, text, lambda t, s: F.replace(t, s["value"], _marker(s["name"])))
 
 
 def redact_detected(texts: DataFrame) -> DataFrame:
@@ -262,13 +244,15 @@ def residual(
     texts: DataFrame, secrets: DataFrame, keys: Sequence[str] = ("src", "id", "part"), limits: Limits = Limits()
 ) -> DataFrame:
     """Known values that are still there after redaction; empty when all is well."""
-    small = small_dictionary(secrets, limits)
-    if small is None:
-        return exposed(_redact_large(texts, _usable(secrets), list(keys), limits), secrets, keys, limits)
-    return exposed(texts.withColumn("text", _redacted(F.col("text"), small)), secrets, keys, limits, small)
+    passes = prepare(secrets, limits)
+    return exposed(redact(texts, secrets, keys, limits, passes), secrets, keys, limits, passes)
 
 
 def dictionary_of(texts: DataFrame) -> DataFrame:
-    """Distinct detected values of texts as ``name, value`` (name = a short hash of the value), for redaction."""
-    values = valued_hits(texts).where("value is not null").select("value").distinct()
+    """Detected values of texts as ``name, value`` (name = a short hash of the value), for redaction.
+
+    A value that stands in several texts comes several times: telling them apart would put values into a shuffle, and
+    :func:`prepare` takes each once.
+    """
+    values = valued_hits(texts).where("value is not null").select("value")
     return values.select(F.substring(F.sha2("value", 256), 1, 12).alias("name"), "value")

@@ -248,11 +248,31 @@ def j1_exposed_values(spark, sf):
     return kv.exposed(every_text(spark, sf), kv.dictionary_of(documents(spark, sf))).select("src", "id", "name", "n")
 
 
-@query("j1_exposed_values_large", f"""WITH {DICTIONARY}, t2 AS ({o.EVERY_TEXT})
-    SELECT t2.src, t2.id, dict.name, ((length(text) - length(replace(text, value, ''))) / length(value))::BIGINT AS n FROM t2 JOIN dict ON contains(text, value)""")
+# A dictionary of many thousands of values: those detected, words of ten letters and more, and one for each order (which no text holds).
+LARGE = f"""{DICTIONARY}, few AS (SELECT name, value FROM dict UNION SELECT DISTINCT 'w-' || w, w FROM (SELECT unnest(regexp_extract_all(text, '[a-z]{{10,}}')) AS w FROM benchmark)),
+    many AS (SELECT 'o-' || o_orderkey AS name, printf('ORD-%08d', o_orderkey) AS value FROM orders)"""
+
+
+def large_dictionary(spark, sf):
+    words = table(spark, sf, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("([a-z]{10,})"))).alias("value"))
+    orders = table(spark, sf, "orders").select(
+        F.concat(F.lit("o-"), F.col("o_orderkey")).alias("name"), F.format_string("ORD-%08d", "o_orderkey").alias("value"))
+    return kv.dictionary_of(documents(spark, sf)).unionByName(words.select(F.concat(F.lit("w-"), "value").alias("name"), "value")).unionByName(orders)
+
+
+@query("j1_exposed_values_large", f"""WITH {LARGE}, t2 AS ({o.EVERY_TEXT}), hits AS (SELECT t2.src, t2.id, t2.text, few.name, few.value FROM t2 JOIN few ON contains(text, value)
+      UNION ALL SELECT o.src, o.id, o.text, many.name, many.value FROM (SELECT * FROM t2 WHERE contains(text, 'ORD-')) o JOIN many ON contains(o.text, many.value))
+    SELECT src, id, name, ((length(text) - length(replace(text, value, ''))) / length(value))::BIGINT AS n FROM hits""")
 def j1_exposed_values_large(spark, sf):
-    none = kv.Limits(values=0, bytes=0)
-    return kv.exposed(every_text(spark, sf), kv.dictionary_of(documents(spark, sf)), limits=none).select("src", "id", "name", "n")
+    return kv.exposed(every_text(spark, sf), large_dictionary(spark, sf)).select("src", "id", "name", "n")
+
+
+@query("r1_redacted_large", f"""WITH RECURSIVE {LARGE}, o AS (SELECT name, value, row_number() OVER (ORDER BY length(value) DESC, name, value) AS i FROM few),
+    hit AS (SELECT t.id, t.text FROM t WHERE EXISTS (SELECT 1 FROM few WHERE contains(t.text, value))),
+    r(id, text, i) AS (SELECT id, text, 0::BIGINT FROM hit UNION ALL SELECT r.id, replace(r.text, o.value, '***REDACTED(' || o.name || ')***'), o.i FROM r JOIN o ON o.i = r.i + 1)
+    SELECT id, md5(text) AS text_md5 FROM r WHERE i = (SELECT max(i) FROM o) UNION ALL SELECT id, md5(text) FROM t WHERE id NOT IN (SELECT id FROM hit)""")
+def r1_redacted_large(spark, sf):
+    return kv.redact(documents(spark, sf), large_dictionary(spark, sf)).select("id", F.md5("text").alias("text_md5"))
 
 
 @query("r1_redacted", f"""WITH RECURSIVE {DICTIONARY}, o AS (SELECT name, value, row_number() OVER (ORDER BY length(value) DESC, name, value) AS i FROM dict),
