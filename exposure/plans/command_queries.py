@@ -99,10 +99,13 @@ def c7_command_secrets(spark, sf):
     return cmd.scan_command_text(log, [TOOL]).select("id", "name", "form")
 
 
-@query("c8_rule_coverage", """WITH v AS (SELECT DISTINCT string_split(p_type, ' ')[1] AS label FROM part), r AS (SELECT DISTINCT string_split(p_type, ' ')[1] AS label, CASE WHEN p_size % 2 = 0 THEN 'deny' ELSE 'allow' END AS effect FROM part WHERE p_size > 44 OR p_type < 'L'),
-    n AS (SELECT label, count(DISTINCT effect) AS n FROM r GROUP BY label) SELECT v.label, CASE WHEN n IS NULL THEN 'no rule' ELSE 'both' END AS problem FROM v LEFT JOIN n USING (label) WHERE n IS NULL OR n > 1""")
+@query("c8_rule_coverage", """WITH v AS (SELECT DISTINCT string_split(p_type, ' ')[1] AS label FROM part), r AS (SELECT DISTINCT CASE WHEN p_size > 44 OR p_type < 'L' THEN '' ELSE 'old ' END || string_split(p_type, ' ')[1] AS label, CASE WHEN p_size % 2 = 0 THEN 'deny' ELSE 'allow' END AS effect FROM part),
+    n AS (SELECT label, count(DISTINCT effect) AS n FROM r GROUP BY label) SELECT v.label, CASE WHEN n IS NULL THEN 'no rule' ELSE 'both' END AS problem FROM v LEFT JOIN n USING (label) WHERE n IS NULL OR n > 1
+    UNION ALL SELECT label, 'no such verb' FROM n WHERE label NOT IN (SELECT label FROM v)""")
 def c8_rule_coverage(spark, sf):
     part = table(spark, sf, "part").select(F.split("p_type", " ")[0].alias("label"), "p_size", "p_type")
-    made = part.where("p_size > 44 or p_type < 'L'").select(
-        F.lit("t").alias("tool"), F.col("label").alias("verb"), F.lit(None).cast("string").alias("sub"), F.when(F.col("p_size") % 2 == 0, "deny").otherwise("allow").alias("effect")).distinct()
+    # every part makes a rule, some of them for a verb that is no longer in the vocabulary
+    verb = F.when(F.expr("p_size > 44 or p_type < 'L'"), F.col("label")).otherwise(F.concat(F.lit("old "), "label"))
+    made = part.select(
+        F.lit("t").alias("tool"), verb.alias("verb"), F.lit(None).cast("string").alias("sub"), F.when(F.col("p_size") % 2 == 0, "deny").otherwise("allow").alias("effect")).distinct()
     return rules.rule_coverage(made, part.select("label").distinct())

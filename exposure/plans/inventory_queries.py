@@ -260,10 +260,11 @@ def w1_precedence_merge(spark, sf):
     return ordered.merge_precedence(secrets)
 
 
-@query("u2_union_names", "SELECT 'C' || c_custkey AS name FROM customer UNION SELECT 'C' || o_custkey FROM orders WHERE o_orderstatus = 'F'")
+@query("u2_union_names", "SELECT 'C' || c_custkey AS name FROM customer UNION SELECT CASE WHEN o_orderstatus = 'F' THEN 'C' ELSE 'D' END || o_custkey FROM orders")
 def u2_union_names(spark, sf):
     a = table(spark, sf, "customer").select(F.concat(F.lit("C"), "c_custkey").alias("name"))
-    return inv.union_names(a, table(spark, sf, "orders").where("o_orderstatus = 'F'").select(F.concat(F.lit("C"), "o_custkey").alias("name")))
+    kind = F.when(F.col("o_orderstatus") == "F", "C").otherwise("D")
+    return inv.union_names(a, table(spark, sf, "orders").select(F.concat(kind, "o_custkey").alias("name")))
 
 
 @query("u3_missing_names", "SELECT c_custkey AS name FROM customer EXCEPT SELECT o_custkey FROM orders GROUP BY o_custkey HAVING count(*) >= 10")

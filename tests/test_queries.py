@@ -18,6 +18,20 @@ def test_contract(spark):
     assert out.count() > 0 and out.columns == ["source", "texts", "likely_count", "possible_count", "strict_high", "strict_paranoid"]
 
 
+def test_other_queries_without_the_training_package(monkeypatch):
+    """Whatever is missing there, a module of its own or a library that it needs."""
+    import sys
+
+    for missing in ("exposure.llm.queries", "corpus_pipeline", "public_tokenizers", "tokenizers"):
+        with monkeypatch.context() as m:
+            for loaded in [k for k in sys.modules if k.startswith("exposure.llm") or k == "corpus_pipeline"]:
+                m.delitem(sys.modules, loaded)
+            m.setitem(sys.modules, missing, None)
+            left = entry.queries()
+            assert "source_exposure" in left and set(entry.oracle_sql()) <= set(left)
+            assert not any(n.startswith("op") or n == "pipeline" for n in left) or missing == "tokenizers"
+
+
 @pytest.mark.parametrize("name", QUICK)
 def test_query_matches_oracle(spark, name):
     con = duckdb.connect()
