@@ -7,6 +7,8 @@ import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,6 +70,43 @@ def discard(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+class Scratch:
+    """Intermediate tables that are deleted together, once what was made from them is written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def save(self, df: DataFrame, name: str) -> DataFrame:
+        self.paths.append(own_path(self.spark, name))
+        return write(df, self.paths[-1])
+
+    def drop(self) -> None:
+        while self.paths:
+            discard(self.spark, self.paths.pop())
+
+
+#: A filter of ids has so many bits: 2 MB, however many ids it stands for. Where it fills up it lets more through, and the join behind it still decides.
+FILTER_BITS = 24
+
+
+def with_ids(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows whose ``id`` is among the ``id`` of ``wanted``. Most others are left out where they are read, so their texts are never shuffled."""
+    at = F.pmod(F.xxhash64("id"), F.lit(1 << FILTER_BITS))
+    ids = wanted.select("id").distinct()
+    words = ids.select(F.shiftright(at, 6).cast("int").alias("word"), F.expr("shiftleft(1L, cast(pmod(xxhash64(id), 64) as int))").alias("bit"))
+    bits = np.zeros(1 << FILTER_BITS - 6, np.int64)
+    for r in words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toLocalIterator():
+        bits[r["word"]] = r["bits"]
+    held = rows.sparkSession.sparkContext.broadcast(bits)
+
+    @F.pandas_udf("boolean")
+    def may_be_wanted(place: pd.Series) -> pd.Series:
+        p = place.to_numpy()
+        return pd.Series(held.value[p >> 6] >> (p & 63) & 1 > 0)
+
+    return rows.where(may_be_wanted(at)).join(ids, "id")
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """Batches in parts of a few rows, so that what is made of one part is small."""
     for batch in batches:

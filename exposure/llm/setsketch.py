@@ -7,15 +7,14 @@ component_id is the smallest id that links lead to.
 A sketch has REGISTERS registers. An element hands exponentially spaced values to the registers in an order of its own, smallest first, and stops as soon
 as no register can fall any more; a register keeps floor(1 - log_BASE(smallest)), truncated to 16 bits. Sketches of a union are the maxima of
 registers. Registers agree about as often as the Jaccard index says, so bands of ROWS registers find partners: a pair at 0.8 shares none of the bands with
-a probability of 2e-9.
+a probability of 3e-6.
 
 1. Equal sets are one class from the start (a digest, aggregated before the shuffle), however many copies there are.
-2. In each bucket of a band every class meets one hub: the class with the most copies. The joint likelihood of the registers estimates how alike they are. Classes unlike the
-   hub (with room for error) meet a second hub of their own; what is unlike both is compared within the bucket, in blocks of bounded size. Of each class the likeliest pair is
-   verified on full sets: that joins nearly all there is to join.
-3. What hubs hold together is a group. Where a group still has several components, classes outside its largest one are held against all of the group, in blocks of bounded size:
-   first by sizes and registers, with six standard deviations to spare, then on full sets in the same task, as long as the two are not joined. Only links leave the task. So no link that
-   lies within a bucket is lost, no pair is written out, and no group is gathered in one task.
+2. In each bucket of a band every class meets one hub: the class with the most copies. The joint likelihood of the registers estimates how alike they are, and of each class the
+   likeliest pair is verified on full sets: that joins nearly all there is to join.
+3. Where a bucket then still has several components, its classes outside the largest of them are held against all others of the bucket, in blocks of bounded size and only by sizes
+   and registers, with five standard deviations to spare. A pair is judged in the first bucket that it shares and nowhere else. What is left is verified on full sets. So no two
+   classes that share a bucket are passed over, whatever hub they met; no group is larger than a bucket, and no bucket is gathered in one task.
 
 Defined cases: a null text is the empty one; rows of one id are one document in the graph (each row is returned with its own n_shingles); a row with a null id is linked
 with nothing, its component_id is null and it is kept; repeated rows are returned each; an empty table gives an empty one; other columns are not read.
@@ -29,18 +28,16 @@ from collections.abc import Iterable
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from exposure.llm.common import Cache, id_and_text, kind_of, save, slices
+from exposure.llm.common import Cache, Scratch, id_and_text, kind_of, save, slices, with_ids
 
-REGISTERS, ROWS = 256, 5
+REGISTERS, ROWS = 256, 6
 BANDS = REGISTERS // ROWS
 BASE, RATE, MOST = 1.001, 20.0, 65_535
-#: Members of a group that are held against as many others in one task.
+#: Members of a bucket that are held against as many others in one task.
 BLOCK = 512
-#: Estimates from the first on hold a group together; below the second a class also looks for another hub. If two classes are linked, their likeness to a hub differs by 0.2 at most.
-GROUPED, APART = 0.25, 0.6
 _PRIME, _GOLD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -118,9 +115,9 @@ def likeliest(more: np.ndarray, fewer: np.ndarray, n: np.ndarray, other: np.ndar
 
 
 def least_estimate(percent: int) -> float:
-    """Six standard deviations below the threshold."""
+    """Five standard deviations below the threshold."""
     t = percent / 100
-    return t - 6 * np.sqrt(t * (1 - t) / REGISTERS) - 0.02
+    return t - 5 * np.sqrt(t * (1 - t) / REGISTERS) - 0.02
 
 
 def estimates(a: np.ndarray, b: np.ndarray, n: np.ndarray, other: np.ndarray) -> np.ndarray:
@@ -178,68 +175,84 @@ def with_estimates(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return both.mapInArrow(run, f"a {kind}, b {kind}, n_a bigint, n_b bigint, estimate double")
 
 
-def hub_estimates(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """``with_estimates`` of every class with the hub of its bucket (b). Where a class is apart from the hub (``alone``), one of them is a second hub, which
-    classes that may be linked to it meet as well. Where a bucket still has classes apart from both, ``held_together`` compares them in place."""
-    every = None
-    members = members.withColumn("alone", F.lit(True))
-    for last in (False, True):
-        pairs = members.where("rep != hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
-        found = save(with_estimates(pairs, classes), "estimates")
-        every = found if every is None else every.union(found)
-        rest = members.join(found.where(F.col("estimate") < APART).select(F.col("a").alias("rep"), F.col("b").alias("hub"), "estimate"), ["rep", "hub"])
-        rest = rest.select("key", "rep", "n", "copies", (F.col("alone") & (F.col("estimate") < GROUPED)).alias("alone"))
-        next_hub = F.max_by("rep", F.when(F.col("alone"), F.struct("copies", -F.col("rep"))))
-        again = rest.groupBy("key").agg(F.count("*").alias("members"), F.bool_or("alone").alias("open"), next_hub.alias("hub")).where("open and members > 1").drop("open")
-        members = save(rest.join(again, "key"), "apart")
-        if not last and members.isEmpty():
-            return every
-    return every.union(held_together(members, classes, percent))
-
-
-def held_together(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """a, b, n_a, n_b, estimate of the pairs of one bucket that may be links, if one of the two is apart from its hubs.
-
-    Blocks of BLOCK by BLOCK members are compared by their registers where they lie; as these classes are unlike each other, few pairs are found.
+def open_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """key, rep, n, component, main of the buckets whose classes are not all of one component, with the sizes that blocks are cut by.
+
+    ``main`` says that a class is of the bucket's largest component; ``lefts`` and ``rights`` are blocks of the other classes and of all.
     """
+    named = members.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    each = named.groupBy("key", "component").agg(F.count("*").alias("m"))
+    largest = F.max(F.struct("m", "component"))
+    shape = each.groupBy("key").agg(F.sum("m").alias("k"), largest["component"].alias("largest"), largest["m"].alias("top")).where("k > top")
+    shape = shape.withColumn("lefts", F.ceil((F.col("k") - F.col("top")) / BLOCK).cast("int")).withColumn("rights", F.ceil(F.col("k") / BLOCK).cast("int"))
+    return named.join(shape, "key").select("key", "rep", "n", "component", (F.col("component") == F.col("largest")).alias("main"), "lefts", "rights")
+
+
+def across(group: tuple[np.ndarray, ...], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of one block (key, side, rep, component, main, n, registers) that may be linked across components: pairs of row numbers."""
+    key, side, rep, component, main, n, registers = group
+    left, right = np.flatnonzero(side), np.flatnonzero(~side)
+    keys = band_keys(registers)
+    least = least_estimate(percent) * REGISTERS
+    found_a, found_b = [], []
+    for i in left:
+        once = main[right] | (rep[right] > rep[i])  # two of the smaller components meet twice
+        j = right[once & (component[right] != component[i]) & (100 * np.minimum(n[right], n[i]) >= percent * np.maximum(n[right], n[i]))]
+        j = j[(registers[j] == registers[i]).sum(1) >= least]  # registers agree at least as often as the Jaccard index says
+        if len(j):
+            first = (keys[j] == keys[i]).argmax(1)
+            j = j[keys[i][first] == key[0]]
+            found_a.append(np.full(len(j), i))
+            found_b.append(j)
+    nothing = np.zeros(0, np.int64)
+    return (np.concatenate(found_a), np.concatenate(found_b)) if found_a else (nothing, nothing)
+
+
+def candidates(members: DataFrame, labels: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """a, b: pairs of classes of different components that share a bucket and may be linked, each once."""
     kind = kind_of(classes, "rep")
-    names = ["a", "b", "n_a", "n_b", "estimate"]
-
-    def compare(group: list[tuple], out: list[tuple]) -> None:
-        first = [r for r in group if r[3] == r[1]]
-        other = first if group and group[0][1] == group[0][2] else [r for r in group if r[3] != r[1]]
-        if not first or not other:
-            return
-        registers = np.frombuffer(b"".join(r[7] for r in other), np.uint16).reshape(-1, REGISTERS)
-        n, alone, rep = (np.array([r[k] for r in other]) for k in (5, 6, 4))
-        for r in first:
-            ok = (rep > r[4]) if other is first else np.ones(len(rep), bool)
-            j = np.flatnonzero(ok & (alone | r[6]) & (100 * np.minimum(n, r[5]) >= percent * np.maximum(n, r[5])))
-            same = (registers[j] == np.frombuffer(r[7], np.uint16)).sum(1)
-            out += [(r[4], int(rep[k]), r[5], int(n[k]), float(c) / REGISTERS) for k, c in zip(j, same) if c >= least_estimate(percent) * REGISTERS]
+
+    def arrays(b: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        columns = (b.column(i).to_numpy(zero_copy_only=False) for i in range(8))
+        return (*columns, as_registers(b.column(8)))
+
+    def judged(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        key, _, _, side, rep, component, main, n, registers = (np.concatenate(c) for c in zip(*parts))
+        i, j = across((key, side, rep, component, main, n, registers), percent)
+        return pa.RecordBatch.from_arrays([pa.array(rep[i], pa.int64()), pa.array(rep[j], pa.int64())], ["a", "b"])
 
     def run(batches: Iterable[pa.RecordBatch]):
-        key, group, out = None, [], []
-        for b in slices(batches, 2048):
-            for row in zip(*(c.to_pylist() for c in b.columns)):
-                if row[:3] != key:
-                    compare(group, out)
-                    key, group = row[:3], []
-                group.append(row)
-            yield made(out)
-            out = []
-        compare(group, out)
-        yield made(out)
-
-    def made(out: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((*[pa.int64()] * 4, pa.float64()))], names)
-
-    parts = F.ceil(F.col("members") / BLOCK).cast("int")
-    rows = members.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.select("key", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "rep", "n", "alone").join(classes.select("rep", "registers"), "rep")
-    rows = rows.select("key", "lo", "hi", "part", F.col("rep").cast("bigint"), F.col("n").cast("bigint"), "alone", "registers").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-    found = rows.mapInArrow(run, "a bigint, b bigint, n_a bigint, n_b bigint, estimate double").dropDuplicates(["a", "b"])
-    return save(found.select(F.col("a").cast(kind), F.col("b").cast(kind), "n_a", "n_b", "estimate"), "held")
+        parts, block = [], None
+        for b in slices(batches, 4096):
+            if not b.num_rows:
+                continue
+            rows = arrays(b)
+            edges = np.flatnonzero((rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1]) | (rows[2][1:] != rows[2][:-1])) + 1
+            for low, high in zip([0, *edges.tolist()], [*edges.tolist(), b.num_rows]):
+                now = (rows[0][low], rows[1][low], rows[2][low])
+                if parts and now != block:
+                    yield judged(parts)
+                    parts = []
+                block = now
+                parts.append(tuple(c[low:high] for c in rows))
+        if parts:
+            yield judged(parts)
+
+    def deal(parts: str) -> Column:
+        return F.pmod(F.xxhash64("rep"), F.col(parts)).cast("int")
+
+    def to(left: Column, right: Column, side: bool) -> Column:
+        return F.struct(left.alias("l"), right.alias("r"), F.lit(side).alias("side"))
+
+    as_right = F.transform(F.sequence(F.lit(0), F.col("lefts") - 1), lambda at: to(at, deal("rights"), False))
+    as_left = F.transform(F.sequence(F.lit(0), F.col("rights") - 1), lambda at: to(deal("lefts"), at, True))
+    rows = open_buckets(members, labels)
+    dealt = rows.select("key", "rep", "component", "main", "n", F.explode(F.when(F.col("main"), as_right).otherwise(F.concat(as_right, as_left))).alias("to"))
+    full = dealt.join(classes.select("rep", "registers"), "rep").select(
+        "key", "to.l", "to.r", "to.side", F.col("rep").cast("bigint"), F.col("component").cast("bigint"), "main", "n", "registers"
+    )
+    placed = full.repartition("key", "l", "r").sortWithinPartitions("key", "l", "r")
+    return placed.mapInArrow(run, "a bigint, b bigint").select(F.col("a").cast(kind), F.col("b").cast(kind))
 
 
 def full_sets(wanted: DataFrame, docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
@@ -249,13 +262,14 @@ def full_sets(wanted: DataFrame, docs: DataFrame, shingle: int, id_col: str, tex
         for b in slices(batches, 128):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t, shingle).view(np.int64) for t in b.column(1).to_pylist()], pa.list_(pa.int64()))], ["id", "hashes"])
 
-    return id_and_text(docs, id_col, text_col).join(wanted.distinct(), "id").mapInArrow(run, f"id {kind_of(docs, id_col)}, hashes array<bigint>")
+    return with_ids(id_and_text(docs, id_col, text_col), wanted).mapInArrow(run, f"id {kind_of(docs, id_col)}, hashes array<bigint>")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
     """The pairs (a, b) that are links by their full sets."""
-    sets = save(full_sets(pairs.select(F.explode(F.array("a", "b")).alias("id")), docs, shingle, id_col, text_col), "sets")
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("h_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("h_b")), "b")
+    sets = scratch.save(full_sets(pairs.select(F.explode(F.array("a", "b")).alias("id")), docs, shingle, id_col, text_col), "sets")
+    of_a, of_b = (sets.select(F.col("id").alias(c), F.col("hashes").alias(f"h_{c}")) for c in "ab")
+    both = pairs.join(of_a, "a").join(of_b, "b")
     common = F.size(F.array_intersect("h_a", "h_b"))
     both = both.select("a", "b", common.alias("common"), (F.size("h_a") + F.size("h_b") - common).alias("all"))
     return both.where(100 * F.col("common") >= percent * F.col("all")).select("a", "b").distinct()
@@ -263,71 +277,42 @@ def verified(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int, id_c
 
 def components(edges: DataFrame) -> DataFrame:
     """node, component (its smallest node) of every node of the edges (a, b), by large and small stars in turn until nothing changes."""
-    edges = save(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct(), "edges")
+    scratch = Scratch(edges.sparkSession)
+    edges = scratch.save(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct(), "edges")
     before = None
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
-        edges = save(small.where("u > v").distinct(), "stars")
+        ends = F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
+        small = large.join(least, "u").select(F.explode(ends).alias("e")).select("e.u", "e.v")
+        last = Scratch(edges.sparkSession)
+        edges = last.save(small.where("u > v").distinct(), "stars")
+        scratch.drop()
+        scratch = last
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             return edges.select("u", "v").union(edges.select("v", "v").distinct()).toDF("node", "component")
         before = now
 
 
-def links_between(groups: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """a, b: links that join different components of one group (node, component)."""
-
-    def run(table: pa.Table) -> pa.Table:  # a block of classes outside the largest component, and one of all
-        side, rep, component, main, n = (table.column(i).to_numpy(zero_copy_only=False) for i in (3, 4, 5, 6, 7))
-        registers = as_registers(table.column(8).combine_chunks())
-        sets = [np.sort(x.values.to_numpy().view(np.uint64)) for x in table.column(9)]
-        left, right = np.flatnonzero(side), np.flatnonzero(~side)
-        joined: dict[int, int] = {}
-
-        def root(c: int) -> int:
-            while c in joined:
-                c = joined[c]
-            return c
-
-        out = []
-        for i in left:
-            j = right[(component[right] != component[i]) & (main[right] | (rep[right] > rep[i])) & (100 * np.minimum(n[right], n[i]) >= percent * np.maximum(n[right], n[i]))]
-            same = (registers[j] == registers[i]).sum(1)  # registers agree at least as often as the Jaccard index says
-            order = np.argsort(-same, kind="stable")
-            for k in j[order[: int((same >= least_estimate(percent) * REGISTERS).sum())]]:
-                a, b = root(int(component[i])), root(int(component[k]))
-                if a != b:
-                    x, y = sets[i], sets[k]
-                    common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-                    if 100 * common >= percent * (len(x) + len(y) - common):
-                        joined[a] = b
-                        out.append((int(rep[i]), int(rep[k])))
-        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+def joined_up(labels: DataFrame, more: DataFrame) -> DataFrame:
+    """Labels (node, component) after further links (a, b): only components that the links join are labelled anew."""
 
-    kind = kind_of(classes, "rep")
-    named = groups.select(F.col("node").alias("rep"), F.col("component").alias("grp")).join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    named = save(named, "grouped")
-    each = named.groupBy("grp", "component").agg(F.count("*").alias("m"))
-    shape = each.groupBy("grp").agg(F.sum("m").alias("k"), F.max(F.struct("m", "component"))["component"].alias("largest"), F.max("m").alias("top")).where("k > top")
-    rows = named.join(shape, "grp").withColumn("main", F.col("component") == F.col("largest"))
-    rows = rows.withColumn("lefts", F.ceil((F.col("k") - F.col("top")) / BLOCK).cast("int")).withColumn("rights", F.ceil(F.col("k") / BLOCK).cast("int"))
-    deal = lambda parts: F.pmod(F.xxhash64("rep"), parts).cast("int")
-    as_right = F.transform(F.sequence(F.lit(0), F.col("lefts") - 1), lambda l: F.struct(l.alias("l"), deal(F.col("rights")).alias("r"), F.lit(False).alias("side")))  # noqa: E741
-    as_left = F.transform(F.sequence(F.lit(0), F.col("rights") - 1), lambda r: F.struct(deal(F.col("lefts")).alias("l"), r.alias("r"), F.lit(True).alias("side")))
-    rows = rows.select("grp", "rep", "component", "main", F.explode(F.when(F.col("main"), as_right).otherwise(F.concat(as_right, as_left))).alias("to"))
-    rows = save(rows.select("grp", "to.l", "to.r", "to.side", "rep", "component", "main"), "blocks")
-    sets = full_sets(rows.select(F.col("rep").alias("id")), docs, shingle, id_col, text_col)
-    full = rows.join(classes.select("rep", "n", "registers"), "rep").join(sets.select(F.col("id").alias("rep"), "hashes"), "rep")
-    full = full.select("grp", "l", "r", "side", F.col("rep").cast("bigint"), F.col("component").cast("bigint"), "main", "n", "registers", "hashes")
-    return full.groupBy("grp", "l", "r").applyInArrow(run, "a bigint, b bigint").select(F.col("a").cast(kind), F.col("b").cast(kind)).distinct()
+    def named(column: str) -> Column:
+        return F.coalesce(f"c_{column}", column).alias(column)
+
+    a, b = (labels.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}")) for c in "ab")
+    ends = more.join(a, "a", "left").join(b, "b", "left").select(named("a"), named("b"))
+    new = components(ends).select(F.col("node").alias("component"), F.col("component").alias("least"))
+    old = labels.join(new, "component", "left").select("node", F.coalesce("least", "component").alias("component"))
+    return old.union(new.join(labels, new["component"] == labels["node"], "left_anti").select("component", "least"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: id_col, n_shingles, component_id, kept (the id is its component's smallest). Ids are whole numbers."""
+    scratch = Scratch(docs.sparkSession)
     sketched = save(sketch(docs, shingle, id_col, text_col), "sketches")
     named = sketched.where("id is not null and digest is not null")
     classes = save(named.groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("registers").alias("registers")), "classes")
@@ -335,16 +320,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     # rows of one id with different sets join their classes
     joined = belongs.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a < z").select("id", "a").join(belongs, "id").where("rep > a").select("a", F.col("rep").alias("b")).distinct()
 
-    members = save(buckets(classes), "buckets")
-    estimated = hub_estimates(members, classes, percent)
+    members = scratch.save(buckets(classes), "buckets")
+    pairs = members.where("rep != hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
     fits = (F.col("estimate") >= least_estimate(percent)) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-    first = estimated.where(fits).groupBy("a").agg(F.max_by("b", F.struct("estimate", -F.col("b"))).alias("b"))
-    found = save(verified(first, docs, shingle, percent, id_col, text_col).union(joined), "links")
+    likeliest_pair = F.max_by("b", F.struct("estimate", -F.col("b"))).alias("b")
+    first = scratch.save(with_estimates(pairs, classes).where(fits).groupBy("a").agg(likeliest_pair), "first")
+    found = scratch.save(verified(first, docs, shingle, percent, id_col, text_col, scratch).union(joined), "links")
     labels = components(found)
-    groups = components(estimated.where(F.col("estimate") >= GROUPED).select("a", "b"))
-    more = save(links_between(groups, labels, classes, docs, shingle, percent, id_col, text_col), "more")
+    rest = scratch.save(candidates(members, labels, classes, percent), "rest")
+    more = save(verified(rest, docs, shingle, percent, id_col, text_col, scratch), "more")
+    scratch.drop()
     if not more.isEmpty():
-        labels = components(found.union(more))
+        labels = joined_up(labels, more)
 
     rows = sketched.select("id", "n", "digest").join(classes.select("digest", "rep"), "digest", "left").join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "rep", "id"))
