@@ -230,10 +230,16 @@ def a7_transcript_names(spark, sf):
     return tr.transcript_names(tr.line_tiers(tr.string_hits(document_lines(spark, sf)))).select("path", "confidence", "name", "line_no")
 
 
-@query("s4_conversation_hits", "SELECT conv_id::VARCHAR AS path, (turn + 1)::INT AS line_no, 'x' AS name FROM conversations WHERE regexp_matches(text, '(?i)(token|secret|password|passwd|api[_-]?key|private[_-]?key)[''\"]?\\s*[:=]\\s*\\S{8,}')")
+@query("s4_conversation_hits", """SELECT conv_id::VARCHAR AS path, (turn + 1)::INT AS line_no, 'api_key' AS name FROM conversations WHERE turn % 3 = 1 UNION ALL
+    SELECT conv_id::VARCHAR, (turn + 1)::INT, 'token' FROM conversations WHERE turn % 4 = 2 UNION ALL
+    SELECT conv_id::VARCHAR, (turn + 1)::INT, 'x' FROM conversations WHERE regexp_matches(text, '(?i)(token|secret|password|passwd|api[_-]?key|private[_-]?key)[''\"]?\\s*[:=]\\s*\\S{8,}')""")
 def s4_conversation_hits(spark, sf):
+    """Every turn as a transcript line: its text, a secret under a key of its own in every third one, a tool's nested JSON with one in every fourth."""
+    value = F.concat(F.lit("Zk9pL2xQ"), F.col("conv_id") * 1000 + F.col("turn"), F.lit("vB8w"))
+    nested = F.when(F.col("turn") % 4 == 2, F.to_json(F.struct(F.struct(value.alias("token")).alias("result"))))
+    record = F.struct("role", "text", F.when(F.col("turn") % 3 == 1, value).alias("api_key"), nested.alias("output"))
     lines = table(spark, sf, "conversations").select(
-        F.col("conv_id").cast("string").alias("path"), (F.col("turn") + 1).cast("int").alias("line_no"), F.to_json(F.struct("role", "text")).alias("raw"))
+        F.col("conv_id").cast("string").alias("path"), (F.col("turn") + 1).cast("int").alias("line_no"), F.to_json(record).alias("raw"))
     return tr.string_hits(lines).select("path", "line_no", "name")
 
 

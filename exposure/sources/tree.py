@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from exposure.functions import fixed
@@ -24,6 +24,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 ENTRY = "path string, is_dir boolean, length long, modificationTime timestamp"
 BATCH_BYTES = 64 << 20
+#: Bytes of a file that one task reads the lines of, and how many it reads at once.
+SPLIT_BYTES, READ_BYTES = 64 << 20, 4 << 20
 
 
 def _entries(folder: str) -> Iterator[tuple]:
@@ -91,41 +93,91 @@ def _contents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(held, columns=[*batch.columns, "content"])
 
 
-def _lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Lines of text files, read on from the file; a file of any size is never in memory as a whole."""
-    import io
+def _opened(path: str):
+    """A file that can be read from any place on."""
+    if "://" in path:
+        from pyarrow import fs
 
-    def opened(path: str):
-        if "://" in path:
-            from pyarrow import fs
+        system, inner = fs.FileSystem.from_uri(path)
+        return system.open_input_file(inner)
+    return open(path, "rb")
 
-            system, inner = fs.FileSystem.from_uri(path)
-            return system.open_input_stream(inner)
-        return open(path, "rb")
-
-    def rows(path: str) -> Iterator[tuple[str, int, str]]:
-        try:
-            with opened(path) as probe:
-                if b"\0" in probe.read(fixed.BINARY_PROBE_BYTES):
-                    return
-            with opened(path) as raw:
-                for i, line in enumerate(io.TextIOWrapper(raw, encoding="utf-8", errors="replace", newline=None)):
-                    yield path, i + 1, line.removesuffix("\n")
-        except OSError:
+
+def _is_text(handle) -> bool:
+    handle.seek(0)
+    return b"\0" not in handle.read(fixed.BINARY_PROBE_BYTES)
+
+
+def _pieces(path: str, start: int, end: int) -> Iterator[bytes]:
+    """The lines of a text file that begin in ``start`` to ``end``, in pieces of whole lines whose breaks are all line feeds.
+
+    A line ends with a line feed, a carriage return or both. What follows a break that lies before ``start`` begins there; a
+    line that begins before ``end`` is read to its end. An unreadable or binary file has none.
+    """
+    try:
+        handle = _opened(path)
+    except OSError:
+        return
+    with handle:
+        if not _is_text(handle):
             return
+        at = max(start - 1, 0)  # the byte before says whether a line begins at start
+        handle.seek(at)
+        held, skip = b"", start > 0
+        while True:
+            block = handle.read(READ_BYTES)
+            last = not block
+            held += block
+            while held.endswith(b"\r") and (more := handle.read(1)):  # whether a line feed belongs to it is not known yet
+                held += more
+            if skip:
+                breaks = [i for i in (held.find(b"\n"), held.find(b"\r")) if i >= 0]
+                if not breaks:
+                    if last:
+                        return
+                    at, held = at + len(held), b""
+                    continue
+                first = min(breaks) + (2 if held[min(breaks) : min(breaks) + 2] == b"\r\n" else 1)
+                at, held, skip = at + first, held[first:], False
+            if at >= end:
+                return
+            done = len(held) if last else max(held.rfind(b"\n"), held.rfind(b"\r")) + 1
+            if at + done > end:  # the line that holds the last byte of the range is the last one
+                stops = [i for i in (held.find(b"\n", end - 1 - at), held.find(b"\r", end - 1 - at)) if i >= 0]
+                if stops:
+                    done = min(stops) + (2 if held[min(stops) : min(stops) + 2] == b"\r\n" else 1)
+                    last = True
+            if done:
+                yield held[:done].replace(b"\r\n", b"\n").replace(b"\r", b"\n")
+                at, held = at + done, held[done:]
+            if last:
+                return
+
+
+def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """How many lines each byte range has."""
+    for batch in batches:
+        found = []
+        for r in batch.itertuples(index=False):
+            n, tail = 0, b"\n"
+            for piece in _pieces(r.path, int(r.start), int(r.end)):
+                n, tail = n + piece.count(b"\n"), piece[-1:]
+            found.append((r.path, r.start, n + (tail != b"\n")))
+        yield pd.DataFrame(found, columns=["path", "start", "n"])
+
 
+def _lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Lines of byte ranges, read on from the file; neither a file nor a range is in memory as a whole."""
     columns = ["path", "line_no", "raw"]
     for batch in batches:
-        held: list[tuple] = []
-        size = 0
-        for path in batch["path"]:
-            for row in rows(path):
-                held.append(row)
-                size += len(row[2])
-                if size >= BATCH_BYTES // 4:
-                    yield pd.DataFrame(held, columns=columns)
-                    held, size = [], 0
-        yield pd.DataFrame(held, columns=columns)
+        for r in batch.itertuples(index=False):
+            line_no = int(r.before)
+            for piece in _pieces(r.path, int(r.start), int(r.end)):
+                lines = piece.removesuffix(b"\n").split(b"\n")
+                for low in range(0, len(lines), 100_000):
+                    part = [x.decode("utf-8", "replace") for x in lines[low : low + 100_000]]
+                    yield pd.DataFrame({"path": r.path, "line_no": range(line_no + 1, line_no + 1 + len(part)), "raw": part}, columns=columns)
+                    line_no += len(part)
 
 
 def list_tree(
@@ -154,9 +206,24 @@ def stat_files(paths: DataFrame) -> DataFrame:
     return entries.join(paths.select("path").distinct(), "path", "left_semi").select("path", "length", "modificationTime")
 
 
-def read_lines(listing: DataFrame) -> DataFrame:
-    """``path, line_no, raw`` of text files of any size; binary files and those that cannot be read have no lines."""
-    return listing.select("path").mapInPandas(_lines, "path string, line_no int, raw string")
+def read_lines(listing: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """``path, line_no, raw`` of text files of any size; binary files and those that cannot be read have no lines.
+
+    A file is as many tasks as it has ranges of ``split_bytes``. Only longer files are read twice: first the lines of each of
+    their ranges are counted, so that a range knows the number of its first line and no line is shuffled.
+    """
+    tasks = 4 * listing.sparkSession.sparkContext.defaultParallelism
+    size = F.greatest(F.coalesce("length", F.lit(0)), F.lit(1))
+    starts = F.sequence(F.lit(0).cast("bigint"), size - 1, F.lit(split_bytes).cast("bigint"))
+    splits = listing.select("path", size.alias("size"), F.explode(starts).alias("start"))
+    # a file may have grown since it was listed: its last range is open
+    end = F.when(F.col("start") + split_bytes >= F.col("size"), F.lit(1 << 62)).otherwise(F.col("start") + split_bytes)
+    splits = splits.select("path", "start", end.cast("bigint").alias("end"), (F.col("size") > split_bytes).alias("cut"))
+    counts = splits.where("cut").repartition(tasks).mapInPandas(_count, "path string, start bigint, n bigint")
+    earlier = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    before = checkpoint(counts.select("path", "start", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before")))
+    placed = splits.join(before, ["path", "start"], "left").select("path", "start", "end", F.coalesce("before", F.lit(0)).alias("before"))
+    return placed.repartition(tasks).mapInPandas(_lines, "path string, line_no int, raw string")
 
 
 def unreadable(listing: DataFrame) -> DataFrame:
