@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("detection_queries", "exposure_queries", "inventory_queries", "access_queries", "audit_queries", "command_queries", "file_queries")
+MODULES = ("detection_queries", "exposure_queries", "inventory_queries", "access_queries", "audit_queries", "command_queries", "file_queries", "stream_queries")
 
 
 def all_queries() -> tuple[dict, dict]:

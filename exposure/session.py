@@ -49,9 +49,14 @@ def _checkpoint_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def own_folder(spark: SparkSession, name: str) -> str:
+    """A new folder on shared storage, for tables and streams that one job writes and reads again."""
+    return f"{_checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def store(df: DataFrame) -> DataFrame:
     """A checkpoint as a Parquet table: of what is read later, only the columns and rows asked for are."""
-    path = f"{_checkpoint_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    path = own_folder(df.sparkSession, "table")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

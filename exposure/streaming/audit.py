@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections import defaultdict
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from exposure.operators.audit import audit_windows as windows
 
@@ -64,3 +67,41 @@ def late_report(store: str | None = None, delay_seconds: int = 600) -> Callable[
         return batch.sparkSession.createDataFrame([(batch_id, row["n"], row["late"])], "batch_id long, n long, late long")
 
     return report
+
+
+def late_by_batch(stream: DataFrame, folder: str, delay_seconds: int = 600) -> DataFrame:
+    """Run what is there and give ``batch_id, n, late`` of every batch. A batch that is run again overwrites its own row."""
+    report = late_report(f"{folder}/newest", delay_seconds)
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        report(batch, batch_id).coalesce(1).write.mode("overwrite").parquet(f"{folder}/late/batch={batch_id}")
+
+    stream.writeStream.foreachBatch(keep).trigger(availableNow=True).option("checkpointLocation", f"{folder}/checkpoint").start().awaitTermination()
+    return stream.sparkSession.read.schema("batch_id long, n long, late long").parquet(f"{folder}/late/*")
+
+
+@contextmanager
+def dropped_rows(spark: SparkSession) -> Iterator[dict[str, int]]:
+    """Rows that the watermark drops from stateful operators of queries that run meanwhile, by query."""
+    dropped: dict[str, int] = defaultdict(int)
+
+    class Listener(StreamingQueryListener):
+        def onQueryStarted(self, event) -> None:
+            pass
+
+        def onQueryProgress(self, event) -> None:
+            dropped[str(event.progress.id)] += sum(o.numRowsDroppedByWatermark for o in event.progress.stateOperators)
+
+        def onQueryIdle(self, event) -> None:
+            pass
+
+        def onQueryTerminated(self, event) -> None:
+            pass
+
+    listener = Listener()
+    spark.streams.addListener(listener)
+    try:
+        yield dropped
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    finally:
+        spark.streams.removeListener(listener)

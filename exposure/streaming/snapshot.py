@@ -1,35 +1,89 @@
-"""Change-driven reload of sources from a stream of file versions."""
+"""Change-driven reload of sources from a stream of file versions.
+
+The store is a log of changes: each batch appends one row for every source that changed, went away or came back, and nothing
+for the rest. The newest row of a source is its last good version; what could not be read leaves no row. Every so many batches
+the newest rows are written together as a base, so that reading does not grow with the age of the log; a base counts once it is
+complete, and what it replaces is deleted only then. A batch that is run again after a failure reads what was before it and
+overwrites its own rows, so it ends in the same store.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from exposure.operators.inventory import snapshot_refresh
+ROWS = "source string, batch long, fingerprint string, gone boolean, content binary"
+COMPACT_EVERY = 32
+
+
+def _files(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _complete(spark: SparkSession, folder: str) -> dict[int, str]:
+    """Numbered folders that were written to their end."""
+    at, fs = _files(spark, folder)
+    if not fs.exists(at):
+        return {}
+    found = {int(s.getPath().getName()): s.getPath().toString() for s in fs.listStatus(at)}
+    return {n: path for n, path in found.items() if fs.exists(_files(spark, f"{path}/_SUCCESS")[0])}
+
+
+def _rows(spark: SparkSession, store: str, before: int | None) -> DataFrame:
+    """The newest base and the changes since: a few rows for each source."""
+    bases = {n: p for n, p in _complete(spark, f"{store}/base").items() if before is None or n < before}
+    base = max(bases, default=-1)
+    changes = {n: p for n, p in _complete(spark, f"{store}/changes").items() if n > base and (before is None or n < before)}
+    paths = [*changes.values(), *([bases[base]] if bases else [])]
+    return spark.read.schema(ROWS).parquet(*paths) if paths else spark.createDataFrame([], ROWS)
 
 
-def upsert(store: str) -> Callable[[DataFrame, int], None]:
-    """For ``foreachBatch``: keep the last good version of every source in ``store``.
+def current(spark: SparkSession, store: str, before: int | None = None) -> DataFrame:
+    """``source, fingerprint, content`` of every source that is there: its last good version."""
+    newest = _rows(spark, store, before).groupBy("source").agg(F.max_by(F.struct("fingerprint", "gone", "content"), "batch").alias("r"))
+    return newest.where("not r.gone").select("source", "r.fingerprint", "r.content")
 
-    Each batch writes a new version folder and reads the one before it, so a batch that is run again
-    after a failure gives the same result.
+
+def _fingerprints(spark: SparkSession, store: str, before: int) -> DataFrame:
+    """What is known of each source, without reading any content."""
+    newest = _rows(spark, store, before).groupBy("source").agg(F.max_by(F.struct("fingerprint", "gone"), "batch").alias("r"))
+    return newest.select("source", F.when(~F.col("r.gone"), F.col("r.fingerprint")).alias("known"))
+
+
+def upsert(store: str, compact_every: int = COMPACT_EVERY) -> Callable[[DataFrame, int], None]:
+    """For ``foreachBatch``: append what changed to ``store``.
+
+    A batch has ``source, content, modified`` and may have ``gone``; of several versions of a source the newest counts. A null
+    content cannot be read and keeps the last good version; ``gone`` removes the source.
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        latest = batch.groupBy("source").agg(F.max_by("content", F.struct("modified", "content")).alias("content"))
-        if batch_id == 0:
-            previous = spark.createDataFrame([], "source string, content binary")
-        else:
-            previous = spark.read.parquet(f"{store}/version={batch_id - 1}")
-        status = snapshot_refresh(previous.select("source", "content"), latest)
-        merged = (
-            status.join(previous.withColumnRenamed("content", "__old"), "source", "left")
-            .join(latest.withColumnRenamed("content", "__new"), "source", "left")
-            .select("source", F.when(F.col("use_previous"), F.col("__old")).otherwise(F.coalesce("__new", "__old")).alias("content"))
-        )
-        merged.write.mode("overwrite").parquet(f"{store}/version={batch_id}")
+        body = F.col("content").cast("binary")
+        gone = F.coalesce("gone", F.lit(False)) if "gone" in batch.columns else F.lit(False)
+        seen = batch.select("source", "modified", gone.alias("gone"), body.alias("content")).where("gone or content is not null")
+        latest = seen.groupBy("source").agg(F.max_by(F.struct("gone", "content"), F.struct("modified", "gone", "content")).alias("v"))
+        now = latest.select("source", "v.gone", F.when(~F.col("v.gone"), F.col("v.content")).alias("content"))
+        now = now.withColumn("fingerprint", F.concat_ws(":", F.octet_length("content"), F.sha2("content", 256)))
+        known = _fingerprints(spark, store, batch_id)
+        new = F.when(~F.col("gone"), F.col("fingerprint"))
+        changed = now.join(known, "source", "left").where(~new.eqNullSafe(F.col("known")))
+        changed.select("source", F.lit(batch_id).cast("long").alias("batch"), "fingerprint", "gone", "content").write.mode("overwrite").parquet(f"{store}/changes/{batch_id}")
+        if (batch_id + 1) % compact_every == 0:
+            compact(spark, store, batch_id)
 
     return apply
+
+
+def compact(spark: SparkSession, store: str, upto: int) -> None:
+    """The newest row of every source that is there as one base; older bases and the changes in it go when it is complete."""
+    base = f"{store}/base/{upto}"
+    current(spark, store, upto + 1).select("source", F.lit(upto).cast("long").alias("batch"), "fingerprint", F.lit(False).alias("gone"), "content").write.mode("overwrite").parquet(base)
+    for kind, last in (("base", upto - 1), ("changes", upto)):
+        for n, path in _complete(spark, f"{store}/{kind}").items():
+            if n <= last:
+                at, fs = _files(spark, path)
+                fs.delete(at, True)

@@ -1,4 +1,5 @@
 import json
+import random
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from exposure.sources.texts import texts
 from exposure.streaming import audit as SA
 from exposure.streaming import scan as SS
 from exposure.streaming.sessions import admission_stream, session_stream
-from exposure.streaming.snapshot import upsert
+from exposure.streaming.snapshot import current, upsert
 from tests import values as X
 from tests.test_access import T0, UNLOCK, procs, requests
 from exposure.operators import lineage as L
@@ -144,5 +145,58 @@ def test_snapshot_stream(spark, tmp_path):
     now = datetime(2026, 1, 1)
     apply(spark.createDataFrame([("a", b"1", now), ("b", b"2", now)], schema), 0)
     apply(spark.createDataFrame([("a", None, now), ("b", b"3", now), ("c", b"4", now)], schema), 1)
-    got = {r.source: bytes(r.content) for r in spark.read.parquet(str(tmp_path / "store/version=1")).collect()}
-    assert got == {"a": b"1", "b": b"3", "c": b"4"}
+    assert kept(spark, tmp_path) == {"a": b"1", "b": b"3", "c": b"4"}
+
+
+def kept(spark, tmp_path):
+    return {r.source: bytes(r.content) for r in current(spark, str(tmp_path / "store")).collect()}
+
+
+def test_snapshots_write_what_changed(spark, tmp_path):
+    """Random versions, unreadable and removed sources, bases now and then, batches run twice by a job that starts anew: rows written are those changed."""
+    r = random.Random(4)
+    schema = "source string, content binary, modified timestamp, gone boolean"
+    store, state = str(tmp_path / "store"), {}
+    for batch_id in range(11):
+        rows, wanted = [], dict(state)
+        for source in r.sample("abcdefgh", 4):
+            content, gone = r.choice([None, b"x", b"y", b"z"]), r.random() < 0.2
+            rows.append((source, content, T0, gone))
+            if gone:
+                wanted.pop(source, None)
+            elif content is not None:
+                wanted[source] = content
+        if rows:
+            rows.append((rows[0][0], b"older", T0 - timedelta(days=1), False))
+            if rows[0][1] is None and not rows[0][3]:
+                wanted[rows[0][0]] = b"older"
+        changed = {k for k in {*state, *wanted} if state.get(k) != wanted.get(k)}
+        for _ in range(1 + batch_id % 2):  # a batch that failed behind its write is run again
+            upsert(store, compact_every=4)(spark.createDataFrame(rows, schema), batch_id)
+            if (batch_id + 1) % 4:
+                written = spark.read.parquet(f"{store}/changes/{batch_id}")
+                assert {x.source for x in written.collect()} >= changed and written.count() <= len(changed) + sum(g for *_, g in rows)
+        state = wanted
+        assert kept(spark, tmp_path) == state
+    assert {p.name for p in (tmp_path / "store" / "base").iterdir()} == {"7"} and len(list((tmp_path / "store" / "changes").iterdir())) == 3
+
+
+def test_half_a_base_is_none(spark, tmp_path):
+    store = str(tmp_path / "store")
+    rows = spark.createDataFrame([("a", b"1", T0)], "source string, content binary, modified timestamp")
+    upsert(store)(rows, 0)
+    (tmp_path / "store" / "base" / "0").mkdir(parents=True)  # a job that was killed before its base was complete
+    assert kept(spark, tmp_path) == {"a": b"1"}
+
+
+def test_late_rows_are_counted_and_dropped(spark, tmp_path):
+    """Rows behind the watermark: counted batch by batch, and by Spark's own count of rows dropped."""
+    for k, ts in enumerate([T0, T0 + timedelta(hours=3), T0 + timedelta(hours=4), T0 + timedelta(hours=5)]):
+        rows = [(ts + timedelta(seconds=i), 10 * k + i) for i in range(5)] + [(T0 - timedelta(hours=1), 1000 + k)]
+        spark.createDataFrame(rows, "ts timestamp, event_id long").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("ts timestamp, event_id long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    found = SA.late_by_batch(stream, str(tmp_path / "job"), delay_seconds=600).orderBy("batch_id").collect()
+    assert [(r.n, r.late) for r in found] == [(6, 0), (6, 1), (6, 1), (6, 1)]
+    with SA.dropped_rows(spark) as dropped:
+        unique = drain(SA.dedup_audit(stream, ["event_id"]), tmp_path, "ded").count()
+    assert unique + sum(dropped.values()) == 24 and 2 <= sum(dropped.values()) <= 3
