@@ -13,8 +13,8 @@ a probability of 3e-6.
 2. In each bucket of a band every class meets one hub: the class with the most copies. The joint likelihood of the registers estimates how alike they are, and of each class the
    likeliest pair is verified on full sets: that joins nearly all there is to join.
 3. Where a bucket then still has several components, its classes outside the largest of them are held against all others of the bucket, in blocks of bounded size and only by sizes
-   and registers, with five standard deviations to spare. A pair is judged in the first bucket that it shares and nowhere else. What is left is verified on full sets. So no two
-   classes that share a bucket are passed over, whatever hub they met; no group is larger than a bucket, and no bucket is gathered in one task.
+   and registers, with five standard deviations to spare. A pair is judged in the first bucket that it shares and nowhere else. Classes that may be linked get their full sets and
+   are compared where they lie. So no two classes that share a bucket are passed over, whatever hub they met; no pair is written out, and no bucket is gathered in one task.
 
 Defined cases: a null text is the empty one; rows of one id are one document in the graph (each row is returned with its own n_shingles); a row with a null id is linked
 with nothing, its component_id is null and it is kept; repeated rows are returned each; an empty table gives an empty one; other columns are not read.
@@ -23,7 +23,7 @@ with nothing, its component_id is null and it is kept; repeated rows are returne
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -208,51 +208,92 @@ def across(group: tuple[np.ndarray, ...], percent: int) -> tuple[np.ndarray, np.
     return (np.concatenate(found_a), np.concatenate(found_b)) if found_a else (nothing, nothing)
 
 
-def candidates(members: DataFrame, labels: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """a, b: pairs of classes of different components that share a bucket and may be linked, each once."""
-    kind = kind_of(classes, "rep")
-
-    def arrays(b: pa.RecordBatch) -> tuple[np.ndarray, ...]:
-        columns = (b.column(i).to_numpy(zero_copy_only=False) for i in range(8))
-        return (*columns, as_registers(b.column(8)))
+def by_block(judge: Callable[[list[np.ndarray], pa.RecordBatch], pa.RecordBatch]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``judge`` for every block (key, l, r) of rows that are sorted by blocks: arrays of key, side, rep, component, main, n and registers, and the rows."""
 
-    def judged(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        key, _, _, side, rep, component, main, n, registers = (np.concatenate(c) for c in zip(*parts))
-        i, j = across((key, side, rep, component, main, n, registers), percent)
-        return pa.RecordBatch.from_arrays([pa.array(rep[i], pa.int64()), pa.array(rep[j], pa.int64())], ["a", "b"])
+    def judged(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+        arrays = [rows.column(i).to_numpy(zero_copy_only=False) for i in (0, 3, 4, 5, 6, 7)]
+        return judge([*arrays, as_registers(rows.column(8))], rows)
 
-    def run(batches: Iterable[pa.RecordBatch]):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, block = [], None
         for b in slices(batches, 4096):
             if not b.num_rows:
                 continue
-            rows = arrays(b)
-            edges = np.flatnonzero((rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1]) | (rows[2][1:] != rows[2][:-1])) + 1
-            for low, high in zip([0, *edges.tolist()], [*edges.tolist(), b.num_rows]):
-                now = (rows[0][low], rows[1][low], rows[2][low])
+            place = [b.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+            edges = (np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in place])) + 1).tolist()
+            for low, high in zip([0, *edges], [*edges, b.num_rows]):
+                now = tuple(c[low] for c in place)
                 if parts and now != block:
                     yield judged(parts)
                     parts = []
                 block = now
-                parts.append(tuple(c[low:high] for c in rows))
+                parts.append(b.slice(low, high - low))
         if parts:
             yield judged(parts)
 
+    return run
+
+
+def links_across(
+    members: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int, percent: int, id_col: str, text_col: str, scratch: Scratch
+) -> DataFrame:
+    """a, b: links between classes of different components that share a bucket.
+
+    A first look, by registers, leaves the classes that may be linked within a block; with their full sets they are then compared in place, as long
+    as the two are not joined. Only links leave a task, so no pairs are written out.
+    """
+    kind, names = kind_of(classes, "rep"), ["key", "l", "r", "side", "rep", "component", "main", "n"]
+
+    def hopeful(arrays: list[np.ndarray], rows: pa.RecordBatch) -> pa.RecordBatch:
+        i, j = across(arrays, percent)
+        at = pa.array(np.unique(np.concatenate([i, j])))
+        return pa.RecordBatch.from_arrays([c.take(at) for c in rows.columns[:8]], names)
+
+    def compared(arrays: list[np.ndarray], rows: pa.RecordBatch) -> pa.RecordBatch:
+        rep, component = arrays[2], arrays[3]
+        sets = [np.sort(x.values.to_numpy().view(np.uint64)) for x in rows.column(9)]
+        joined: dict[int, int] = {}
+
+        def root(c: int) -> int:
+            while c in joined:
+                c = joined[c]
+            return c
+
+        found = []
+        for i, j in zip(*(x.tolist() for x in across(arrays, percent))):
+            a, b = root(int(component[i])), root(int(component[j]))
+            if a != b:
+                x, y = sets[i], sets[j]
+                common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+                if 100 * common >= percent * (len(x) + len(y) - common):
+                    joined[a] = b
+                    found.append((int(rep[i]), int(rep[j])))
+        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
     def deal(parts: str) -> Column:
         return F.pmod(F.xxhash64("rep"), F.col(parts)).cast("int")
 
     def to(left: Column, right: Column, side: bool) -> Column:
         return F.struct(left.alias("l"), right.alias("r"), F.lit(side).alias("side"))
 
+    def placed(rows: DataFrame) -> DataFrame:
+        return rows.repartition("key", "l", "r").sortWithinPartitions("key", "l", "r")
+
     as_right = F.transform(F.sequence(F.lit(0), F.col("lefts") - 1), lambda at: to(at, deal("rights"), False))
     as_left = F.transform(F.sequence(F.lit(0), F.col("rights") - 1), lambda at: to(deal("lefts"), at, True))
     rows = open_buckets(members, labels)
     dealt = rows.select("key", "rep", "component", "main", "n", F.explode(F.when(F.col("main"), as_right).otherwise(F.concat(as_right, as_left))).alias("to"))
-    full = dealt.join(classes.select("rep", "registers"), "rep").select(
-        "key", "to.l", "to.r", "to.side", F.col("rep").cast("bigint"), F.col("component").cast("bigint"), "main", "n", "registers"
-    )
-    placed = full.repartition("key", "l", "r").sortWithinPartitions("key", "l", "r")
-    return placed.mapInArrow(run, "a bigint, b bigint").select(F.col("a").cast(kind), F.col("b").cast(kind))
+    numbers = classes.select(F.col("rep").cast("bigint").alias("rep"), "registers")
+    wide = dealt.select("key", "to.l", "to.r", "to.side", F.col("rep").cast("bigint").alias("rep"), F.col("component").cast("bigint"), "main", "n")
+    first = placed(wide.join(numbers, "rep").select(*names, "registers"))
+    shape = "key bigint, l int, r int, side boolean, rep bigint, component bigint, main boolean, n bigint"
+    hope = scratch.save(first.mapInArrow(by_block(hopeful), shape), "hopeful")
+    wanted = hope.select(F.col("rep").cast(kind).alias("id")).distinct()
+    sets = scratch.save(full_sets(wanted, docs, shingle, id_col, text_col), "sets").groupBy(F.col("id").cast("bigint").alias("rep")).agg(F.first("hashes").alias("hashes"))
+    second = placed(hope.join(numbers, "rep").join(sets, "rep").select(*names, "registers", "hashes"))
+    return second.mapInArrow(by_block(compared), "a bigint, b bigint").select(F.col("a").cast(kind), F.col("b").cast(kind)).distinct()
 
 
 def full_sets(wanted: DataFrame, docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
@@ -297,17 +338,36 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def joined_up(labels: DataFrame, more: DataFrame) -> DataFrame:
-    """Labels (node, component) after further links (a, b): only components that the links join are labelled anew."""
+def roots(parents: DataFrame) -> DataFrame:
+    """node, component: the root above each node of a forest (a, b), b being a's parent, by doubling the steps up."""
+    scratch = Scratch(parents.sparkSession)
+    up = scratch.save(parents.toDF("node", "component"), "up")
+    while True:
+        beyond = up.select(F.col("node").alias("component"), F.col("component").alias("beyond"))
+        further = up.join(beyond, "component", "left").select("node", F.coalesce("beyond", "component").alias("component"), F.col("beyond").isNotNull().alias("moved"))
+        last = Scratch(parents.sparkSession)
+        up = last.save(further, "up")
+        scratch.drop()
+        scratch = last
+        if up.where("moved").isEmpty():
+            return up.drop("moved")
+
+
+def smallest(labels: DataFrame, more: DataFrame) -> DataFrame:
+    """node, component (its smallest node) of every node of a forest's labels and of further links (a, b) between its trees."""
 
     def named(column: str) -> Column:
         return F.coalesce(f"c_{column}", column).alias(column)
 
     a, b = (labels.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}")) for c in "ab")
     ends = more.join(a, "a", "left").join(b, "b", "left").select(named("a"), named("b"))
-    new = components(ends).select(F.col("node").alias("component"), F.col("component").alias("least"))
-    old = labels.join(new, "component", "left").select("node", F.coalesce("least", "component").alias("component"))
-    return old.union(new.join(labels, new["component"] == labels["node"], "left_anti").select("component", "least"))
+    trees = labels.union(labels.select("component", "component").distinct())
+    if not ends.isEmpty():
+        merged = components(ends).toDF("component", "least")
+        trees = trees.join(merged, "component", "left").select("node", F.coalesce("least", "component").alias("component"))
+        trees = trees.union(merged.join(trees, merged["component"] == trees["node"], "left_anti").select("component", "least"))
+    least = trees.groupBy("component").agg(F.min("node").alias("least"))
+    return trees.join(least, "component").select("node", F.col("least").alias("component"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -325,13 +385,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     fits = (F.col("estimate") >= least_estimate(percent)) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
     likeliest_pair = F.max_by("b", F.struct("estimate", -F.col("b"))).alias("b")
     first = scratch.save(with_estimates(pairs, classes).where(fits).groupBy("a").agg(likeliest_pair), "first")
-    found = scratch.save(verified(first, docs, shingle, percent, id_col, text_col, scratch).union(joined), "links")
-    labels = components(found)
-    rest = scratch.save(candidates(members, labels, classes, percent), "rest")
-    more = save(verified(rest, docs, shingle, percent, id_col, text_col, scratch), "more")
+    # a hub has more copies than its class, or as many and a smaller id, so links to hubs are a forest
+    trees = roots(verified(first, docs, shingle, percent, id_col, text_col, scratch))
+    across_trees = links_across(members, trees, classes, docs, shingle, percent, id_col, text_col, scratch)
+    more = save(across_trees.union(joined), "more")
     scratch.drop()
-    if not more.isEmpty():
-        labels = joined_up(labels, more)
+    labels = smallest(trees, more)
 
     rows = sketched.select("id", "n", "digest").join(classes.select("digest", "rep"), "digest", "left").join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "rep", "id"))
