@@ -25,16 +25,16 @@ def manifest_status(manifest: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def manifest_summary(
-    projects: DataFrame, status: DataFrame, errors: DataFrame | None = None
+    projects: DataFrame, status: DataFrame, errors: DataFrame | None = None, more: Sequence[Column] = (), added: Sequence[str] = ()
 ) -> DataFrame:
-    """One row per project with counts and ``ok``. No manifest is ok; a broken one is not."""
+    """One row per project with counts and ``ok``. No manifest is ok; a broken one is not. ``more`` are further aggregates, named ``added``."""
 
     def n(what: str) -> Column:
         return F.count(F.when(F.col("status") == what, 1))
 
     counted = status.groupBy("project").agg(
         F.count(F.when(F.col("required"), 1)).alias("required"), n("present").alias("present"),
-        n("missing").alias("missing"), n("optional_absent").alias("optional_absent"),
+        n("missing").alias("missing"), n("optional_absent").alias("optional_absent"), *(c.alias(a) for c, a in zip(more, added)),
     )
     out = projects.select("project").distinct().join(counted, "project", "left")
     out = out.join(errors.select("project", "error"), "project", "left") if errors is not None else out.withColumn(
@@ -43,23 +43,16 @@ def manifest_summary(
     failed = F.col("error").isNotNull()
     counts = [F.when(failed, F.lit(0)).otherwise(F.coalesce(c, F.lit(0))).cast("bigint").alias(c)
               for c in ("required", "present", "missing", "optional_absent")]
-    return out.select("project", (~failed & (F.coalesce("missing", F.lit(0)) == 0)).alias("ok"), *counts, "error")
+    return out.select("project", (~failed & (F.coalesce("missing", F.lit(0)) == 0)).alias("ok"), *counts, "error", *added)
 
 
 def manifest_check(
     projects: DataFrame, manifest: DataFrame, names: DataFrame, errors: DataFrame | None = None
 ) -> DataFrame:
     """Summary with sorted name arrays, which the manifest of a project bounds: it is one file."""
-    status = manifest_status(manifest, names)
-    base = manifest_summary(projects, status, errors)
-
-    def listed(what: str) -> Column:
-        return F.array_sort(F.collect_list(F.when(F.col("status") == what, F.col("name"))))
-
-    arrays = status.groupBy("project").agg(
-        *(listed(s).alias(f"{s}_names") for s in ("present", "missing", "optional_absent"))
-    )
-    return base.join(arrays, "project", "left")
+    listed = ("present", "missing", "optional_absent")
+    arrays = [F.array_sort(F.collect_list(F.when(F.col("status") == what, F.col("name")))) for what in listed]
+    return manifest_summary(projects, manifest_status(manifest, names), errors, arrays, [f"{what}_names" for what in listed])
 
 
 def preflight(requests: DataFrame, status: DataFrame) -> DataFrame:

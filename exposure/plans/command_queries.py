@@ -91,8 +91,8 @@ def c7_command_secrets(spark, sf):
     value = F.concat(F.lit("Zk9pL2xQ"), "event_id", F.lit("vB8w"))
     u = F.col("user_id") % 3
     text = (
-        F.when(u == 0, F.concat(F.lit("vaultctl run --secret NAME -- mysql --password "), value))
-        .when(u == 1, F.concat(F.lit("vaultctl list && mysql --password "), value))
+        F.when(u == 0, F.concat(F.lit("vaultctl run --secret NAME -- dbshell --password "), value))
+        .when(u == 1, F.concat(F.lit("vaultctl list && dbshell --password "), value))
         .otherwise(F.concat(F.lit("vaultctl run --password "), value, F.lit(" -- ls")))
     )
     log = table(spark, sf, "events").select(F.col("event_id").alias("cmd_id"), text.alias("text"))

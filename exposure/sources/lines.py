@@ -25,15 +25,14 @@ def _stripped(c: Column) -> Column:
     return F.regexp_replace(c, f"^[{fixed.SPACES}]+|[{fixed.SPACES}]+$", "")
 
 
-def _unquote(raw: Column) -> Column:
-    value = _stripped(raw)
-    quoted = value.rlike(r"(?s)^(?:\"[\s\S]*\"|'[\s\S]*')\z") & (F.length(value) >= 2)
-    uncommented = F.regexp_replace(F.regexp_extract(value, r"(?s)^(.*?)(?: #.*)?\z", 1), f"[{fixed.SPACES}]+$", "")
-    return (
-        F.when(quoted, F.substring(value, F.lit(2), F.length(value) - 2))
-        .when(value.contains(" #"), uncommented)
-        .otherwise(value)
-    )
+#: A value in double quotes, in single quotes, or bare up to a comment.
+VALUE_FORMS = f"""(?s)^(?:"(.*)"|'(.*)'|(.*?)[{fixed.SPACES}]*(?: #.*)?)\\z"""
+
+
+def _assigned(right: Column) -> Column:
+    """The value on the right of an assignment; the groups of the forms that do not apply are empty."""
+    value = _stripped(right)
+    return F.concat(*(F.regexp_extract(value, VALUE_FORMS, form) for form in (1, 2, 3)))
 
 
 def dotenv_lines(lines: DataFrame) -> DataFrame:
@@ -44,7 +43,7 @@ def dotenv_lines(lines: DataFrame) -> DataFrame:
         lines.withColumn("__line", line)
         .where(F.col("__line").rlike(shape) & ~F.col("__line").startswith("#"))
         .select("path", "line_no", F.regexp_extract("__line", shape, 1).alias("name"),
-                _unquote(F.regexp_extract("__line", shape, 2)).alias("value"))
+                _assigned(F.regexp_extract("__line", shape, 2)).alias("value"))
     )
 
 
@@ -115,29 +114,30 @@ def manifest_rows(lines: DataFrame) -> DataFrame:
         ((key == "required") & flag.isNull()) | (key.isin("description", "env", "name") & text.isNull())
         | ((key == "env") & (text == ""))
     )
-    rows = section.select(
-        "path", "line_no", "section", key.alias("key"), text.alias("text"), flag.alias("flag"),
-        F.when(~readable & (~elsewhere | raw.rlike(r"^\s*\[+\s*secret")), F.format_string("line %d cannot be read", "line_no"))
-        .when(bad_type, F.format_string("line %d: %s has the wrong type", F.col("line_no"), key)).alias("problem"),
-        ours.alias("ours"),
+    problem = F.when(~readable & (~elsewhere | raw.rlike(r"^\s*\[+\s*secret")), F.format_string("line %d cannot be read", "line_no")).when(
+        bad_type, F.format_string("line %d: %s has the wrong type", F.col("line_no"), key)
     )
-    problems = rows.groupBy("path").agg(F.min_by("problem", F.when(F.col("problem").isNotNull(), F.col("line_no"))).alias("error"))
+    mine = F.when(ours, F.col("section"))
+    rows = section.select("path", "line_no", mine.alias("section"), key.alias("key"), text.alias("text"), flag.alias("flag"), problem.alias("problem"))
 
     def last(key_name: str, column: str) -> Column:
-        return F.max_by(column, F.when(F.col("key") == key_name, F.col("line_no")))
+        return F.max_by(column, F.when(F.col("section").isNotNull() & (F.col("key") == key_name), F.col("line_no")))
 
-    entries = rows.where("ours").groupBy("path", F.col("section.kind").alias("kind"), F.col("section.at").alias("at")).agg(
+    # One pass over the lines: a row for each entry, and one for what belongs to none, each with its first problem.
+    first = F.min(F.when(F.col("problem").isNotNull(), F.struct("line_no", "problem")))
+    entries = rows.groupBy("path", F.col("section.kind").alias("kind"), F.col("section.at").alias("at")).agg(
         F.coalesce(F.max("section.name"), last("name", "text")).alias("name"),
         F.coalesce(last("required", "flag"), F.lit(True)).alias("required"),
         F.coalesce(last("description", "text"), F.lit("")).alias("description"),
-        last("env", "text").alias("env"),
+        last("env", "text").alias("env"), first.alias("problem"),
+    )
+    unnamed = F.col("kind").isNotNull() & (F.coalesce("name", F.lit("")) == "")
+    status = entries.groupBy("path").agg(F.min("problem").alias("p"), F.bool_or(unnamed).alias("unnamed")).select(
+        "path", F.coalesce("p.problem", F.when(F.col("unnamed"), F.lit("[[secret]] entry without name"))).alias("error")
     )
-    unnamed = entries.where(F.coalesce("name", F.lit("")) == "").select("path").distinct().withColumn("__unnamed", F.lit(True))
-    chosen = entries.where(F.coalesce("name", F.lit("")) != "").groupBy("path", "name").agg(
+    chosen = entries.where(F.col("kind").isNotNull() & ~unnamed).groupBy("path", "name").agg(
         F.min_by(F.struct("required", "description", "env"), F.struct(F.col("kind") == "legacy", F.col("at"))).alias("e")
     )
-    error = F.coalesce("error", F.when(F.col("__unnamed"), F.lit("[[secret]] entry without name")))
-    status = problems.join(unnamed, "path", "left").select("path", error.alias("error"))
     good = chosen.join(status.where("error is null"), "path", "left_semi").select(
         F.col("path").alias("project"), "name", "e.required", "e.description",
         F.coalesce("e.env", "name").alias("env"), F.lit(None).cast("string").alias("error"),

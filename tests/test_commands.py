@@ -60,9 +60,9 @@ def test_tokens_chunks_and_depth(spark):
 
 def test_command_secrets(spark):
     log = spark.createDataFrame([
-        (1, f"keeper run --secret A -- mysql --password {X.MIXED16}"), (2, f"keeper list && curl --token {X.HEX32}"),
-        (3, f"keeper run --password {X.MIXED16} -- ls"), (4, f"mysql --password {X.MIXED16}"),
-        (5, f"bash -c 'mysql --password {X.MIXED16}'")], "cmd_id long, text string")
+        (1, f"keeper run --secret A -- dbshell --password {X.MIXED16}"), (2, f"keeper list && curl --token {X.HEX32}"),
+        (3, f"keeper run --password {X.MIXED16} -- ls"), (4, f"dbshell --password {X.MIXED16}"),
+        (5, f"bash -c 'dbshell --password {X.MIXED16}'")], "cmd_id long, text string")
     assert sorted(r.id for r in C.scan_command_text(log, [T]).collect()) == ["1", "2", "4", "5"]
 
 

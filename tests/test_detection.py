@@ -26,8 +26,8 @@ def test_value_tiers(spark):
     want = {
         X.MIXED: ("likely", None), X.MIXED16: ("likely", None), X.HEX32: ("likely", "uuid"), X.JWT: ("likely", None),
         X.URLSAFE: ("likely", None), X.UUID: ("likely", "uuid"), X.WEAK: ("possible", "low-transition"),
-        "CorrectHorseBattery": ("possible", "word-shaped-passphrase"), "SummerVineyard2026": ("possible", "low-transition"),
-        "mySecretValue": ("possible", "identifier"), "GetTokenFromCache()": ("none", "function-call"),
+        "OrchardLanternRiver": ("possible", "word-shaped-passphrase"), "HarbourMeadow1987": ("possible", "low-transition"),
+        "ownHiddenPhrase": ("possible", "identifier"), "ReadCipherFromDisk()": ("none", "function-call"),
         "Optional[str]": ("none", "type-annotation"), "changeme": ("none", None), "'changeme'": ("none", None),
         "00000000-0000-0000-0000-000000000000": ("none", None), "short1A": ("none", None),
         "postgres-dev-local": ("none", None), "your_api_key": ("none", None), "xxxxxxxxxx": ("none", None),
@@ -45,14 +45,14 @@ def test_value_measures(spark):
 
 
 def test_name_vocabulary(spark):
-    yes = ["api_key", "API-KEY", "apikey", "my_db_password", "token", "'secret'", "private_key", "a_b_passwd"]
+    yes = ["api_key", "API-KEY", "apikey", "billing_db_password", "token", "'secret'", "private_key", "a_b_passwd"]
     no = ["secret-name", "token-file", "mytoken", "_token", "a__token", "", "api.key", "password-stdin"]
     df = spark.createDataFrame([(n,) for n in yes + no], "n string").where(N.is_secret_name("n"))
     assert sorted(r.n for r in df.collect()) == sorted(yes)
 
 
 SHAPES = [
-    (f"secrets.api_key = {X.MIXED}", ["api_key"]), (f"my_db_password: {X.MIXED}", ["my_db_password"]),
+    (f"secrets.api_key = {X.MIXED}", ["api_key"]), (f"billing_db_password: {X.MIXED}", ["billing_db_password"]),
     (f'"api_key": "{X.MIXED}"', ["api_key"]), (f"api_key='{X.MIXED}'", ["api_key"]), (f"API_KEY={X.MIXED}", ["API_KEY"]),
     (f'"api_key: {X.MIXED}"', ["api_key"]), (f"!api_key={X.MIXED}", ["api_key"]), (f"api_key=\"{X.MIXED}'", []),
     (f"café_token={X.MIXED}", ["token"]), (f"mytoken={X.MIXED}", ["token"]), (f"secret_token={X.MIXED}", ["secret_token"]),
@@ -92,15 +92,15 @@ def test_vendor_prefixes_and_order(spark):
 
 def test_bearer(spark):
     t = as_texts(spark, [
-        "Authorization: Bearer someVariableName", f"bearer {X.MIXED}", f"Bearer {X.MIXED} {X.PREFIXED['npm token']}", "Bearer short"])
+        "Authorization: Bearer anotherFieldLabel", f"bearer {X.MIXED}", f"Bearer {X.MIXED} {X.PREFIXED['npm token']}", "Bearer short"])
     assert by_id(D.bearer_marks(t), "bearer_tier") == {0: ["possible"], 1: ["likely"]}
 
 
 def test_name_tiers_and_findings(spark):
     rows = [
-        f'api_key = "mySecretValue"\nAPI_KEY = "{X.MIXED}"\n', f'api_key = "{X.MIXED}"\napi_key = "mySecretValue"\n',
-        f"token = mySecretValue\npassword = SummerVineyard2026\ntoken = SummerVineyard2026\n--api-key {X.WEAK}",
-        f"{X.PREFIXED['npm token']} token={X.UUID} secret = mySecretValue", "Bearer someVariableName", f"Bearer {X.MIXED}", "nothing",
+        f'api_key = "ownHiddenPhrase"\nAPI_KEY = "{X.MIXED}"\n', f'api_key = "{X.MIXED}"\napi_key = "ownHiddenPhrase"\n',
+        f"token = ownHiddenPhrase\npassword = HarbourMeadow1987\ntoken = HarbourMeadow1987\n--api-key {X.WEAK}",
+        f"{X.PREFIXED['npm token']} token={X.UUID} secret = ownHiddenPhrase", "Bearer anotherFieldLabel", f"Bearer {X.MIXED}", "nothing",
     ]
     h = D.hits(as_texts(spark, rows))
     tiers = by_id(A.name_tiers(h).orderBy("first_seq"), "name", "tier", "reasons", "is_flag")

@@ -29,7 +29,7 @@ def test_fixture_shapes(spark):
         "clean": [said("List files"), said("Sure")],
         "bearer": [said(f"saw Bearer {X.MIXED} in the log")],
         "nested": [json.dumps({"payload": {"text": "npm token " + X.PREFIXED["npm token"]}}), said("all clear")],
-        "mixed": [said(f'api_key = "{X.MIXED}"\ntoken = mySecretValue')],
+        "mixed": [said(f'api_key = "{X.MIXED}"\ntoken = ownHiddenPhrase')],
         "both": [said(f'{X.PREFIXED["OpenAI-style key"]}\napi_key = "{X.MIXED}"')],
         "broken": ["{not json token=" + X.MIXED, "", said(f"token={X.MIXED}")],
     })
@@ -43,13 +43,13 @@ def test_fixture_shapes(spark):
     assert got["both", "certain"].secret_count == 1
     assert (got["both", "likely"].secret_count, got["both", "likely"].secret_names) == (0, ["api_key"])
     assert got["broken", "likely"].hit_lines == [3]
-    s = A.leak_counts(T.transcript_findings(T.line_tiers(T.string_hits(lines(spark, {"mixed": [said(f'api_key = "{X.MIXED}"\ntoken = mySecretValue')]}))))).first()
+    s = A.leak_counts(T.transcript_findings(T.line_tiers(T.string_hits(lines(spark, {"mixed": [said(f'api_key = "{X.MIXED}"\ntoken = ownHiddenPhrase')]}))))).first()
     assert (s.strict_high, s.strict_paranoid, s.possible_count, s.transcript_line_hits) == (1, 1, 0, 1)
 
 
 def test_keys_unwrap_and_escapes(spark):
     got = found(spark, {
-        "key": [json.dumps({"api_key": X.MIXED, "list": [{"db_password": "SummerVineyard2026"}]})],
+        "key": [json.dumps({"api_key": X.MIXED, "list": [{"db_password": "HarbourMeadow1987"}]})],
         "once": [json.dumps({"a": json.dumps({"b": json.dumps({"token": X.MIXED}), "password": X.MIXED16})})],
         "escaped": ['{"a":"\\u0074oken=' + X.MIXED + '"}'],
         "number": [json.dumps({"token": 12345678})],
@@ -62,13 +62,13 @@ def test_keys_unwrap_and_escapes(spark):
 
 
 def test_first_reason_and_kind_follow_document_order(spark):
-    z_first = json.dumps({"z": "token = mySecretValue " + X.PREFIXED["npm token"], "a": "token = SummerVineyard2026 " + X.PREFIXED["AWS access key id"]})
+    z_first = json.dumps({"z": "token = ownHiddenPhrase " + X.PREFIXED["npm token"], "a": "token = HarbourMeadow1987 " + X.PREFIXED["AWS access key id"]})
     tiers = T.line_tiers(T.string_hits(lines(spark, {"p": [z_first]}))).collect()
     assert {(r.form, r.name, tuple(r.reasons)) for r in tiers} == {("name", "token", ("identifier",)), ("prefix", "npm token", ())}
 
 
 def test_names_follow_line_order(spark):
-    got = found(spark, {"p": [said("token = mySecretValue"), said(f"TOKEN={X.MIXED}"), said("Token = SummerVineyard2026"), said("secret = mySecretValue")]})
+    got = found(spark, {"p": [said("token = ownHiddenPhrase"), said(f"TOKEN={X.MIXED}"), said("Token = HarbourMeadow1987"), said("secret = ownHiddenPhrase")]})
     assert got["p", "likely"].secret_names == ["TOKEN"]
     assert got["p", "possible"].secret_names == ["token", "secret"]
     assert got["p", "possible"].hit_lines == [1, 3, 4]
@@ -102,8 +102,8 @@ def test_files_and_scopes(spark, tmp_path):
     (home / ".env").write_text("# empty\n")
     (root / ".env").write_text("A=1\nexport B='x y'\nC=\n")
     (root / "main.py").write_text(f"token = '{X.MIXED}'\n")
-    (root / "demo.py").write_text("secret = mySecretValue\n")
-    (root / "mcp.json").write_text('{"name": "demo"}')
+    (root / "demo.py").write_text("secret = ownHiddenPhrase\n")
+    (root / "mcp.json").write_text('{"name": "sample"}')
     (root / "node_modules/x/.env").write_text("A=1")
     (root / ".vault/v.py").write_text(f"token = '{X.MIXED}'\n")
     (root / "bin.txt").write_bytes(b"\x00token=" + X.MIXED.encode())
