@@ -51,3 +51,22 @@ def test_one_pass_over_texts(spark):
 
     plan = scan_texts(documents(spark, SF))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan parquet") == 1 and "NestedLoop" not in plan and "Cartesian" not in plan and "BatchEvalPython" not in plan
+
+
+def same_as_sql(spark, folder, name, **tables):
+    """A query over small tables of the test's own gives the rows of its SQL."""
+    con = duckdb.connect()
+    for t, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{folder}/{t}.parquet")
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet/*.parquet'")
+    df = entry.queries()[name](spark, str(folder))
+    got = rows([tuple(r) for r in df.collect()], df.columns)
+    cur = con.execute(entry.oracle_sql()[name])
+    assert got == rows(cur.fetchall(), [d[0] for d in cur.description])
+    return got
+
+
+def test_values_that_run_on_into_a_keyword(spark, tmp_path):
+    texts = [(1, "password=token=abcdefgh12345 then api_key: 'Zk9pL2xQ7vB8w'"), (2, "token=abc"), (3, None)]
+    assert len(same_as_sql(spark, tmp_path, "d4_assignment_hits_pages", pages=spark.createDataFrame(texts, "page_id long, html string"))) == 2
+    assert len(same_as_sql(spark, tmp_path, "d4_assignment_hits", documents=spark.createDataFrame(texts, "doc_id long, text string"))) == 2
