@@ -113,7 +113,10 @@ def u1_union_scopes(spark, sf):
     SELECT 'project' AS scope, count(*)::BIGINT AS n FROM p UNION ALL SELECT 'deep', count(DISTINCT path) FROM d WHERE path NOT IN (SELECT path FROM p)""")
 def u1_first_per_path(spark, sf):
     project, deep = scopes(spark, sf)
-    return fd.union_scopes(project, deep, "first_per_path").groupBy("scope").agg(F.count("*").alias("n"))
+    kept = fd.union_scopes(project, deep, "first_per_path")
+    # one row for each scope, also where none of its findings is left
+    counts = kept.agg(*(F.count_if(F.col("scope") == s).alias(s) for s in ("project", "deep")))
+    return counts.select(F.inline(F.array(*(F.struct(F.lit(s).alias("scope"), F.col(s).alias("n")) for s in ("project", "deep")))))
 
 
 def scopes(spark, sf):

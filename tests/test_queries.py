@@ -70,3 +70,9 @@ def test_values_that_run_on_into_a_keyword(spark, tmp_path):
     texts = [(1, "password=token=abcdefgh12345 then api_key: 'Zk9pL2xQ7vB8w'"), (2, "token=abc"), (3, None)]
     assert len(same_as_sql(spark, tmp_path, "d4_assignment_hits_pages", pages=spark.createDataFrame(texts, "page_id long, html string"))) == 2
     assert len(same_as_sql(spark, tmp_path, "d4_assignment_hits", documents=spark.createDataFrame(texts, "doc_id long, text string"))) == 2
+
+
+@pytest.mark.parametrize("n", [0, 50, 2500])
+def test_scopes_without_findings_are_counted(spark, tmp_path, n):
+    """From 2,100 customers on every path is in the project."""
+    assert len(same_as_sql(spark, tmp_path, "u1_first_per_path", customer=spark.range(n).withColumnRenamed("id", "c_custkey"))) == 2
