@@ -129,6 +129,17 @@ def test_roles(spark):
     assert {r.rule for r in AC.validate_members(left.where("name <> 'root'")).collect()} == {"unknown role", "no admin"}
 
 
+def test_closure_makes_pairs_without_moving_them(spark):
+    """Grants within the pairs count once, null keys too, and no exchange stands above the pairs."""
+    acl = spark.createDataFrame([(1, 7), (1, 7), (2, 8), (9, 7), (None, 7), (1, None)], "secret long, member_id long")
+    secrets = spark.createDataFrame([(1,), (2,), (None,), (2,)], "name long")
+    members = spark.createDataFrame([(7, "a", "admin"), (8, "b", "writer"), (6, "c", "admin"), (6, "d", "admin")], "member_id long, name string, role string")
+    got = AC.acl_closure(acl, secrets, members)
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, {(s, m) for s in (1, 2, None) for m in (6, 7)} | {(2, 8), (9, 7), (1, None)}))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.startswith("Union")
+
+
 def test_manifest_check_and_import(spark):
     manifest = spark.createDataFrame([("p", "A", True), ("p", "B", True), ("p", "C", False)], "project string, name string, required boolean")
     names = spark.createDataFrame([("p", "A")], "project string, name string")
