@@ -11,7 +11,7 @@ characters apart, so matches of bytes are matches of characters.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -55,6 +55,19 @@ class Fingerprints:
             now ^= now >> np.uint64(29)
             size, k = 2 * size, k + 1
 
+    def many(self, values: Sequence[bytes]) -> np.ndarray:
+        """The fingerprint of each value's leading window."""
+        out, sizes = np.zeros(len(values), np.uint64), np.array([window_of(len(v)) for v in values])
+        for size in np.unique(sizes).tolist():
+            at = np.flatnonzero(sizes == size)
+            now, k = self.table[np.frombuffer(b"".join(values[i][:size] for i in at.tolist()), np.uint8).reshape(-1, size)], 0
+            while now.shape[1] > 1:
+                now = (now[:, 0::2] * self.factors[k]) ^ now[:, 1::2]
+                now ^= now >> np.uint64(29)
+                k += 1
+            out[at] = now[:, 0]
+        return out
+
     def one(self, value: bytes) -> int:
         """The fingerprint of a value's leading window."""
         size = window_of(len(value))
@@ -62,6 +75,53 @@ class Fingerprints:
         return int(found[0])
 
 
+#: Odd factors that tell windows and lengths apart in the bit tables of a sieve.
+_BY_WINDOW, _BY_LENGTH = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+
+
+def slots(prints: np.ndarray, windows: np.ndarray, lengths: np.ndarray | None, depth: int) -> np.ndarray:
+    """Places in a table of 2^depth bits: of a leading window, or of one with the length of a whole value."""
+    mixed = (prints ^ (np.atleast_1d(windows).astype(np.uint64) * _BY_LENGTH)) * _BY_WINDOW
+    if lengths is not None:
+        mixed = ((mixed ^ (mixed >> np.uint64(31))) + np.atleast_1d(lengths).astype(np.uint64)) * _BY_LENGTH
+    return ((mixed ^ (mixed >> np.uint64(29))) * _BY_WINDOW) >> np.uint64(64 - depth)
+
+
+@dataclass
+class Sieve:
+    """What a dictionary of any size may hold: two bit tables, and the lengths of values by window. No value passes through it."""
+
+    salt: bytes
+    depth: int
+    first: np.ndarray
+    second: np.ndarray
+    lengths: dict[int, list[int]]
+
+    def _in(self, table: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return (table[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+
+    def candidates(self, raw: bytes, ends: Sequence[int]) -> set[tuple[int, bytes]]:
+        """(length, digest) of every string in several texts that may be a value: all values that occur, and few others."""
+        out: set[tuple[int, bytes]] = set()
+        whole, sizes, stops, prints = np.frombuffer(raw, np.uint8), sorted(self.lengths), np.array(ends), Fingerprints(self.salt)
+        if not sizes:
+            return out
+        for low in range(0, len(raw), BLOCK):
+            part = whole[low : low + BLOCK + max(sizes) - 1]
+            for size, found in prints.windows(part, sizes):
+                found = found[:BLOCK]
+                maybe = np.flatnonzero(self._in(self.first, slots(found, np.uint64(size), None, self.depth)))
+                if not len(maybe):
+                    continue
+                until = stops[np.searchsorted(stops, maybe + low, side="right")]
+                for length in self.lengths[size]:
+                    fits = maybe[maybe + low + length <= until]
+                    hit = self._in(self.second, slots(found[fits], np.uint64(size), np.uint64(length), self.depth))
+                    places = (fits[hit] + low).tolist()
+                    out.update((length, digest(v, self.salt)) for v in {raw[p : p + length] for p in places})
+        return out
+
+
 @dataclass
 class _Class:
     """Values of one window size."""
@@ -143,11 +203,14 @@ class Index:
             out.append(names)
         return out
 
-    def redacted(self, raw: bytes) -> bytes:
+    def redacted(self, raw: bytes, seen: Callable[[bytes], None] | None = None) -> bytes:
         """Each value in turn replaced by its marker, as if one after the other over the whole text; only values that
-        occur are looked at. A replacement is followed by a new search, since later values may match inside a marker."""
+        occur are looked at. A replacement is followed by a new search, since later values may match inside a marker.
+        ``seen`` gets the text as it is before each search."""
         done = -1
         while True:
+            if seen is not None:
+                seen(raw)
             due = min(((i, raw[place : place + length]) for place, length, i in self.matches(raw) if i > done), default=None)
             if due is None:
                 return raw

@@ -68,3 +68,14 @@ def test_columns_detected_and_residual(spark):
 def test_order(spark):
     got = [r["name"] for r in K.redaction_order(secrets(spark, [("x", "ab"), ("y", "abc"), ("w", "cd"), ("e", "")])).collect()]
     assert got == ["y", "x", "w"]
+
+
+def test_a_large_dictionary_is_narrowed_to_what_occurs(spark):
+    """A thousand values, a pass of five: one pass with those that stand in a text or come up on the way to the redacted one."""
+    pairs = [(f"n{i}", f"ORD-{i:08d}") for i in range(1000)] + [("mark", "D(n7)*"), ("later", "N(k")]
+    rows = ["see ORD-00000007", "ORD-0000000", "none", ""]
+    five = K.Limits(values=5)
+    (held,) = K.prepare(secrets(spark, pairs), five, t(spark, rows), redacting=True)
+    assert {name for *_, name in held.value.entries} == {"n7", "mark"}
+    got = {r.id: r.text for r in K.redact(t(spark, rows), secrets(spark, pairs), limits=five).collect()}
+    assert got == {str(i): fold(text, pairs) for i, text in enumerate(rows)}
