@@ -1,8 +1,8 @@
 """Command logs checked against an allow/deny rule table.
 
 Each command line is a row; splitting, unwrapping and finding the verb happen inside the row. A
-nested script becomes a row of its own, in document order, and finished rows pass through, so the
-log is read once and nothing is shuffled before the rule lookup.
+nested script becomes a row of its own, in document order, and finished rows pass through. For
+decisions each distinct line is taken apart once.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from exposure.functions import fixed
 from exposure.functions.names import let
 from exposure.operators.detection import hits
-from exposure.session import checkpoint
+from exposure.session import store
 
 _QUOTED = r"'[^']*+'|\"[^\"]*+\""
 # Quotes group within a word and are then dropped.
@@ -197,7 +197,7 @@ def parse(
     opened = let(tokens(F.col("text")), lambda words: _pieces(words, tool_names, wrap_verbs, module))
     read: DataFrame | None = None
     while True:
-        rows = checkpoint(rows.select("cmd_id", F.inline(opened)))
+        rows = store(rows.select("cmd_id", F.inline(opened)))
         done = rows.where("kind <> 'pending'")
         read = done if read is None else read.unionByName(done)
         rows = rows.where("kind = 'pending'")
@@ -260,12 +260,13 @@ def policy_decisions(
 
     Rules of other tools do not count. A rule may name a verb, a verb with a nested verb, or a verb with an option (``--yes``). What no
     rule denies is allowed, unknown verbs as well. ``kind`` spells the denied command, with what
-    wraps it.
+    wraps it. A decision depends on the text alone, so each text is taken apart once, however often it was run.
     """
     label = tool_names[0]
     rules = rules.where(F.col("tool").isin(*tool_names))
     wraps = [r["verb"] for r in rules.where("effect = 'wrap'").select("verb").distinct().collect()] or ["run"]
-    argvs = parse(naming(commands, tool_names, module), tool_names, wraps, module).where("kind = 'tool'")
+    lines = naming(commands, tool_names, module).select("text").distinct().select(F.col("text").alias("cmd_id"), "text")
+    argvs = parse(lines, tool_names, wraps, module).where("kind = 'tool'")
     verbs = argvs.withColumn("__v", first_verb(F.col("argv"))).select(
         "cmd_id", "ord", "wrap", F.col("__v.verb").alias("verb"), F.col("__v.rest").alias("rest")
     ).withColumn("nested", first_verb(F.col("rest")).verb)
@@ -277,8 +278,8 @@ def policy_decisions(
     matched = verbs.join(deny, F.col("verb") == F.col("__verb")).where(applies).select(
         "cmd_id", "ord", F.concat(F.col("wrap"), F.concat_ws(" ", F.lit(label), "verb", "sub")).alias("kind")
     )
-    first = matched.groupBy("cmd_id").agg(F.min_by("kind", "ord").alias("kind"))
-    return commands.select("cmd_id").join(first, "cmd_id", "left").select(
+    first = matched.groupBy(F.col("cmd_id").alias("text")).agg(F.min_by("kind", "ord").alias("kind"))
+    return commands.select("cmd_id", "text").join(first, "text", "left").select(
         "cmd_id", F.when(F.col("kind").isNotNull(), "deny").otherwise("allow").alias("decision"), "kind"
     )
 

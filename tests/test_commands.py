@@ -84,3 +84,12 @@ def test_rule_lists(spark):
 def test_first_verb(spark, argv, verb, rest):
     r = spark.createDataFrame([(argv,)], "a array<string>").select(C.first_verb(F.col("a")).alias("v")).first().v
     assert (r.verb, r.rest) == (verb, rest)
+
+
+def test_each_line_is_taken_apart_once(spark, monkeypatch):
+    parsed, parse = [], C.parse
+    monkeypatch.setattr(C, "parse", lambda df, *a, **k: parsed.append(df.count()) or parse(df, *a, **k))
+    texts = [f"{T} with -- {T} wipe", f"{T} show", None, "ls"] * 20
+    log = spark.createDataFrame(list(enumerate(texts)), "cmd_id long, text string")
+    got = {r.cmd_id: r.decision for r in C.policy_decisions(log, rules_of(spark), [T]).collect()}
+    assert parsed == [2] and got == {i: "deny" if i % 4 == 0 else "allow" for i in range(80)}
