@@ -1,7 +1,8 @@
 """Live admission and session expiry with arbitrary state, keyed by session.
 
 The same state machines as the batch replays, fed in the same order. Requests arrive in any order, over any number of files, batches
-and Arrow batches, so none is decided as it comes: it waits in a map state under its (time, seq) until the watermark has passed it.
+and Arrow batches, so none is decided as it comes: it waits in a list state with its (time, seq) until the watermark has passed it.
+Lists are appended to and read whole: a call to the state for each session and batch, not for each request.
 Then nothing earlier can come any more (Spark drops what does), and all that waits up to the watermark is decided in order. One
 event-time timer a session stands at the next thing to do: the earliest waiting request, or the end of a run that expires.
 """
@@ -34,18 +35,16 @@ class Ordered(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
         self._kept = handle.getValueState("kept", "data string")
-        self._waiting = handle.getMapState("waiting", "us bigint, seq bigint, copy int", "request string")
+        self._waiting = handle.getListState("waiting", "us bigint, seq bigint, request string")
         self._wake = handle.getValueState("wake", "ms bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         earliest = None
         for batch in rows:
-            for r in batch.to_dict("records"):
-                at = (int(r["us"]), int(r["seq"]), 0)
-                while self._waiting.containsKey(at):  # equal requests are requests of their own
-                    at = (*at[:2], at[2] + 1)
-                self._waiting.updateValue(at, (self.taken(r),))
-                earliest = at[0] if earliest is None else min(earliest, at[0])
+            come = [(int(r["us"]), int(r["seq"]), self.taken(r)) for r in batch.to_dict("records")]
+            if come:
+                self._waiting.appendList(come)
+                earliest = min(us for us, *_ in (come if earliest is None else [*come, (earliest,)]))
         if earliest is not None:
             self._wake_at(earliest)
         return iter(())
@@ -53,17 +52,21 @@ class Ordered(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self._wake.clear()
         until = timerValues.getCurrentWatermarkInMs() * 1000
-        waiting = [(at, request) for at, (request,) in self._waiting.iterator()]
-        due = sorted((tuple(at), request) for at, request in waiting if at[0] <= until)
+        waiting = [tuple(w) for w in self._waiting.get()]
+        due = sorted((w for w in waiting if w[0] <= until), key=lambda w: w[:2])  # equal requests stay as they came
+        left = [w for w in waiting if w[0] > until]
         state = self.load(self._kept.get())
         out: list[tuple] = []
-        for at, request in due:
-            out += self.passed(key[0], state, at[0] - 1)
+        for us, _, request in due:
+            out += self.passed(key[0], state, us - 1)
             out += self.decided(state, json.loads(request))
-            self._waiting.removeKey(at)
+        if due and left:
+            self._waiting.put(left)
+        elif due:
+            self._waiting.clear()
         out += self.passed(key[0], state, until)
         self._kept.update((self.dump(state),))
-        later = [at[0] for at, _ in waiting if at[0] > until]
+        later = [us for us, *_ in left]
         ends = self.ends(state)
         if ends is not None:
             later.append(ends)

@@ -200,3 +200,39 @@ def test_late_rows_are_counted_and_dropped(spark, tmp_path):
     with SA.dropped_rows(spark) as dropped:
         unique = drain(SA.dedup_audit(stream, ["event_id"]), tmp_path, "ded").count()
     assert unique + sum(dropped.values()) == 24 and 2 <= sum(dropped.values()) <= 3
+
+
+def test_waiting_requests_cost_one_call_to_the_state_a_batch():
+    """The processor alone, over states that count their calls: as many for a hundred requests as for one."""
+    import pandas as pd
+
+    from exposure.streaming.sessions import SessionProcessor
+
+    class State:
+        calls, kept = 0, None
+
+        def __getattr__(self, name):
+            State.calls += 1
+            if name == "get":
+                return lambda: self.kept
+            if name == "appendList":
+                return lambda rows: setattr(self, "kept", [*(self.kept or []), *rows])
+            return lambda *a: setattr(self, "kept", a[0] if a else None)
+
+    class Handle:
+        getValueState = getListState = getMapState = lambda self, *a: State()
+        registerTimer = deleteTimer = lambda self, ms: None
+
+    class Now:
+        getCurrentWatermarkInMs = staticmethod(lambda: 10**9)
+
+    calls = []
+    for n in (1, 100):
+        p, State.calls = SessionProcessor(), 0
+        p.init(Handle())
+        rows = [{"session": "a", "seq": i, "us": i * 1000, "verb": "unlock" if i == 0 else "run"} for i in reversed(range(n))]
+        assert list(p.handleInputRows(("a",), iter([pd.DataFrame(rows)]), None)) == []
+        (out,) = p.handleExpiredTimer(("a",), Now, None)
+        assert out["seq"].tolist() == list(range(n)) and set(out["outcome"]) == {"ok"}
+        calls.append(State.calls)
+    assert calls[0] == calls[1]
