@@ -20,13 +20,12 @@ import uuid
 from collections.abc import Iterable
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from exposure.llm.common import discard, kind_of, shared_folder, slices, write
+from exposure.llm.common import discard, kind_of, likely, shared_folder, slices, write
 
 GRAM = 32
 #: Bytes looked at together; longer texts are taken in overlapping pieces, with the same anchors.
@@ -158,19 +157,7 @@ class Levels:
 
 def holders(rows: DataFrame, matches: DataFrame) -> DataFrame:
     """The rows whose doc has a match. A filter of fixed size lets few others into the join; it drops none that has one."""
-    bit = F.pmod(F.xxhash64("doc"), F.lit(1 << FILTER_BITS))
-    words = matches.select(F.floor(bit / 64).cast("int").alias("word"), F.expr(f"shiftleft(1L, cast(pmod(pmod(xxhash64(doc), {1 << FILTER_BITS}), 64) as int))").alias("bits"))
-    bits = np.zeros(1 << FILTER_BITS - 6, np.int64)
-    for r in words.groupBy("word").agg(F.bit_or("bits").alias("bits")).toLocalIterator():
-        bits[r["word"]] = r["bits"]
-    held = rows.sparkSession.sparkContext.broadcast(bits)  # 8 MB, always
-
-    @F.pandas_udf("boolean")
-    def may_match(at: pd.Series) -> pd.Series:
-        a = at.to_numpy()
-        return pd.Series((held.value.view(np.uint64)[a >> 6] >> (a & 63).astype(np.uint64) & np.uint64(1)) == 1)
-
-    return rows.where(may_match(bit)).join(matches, "doc")
+    return likely(rows, matches, "doc", FILTER_BITS).join(matches, "doc")
 
 
 def contexts(held: DataFrame, length: int) -> DataFrame:
@@ -288,8 +275,8 @@ def merged(spans: list[dict]) -> list[tuple[int, int]]:
     return out
 
 
-def cut(docs: DataFrame, length: int = 200, batches: int = 4, id_col: str = "doc_id", text_col: str = "text", key: F.Column | None = None) -> DataFrame:
-    """Rows with a repeated string of ``length`` bytes: id, doc, raw, spans (maximal, from and past the end), kept (the bytes left); see ``digests`` for all rows."""
+def cut(docs: DataFrame, length: int = 200, batches: int = 4, id_col: str = "doc_id", text_col: str = "text", key: F.Column | None = None, as_text: bool = False) -> DataFrame:
+    """Rows with a repeated string of ``length`` bytes: doc, id, n_bytes, spans (maximal, from and past the end), kept (the bytes left, or ``as_text`` without half characters); see ``digests`` for all rows."""
     key = doc_key(docs, id_col, text_col) if key is None else key
     index, rows = Levels(docs.sparkSession, length), keyed(docs, key, id_col, text_col)
     step = [k / batches for k in range(1, batches)]
@@ -311,12 +298,13 @@ def cut(docs: DataFrame, length: int = 200, batches: int = 4, id_col: str = "doc
                 for low, high in spans:
                     parts.append(raw[at:low])
                     at = high
-                kept.append(b"".join([*parts, raw[at:]]))
+                rest = b"".join([*parts, raw[at:]])
+                kept.append(rest.decode("utf-8", "ignore") if as_text else rest)
                 maximal.append([{"low": a, "high": z} for a, z in spans])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(r) for r in b.column(2).to_pylist()], pa.int64()), pa.array(maximal, pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64())]))), pa.array(kept, pa.binary())], ["doc", "id", "n_bytes", "spans", "kept"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(r) for r in b.column(2).to_pylist()], pa.int64()), pa.array(maximal, pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64())]))), pa.array(kept, pa.string() if as_text else pa.binary())], ["doc", "id", "n_bytes", "spans", "kept"])
 
     done = held.select("doc", "id", "raw").join(spans, "doc").select("doc", "id", "raw", "spans")
-    return done.mapInArrow(run, f"doc bigint, id {kind_of(docs, id_col)}, n_bytes bigint, spans array<struct<low: bigint, high: bigint>>, kept binary")
+    return done.mapInArrow(run, f"doc bigint, id {kind_of(docs, id_col)}, n_bytes bigint, spans array<struct<low: bigint, high: bigint>>, kept {'string' if as_text else 'binary'}")
 
 
 def digests(docs: DataFrame, length: int = 200, batches: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -333,13 +321,8 @@ def digests(docs: DataFrame, length: int = 200, batches: int = 4, id_col: str =
 
 def without_repeats(docs: DataFrame, length: int = 200, batches: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the repeated strings taken out of the text; where a cut leaves half a character, that goes too. Columns and rows stay."""
-
-    @F.pandas_udf("string")
-    def text_of(kept: pd.Series) -> pd.Series:
-        return kept.map(lambda b: None if b is None else bytes(b).decode("utf-8", "ignore"))
-
     key = doc_key(docs, id_col, text_col)
-    changed = cut(docs, length, batches, id_col, text_col, key).select("doc", text_of("kept").alias("text")).dropDuplicates(["doc"])
+    changed = cut(docs, length, batches, id_col, text_col, key, as_text=True).select("doc", F.col("kept").alias("text")).dropDuplicates(["doc"])
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), key.alias("doc"))
     out = rows.join(changed, "doc", "left")
     return out.select(*[F.coalesce("text", F.col("row")[c]).alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])

@@ -126,3 +126,18 @@ def test_components(spark):
 
 def test_empty_table(spark):
     assert ss.near_duplicates(spark.createDataFrame([], "doc_id long, text string"), 5).collect() == []
+
+
+def test_ids_are_looked_up_without_a_second_python_worker(spark):
+    from pyspark.sql import functions as F
+
+    from exposure.llm.common import likely, with_ids
+
+    rows = spark.range(-3000, 3000).select("id", F.concat(F.lit("text "), "id").alias("text"))
+    wanted = spark.range(0, 6000, 7).select((F.col("id") - 3000).alias("id"))
+    assert sorted(r.id for r in with_ids(rows, wanted).collect()) == list(range(-3000, 3000, 7))
+    assert with_ids(rows, wanted.limit(0)).collect() == []
+    few = likely(rows, wanted, "id", 16).collect()  # a few more, of which none is missing
+    assert {r.id for r in few} >= set(range(-3000, 3000, 7)) and len(few) < 1100
+    plan = ss.full_sets(wanted, rows, 5, "id", "text")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "ArrowEvalPython" not in plan
