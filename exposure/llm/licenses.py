@@ -2,7 +2,8 @@
 
 A block is a \\n-split line; its set are the distinct words ([^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ of the text with A-Z lower-cased). A template is found
 where the block holds at least ``threshold`` of the template's distinct words. Only words of some template can count, so a block's set is cut to
-them. Words are ordered by how many blocks of the whole corpus have them, rare ones first. With ``need`` = ceil(threshold * size):
+them. Most texts hold too few words of any template, wherever they stand; one pass over all texts leaves them out, and only the rest is cut into
+blocks and searched for runs. Words are ordered by how many blocks of these texts have them, rare ones first. With ``need`` = ceil(threshold * size):
 
 - prefix filter: a block that holds ``need`` words holds one of the template's first size - need + 1; only those words are probed;
 - length filter: its own set has at least ``need`` words;
@@ -29,7 +30,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from exposure.llm.common import id_and_text
+from exposure.llm.common import id_and_text, save
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SHORT = 8
@@ -76,9 +77,29 @@ def template_words(template: Template) -> list[str]:
     return sorted(set(re.findall(WORD, template.text.lower())))
 
 
-def blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def needed(words: list[str], threshold: float) -> int:
+    return math.ceil(threshold * len(words) - 1e-9)
+
+
+def promising(docs: DataFrame, templates: tuple[Template, ...], threshold: float, id_col: str, text_col: str) -> DataFrame:
+    """id, h (hash of the text), text (folded) of every text that holds as many words of some template as a block or a run needs: no other text can have a match."""
     rows = id_and_text(docs, id_col, text_col).select("id", F.xxhash64("text").alias("h"), folded(F.col("text")).alias("text"))
-    lines = rows.select("id", "h", F.posexplode(F.split("text", "\n")).alias("block_no", "block"))
+    sets = [template_words(t) for t in templates]
+    vocabulary = sorted(set().union(*sets))
+    among = lambda words, of: F.array_intersect(words, F.array(*map(F.lit, of)))
+
+    def enough(own: F.Column) -> F.Column:
+        some = F.lit(False)
+        for words in filter(None, sets):
+            some = some | (F.size(among(own, words)) >= needed(words, threshold))
+        return some
+
+    # a function of the one list: as a column of its own, the words would be made anew for each template when the filter moves down
+    return rows.where(F.exists(F.array(among(words_of(F.col("text")), vocabulary)), enough)) if vocabulary else rows.limit(0)
+
+
+def blocks(texts: DataFrame) -> DataFrame:
+    lines = texts.select("id", "h", F.posexplode(F.split("text", "\n")).alias("block_no", "block"))
     return lines.select("id", "h", "block_no", F.array_distinct(words_of(F.col("block"))).alias("words"))
 
 
@@ -86,7 +107,8 @@ def matches(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, thresh
     """id, h (hash of the text), block_no, template, label, containment: every block and template that meet the threshold; block_no is null for runs of words."""
     spark, sets = docs.sparkSession, [template_words(t) for t in templates]
     vocabulary = sorted(set().union(*sets))
-    found = blocks(docs, id_col, text_col)
+    texts = save(promising(docs, templates, threshold, id_col, text_col), "promising")
+    found = blocks(texts)
     probes = found.select("id", "h", "block_no", "words", F.explode("words").alias("word"))
     known = F.broadcast(spark.createDataFrame([(w,) for w in vocabulary], "word string"))
     counts = {r["word"]: r["n"] for r in probes.join(known, "word").groupBy("word").agg(F.count("*").alias("n")).collect()}  # one number for each word of a template
@@ -95,7 +117,7 @@ def matches(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, thresh
     rows = []
     for no, (template, words) in enumerate(zip(templates, sets)):
         words = sorted(words, key=place.get)
-        need = math.ceil(threshold * len(words) - 1e-9)
+        need = needed(words, threshold)
         rows += [(w, no, template.label, words, need, i, words[:i], vocabulary[: place[w]]) for i, w in enumerate(words[: len(words) - need + 1])]
     index = F.broadcast(spark.createDataFrame(rows, "word string, template int, label string, of_template array<string>, need int, at int, sooner array<string>, rarer array<string>"))
     common = lambda other: F.size(F.array_intersect("words", other))
@@ -104,19 +126,18 @@ def matches(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, thresh
     pairs = pairs.where((own >= F.col("need")) & (1 + F.least(F.size("of_template") - F.col("at") - 1, own - rank - 1) >= F.col("need")))
     held = pairs.withColumn("shared", common("of_template")).where("shared >= need")
     found = held.select("id", "h", "block_no", "template", "label", (F.col("shared") / F.size("of_template")).alias("containment"))
-    return found.unionByName(runs(docs, templates, threshold, counts, id_col, text_col)) if wrapped else found
+    return found.unionByName(runs(texts, templates, threshold, counts)) if wrapped else found
 
 
-def runs(docs: DataFrame, templates: tuple[Template, ...], threshold: float, counts: dict[str, int], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The columns of ``matches`` for runs of words in texts of several lines, a row for each word that led to one. ``counts``: how frequent words are."""
+def runs(texts: DataFrame, templates: tuple[Template, ...], threshold: float, counts: dict[str, int]) -> DataFrame:
+    """The columns of ``matches`` for runs of words in ``promising`` texts of several lines, a row for each word that led to one. ``counts``: how frequent words are."""
     rows = []
     for no, t in enumerate(templates):
         words, n = sorted(template_words(t), key=lambda w: (len(w) < 4, counts.get(w, 0), w)), len(re.findall(WORD, t.text.lower()))
-        need = len(words) if len(words) <= SHORT else math.ceil(threshold * len(words) - 1e-9)
+        need = len(words) if len(words) <= SHORT else needed(words, threshold)
         rows += [(w, no, t.label, words, list(t.must), need, n + n // 4) for w in words[: len(words) - need + 1]]
     leads, reach = sorted({r[0] for r in rows}), max((r[-1] for r in rows), default=1)
-    index = F.broadcast(docs.sparkSession.createDataFrame(rows, "word string, template int, label string, of_template array<string>, must array<string>, need int, length int"))
-    texts = id_and_text(docs, id_col, text_col).select("id", F.xxhash64("text").alias("h"), folded(F.col("text")).alias("text"))
+    index = F.broadcast(texts.sparkSession.createDataFrame(rows, "word string, template int, label string, of_template array<string>, must array<string>, need int, length int"))
     some = F.lit(False)
     for w in leads:
         some = some | F.contains("text", F.lit(w))

@@ -111,3 +111,21 @@ def test_wrapped_notices(spark):
     assert not re.search("Python|Pandas|Arrow|Cartesian|NestedLoop", plan)
     one = spark.createDataFrame([(1, mit), (2, textwrap.fill(mit, 76))], "doc_id long, text string")
     assert [r.labels for r in lc.scan(one, wrapped=True).orderBy("doc_id").collect()] == [["mit"], ["mit"]]
+
+
+def test_texts_are_read_twice_and_few_are_searched(spark, tmp_path):
+    r = random.Random(5)
+    pool = [w for t in lc.TEMPLATES for w in re.findall(lc.WORD, fold(t.text))] + ["word", "of", "the"]
+    rows = [(i, "\n".join(" ".join(r.choice(pool) for _ in range(r.randint(0, 12))) for _ in range(r.randint(1, 6)))) for i in range(400)]
+    spark.createDataFrame([*rows, (400, None), (401, "")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents")
+    docs = spark.read.parquet(f"{tmp_path}/documents")
+    want = set()
+    for i, text in rows:
+        own = set(re.findall(lc.WORD, text))
+        want |= {i} if any(len(own & set(lc.template_words(t))) >= lc.needed(lc.template_words(t), 0.8) for t in lc.TEMPLATES) else set()
+    assert {x.id for x in lc.promising(docs, lc.TEMPLATES, 0.8, "doc_id", "text").collect()} == want and 5 < len(want) < 395
+    assert lc.promising(docs, (), 0.8, "doc_id", "text").collect() == []
+    out = lc.scan(docs, wrapped=True)
+    assert out.count() == 402
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(rf"FileScan[^\n]*{re.escape(str(tmp_path))[:20]}", plan)) == 1, plan  # the other reading is that of ``promising``
