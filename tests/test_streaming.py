@@ -236,3 +236,21 @@ def test_waiting_requests_cost_one_call_to_the_state_a_batch():
         assert out["seq"].tolist() == list(range(n)) and set(out["outcome"]) == {"ok"}
         calls.append(State.calls)
     assert calls[0] == calls[1]
+
+
+def test_snapshots_move_packed_contents(spark, tmp_path):
+    """Contents lie packed in the store, and what a store of before wrote unpacked is still read."""
+    schema = "source string, content binary, modified timestamp, gone boolean"
+    store, body = str(tmp_path / "store"), b"a line that comes again\n" * 400
+    old = [("a", 0, "9600:x", False, body), ("b", 0, "0:y", False, b""), ("c", 0, "1:z", False, b"c"), ("d", 0, "", True, None)]
+    spark.createDataFrame(old, "source string, batch long, fingerprint string, gone boolean, content binary").write.parquet(f"{store}/changes/0")
+    rows = [("b", body, T0, False), ("c", body, T0, True), ("d", b"", T0, False), ("e", None, T0, False), ("f", body, T0, False)]
+    for batch_id, part in ((1, rows), (2, [("g", body, T0, False)])):
+        upsert(store, compact_every=3)(spark.createDataFrame(part, schema), batch_id)
+        if batch_id == 1:
+            written = spark.read.parquet(f"{store}/changes/1").selectExpr("sum(octet_length(packed))").first()[0]
+            assert "content" not in spark.read.parquet(f"{store}/changes/1").columns and written < 500
+            assert kept(spark, tmp_path) == {"a": body, "b": body, "d": b"", "f": body}
+    assert kept(spark, tmp_path) == {"a": body, "b": body, "d": b"", "f": body, "g": body}
+    plan = current(spark, store)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan
