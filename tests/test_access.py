@@ -1,3 +1,4 @@
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -153,3 +154,21 @@ def test_manifest_check_and_import(spark):
     assert {(r.file_order, r["name"]): r.decision for r in INV.import_decisions(new, old).collect()} == {(1, "NAME"): "skipped", (1, "OTHER"): "imported", (2, "OTHER"): "skipped"}
     assert {r["name"]: r.value for r in INV.import_entries(new, old).collect()} == {"NAME": "old", "OTHER": "o1"}
     assert {r["name"]: r.value for r in INV.import_entries(new, old, "overwrite").collect()} == {"NAME": "n", "OTHER": "o2"}
+
+
+@pytest.mark.parametrize("depth", [1, 2, 5, 32])
+def test_chains_are_written_for_processes_with_descendants_only(spark, monkeypatch, depth):
+    """A random forest with cycles, unknown parents and many leaves: the plain walk's chains, and no row of a leaf among what is put together."""
+    r, written = random.Random(3), []
+    parents = {i: r.choice([i - 1, i // 2, i // 2, 999, 0, i]) for i in range(1, 60)} | {60: 61, 61: 62, 62: 60} | {i: 60 for i in range(100, 160)}
+    monkeypatch.setattr(L, "store", lambda df, keep=L.store: written.append(keep(df)) or written[-1])
+    got = {x.pid: [n.pid for n in x.chain] for x in L.ancestors(procs(spark, [("h", i, p, i, 1000) for i, p in parents.items()]), depth).collect()}
+
+    def walk(i):
+        seen = [i]
+        while parents[seen[-1]] in parents and parents[seen[-1]] not in seen and len(seen) < depth:
+            seen.append(parents[seen[-1]])
+        return seen
+
+    assert got == {i: walk(i) for i in parents}
+    assert all(x.pid in parents.values() for df in written[1:] for x in df.select("pid").collect()) and written[0].count() == len(parents)
