@@ -20,7 +20,7 @@ import sys
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -128,12 +128,19 @@ def step(run: Run, r: dict) -> list[tuple[str, str | None, str | None, str | Non
     return [*rows, ("decision", "allow", via, None)]
 
 
+def _nodes(chain) -> list[tuple[int, int]]:
+    """Nodes as (pid, start_time), of a chain as structs or, as :func:`admission_replay` sends it, as numbers in turn."""
+    if len(chain) and isinstance(chain[0], int):
+        return list(zip(chain[::2], chain[1::2]))
+    return [(int(n["pid"]), int(n["start_time"])) for n in chain]
+
+
 def request_row(r: dict) -> dict:
     """A request as :func:`step` takes it, of plain values that JSON can hold but for ``lineage``, a set. ``us`` is its time."""
     chain = r["chain"]
     known = chain is not None and r["pid"] is not None and r["pid"] == r["pid"]
     peer = (int(r["pid"]), int(r["start_time"])) if known else None
-    lineage = {(int(n["pid"]), int(n["start_time"])) for n in list(chain)[1:]} | {peer} if known else set()
+    lineage = {*_nodes(chain)[1:], peer} if known else set()
     window, minutes = r["pre_admit_seconds"], r["minutes"]
     listed = {c: list(r[c]) if r[c] is not None else [] for c in ("secret_names", "pre_admit_names")}
     return {
@@ -155,6 +162,8 @@ def output_rows(run: Run, r: dict) -> list[tuple]:
 
 RAW_OUTPUT = OUTPUT.replace("ts timestamp", "us bigint")
 COLUMNS = [c.split()[0] for c in RAW_OUTPUT.split(", ")]
+KIND = COLUMNS.index("event_kind")
+WARNED_OUTPUT = f"{RAW_OUTPUT}, warned boolean"
 
 
 def timed(raw: DataFrame) -> DataFrame:
@@ -162,37 +171,52 @@ def timed(raw: DataFrame) -> DataFrame:
     return raw.withColumn("us", F.timestamp_micros("us")).withColumnRenamed("us", "ts")
 
 
-def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[dict, Run, list[tuple]]]:
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, Run, list[tuple]]]:
     """Fold sorted rows as they stream by: each row, the state after it and its decisions. Only the current run is held."""
     current, run = None, Run()
     for batch in batches:
-        for r in batch.to_dict("records"):
+        names = batch.schema.names
+        for values in zip(*(c.to_pylist() for c in batch.columns)):
+            r = dict(zip(names, values))
             key = (r["__range"], r["session"], r["__run"])
             if key != current:
                 current, run = key, Run.load(r["__state"])
             yield r, run, output_rows(run, request_row(r))
 
 
-def _replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The decisions of each request with ``warned``: whether it raised a warning, so that nobody need look for it in a second replay."""
+    text, kinds = pa.string(), {"bigint": pa.int64(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
+    schema = pa.schema([(c.split()[0], kinds.get(c.split()[1], text)) for c in WARNED_OUTPUT.split(", ")])
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
     out: list[tuple] = []
     for _, _, rows in _runs(batches):
-        out += rows
+        warned = any(r[KIND] == "warn" for r in rows)
+        out += [(*r, warned) for r in rows]
         if len(out) >= 10_000:
-            yield pd.DataFrame(out, columns=COLUMNS)
+            yield made(out)
             out = []
     if out:
-        yield pd.DataFrame(out, columns=COLUMNS)
+        yield made(out)
 
 
-def _ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The state in which each range leaves the one run of it that is given."""
+    schema = pa.schema([("__range", pa.int32()), ("__state", pa.string())])
+
+    def left(at: int, run: Run) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"__range": [at], "__state": [run.dump()]}, schema)
+
     at, kept = None, None
     for r, run, _ in _runs(batches):
         if at is not None and at != r["__range"]:
-            yield pd.DataFrame({"__range": [at], "__state": [kept.dump()]})
+            yield left(at, kept)
         at, kept = r["__range"], run
     if at is not None:
-        yield pd.DataFrame({"__range": [at], "__state": [kept.dump()]})
+        yield left(at, kept)
 
 
 def with_inputs(requests: DataFrame) -> DataFrame:
@@ -205,13 +229,15 @@ def with_inputs(requests: DataFrame) -> DataFrame:
 
 
 def admission_replay(requests: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Decisions and warnings per request.
+    """Decisions and warnings per request, with ``warned`` on every row of a request that raised one.
 
     Rows are sorted by (session, run, time) in ranges, so neither a session nor a run is one task. Whole runs within
     a range are folded as they stream by; :func:`_entry_states` finds the states in which ranges take over a run.
     """
+    # Numbers cross to Python twice: an array of them is cheap to move, one of structs is not.
+    flat = F.flatten(F.transform("chain", lambda n: F.array(n["pid"].cast("bigint"), n["start_time"].cast("bigint"))))
     started = carry_last(
-        with_inputs(requests), ("session",), ("ts", "seq"),
+        with_inputs(requests).withColumn("chain", flat), ("session",), ("ts", "seq"),
         {"__run": F.when(F.col("verb") == "unlock", F.struct("ts", "seq"))}, inclusive=True, partitions=partitions,
     )
     keyed = started.withColumn("__run", F.coalesce(F.concat_ws(":", F.unix_micros("__run.ts"), "__run.seq"), F.lit("")))
@@ -221,7 +247,7 @@ def admission_replay(requests: DataFrame, partitions: int | None = None) -> Data
     same = [ranged[c].eqNullSafe(F.col(f"e.{c}")) for c in ("__range", "session", "__run")]
     given = ranged.join(F.broadcast(entry), same[0] & same[1] & same[2], "left").select(*(ranged[c] for c in ranged.columns), "e.__state")
     placed = given.repartition("__range", "session", "__run").sortWithinPartitions("__range", *by)
-    return timed(placed.mapInPandas(_replay, RAW_OUTPUT))
+    return timed(placed.mapInArrow(_replay, WARNED_OUTPUT))
 
 
 def _entry_states(ranged: DataFrame, by: list[str]) -> DataFrame:
@@ -240,7 +266,7 @@ def _entry_states(ranged: DataFrame, by: list[str]) -> DataFrame:
 
     def ends(given: DataFrame) -> DataFrame:
         placed = given.repartition("__range").sortWithinPartitions("__range", *by)
-        return placed.mapInPandas(_ends, "__range int, __state string")
+        return placed.mapInArrow(_ends, "__range int, __state string")
 
     def taken_over(left: DataFrame) -> DataFrame:
         return leaving.join(left, "__range").select(F.col("after").alias("__range"), "run", "__state")

@@ -142,16 +142,19 @@ def t12_deduplicated_audit(spark, sf):
     return au.dedup_audit(a, ("user_id", "action")).select("user_id", "action", F.unix_micros("ts").alias("first_us"))
 
 
-def admission_requests(spark, sf):
-    """Requests with peers from a small process tree per user: the user's shell, its children and a stranger."""
+PLAIN_VERB = "CASE event_type WHEN 'signup' THEN 'unlock' WHEN 'click' THEN 'renew' WHEN 'purchase' THEN 'run' ELSE 'status' END"
+
+
+def admission_requests(spark, sf, verb=PLAIN_VERB, **more):
+    """Requests with peers from a small process tree per user: the user's shell, its children and a stranger. ``more``: expressions of further columns."""
     e = F.col("event_id")
     pid = F.col("user_id") * 10 + F.when(e % 5 == 0, 9).otherwise(2 + e % 3)
-    verb = F.expr("CASE event_type WHEN 'signup' THEN 'unlock' WHEN 'click' THEN 'renew' WHEN 'purchase' THEN 'run' ELSE 'status' END")
     asked = table(spark, sf, "events").select(
-        F.col("user_id").cast("string").alias("session"), e.alias("seq"), F.col("ts").cast("timestamp").alias("ts"), verb.alias("verb"),
+        F.col("user_id").cast("string").alias("session"), e.alias("seq"), F.col("ts").cast("timestamp").alias("ts"), F.expr(verb).alias("verb"),
         F.array(F.concat(F.lit("S"), e % 4)).alias("secret_names"), F.lit("h").alias("host"), pid.alias("pid"), pid.alias("start_time"),
         (e % 3 != 0).alias("approve"), F.lit(2000).alias("minutes"),
-        F.when(e % 4 == 0, F.lit(90000.0)).alias("pre_admit_seconds"), F.lit(False).alias("pre_admit_unscoped"), F.array(F.lit("S1")).alias("pre_admit_names"))
+        F.when(e % 4 == 0, F.lit(90000.0)).alias("pre_admit_seconds"), F.lit(False).alias("pre_admit_unscoped"), F.array(F.lit("S1")).alias("pre_admit_names"),
+        *(F.expr(x).alias(name) for name, x in more.items()))
     users = table(spark, sf, "events").select("user_id").distinct()
     tree = users.select(F.explode(F.transform(F.array(*map(F.lit, (2, 3, 4, 9))), lambda d: F.col("user_id") * 10 + d)).alias("pid"), "user_id").select(
         F.lit("h").alias("host"), "pid", F.when(F.col("pid") % 10 == 9, F.lit(0)).otherwise(F.when(F.col("pid") % 10 == 2, 0).otherwise(F.col("user_id") * 10 + 2)).alias("ppid"),
@@ -208,8 +211,7 @@ PLAIN_GUARD = guard_sql(GUARD_VERB.replace("CASE WHEN event_id % 3 = 0 THEN 'loc
 def guard_requests(spark, sf):
     """Admission requests with locks, unknown peers, windows for all secrets and renewals by negative minutes."""
     e = F.col("seq")
-    types = table(spark, sf, "events").select(F.col("event_id").alias("seq"), F.expr(GUARD_VERB).alias("verb"), F.expr("event_type = 'click' AND event_id % 7 = 0").alias("odd"))
-    asked = admission_requests(spark, sf).drop("verb").join(types, "seq")
+    asked = admission_requests(spark, sf, GUARD_VERB, odd="event_type = 'click' AND event_id % 7 = 0")
     return asked.withColumns({
         "pid": F.when(e % 23 != 0, F.col("pid")), "minutes": F.when(F.col("odd"), -5).otherwise(F.col("minutes")), "pre_admit_unscoped": e % 8 == 0}).drop("odd")
 
@@ -217,7 +219,7 @@ def guard_requests(spark, sf):
 def guard_rows(spark, sf):
     return admission.admission_replay(guard_requests(spark, sf)).select(
         F.col("session").cast("bigint").alias("user_id"), F.col("seq").alias("event_id"), "verb", "event_kind", "decision", "via", "reason",
-        F.col("request_count").alias("n"), F.array_join("granted", ",").alias("granted"), "unscoped")
+        F.col("request_count").alias("n"), F.array_join("granted", ",").alias("granted"), "unscoped", "warned")
 
 
 @query("t3_scoped_grants", f"""WITH RECURSIVE {GUARD} SELECT user_id, event_id, verb, decision, via, reason, array_to_string(granted, ',') AS granted FROM d""")
@@ -236,9 +238,7 @@ def t4_pre_admissions(spark, sf):
     UNION ALL SELECT user_id, event_id, 'decision', reason FROM d WHERE warning IS NOT NULL""")
 def t5_peer_warnings(spark, sf):
     """Warnings on peers that are unknown or have no identity, each beside the decision that follows it."""
-    rows = guard_rows(spark, sf)
-    warned = rows.where("event_kind = 'warn'").select("event_id")
-    return rows.join(warned, "event_id", "left_semi").select("user_id", "event_id", "event_kind", "reason")
+    return guard_rows(spark, sf).where("warned").select("user_id", "event_id", "event_kind", "reason")
 
 
 @query("t6_replaced_trees", f"""WITH RECURSIVE {GUARD} SELECT user_id, event_id, via, n, array_to_string(granted, ',') AS granted FROM d WHERE kind IN ('offered', 'asked', 'covered', 'widened')""")

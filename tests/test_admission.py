@@ -3,6 +3,7 @@ import random
 import pandas as pd
 import pytest
 
+import __spark_entry__ as entry
 from exposure.operators import admission as A
 from tests.test_access import at
 
@@ -58,3 +59,13 @@ def test_ranges_of_a_run_give_the_plain_fold(spark, forgetful, partitions):
 
 def test_no_requests(spark):
     assert A.admission_replay(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_warned_requests_are_marked_in_the_replay(spark):
+    """Each row of a request that raised a warning says so, and no other; the rows are found without a second replay."""
+    rows = spark.createDataFrame(log(5, 60, True), SCHEMA)
+    got = A.admission_replay(rows).select("session", "seq", "event_kind", "warned").collect()
+    warned = {(r.session, r.seq) for r in got if r.event_kind == "warn"}
+    assert warned and all(r.warned == ((r.session, r.seq) in warned) for r in got)
+    plan = entry.queries()["t5_peer_warnings"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("_replay") == 1 and "LeftSemi" not in plan
