@@ -1,4 +1,7 @@
+import math
+import re
 import time
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -44,6 +47,21 @@ def test_value_measures(spark):
     assert rows["aB"].t == 1.0 and rows["a"].t == 0.0 and rows["ABc"].w == ["A", "Bc"]
 
 
+def test_entropy_of_odd_values(spark):
+    odd = ["a" * 300, "ab" * 4, "abcdefgh" * 3, "a\nb\n\n", "😀é😀x", "日本語パスワード9a", "".join(map(chr, range(0x4E00, 0x4F00))) + "aab", X.HEX32, X.JWT]
+    rows = spark.createDataFrame([(v,) for v in odd], "v string").select("v", V.entropy("v").alias("e")).collect()
+    want = {v: -sum(n / len(v) * math.log2(n / len(v)) for n in Counter(v).values()) for v in odd}
+    assert {r.v: r.e for r in rows} == pytest.approx(want, abs=2e-12)
+
+
+def test_cost_of_findings(spark):
+    """Aggregates sort by what tells rows apart, not by the one source; no value is walked character by character."""
+    plan = A.text_findings(D.hits(as_texts(spark, ["token=" + X.MIXED])))._jdf.queryExecution().executedPlan().toString()
+    assert set(re.findall(r"Sort \[(\w+)", plan)) == {"id"} and "sequence(" not in plan
+    # A place that no keyword begins at costs one look.
+    assert D.ASSIGNMENT.startswith("(?i)(?=[apst])") and all(w[0] in "apst" for w in fixed.KEYWORD_LITERALS)
+
+
 def test_name_vocabulary(spark):
     yes = ["api_key", "API-KEY", "apikey", "billing_db_password", "token", "'secret'", "private_key", "a_b_passwd"]
     no = ["secret-name", "token-file", "mytoken", "_token", "a__token", "", "api.key", "password-stdin"]

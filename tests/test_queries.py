@@ -83,3 +83,9 @@ def test_command_secrets_of_any_event_id(spark, tmp_path):
     ids = [0, 7, 2222222, 9999999, 88888888, 2222222222, 10**15, 9 * 10**18]
     events = spark.createDataFrame([(i, u) for i in ids for u in (0, 1, 2)], "event_id long, user_id long")
     assert len(same_as_sql(spark, tmp_path, "c7_command_secrets", events=events)) == 16
+
+
+def test_findings_of_texts_with_many_lines(spark, tmp_path):
+    """Names of one text in several spellings and tiers, many lines to a text."""
+    orders = spark.createDataFrame([(i, i % 3, f"{i % 5}-P") for i in range(0, 20000, 7)], "o_orderkey long, o_custkey long, o_orderpriority string")
+    assert len(same_as_sql(spark, tmp_path, "a4_content_findings", orders=orders)) > 10
