@@ -141,6 +141,26 @@ def test_closure_makes_pairs_without_moving_them(spark):
     assert plan.startswith("Union")
 
 
+def test_closure_is_whole_and_written_small(spark, tmp_path):
+    """500 secrets by 9,001 admins, a null among each: every pair once, in few bytes, and nothing is broadcast to make them."""
+    secrets = spark.range(500).select(F.when(F.col("id") < 499, F.col("id")).alias("name"))
+    members = spark.range(9001).select(F.when(F.col("id") < 9000, F.col("id") * 7).alias("member_id"), F.lit("n").alias("name"), F.lit("admin").alias("role"))
+    acl = spark.createDataFrame([(1, 7), (5000, 7), (5000, None), (None, None), (1, 8)], "secret long, member_id long")
+    got = AC.acl_closure(acl, secrets, members)
+    got.write.parquet(str(tmp_path / "closure"))
+    back = spark.read.parquet(str(tmp_path / "closure"))
+    assert back.count() == back.distinct().count() == 500 * 9001 + 3
+    assert {(r.secret, r.member_id) for r in back.where("secret = 5000 or member_id = 8").collect()} == {(5000, 7), (5000, None), (1, 8)}
+    assert sum(f.stat().st_size for f in (tmp_path / "closure").glob("*.parquet")) < 0.3 * 500 * 9001
+    assert "CartesianProduct" in (plan := got._jdf.queryExecution().sparkPlan().toString()) and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_blocks_hold_every_value_once(spark):
+    blocks = AC.in_blocks(spark.range(1000).select(F.when(F.col("id") % 500 > 0, F.col("id")).alias("v")), 64).collect()
+    assert max(len(b.v) for b in blocks) <= 64 and len({b["__block"] for b in blocks}) == len(blocks)
+    assert sorted(v or 0 for b in blocks for v in b.v) == [0, 0, *range(1, 500), *range(501, 1000)]
+
+
 def test_manifest_check_and_import(spark):
     manifest = spark.createDataFrame([("p", "A", True), ("p", "B", True), ("p", "C", False)], "project string, name string, required boolean")
     names = spark.createDataFrame([("p", "A")], "project string, name string")
